@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cladeflow.llm.decontaminate import contaminated, decontaminate
+from cladeflow.llm.language import detect_language, fit_languages
 from cladeflow.llm.packing import pack
 
 
@@ -19,11 +22,38 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+        "spans",
+    )
+
+
+def held_out():
+    """One document in four is kept from learning: crc32 of its id as text, modulo 4, is 2."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.filter(F.coalesce(~held_out(), F.lit(True))))
+    found = detect_language(docs, model, ["doc_id"])
+    return found.select("row.doc_id", "lang_pred", "score", "ambiguous").withColumn("held_out", held_out())
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_language_id": op3_language_id,
     "op8_packing": op8_packing,
 }
 
