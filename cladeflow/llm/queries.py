@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cladeflow.llm.decontaminate import contaminated, decontaminate
 from cladeflow.llm.language import detect_language, fit_languages
 from cladeflow.llm.packing import pack
+from cladeflow.llm.secrets import find_secrets
+from cladeflow.llm.sharding import shard_by_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +53,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(table(spark, sf_dir, "documents"), ["doc_id"])
+    law = F.lit("bytes").alias("law")
+    return placed.select("row.doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_language_id": op3_language_id,
     "op8_packing": op8_packing,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_sharding": op10_sharding,
 }
 
 #: Queries that plain SQL expresses. The others are tested against brute force.
