@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm.decontaminate import contaminated, decontaminate
+from cladeflow.llm.jaccard_join import similar_documents
 from cladeflow.llm.language import detect_language, fit_languages
 from cladeflow.llm.packing import pack
 from cladeflow.llm.secrets import find_secrets
@@ -37,6 +38,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def held_out():
     """One document in four is kept from learning: crc32 of its id as text, modulo 4, is 2."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -66,6 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
