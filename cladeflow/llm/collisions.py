@@ -98,6 +98,7 @@ def _ends(table: pa.Table) -> list[int]:
 
 def _compare_all(table: pa.Table, ends: list[int], columns: list[str], compare: Compare) -> Iterator[pa.RecordBatch]:
     side, band = table.column("side").to_numpy(), table.column("band").to_numpy()
+    two_blocks = table.column("low").to_numpy() < table.column("high").to_numpy()
     merged, in_merged = table.column("merged").to_numpy(), table.column("in_merged").to_numpy()
     copies, keys = table.column("copies").to_numpy(), table.column("key").to_pylist()
     data = {c: table.column(c).to_pylist() for c in columns}
@@ -129,7 +130,7 @@ def _compare_all(table: pa.Table, ends: list[int], columns: list[str], compare:
     for start, end in zip([0, *ends], ends):
         n = end - start
         high = side[start:end].astype(bool)
-        if high.any():
+        if two_blocks[start]:
             one, two = start + np.flatnonzero(~high), start + np.flatnonzero(high)
             for at in range(0, len(one), max(1, PAIRS // max(1, len(two)))):
                 some = one[at : at + max(1, PAIRS // max(1, len(two)))]
