@@ -11,8 +11,10 @@ from cladeflow.llm.decontaminate import contaminated, decontaminate
 from cladeflow.llm.jaccard_join import similar_documents
 from cladeflow.llm.language import detect_language, fit_languages
 from cladeflow.llm.packing import pack
+from cladeflow.llm.paragraphs import repeated_paragraphs
 from cladeflow.llm.secrets import find_secrets
 from cladeflow.llm.sharding import shard_by_bytes
+from cladeflow.llm.suffixes import repeated_passages
 from cladeflow.llm.vectors import similar_vectors
 
 
@@ -55,6 +57,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score", "ambiguous").withColumn("held_out", held_out())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_paragraph_dedup": op6_paragraph_dedup,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
