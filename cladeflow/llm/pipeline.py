@@ -1,12 +1,72 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline. Every stage but the last returns the columns of its documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from cladeflow.llm.decontaminate import contaminated, decontaminate
+from cladeflow.llm.jaccard_join import similar_documents
+from cladeflow.llm.language import UNDETERMINED, detect_language, fit_languages
+from cladeflow.llm.packing import pack
+from cladeflow.llm.queries import held_out, table, tokenizer_path
+from cladeflow.llm.secrets import mask_secrets
+from cladeflow.llm.shared_files import stored
+
+
+def _rows(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected: texts without a letter, and those for which no language gets half of the score."""
+    model = fit_languages(docs.filter(F.coalesce(~held_out(), F.lit(True))))
+    found = detect_language(docs, model, docs.columns)
+    return _rows(found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays; of repeated rows, one."""
+    found = similar_documents(docs)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
+    kept = stored(kept)
+    out = docs.join(kept.select("kept"), docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if kept.filter("n > 1").limit(1).count() else out
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), docs.columns)
+    return _rows(found.filter(~contaminated()), docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; ``n_chars`` follows the text."""
+    masked = mask_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("packing", packed),
+]
+
+#: A trained classifier and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

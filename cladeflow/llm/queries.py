@@ -12,6 +12,7 @@ from cladeflow.llm.jaccard_join import similar_documents
 from cladeflow.llm.language import detect_language, fit_languages
 from cladeflow.llm.packing import pack
 from cladeflow.llm.paragraphs import repeated_paragraphs
+from cladeflow.llm.quality import score_quality
 from cladeflow.llm.secrets import find_secrets
 from cladeflow.llm.sharding import shard_by_bytes
 from cladeflow.llm.suffixes import repeated_passages
@@ -57,6 +58,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score", "ambiguous").withColumn("held_out", held_out())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("row.doc_id", "p_text", "p_meta", "score", "good")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_paragraph_dedup": op6_paragraph_dedup,
     "op7_vector_dedup": op7_vector_dedup,

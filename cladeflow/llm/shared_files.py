@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,11 @@ def _ensure_dir(spark: SparkSession) -> None:
     if not folder:
         folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
     context.setCheckpointDir(folder)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the same folder, and read again."""
+    _ensure_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
