@@ -1,6 +1,402 @@
-"""Registered queries of the alignment operators, and their SQL."""
+"""Registered queries of the alignment operators, and the SQL that they equal. All of them read whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladeflow.functions import dna
+from cladeflow.operators import pairs, prefixes, sites
+from cladeflow.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE[name] = sql
+        return query
+
+    return add
+
+
+def states_text(states: str = "states"):
+    """An array of states as text, for results that both engines write alike."""
+    return F.array_join(F.transform(states, lambda m: m.cast("string")), ",")
+
+
+# --- the alignments, in SQL ---
+
+EMB = """emb AS (SELECT CAST(label AS VARCHAR) AS label, vec_id, embedding,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rnk FROM embeddings),
+  emb_x AS (SELECT label, rnk, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS site FROM emb),
+  cells AS (SELECT label AS aln_id, rnk AS taxon, site, CASE WHEN CAST(x AS DOUBLE) < -0.085 THEN 1 WHEN CAST(x AS DOUBLE) < 0.0 THEN 2
+    WHEN CAST(x AS DOUBLE) < 0.085 THEN 4 ELSE 8 END AS mask FROM emb_x)"""
+CHUNK = EMB.replace("label AS aln_id, rnk AS taxon", "label || '-' || CAST(rnk // 12 AS VARCHAR) AS aln_id, rnk % 12 AS taxon").replace("-0.085", "-0.2").replace("0.085", "0.2").replace("< 0.0 ", "< 0.15 ")
+EVT = """seen AS (SELECT CAST(user_id % 3 AS VARCHAR) AS aln_id, CAST(day(ts) AS BIGINT) AS site, user_id AS taxon, bit_or(CASE event_type
+    WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 4 WHEN 'view' THEN 8 WHEN 'error' THEN 15 END) AS mask FROM events GROUP BY 1, 2, 3),
+  grid AS (SELECT DISTINCT s.aln_id, s.site, t.taxon FROM seen s JOIN (SELECT DISTINCT aln_id, taxon FROM seen) t USING (aln_id)),
+  cells AS (SELECT aln_id, site, taxon, coalesce(mask, 15) AS mask FROM grid LEFT JOIN seen USING (aln_id, site, taxon))"""
+DOC = """letters AS (SELECT doc_id, lang AS aln_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents),
+  seqs AS (SELECT aln_id, row_number() OVER (PARTITION BY aln_id ORDER BY doc_id) - 1 AS taxon, 'd' || CAST(doc_id AS VARCHAR) AS label,
+    substr(seq, 1, 64) AS seq FROM letters WHERE length(seq) >= 64)"""
+COLS = "cols AS (SELECT aln_id, site, list(mask ORDER BY taxon) AS states FROM cells GROUP BY 1, 2)"
+#: Canonically recoded columns: bits by first taxon that shows them, then by base.
+RECODED = """bits AS (SELECT aln_id, site, taxon, b FROM cells, (VALUES (1), (2), (4), (8)) t(b) WHERE mask & b <> 0),
+  firsts AS (SELECT aln_id, site, b, row_number() OVER (PARTITION BY aln_id, site ORDER BY min(taxon), b) - 1 AS nr FROM bits GROUP BY aln_id, site, b),
+  rcells AS (SELECT aln_id, site, taxon, CAST(sum(1 << CAST(nr AS INTEGER)) AS INTEGER) AS mask FROM bits JOIN firsts USING (aln_id, site, b) GROUP BY 1, 2, 3),
+  rcols AS (SELECT aln_id, site, list(mask ORDER BY taxon) AS states FROM rcells GROUP BY 1, 2),
+  pats AS (SELECT aln_id, states, count(*) AS weight, min(site) AS site FROM rcols GROUP BY 1, 2)"""
+#: Forced weight of a site; null where it is informative.
+FORCED = """per_base AS (SELECT aln_id, site, b, sum(CASE WHEN mask & b = 0 THEN bit_count(mask) ELSE 0 END) AS total,
+    bit_count(bit_or(CASE WHEN mask & b = 0 THEN mask ELSE 0 END)) AS united, count(*) FILTER (mask & b = 0) AS lacking
+    FROM cells, (VALUES (1), (2), (4), (8)) t(b) GROUP BY 1, 2, 3),
+  forced AS (SELECT aln_id, site, min(CASE WHEN total = united THEN lacking END) AS forced FROM per_base GROUP BY 1, 2)"""
+
+
+def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.from_embeddings(spark, sf_dir)
+
+
+def chunked(spark: SparkSession, sf_dir: str, size: int = 12) -> DataFrame:
+    """Alignments of ``size`` vectors of a label each, so that all vectors take part in work that grows fast with the taxa."""
+    return tables.from_embeddings(spark, sf_dir, tables.UNEVEN, size)
+
+
+def found_patterns(cells: DataFrame) -> DataFrame:
+    return sites.patterns(sites.recoded(sites.columns(cells)))
+
+
+# --- projections and filters ---
+
+
+@register("p1_letter_to_mask", f"WITH {DOC}, l AS (SELECT aln_id, unnest(string_split(seq, '')) AS letter FROM seqs) SELECT aln_id, letter, CASE letter WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 END AS mask, count(*) AS n FROM l GROUP BY 1, 2, 3")
+def p1(spark, sf_dir):
+    letters = tables.sequences_from_documents(spark, sf_dir).select("aln_id", F.explode(F.split("seq", "")).alias("letter"))
+    return letters.groupBy("aln_id", "letter", dna.mask_of_letter(F.col("letter")).alias("mask")).agg(F.count("*").alias("n"))
+
+
+@register("p2_mask_to_letter", f"WITH {EVT} SELECT aln_id, mask, substr('ACMGRSVTWYHKDBN', CAST(mask AS INTEGER), 1) AS letter, count(*) AS n FROM cells GROUP BY 1, 2, 3")
+def p2(spark, sf_dir):
+    return tables.from_events(spark, sf_dir).groupBy("aln_id", "mask", dna.letter_of_mask(F.col("mask")).alias("letter")).agg(F.count("*").alias("n"))
+
+
+@register("p3_letter_to_code", f"WITH {DOC}, l AS (SELECT aln_id, unnest(string_split(seq, '')) AS letter FROM seqs) SELECT aln_id, CASE letter WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 END AS code, count(*) AS n FROM l GROUP BY 1, 2")
+def p3(spark, sf_dir):
+    letters = tables.sequences_from_documents(spark, sf_dir).select("aln_id", F.explode(F.split("seq", "")).alias("letter"))
+    return letters.groupBy("aln_id", dna.code_of_letter(F.col("letter")).cast("int").alias("code")).agg(F.count("*").alias("n"))
+
+
+@register("p4_cells_to_sequences", f"WITH {EMB} SELECT aln_id, taxon, string_agg(CASE mask WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' ELSE 'T' END, '' ORDER BY site) AS seq FROM cells GROUP BY 1, 2")
+def p4(spark, sf_dir):
+    return sites.sequences_from_cells(emb(spark, sf_dir))
+
+
+@register("p4_sequences_to_cells", f"WITH {DOC}, l AS (SELECT aln_id, taxon, unnest(string_split(seq, '')) AS letter, unnest(generate_series(0, 63)) AS site FROM seqs) SELECT aln_id, site, taxon, CASE letter WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 END AS mask FROM l")
+def p4b(spark, sf_dir):
+    return sites.cells_from_sequences(tables.sequences_from_documents(spark, sf_dir))
+
+
+@register("p5_site_range", f"WITH {EMB} SELECT aln_id, site, CAST(sum(mask) AS BIGINT) AS total FROM cells WHERE site BETWEEN 9 AND 39 GROUP BY 1, 2")
+def p5(spark, sf_dir):
+    return sites.site_range(emb(spark, sf_dir), 10, 40).groupBy("aln_id", "site").agg(F.sum("mask").alias("total"))
+
+
+@register("p6_without_ambiguous", f"WITH {EVT}, {COLS} SELECT aln_id, site, array_to_string(states, ',') AS states FROM cols WHERE list_max(list_transform(states, lambda m: bit_count(m))) = 1")
+def p6(spark, sf_dir):
+    kept = sites.without_ambiguous(sites.columns(tables.from_events(spark, sf_dir)))
+    return kept.select("aln_id", "site", states_text().alias("states"))
+
+
+@register("p7_fitch_step", f"WITH {EVT}, nxt AS (SELECT aln_id, site, taxon, mask, lead(mask) OVER (PARTITION BY aln_id, site ORDER BY taxon) AS other FROM cells) SELECT aln_id, mask, other, CASE WHEN mask & other <> 0 THEN mask & other ELSE mask | other END AS united, CAST(sum(CASE WHEN mask & other = 0 THEN 1 ELSE 0 END) AS BIGINT) AS cost FROM nxt WHERE other IS NOT NULL GROUP BY 1, 2, 3, 4")
+def p7(spark, sf_dir):
+    from pyspark.sql import window as W
+
+    other = F.lead("mask").over(W.Window.partitionBy("aln_id", "site").orderBy("taxon"))
+    met = tables.from_events(spark, sf_dir).withColumn("other", other).filter("other is not null")
+    united = dna.fitch_union(F.col("mask"), F.col("other"))
+    return met.groupBy("aln_id", "mask", "other", united.alias("united")).agg(F.sum(dna.fitch_cost(F.col("mask"), F.col("other"))).alias("cost"))
+
+
+@register("p8_changed_step", f"WITH {EVT}, nxt AS (SELECT aln_id, site, taxon, mask, lead(mask) OVER (PARTITION BY aln_id, site ORDER BY taxon) AS other FROM cells), u AS (SELECT *, CASE WHEN mask & other <> 0 THEN mask & other ELSE mask | other END AS united FROM nxt WHERE other IS NOT NULL) SELECT aln_id, taxon, bool_or(united <> mask) AS changed FROM u GROUP BY 1, 2")
+def p8(spark, sf_dir):
+    from pyspark.sql import window as W
+
+    other = F.lead("mask").over(W.Window.partitionBy("aln_id", "site").orderBy("taxon"))
+    met = tables.from_events(spark, sf_dir).withColumn("other", other).filter("other is not null")
+    united = dna.fitch_union(F.col("mask"), F.col("other"))
+    return met.groupBy("aln_id", "taxon").agg(F.bool_or(united != F.col("mask")).alias("changed"))
+
+
+@register("p9_bits", f"WITH {EVT} SELECT aln_id, mask, CAST(bit_count(mask) AS INTEGER) AS n_bits, count(*) AS n FROM cells GROUP BY 1, 2, 3")
+def p9(spark, sf_dir):
+    return tables.from_events(spark, sf_dir).groupBy("aln_id", "mask", F.bit_count("mask").cast("int").alias("n_bits")).agg(F.count("*").alias("n"))
+
+
+@register("p10_tree_count", f"WITH {CHUNK}, n AS (SELECT aln_id, count(DISTINCT taxon) AS n FROM cells GROUP BY 1) SELECT aln_id, CAST(n AS BIGINT) AS n_taxa, CAST(CASE WHEN n > 3 THEN list_product(list_transform(generate_series(3, n - 1), lambda i: 2 * i - 3)) ELSE 1 END AS BIGINT) AS trees FROM n WHERE n >= 3")
+def p10(spark, sf_dir):
+    n = chunked(spark, sf_dir).groupBy("aln_id").agg(F.countDistinct("taxon").alias("n_taxa")).filter("n_taxa >= 3")
+    return n.select("aln_id", "n_taxa", dna.tree_count(F.lit(3), F.col("n_taxa").cast("int")).cast("long").alias("trees"))
+
+
+# --- sites ---
+
+
+@register("a1_collapse", f"WITH {EMB}, {RECODED} SELECT aln_id, array_to_string(states, ',') AS states, weight, site FROM pats")
+def a1(spark, sf_dir):
+    return found_patterns(emb(spark, sf_dir)).select("aln_id", states_text().alias("states"), "weight", "site")
+
+
+@register("a1_collapse_prefix", f"WITH {EMB}, {RECODED} SELECT aln_id, array_to_string(states[1:4], ',') AS states, count(*) AS weight, min(site) AS site FROM rcols GROUP BY 1, 2")
+def a1_prefix(spark, sf_dir):
+    found = sites.patterns(sites.recoded(sites.columns(emb(spark, sf_dir))), 4)
+    return found.select("aln_id", states_text().alias("states"), "weight", "site")
+
+
+@register("a2_constant_sites", f"WITH {CHUNK} SELECT aln_id, site, bit_and(mask) <> 0 AS constant FROM cells GROUP BY 1, 2")
+def a2(spark, sf_dir):
+    return sites.columns(chunked(spark, sf_dir)).select("aln_id", "site", sites.is_constant().alias("constant"))
+
+
+@register("a3_forced_weight", f"WITH {EVT}, {FORCED} SELECT aln_id, site, CAST(forced AS BIGINT) AS forced FROM forced UNION ALL SELECT * FROM (WITH {CHUNK}, {FORCED} SELECT aln_id, site, CAST(forced AS BIGINT) AS forced FROM forced)")
+def a3(spark, sf_dir):
+    both = sites.columns(tables.from_events(spark, sf_dir)).unionByName(sites.columns(chunked(spark, sf_dir)))
+    return both.select("aln_id", "site", sites.forced_weight().alias("forced"))
+
+
+SUMMARY = """SELECT aln_id, CAST(coalesce(sum(weight) FILTER (constant), 0) AS BIGINT) AS n_const,
+  CAST(coalesce(sum(weight) FILTER (NOT constant AND forced IS NOT NULL), 0) AS BIGINT) AS n_nonpi,
+  CAST(coalesce(sum(weight * forced) FILTER (NOT constant AND forced IS NOT NULL), 0) AS BIGINT) AS nonpi_weight,
+  CAST(coalesce(sum(weight) FILTER (forced IS NULL), 0) AS BIGINT) AS n_pi, count(*) FILTER (forced IS NULL) AS n_patterns
+  FROM pats JOIN forced USING (aln_id, site) JOIN (SELECT aln_id, site, bit_and(mask) <> 0 AS constant FROM cells GROUP BY 1, 2) c USING (aln_id, site) GROUP BY 1"""
+
+
+@register("a4_site_summary", f"WITH {CHUNK}, {RECODED}, {FORCED} {SUMMARY}")
+def a4(spark, sf_dir):
+    return sites.site_summary(found_patterns(chunked(spark, sf_dir)))
+
+
+@register("a4_site_summary_ambiguous", f"WITH {EVT}, {RECODED}, {FORCED} {SUMMARY}")
+def a4b(spark, sf_dir):
+    return sites.site_summary(found_patterns(tables.from_events(spark, sf_dir)))
+
+
+@register("a5_site_lower_bound", f"WITH {EVT} SELECT aln_id, site, CAST(greatest(count(DISTINCT mask) FILTER (bit_count(mask) = 1) - 1, 0) AS BIGINT) AS lower FROM cells GROUP BY 1, 2")
+def a5(spark, sf_dir):
+    return sites.columns(tables.from_events(spark, sf_dir)).select("aln_id", "site", sites.site_lower_bound().alias("lower"))
+
+
+@register("a6_site_upper_bound", f"WITH {EVT} SELECT aln_id, site, CAST(count(*) - greatest(count(*) FILTER (mask & 1 <> 0), count(*) FILTER (mask & 2 <> 0), count(*) FILTER (mask & 4 <> 0), count(*) FILTER (mask & 8 <> 0)) AS BIGINT) AS upper FROM cells GROUP BY 1, 2")
+def a6(spark, sf_dir):
+    return sites.columns(tables.from_events(spark, sf_dir)).select("aln_id", "site", sites.site_upper_bound().alias("upper"))
+
+
+@register("a7_state_histogram", f"WITH {EVT} SELECT aln_id, site, mask, count(*) AS n FROM cells GROUP BY 1, 2, 3")
+def a7(spark, sf_dir):
+    return tables.from_events(spark, sf_dir).groupBy("aln_id", "site", "mask").agg(F.count("*").alias("n"))
+
+
+@register("a8_sites_by_bases", f"WITH {CHUNK}, {RECODED}, per AS (SELECT aln_id, site, count(DISTINCT mask) FILTER (bit_count(mask) = 1) AS n_distinct FROM cells GROUP BY 1, 2) SELECT aln_id, n_distinct, count(*) AS n_patterns, CAST(sum(weight) AS BIGINT) AS weight FROM pats JOIN per USING (aln_id, site) GROUP BY 1, 2")
+def a8(spark, sf_dir):
+    n = F.size(F.array_distinct(F.filter("states", lambda m: F.bit_count(m) == 1))).cast("long")
+    return found_patterns(chunked(spark, sf_dir)).groupBy("aln_id", n.alias("n_distinct")).agg(F.count("*").alias("n_patterns"), F.sum("weight").alias("weight"))
+
+
+@register("a10_distinct_rows", f"WITH {CHUNK}, part AS (SELECT aln_id, site // 4 AS part_id, taxon, list(mask ORDER BY site) AS states FROM cells GROUP BY 1, 2, 3) SELECT aln_id, part_id, count(DISTINCT states) AS n_rows FROM part GROUP BY 1, 2")
+def a10(spark, sf_dir):
+    row = F.array_sort(F.collect_list(F.struct("site", "mask")))
+    rows = chunked(spark, sf_dir).groupBy("aln_id", F.floor(F.col("site") / 4).alias("part_id"), "taxon").agg(row.alias("row"))
+    return rows.groupBy("aln_id", "part_id").agg(F.countDistinct("row").alias("n_rows"))
+
+
+@register("a11_part_upper_bound", f"WITH {CHUNK}, u AS (SELECT aln_id, site, count(*) - greatest(count(*) FILTER (mask & 1 <> 0), count(*) FILTER (mask & 2 <> 0), count(*) FILTER (mask & 4 <> 0), count(*) FILTER (mask & 8 <> 0)) AS upper FROM cells GROUP BY 1, 2) SELECT aln_id, site // 4 AS part_id, CAST(sum(upper) AS BIGINT) AS upper FROM u GROUP BY 1, 2")
+def a11(spark, sf_dir):
+    bound = sites.columns(chunked(spark, sf_dir)).select("aln_id", F.floor(F.col("site") / 4).alias("part_id"), sites.site_upper_bound().alias("upper"))
+    return bound.groupBy("aln_id", "part_id").agg(F.sum("upper").alias("upper"))
+
+
+SEEN = "seen_ AS (SELECT aln_id, site, taxon, mask, coalesce(bit_or(mask) OVER (PARTITION BY aln_id, site ORDER BY taxon ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM cells)"
+
+
+@register("a12_additive_score", f"WITH {EMB}, {SEEN} SELECT aln_id, site // 4 AS part_id, count(*) FILTER (taxon >= 3 AND (mask & ~seen) <> 0) AS additive FROM seen_ GROUP BY 1, 2")
+def a12(spark, sf_dir):
+    return prefixes.additive_scores(emb(spark, sf_dir), F.floor(F.col("site") / 4), 3)
+
+
+@register("a13_newly_shown", f"WITH {EVT}, {SEEN} SELECT aln_id, taxon, count(*) FILTER (mask & seen = 0) AS n_new, count(*) FILTER ((mask & ~seen) <> 0) AS n_additive FROM seen_ GROUP BY 1, 2")
+def a13(spark, sf_dir):
+    return prefixes.newly_shown(tables.from_events(spark, sf_dir))
+
+
+@register("p14_part_scores", f"WITH {EMB}, {SEEN}, u AS (SELECT aln_id, site, count(*) - greatest(count(*) FILTER (mask = 1), count(*) FILTER (mask = 2), count(*) FILTER (mask = 4), count(*) FILTER (mask = 8)) AS upper, greatest(count(DISTINCT mask) - 1, 0) AS lower FROM cells GROUP BY 1, 2), b AS (SELECT aln_id, site // 4 AS part_id, sum(upper) AS upper, sum(lower) AS lower FROM u GROUP BY 1, 2), a AS (SELECT aln_id, site // 4 AS part_id, count(*) FILTER (taxon >= 3 AND (mask & ~seen) <> 0) AS additive FROM seen_ GROUP BY 1, 2) SELECT aln_id, part_id, CAST(greatest(additive, lower - upper) AS BIGINT) AS by_additive, CAST(greatest(0, lower - upper) AS BIGINT) AS by_clipped, CAST(lower AS BIGINT) AS by_lower FROM b JOIN a USING (aln_id, part_id)")
+def p14(spark, sf_dir):
+    cells, part = emb(spark, sf_dir), F.floor(F.col("site") / 4)
+    bound = sites.columns(cells).groupBy("aln_id", part.alias("part_id")).agg(F.sum(sites.site_upper_bound()).alias("upper"), F.sum(sites.site_lower_bound()).alias("lower"))
+    both = bound.join(prefixes.additive_scores(cells, part, 3), ["aln_id", "part_id"])
+    score = lambda s: dna.part_score(s, F.col("lower"), F.col("upper"), F.col("additive")).alias(f"by_{s}")
+    return both.select("aln_id", "part_id", score("additive"), score("clipped"), score("lower"))
+
+
+# --- windows ---
+
+
+@register("w1_canonical_recoding", f"WITH {EVT}, {RECODED} SELECT aln_id, site, array_to_string(states, ',') AS states FROM rcols")
+def w1(spark, sf_dir):
+    return sites.recoded(sites.columns(tables.from_events(spark, sf_dir))).select("aln_id", "site", states_text().alias("states"))
+
+
+LI = """sym AS (SELECT 'li' AS aln_id, CAST(l_partkey AS BIGINT) AS site, CAST(l_suppkey AS BIGINT) AS taxon, l_returnflag || l_linestatus AS symbol FROM lineitem),
+  num AS (SELECT site, symbol, row_number() OVER (PARTITION BY site ORDER BY min(taxon), symbol) - 1 AS nr FROM sym GROUP BY site, symbol),
+  cells AS (SELECT aln_id, site, taxon, bit_or(1 << CAST(nr AS INTEGER)) AS mask FROM sym JOIN num USING (site, symbol) GROUP BY 1, 2, 3)"""
+
+
+@register("w2_symbol_recoding", f"WITH {LI} SELECT aln_id, site, taxon, CAST(mask AS INTEGER) AS mask FROM cells")
+def w2(spark, sf_dir):
+    return sites.recoded_symbols(tables.symbols_from_lineitem(spark, sf_dir))
+
+
+@register("w3_prefix_union", f"WITH {EVT}, {SEEN} SELECT aln_id, site, taxon, seen FROM seen_")
+def w3(spark, sf_dir):
+    return prefixes.seen_before(tables.from_events(spark, sf_dir)).select("aln_id", "site", "taxon", "seen")
+
+
+RUNNING = """run_b AS (SELECT aln_id, site, taxon, b, sum(CASE WHEN mask & b = 0 THEN bit_count(mask) ELSE 0 END) OVER w AS total,
+    bit_count(bit_or(CASE WHEN mask & b = 0 THEN mask ELSE 0 END) OVER w) AS united, sum(CASE WHEN mask & b = 0 THEN 1 ELSE 0 END) OVER w AS lacking
+    FROM cells, (VALUES (1), (2), (4), (8)) t(b) WINDOW w AS (PARTITION BY aln_id, site, b ORDER BY taxon ROWS UNBOUNDED PRECEDING)),
+  running AS (SELECT aln_id, site, taxon, min(CASE WHEN total = united THEN lacking END) AS forced FROM run_b GROUP BY 1, 2, 3)"""
+
+
+@register("w4_onset", f"WITH {EMB}, {RUNNING} SELECT aln_id, site, CAST(min(CASE WHEN forced IS NULL THEN taxon + 1 END) AS BIGINT) AS onset FROM running GROUP BY 1, 2")
+def w4(spark, sf_dir):
+    return prefixes.onsets(emb(spark, sf_dir))
+
+
+@register("w4_levels", f"WITH {EVT}, {RUNNING} SELECT aln_id, CAST(taxon + 1 AS BIGINT) AS k, count(*) FILTER (forced IS NULL) AS n_informative, CAST(coalesce(sum(forced), 0) AS BIGINT) AS fixed_length FROM running GROUP BY 1, 2")
+def w4b(spark, sf_dir):
+    return prefixes.levels(tables.from_events(spark, sf_dir))
+
+
+REST = """clear AS (SELECT aln_id, site FROM cells GROUP BY 1, 2 HAVING max(bit_count(mask)) = 1),
+  shown AS (SELECT aln_id, first AS k, count(*) AS n FROM (SELECT aln_id, site, mask, min(taxon) AS first FROM cells JOIN clear USING (aln_id, site) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  spine AS (SELECT DISTINCT aln_id, taxon AS k FROM cells),
+  rest AS (SELECT aln_id, k, CAST(coalesce(sum(n) OVER (PARTITION BY aln_id ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bound FROM spine LEFT JOIN shown USING (aln_id, k))"""
+
+
+@register("w5_rest_bound", f"WITH {EMB}, {REST} SELECT * FROM rest")
+def w5(spark, sf_dir):
+    return prefixes.rest_bound(emb(spark, sf_dir))
+
+
+@register("w6_running_maximum", f"WITH {EVT}, {SEEN}, raw AS (SELECT aln_id, taxon AS k, count(*) FILTER (mask & seen = 0) AS bound FROM seen_ GROUP BY 1, 2) SELECT aln_id, k, max(bound) OVER (PARTITION BY aln_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS bound FROM raw")
+def w6(spark, sf_dir):
+    raw = prefixes.newly_shown(tables.from_events(spark, sf_dir)).select("aln_id", F.col("taxon").alias("k"), F.col("n_new").alias("bound"))
+    return prefixes.held_for_fewer(raw)
+
+
+@register("w7_pattern_rank", f"WITH {CHUNK}, {RECODED} SELECT aln_id, array_to_string(states, ',') AS states, weight, row_number() OVER (PARTITION BY aln_id ORDER BY weight DESC, states) - 1 AS pattern_id FROM pats")
+def w7(spark, sf_dir):
+    return sites.ranked_patterns(found_patterns(chunked(spark, sf_dir))).select("aln_id", states_text().alias("states"), "weight", "pattern_id")
+
+
+HITS = "up AS (SELECT aln_id, site, count(*) - greatest(count(*) FILTER (mask & 1 <> 0), count(*) FILTER (mask & 2 <> 0), count(*) FILTER (mask & 4 <> 0), count(*) FILTER (mask & 8 <> 0)) AS upper FROM cells GROUP BY 1, 2), hit AS (SELECT a.aln_id, a.site, count(*) AS hits FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon WHERE a.mask & b.mask = 0 GROUP BY 1, 2)"
+
+
+@register("w8_best_site_by_bound", f"WITH {CHUNK}, {HITS} SELECT aln_id, CAST(upper AS BIGINT) AS upper, site, hits FROM (SELECT *, row_number() OVER (PARTITION BY aln_id, upper ORDER BY hits DESC, site) AS nr FROM up JOIN hit USING (aln_id, site)) WHERE nr = 1")
+def w8(spark, sf_dir):
+    cells = chunked(spark, sf_dir)
+    hits = pairs.distinguishing_sites(cells).groupBy("aln_id", "site").agg(F.count("*").alias("hits"))
+    bound = sites.columns(cells).select("aln_id", "site", sites.site_upper_bound().alias("upper"))
+    best = F.min(F.struct((-F.col("hits")).alias("less"), "site", "hits")).alias("best")
+    return bound.join(hits, ["aln_id", "site"]).groupBy("aln_id", "upper").agg(best).select("aln_id", "upper", "best.site", "best.hits")
+
+
+# --- pairs ---
+
+PAIR = "pr AS (SELECT a.aln_id, a.taxon AS i, b.taxon AS j, CAST(sum(CASE WHEN a.mask & b.mask = 0 THEN 1 ELSE 0 END) AS BIGINT) AS dist, CAST(sum(CASE WHEN a.mask <> b.mask THEN 1 ELSE 0 END) AS BIGINT) AS strict FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon GROUP BY 1, 2, 3)"
+
+
+@register("j1_distances", f"WITH {EVT}, {PAIR} SELECT aln_id, i, j, dist, strict, dist AS sites FROM pr")
+def j1(spark, sf_dir):
+    return pairs.fitch_distances(tables.from_events(spark, sf_dir))
+
+
+@register("j1_weighted_distances", f"WITH {CHUNK}, {RECODED}, wc AS (SELECT c.aln_id, c.site, c.taxon, c.mask, weight FROM rcells c JOIN pats USING (aln_id, site)) SELECT a.aln_id, a.taxon AS i, b.taxon AS j, CAST(sum(CASE WHEN a.mask & b.mask = 0 THEN a.weight ELSE 0 END) AS BIGINT) AS dist, CAST(sum(CASE WHEN a.mask <> b.mask THEN a.weight ELSE 0 END) AS BIGINT) AS strict, count(*) FILTER (a.mask & b.mask = 0) AS sites FROM wc a JOIN wc b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon GROUP BY 1, 2, 3")
+def j1w(spark, sf_dir):
+    found = found_patterns(chunked(spark, sf_dir))
+    cells = found.select("aln_id", "site", "weight", F.posexplode("states").alias("taxon", "mask")).withColumn("taxon", F.col("taxon").cast("long"))
+    return pairs.fitch_distances(cells)
+
+
+@register("j2_blocked_distances", f"WITH {EMB}, {PAIR} SELECT * FROM pr")
+def j2(spark, sf_dir):
+    return pairs.blocked_distances(emb(spark, sf_dir))
+
+
+@register("j4_distinguishing_sites", f"WITH {CHUNK} SELECT a.aln_id, a.taxon AS i, b.taxon AS j, a.site FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon WHERE a.mask & b.mask = 0")
+def j4(spark, sf_dir):
+    return pairs.distinguishing_sites(chunked(spark, sf_dir))
+
+
+SITE_PAIR = "coded AS (SELECT aln_id, taxon, site, bit_count(mask - 1) AS c FROM cells WHERE bit_count(mask) = 1), sp AS (SELECT a.aln_id, a.site AS p, b.site AS q, CAST(bit_or(1 << CAST(4 * a.c + b.c AS INTEGER)) AS INTEGER) AS mask16 FROM coded a JOIN coded b ON a.aln_id = b.aln_id AND a.taxon = b.taxon AND a.site < b.site GROUP BY 1, 2, 3)"
+
+
+@register("j5_site_pairs", f"WITH {CHUNK}, {SITE_PAIR} SELECT * FROM sp")
+def j5(spark, sf_dir):
+    return pairs.site_pairs(chunked(spark, sf_dir))
+
+
+@register("j5_blocked_site_pairs", f"WITH {EMB}, {SITE_PAIR} SELECT * FROM sp")
+def j5b(spark, sf_dir):
+    return pairs.blocked_site_pairs(emb(spark, sf_dir))
+
+
+@register("j11_cross_minimum", f"WITH {EVT}, {PAIR}, r AS (SELECT DISTINCT aln_id, taxon AS r FROM cells) SELECT aln_id, r, min(dist) AS min_dist FROM pr JOIN (SELECT aln_id AS a2, r FROM r) x ON aln_id = a2 AND i < r AND r <= j GROUP BY 1, 2")
+def j11(spark, sf_dir):
+    from pyspark.sql import window as W
+
+    # ranks in place of user ids
+    cells = tables.from_events(spark, sf_dir)
+    found = pairs.cross_minimum(pairs.fitch_distances(cells))
+    taxa = cells.select("aln_id", F.col("taxon").alias("r")).distinct()
+    return found.join(taxa, ["aln_id", "r"], "left_semi")
+
+
+@register("a9_o1_farthest_pair", f"WITH {EMB}, {PAIR}, b AS (SELECT aln_id, max(dist) AS dist FROM pr GROUP BY 1), t AS (SELECT pr.* FROM pr JOIN b USING (aln_id, dist)) SELECT aln_id, first.i AS i, first.j AS j, dist, n_ties FROM (SELECT aln_id, dist, min({{'i': i, 'j': j}}) AS first, count(*) AS n_ties FROM t GROUP BY 1, 2)")
+def a9(spark, sf_dir):
+    return pairs.farthest_pair(pairs.blocked_distances(emb(spark, sf_dir)))
+
+
+@register("a14_pair_surplus", f"WITH {CHUNK}, own AS (SELECT aln_id, site, count(DISTINCT mask) AS n FROM cells GROUP BY 1, 2), bt AS (SELECT a.aln_id, a.site AS p, b.site AS q, count(DISTINCT a.mask * 16 + b.mask) AS n FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.taxon = b.taxon AND a.site < b.site GROUP BY 1, 2, 3) SELECT bt.aln_id, p, q, bt.n - x.n - y.n + 1 AS surplus FROM bt JOIN own x ON x.aln_id = bt.aln_id AND x.site = p JOIN own y ON y.aln_id = bt.aln_id AND y.site = q")
+def a14(spark, sf_dir):
+    return pairs.pair_surplus(chunked(spark, sf_dir))
+
+
+@register("o6_sites_by_states", f"WITH {EMB}, {FORCED}, n AS (SELECT aln_id, site, count(DISTINCT mask) AS n_states FROM cells GROUP BY 1, 2) SELECT aln_id, site, n_states, row_number() OVER (PARTITION BY aln_id ORDER BY n_states DESC, site) - 1 AS place FROM n JOIN forced USING (aln_id, site) WHERE forced IS NULL")
+def o6(spark, sf_dir):
+    from pyspark.sql import window as W
+
+    told = sites.informative_patterns(sites.columns(emb(spark, sf_dir)))
+    told = told.select("aln_id", "site", F.size(F.array_distinct("states")).cast("long").alias("n_states"))
+    return told.withColumn("place", F.row_number().over(W.Window.partitionBy("aln_id").orderBy(F.desc("n_states"), "site")).cast("long") - 1)
+
+
+@register("s9_prefix_datasets", f"WITH {CHUNK}, n AS (SELECT aln_id, count(DISTINCT taxon) AS n FROM cells GROUP BY 1), ks AS (SELECT aln_id, unnest(generate_series(3, n)) AS k FROM n WHERE n >= 3) SELECT cells.aln_id, k, count(*) AS n_cells, CAST(sum(mask) AS BIGINT) AS total FROM cells JOIN ks ON cells.aln_id = ks.aln_id AND taxon < k GROUP BY 1, 2")
+def s9(spark, sf_dir):
+    from cladeflow.sources.writers import prefix_datasets
+
+    found = prefix_datasets(sites.sequences_from_cells(chunked(spark, sf_dir)))
+    cells = sites.cells_from_sequences(found.select(F.struct("aln_id", "k").alias("aln_id"), "taxon", "seq"))
+    return cells.groupBy("aln_id.aln_id", "aln_id.k").agg(F.count("*").alias("n_cells"), F.sum("mask").alias("total"))
+
+
+@register("s10_uninformative_prefixes", f"WITH {CHUNK}, {RUNNING}, o AS (SELECT aln_id, site, min(CASE WHEN forced IS NULL THEN taxon + 1 END) AS onset FROM running GROUP BY 1, 2), n AS (SELECT aln_id, count(DISTINCT taxon) AS n FROM cells GROUP BY 1), ks AS (SELECT aln_id, unnest(generate_series(3, n - 1)) AS k FROM n WHERE n >= 4) SELECT aln_id, k, site FROM o JOIN ks USING (aln_id) WHERE onset > k")
+def s10(spark, sf_dir):
+    from cladeflow.sources.writers import uninformative_prefixes
+
+    return uninformative_prefixes(chunked(spark, sf_dir)).select("aln_id", "k", "site")
