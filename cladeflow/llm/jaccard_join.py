@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cladeflow.llm.collisions import link
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.shared_files import checkpointed
-from cladeflow.llm.words import WordHasher, shingle_hashes, words
+from cladeflow.llm.words import hash_words, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8 ** 4) ** 32, or 5e-8.
@@ -59,21 +59,24 @@ def needed_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def shingle_set(text: str | None, hasher: WordHasher, width: int = WIDTH) -> np.ndarray:
-    return np.unique(shingle_hashes(hasher(words(text)), width))
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Hashed shingles of each text, sorted, each once; a text of fewer words is one shingle."""
+    hashed, counts = hash_words(texts)
+    every, at = shingle_hashes(hashed, width), 0
+    for n in counts.tolist():
+        yield np.unique(every[at : at + n - width + 1] if n >= width else shingle_hashes(hashed[at : at + n], width))
+        at += n
 
 
 def _sketches(with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hasher = _hasher()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 keys, marks, sets = [], [], []
-                for text in part.column(1).to_pylist():
-                    found = shingle_set(text, hasher)
+                for found in shingle_sets(part.column(1).to_pylist()):
                     data = found.tobytes()
                     keys.append(xxhash.xxh3_128_digest(data) if data else None)
                     marks.append(minhash(found).tobytes() if data else None)
@@ -87,11 +90,6 @@ def _sketches(with_sets: bool):
     return run
 
 
-@lru_cache(maxsize=1)
-def _hasher() -> WordHasher:
-    return WordHasher()
-
-
 def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sorted sets ``a[i]`` and ``b[i]``."""
     used = np.unique(np.concatenate([a, b]))

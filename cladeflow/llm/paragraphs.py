@@ -19,7 +19,7 @@ from cladeflow.llm.collisions import link
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.jaccard_join import shared_counts
 from cladeflow.llm.shared_files import checkpointed
-from cladeflow.llm.words import WordHasher, mix64, shingle_hashes, words
+from cladeflow.llm.words import hash_words, mix64, shingle_hashes
 
 LONG, LEAST, WIDTH, THRESHOLD = 40, 12, 5, 0.8
 #: Two paragraphs of similarity s share a band with a chance of 1 - (1 - s ** 2) ** 4: 0.983 at 0.8, 0.9987 at 0.9.
@@ -43,32 +43,32 @@ def paragraphs(text: str | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
-@lru_cache(maxsize=1)
-def _hasher() -> WordHasher:
-    return WordHasher()
-
-
 @lru_cache(maxsize=1)
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(31).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _shingles_of(text: str | None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Ranges of the long enough paragraphs, their hashed shingles one after another, and where each one's begin."""
-    kept, tokens, counts = [], [], []
-    for a, b in paragraphs(text):
-        found = words(text[a:b])
-        if len(found) >= LEAST:
-            kept.append((a, b))
-            tokens += found
-            counts.append(len(found))
-    if not kept:
-        return [], np.empty(0, np.uint64), np.zeros(1, np.int64)
-    every = shingle_hashes(_hasher()(tokens), WIDTH)
-    ends = np.cumsum(counts)
-    starts = ends - np.array(counts)
-    inside = np.concatenate([np.arange(s, e - WIDTH + 1) for s, e in zip(starts.tolist(), ends.tolist())])
-    return kept, every[inside], np.append(0, np.cumsum(np.array(counts) - WIDTH + 1))
+def _shingles_of(texts: list[str | None]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Of the long enough paragraphs of all texts: their text's place, their range, their hashed shingles one after
+    another, and where each one's begin."""
+    found = [(i, a, b) for i, t in enumerate(texts) for a, b in paragraphs(t) if b - a >= 2 * LEAST - 1]
+    hashed, counts = hash_words([texts[i][a:b] for i, a, b in found])
+    every = shingle_hashes(hashed, WIDTH) if len(hashed) >= WIDTH else np.empty(0, np.uint64)
+    begin = np.cumsum(counts) - counts
+    kept = np.flatnonzero(counts >= LEAST)
+    sizes = counts[kept] - WIDTH + 1
+    starts = np.append(0, np.cumsum(sizes))
+    inside = np.repeat(begin[kept] - starts[:-1], sizes) + np.arange(starts[-1])
+    return np.array([found[k][0] for k in kept], np.int64), [found[k][1:] for k in kept], every[inside], starts
+
+
+def _bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each paragraph's bands of MinHash values."""
+    least = np.stack([np.minimum.reduceat(shingles * m, starts[:-1]) for m in _multipliers()], axis=1)
+    joined = np.zeros((len(starts) - 1, BANDS), np.uint64)
+    for r in range(ROWS):
+        joined = mix64(joined * np.uint64(31) + least[:, r::ROWS])
+    return joined
 
 
 def _keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -85,28 +85,17 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            owner, where, keys, bands = [], [], [], []
-            for i, text in enumerate(part.column(1).to_pylist()):
-                kept, shingles, starts = _shingles_of(text)
-                if not kept:
-                    continue
-                least = np.minimum.reduceat(shingles[:, None] * _multipliers(), starts[:-1], axis=0)
-                joined = np.zeros((len(kept), BANDS), np.uint64)
-                for r in range(ROWS):
-                    joined = mix64(joined * np.uint64(31) + least[:, r::ROWS])
-                owner.append(np.full(len(kept), i))
-                where += kept
-                keys.append(_keys(shingles, starts))
-                bands.append(joined)
-            rows = pa.array(np.concatenate(owner).astype(np.int64) if owner else [], pa.int64())
-            hashes = np.concatenate(bands) if bands else np.empty((0, BANDS), np.uint64)
+            owner, where, shingles, starts = _shingles_of(part.column(1).to_pylist())
+            if not where:
+                continue
+            ranges = np.array(where, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0).take(rows),
-                    pa.array([a for a, _ in where], pa.int32()),
-                    pa.array([b for _, b in where], pa.int32()),
-                    pa.array((np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64)),
-                    pa.FixedSizeListArray.from_arrays(pa.array(hashes.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
+                    part.column(0).take(pa.array(owner)),
+                    pa.array(ranges[:, 0]),
+                    pa.array(ranges[:, 1]),
+                    pa.array(_keys(shingles, starts).view(np.int64)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(_bands(shingles, starts).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "start", "end", "key", "bands"],
             )
@@ -116,25 +105,18 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the paragraphs whose start is asked for, with their bands."""
     for batch in batches:
         for at in range(0, len(batch), 256):
-            keys, sets, bands = [], [], []
             part = batch.slice(at, 256)
-            for text, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                kept, shingles, starts = _shingles_of(text)
-                wanted = set(asked)
-                if not kept:
-                    continue
-                own = _keys(shingles, starts)
-                for (a, _), s, e, key in zip(kept, starts.tolist(), starts[1:].tolist(), own.view(np.int64).tolist()):
-                    if a in wanted:
-                        found = np.unique(shingles[s:e])
-                        least = (found[:, None] * _multipliers()).min(0)
-                        joined = np.zeros(BANDS, np.uint64)
-                        for r in range(ROWS):
-                            joined = mix64(joined * np.uint64(31) + least[r::ROWS])
-                        keys.append(key)
-                        sets.append(found.tobytes())
-                        bands.append(joined.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.binary())], names=["key", "shingles", "codes"])
+            asked = {(i, a) for i, some in enumerate(part.column(1).to_pylist()) for a in some}
+            owner, where, shingles, starts = _shingles_of(part.column(0).to_pylist())
+            wanted = [k for k, (i, (a, _)) in enumerate(zip(owner.tolist(), where)) if (i, a) in asked]
+            if not wanted:
+                continue
+            keys, bands = _keys(shingles, starts).view(np.int64), _bands(shingles, starts)
+            sets = [np.unique(shingles[starts[k] : starts[k + 1]]).tobytes() for k in wanted]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[wanted]), pa.array(sets, pa.binary()), pa.array([bands[k].tobytes() for k in wanted], pa.binary())],
+                names=["key", "shingles", "codes"],
+            )
 
 
 def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:

@@ -10,14 +10,13 @@ extended to the left and right: all passages around the position are compared ex
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.words import WordHasher, mix64, words
+from cladeflow.llm.words import hash_words, mix64
 
 #: Words of a passage; of a word group; groups in a minimiser's window.
 PASSAGE, GROUP, WINDOW = 50, 8, 32
@@ -48,68 +47,90 @@ def window_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def minimiser_of(word_hash: np.ndarray) -> np.ndarray:
-    """For each window of word groups, the position of its least one, the leftmost of equals."""
-    groups = window_hashes(word_hash, GROUP)
-    if len(groups) < WINDOW:
+#: Low bits of a group's hash that give way to its place, so that the least of a window tells where it stands.
+PLACE = np.uint64((1 << 24) - 1)
+
+
+def least_places(groups: np.ndarray) -> np.ndarray:
+    """For each window of word groups, the place of its least one; the leftmost of equals."""
+    n = len(groups) - WINDOW + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(groups, WINDOW)
-    parts = [views[at : at + (1 << 14)].argmin(1) + at for at in range(0, len(views), 1 << 14)]
-    return np.concatenate(parts) + np.concatenate([np.arange(min(1 << 14, len(views) - at)) for at in range(0, len(views), 1 << 14)])
+    least = (groups & ~PLACE) | (np.arange(len(groups), dtype=np.uint64) & PLACE)
+    width = 1
+    while width < WINDOW:  # the window is a power of two
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    starts = np.arange(n)
+    return starts + (((least & PLACE).astype(np.int64) - starts) & int(PLACE))
+
 
+class Texts:
+    """Word hashes of some texts one after another, with the windows of groups that lie within one text."""
 
-def minimisers(word_hash: np.ndarray) -> np.ndarray:
-    return np.unique(minimiser_of(word_hash))
+    def __init__(self, texts: list[str | None]):
+        self.hashed, self.counts = hash_words(texts)
+        self.starts = np.append(0, np.cumsum(self.counts))
+        self.places = least_places(window_hashes(self.hashed, GROUP))
 
+    def inside(self, width: int) -> np.ndarray:
+        """Starts of all stretches of ``width`` words within one text."""
+        n = np.maximum(self.counts - width + 1, 0)
+        return np.repeat(self.starts[:-1] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
 
-@lru_cache(maxsize=1)
-def _hasher() -> WordHasher:
-    return WordHasher()
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
+def minimisers(hashed: np.ndarray) -> np.ndarray:
+    """Positions of minimisers in one text."""
+    return np.unique(least_places(window_hashes(hashed, GROUP)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``most`` bytes of text together."""
+    sizes = np.array([len(t.as_buffer()) for t in batch.column(1)])
+    group = (np.cumsum(sizes) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Retained suffixes: document, position and fingerprint of the first words."""
-    hasher = _hasher()
     for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.slice(at, 512)
-            docs, positions, prints = [], [], []
-            for i, text in enumerate(part.column(1).to_pylist()):
-                hashed = hasher(words(text))
-                found = minimisers(hashed)
-                right = window_hashes(hashed, RIGHT)
-                found = found[found < len(right)]
-                docs.append(np.full(len(found), i))
-                positions.append(found)
-                prints.append(right[found])
-            owner = pa.array(np.concatenate(docs).astype(np.int64))
+        for part in _parts(batch):
+            texts = Texts(part.column(1).to_pylist())
+            found = np.unique(texts.places[texts.inside(GROUP + WINDOW - 1)])
+            owner = texts.owner(found)
+            whole = found + RIGHT <= texts.starts[owner + 1]
+            found, owner = found[whole], owner[whole]
+            prints = window_hashes(texts.hashed, RIGHT)[found]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(owner), pa.array(np.concatenate(positions).astype(np.int32)), _signed(np.concatenate(prints))],
+                [part.column(0).take(pa.array(owner)), pa.array((found - texts.starts[owner]).astype(np.int32)), _signed(prints)],
                 names=["doc_id", "position", "suffix"],
             )
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages whose first window of groups has its minimiser at one of the given positions."""
-    hasher = _hasher()
     for batch in batches:
-        for at in range(0, len(batch), 128):
-            part = batch.slice(at, 128)
-            docs, starts, prints = [], [], []
-            for i, (text, given) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                hashed = hasher(words(text))
-                passage = window_hashes(hashed, PASSAGE)
-                start = np.flatnonzero(np.isin(minimiser_of(hashed)[: len(passage)], np.array(given)))
-                docs.append(np.full(len(start), i))
-                starts.append(start)
-                prints.append(passage[start])
-            owner = pa.array(np.concatenate(docs).astype(np.int64))
+        for part in _parts(batch):
+            texts = Texts(part.column(1).to_pylist())
+            given = part.column(2)
+            asked = np.zeros(len(texts.hashed) + 1, bool)
+            asked[np.repeat(texts.starts[:-1], given.value_lengths().to_numpy()) + given.flatten().to_numpy()] = True
+            start = texts.inside(PASSAGE)
+            start = start[asked[texts.places[start]]]
+            owner = texts.owner(start)
+            prints = window_hashes(texts.hashed, PASSAGE)[start]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(owner), pa.array(np.concatenate(starts).astype(np.int32)), _signed(np.concatenate(prints))],
+                [part.column(0).take(pa.array(owner)), pa.array((start - texts.starts[owner]).astype(np.int32)), _signed(prints)],
                 names=["doc_id", "start", "passage"],
             )
 

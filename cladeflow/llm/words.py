@@ -32,25 +32,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHasher:
-    """64-bit word hashes that do not depend on the process; remembers up to ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000):
-        import xxhash
-
-        self.hash, self.limit, self.known = xxhash.xxh3_64_intdigest, limit, {}
-
-    def __call__(self, tokens: list[bytes]) -> np.ndarray:
-        known = self.known
-        new = set(tokens).difference(known)
-        if new:
-            fresh = {w: self.hash(w) for w in new}
-            if len(known) + len(fresh) <= self.limit:
-                known.update(fresh)
-            else:
-                look = {**{w: known[w] for w in set(tokens) if w in known}, **fresh}
-                return np.array([look[w] for w in tokens], dtype=np.uint64)
-        return np.array([known[w] for w in tokens], dtype=np.uint64)
+#: A factor for each byte and for each of the first places in a word; those of later places are made when met.
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_PLACE = mix64(np.arange(1000, 1064, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts one after another, and how many each text has. A word's hash depends on
+    the word alone."""
+    data = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(WORD_TABLE) for t in texts]
+    raw = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+    letter = raw != 0x20
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], letter.view(np.int8), [0]]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    begins = np.append(0, np.cumsum([len(d) + 1 for d in data]))
+    counts = np.diff(np.searchsorted(starts, begins))
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    factor = _PLACE[np.minimum(place, len(_PLACE) - 1)]
+    far = np.flatnonzero(place >= len(_PLACE))
+    if len(far):
+        factor[far] = mix64((place[far] + 1000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    factor *= _BYTE[raw[letter]]
+    return mix64(np.add.reduceat(factor, first)), counts
 
 
 def shingle_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:
