@@ -28,6 +28,8 @@ HASHES = BANDS * ROWS
 TOLERANCE = 1e-7
 #: MinHash values that are compared at a time.
 STEP = 16
+#: Most sets whose elements become one 0/1 matrix, and elements of a matrix.
+MATRIX, ELEMENTS = 1024, 4096
 
 
 @lru_cache(maxsize=1)
@@ -99,6 +101,9 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
             x, y = (sets[i], sets[j]) if len(sets[i]) >= len(sets[j]) else (sets[j], sets[i])
             out[k] = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
         return out
+    if len(used) > MATRIX:  # pairs of one meeting stand together: parts have fewer sets
+        half = len(a) // 2
+        return np.concatenate([shared_counts(sets, a[:half], b[:half]), shared_counts(sets, a[half:], b[half:])])
     # many pairs of few sets: products of 0/1 matrices over ranges of the elements
     sizes = [len(sets[i]) for i in used]
     elements, inverse = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
@@ -106,9 +111,9 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     left, left_at = np.unique(np.searchsorted(used, a), return_inverse=True)
     right, right_at = np.unique(np.searchsorted(used, b), return_inverse=True)
     product = np.zeros((len(left), len(right)), np.float32)
-    for low in range(0, len(elements), 8192):
-        inside = (inverse >= low) & (inverse < low + 8192)
-        bits = np.zeros((len(used), min(8192, len(elements) - low)), np.float32)
+    for low in range(0, len(elements), ELEMENTS):
+        inside = (inverse >= low) & (inverse < low + ELEMENTS)
+        bits = np.zeros((len(used), min(ELEMENTS, len(elements) - low)), np.float32)
         bits[owner[inside], inverse[inside] - low] = 1
         product += bits[left] @ bits[right].T
     return product[left_at, right_at].astype(np.int64)
