@@ -171,3 +171,22 @@ def best_bisection(parents: list[int], masks: np.ndarray, weights: np.ndarray, c
         if best is None or size < best[0]:
             best = (size, tree)
     return best
+
+
+def neighbour_joining(matrix: np.ndarray, adjusted: bool = True) -> str:
+    """Newick text, taxa from 1, of the neighbour-joining tree. ``adjusted``: a joined pair is as far from another taxon as
+    the farther of the two, instead of their mean less half their distance."""
+    names = [(t, str(t + 1)) for t in range(len(matrix))]
+    while len(names) > 3:
+        total = matrix.sum(1)
+        score = (len(names) - 2.0) * matrix - total[:, None] - total[None]
+        score[np.tril_indices(len(names))] = np.inf
+        a, b = divmod(int(score.argmin()), len(names))
+        row = np.maximum(matrix[a], matrix[b]) if adjusted else (matrix[a] + matrix[b] - matrix[a, b]) / 2
+        pair = sorted((names[a], names[b]))
+        keep = [k for k in range(len(names)) if k not in (a, b)]
+        grown = np.zeros((len(keep) + 1, len(keep) + 1))
+        grown[:-1, :-1] = matrix[np.ix_(keep, keep)]
+        grown[-1, :-1] = grown[:-1, -1] = row[keep]
+        matrix, names = grown, [names[k] for k in keep] + [(pair[0][0], f"({pair[0][1]},{pair[1][1]})")]
+    return "(" + ",".join(x for _, x in sorted(names)) + ")"

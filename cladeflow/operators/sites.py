@@ -83,12 +83,12 @@ def patterns(sites: DataFrame, prefix: int | None = None) -> DataFrame:
     return sites.groupBy("aln_id", key.alias("states")).agg(F.count("*").alias("weight"), F.min("site").alias("site"))
 
 
-def is_constant(states: Column = F.col("states")) -> Column:
+def is_constant(states: str = "states") -> Column:
     """All states share a base."""
     return F.aggregate(states, F.lit(15), lambda a, m: a.bitwiseAND(m)) != 0
 
 
-def forced_weight(states: Column = F.col("states")) -> Column:
+def forced_weight(states: str = "states") -> Column:
     """Changes that an uninformative site needs on every tree; null for an informative site.
 
     With some base for which the states that lack it are pairwise disjoint, each of those states is a change of its
@@ -103,13 +103,13 @@ def forced_weight(states: Column = F.col("states")) -> Column:
     return F.least(*costs).cast("long")
 
 
-def site_lower_bound(states: Column = F.col("states")) -> Column:
+def site_lower_bound(states: str = "states") -> Column:
     """Distinct unambiguous bases, less one."""
     bases = F.array_distinct(F.filter(states, lambda m: F.bit_count(m) == 1))
     return F.greatest(F.size(bases) - 1, F.lit(0)).cast("long")
 
 
-def site_upper_bound(states: Column = F.col("states")) -> Column:
+def site_upper_bound(states: str = "states") -> Column:
     """Taxa less the most that hold one base: a star around that base."""
     holding = [F.size(F.filter(states, lambda m: m.bitwiseAND(F.lit(b)) != 0)) for b in BASES]
     return (F.size(states) - F.greatest(*holding)).cast("long")

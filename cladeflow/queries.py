@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from cladeflow.functions import dna
-from cladeflow.operators import pairs, prefixes, sites
-from cladeflow.sources import tables
+from cladeflow.operators import bounds, pairs, prefixes, sites, trees
+from cladeflow.plans.storage import checkpointed
+from cladeflow.sources import phylip, tables, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,16 +110,20 @@ def p5(spark, sf_dir):
     return sites.site_range(emb(spark, sf_dir), 10, 40).groupBy("aln_id", "site").agg(F.sum("mask").alias("total"))
 
 
-@register("p6_without_ambiguous", f"WITH {EVT}, {COLS} SELECT aln_id, site, array_to_string(states, ',') AS states FROM cols WHERE list_max(list_transform(states, lambda m: bit_count(m))) = 1")
+@register(
+    "p6_without_ambiguous",
+    f"WITH every_cell AS (SELECT * FROM (WITH {EVT} SELECT * FROM cells) UNION ALL SELECT * FROM (WITH {CHUNK} SELECT aln_id, site, taxon, mask FROM cells)) "
+    "SELECT aln_id, site, count(*) AS n_taxa, CAST(sum(mask) AS BIGINT) AS total FROM every_cell GROUP BY 1, 2 HAVING max(bit_count(mask)) = 1",
+)
 def p6(spark, sf_dir):
-    kept = sites.without_ambiguous(sites.columns(tables.from_events(spark, sf_dir)))
-    return kept.select("aln_id", "site", states_text().alias("states"))
+    both = tables.from_events(spark, sf_dir).unionByName(chunked(spark, sf_dir))
+    kept = sites.without_ambiguous(sites.columns(both))
+    total = F.aggregate("states", F.lit(0).cast("long"), lambda a, m: a + m)
+    return kept.select("aln_id", "site", F.size("states").cast("long").alias("n_taxa"), total.alias("total"))
 
 
 @register("p7_fitch_step", f"WITH {EVT}, nxt AS (SELECT aln_id, site, taxon, mask, lead(mask) OVER (PARTITION BY aln_id, site ORDER BY taxon) AS other FROM cells) SELECT aln_id, mask, other, CASE WHEN mask & other <> 0 THEN mask & other ELSE mask | other END AS united, CAST(sum(CASE WHEN mask & other = 0 THEN 1 ELSE 0 END) AS BIGINT) AS cost FROM nxt WHERE other IS NOT NULL GROUP BY 1, 2, 3, 4")
 def p7(spark, sf_dir):
-    from pyspark.sql import window as W
-
     other = F.lead("mask").over(W.Window.partitionBy("aln_id", "site").orderBy("taxon"))
     met = tables.from_events(spark, sf_dir).withColumn("other", other).filter("other is not null")
     united = dna.fitch_union(F.col("mask"), F.col("other"))
@@ -126,8 +132,6 @@ def p7(spark, sf_dir):
 
 @register("p8_changed_step", f"WITH {EVT}, nxt AS (SELECT aln_id, site, taxon, mask, lead(mask) OVER (PARTITION BY aln_id, site ORDER BY taxon) AS other FROM cells), u AS (SELECT *, CASE WHEN mask & other <> 0 THEN mask & other ELSE mask | other END AS united FROM nxt WHERE other IS NOT NULL) SELECT aln_id, taxon, bool_or(united <> mask) AS changed FROM u GROUP BY 1, 2")
 def p8(spark, sf_dir):
-    from pyspark.sql import window as W
-
     other = F.lead("mask").over(W.Window.partitionBy("aln_id", "site").orderBy("taxon"))
     met = tables.from_events(spark, sf_dir).withColumn("other", other).filter("other is not null")
     united = dna.fitch_union(F.col("mask"), F.col("other"))
@@ -358,8 +362,6 @@ def j5b(spark, sf_dir):
 
 @register("j11_cross_minimum", f"WITH {EVT}, {PAIR}, r AS (SELECT DISTINCT aln_id, taxon AS r FROM cells) SELECT aln_id, r, min(dist) AS min_dist FROM pr JOIN (SELECT aln_id AS a2, r FROM r) x ON aln_id = a2 AND i < r AND r <= j GROUP BY 1, 2")
 def j11(spark, sf_dir):
-    from pyspark.sql import window as W
-
     # ranks in place of user ids
     cells = tables.from_events(spark, sf_dir)
     found = pairs.cross_minimum(pairs.fitch_distances(cells))
@@ -379,8 +381,6 @@ def a14(spark, sf_dir):
 
 @register("o6_sites_by_states", f"WITH {EMB}, {FORCED}, n AS (SELECT aln_id, site, count(DISTINCT mask) AS n_states FROM cells GROUP BY 1, 2) SELECT aln_id, site, n_states, row_number() OVER (PARTITION BY aln_id ORDER BY n_states DESC, site) - 1 AS place FROM n JOIN forced USING (aln_id, site) WHERE forced IS NULL")
 def o6(spark, sf_dir):
-    from pyspark.sql import window as W
-
     told = sites.informative_patterns(sites.columns(emb(spark, sf_dir)))
     told = told.select("aln_id", "site", F.size(F.array_distinct("states")).cast("long").alias("n_states"))
     return told.withColumn("place", F.row_number().over(W.Window.partitionBy("aln_id").orderBy(F.desc("n_states"), "site")).cast("long") - 1)
@@ -388,15 +388,395 @@ def o6(spark, sf_dir):
 
 @register("s9_prefix_datasets", f"WITH {CHUNK}, n AS (SELECT aln_id, count(DISTINCT taxon) AS n FROM cells GROUP BY 1), ks AS (SELECT aln_id, unnest(generate_series(3, n)) AS k FROM n WHERE n >= 3) SELECT cells.aln_id, k, count(*) AS n_cells, CAST(sum(mask) AS BIGINT) AS total FROM cells JOIN ks ON cells.aln_id = ks.aln_id AND taxon < k GROUP BY 1, 2")
 def s9(spark, sf_dir):
-    from cladeflow.sources.writers import prefix_datasets
-
-    found = prefix_datasets(sites.sequences_from_cells(chunked(spark, sf_dir)))
+    found = writers.prefix_datasets(sites.sequences_from_cells(chunked(spark, sf_dir)))
     cells = sites.cells_from_sequences(found.select(F.struct("aln_id", "k").alias("aln_id"), "taxon", "seq"))
     return cells.groupBy("aln_id.aln_id", "aln_id.k").agg(F.count("*").alias("n_cells"), F.sum("mask").alias("total"))
 
 
 @register("s10_uninformative_prefixes", f"WITH {CHUNK}, {RUNNING}, o AS (SELECT aln_id, site, min(CASE WHEN forced IS NULL THEN taxon + 1 END) AS onset FROM running GROUP BY 1, 2), n AS (SELECT aln_id, count(DISTINCT taxon) AS n FROM cells GROUP BY 1), ks AS (SELECT aln_id, unnest(generate_series(3, n - 1)) AS k FROM n WHERE n >= 4) SELECT aln_id, k, site FROM o JOIN ks USING (aln_id) WHERE onset > k")
 def s10(spark, sf_dir):
-    from cladeflow.sources.writers import uninformative_prefixes
+    return writers.uninformative_prefixes(chunked(spark, sf_dir)).select("aln_id", "k", "site")
+
+
+# --- trees ---
+
+
+def small(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Recoded patterns of alignments of ``size`` taxa; those that come out with fewer than four have one tree and are left out."""
+    return checkpointed(found_patterns(sites.enough_taxa(chunked(spark, sf_dir, size))))
+
+
+def chunk_sql(size: int) -> str:
+    return CHUNK.replace("rnk // 12", f"rnk // {size}").replace("rnk % 12", f"rnk % {size}")
+
+
+QUARTET = f"""WITH {chunk_sql(4)}, q AS (SELECT a.aln_id, a.site, a.mask AS a, b.mask AS b, c.mask AS c, d.mask AS d FROM cells a
+  JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND b.taxon = 1 JOIN cells c ON a.aln_id = c.aln_id AND a.site = c.site AND c.taxon = 2
+  JOIN cells d ON a.aln_id = d.aln_id AND a.site = d.site AND d.taxon = 3 WHERE a.taxon = 0),
+  t AS (SELECT aln_id, '(1,2,(3,4))' AS newick, a AS w, b AS x, c AS y, d AS z FROM q UNION ALL SELECT aln_id, '(1,(2,4),3)', a, c, b, d FROM q UNION ALL SELECT aln_id, '(1,(2,3),4)', a, d, b, c FROM q),
+  u AS (SELECT aln_id, newick, CASE WHEN w & x <> 0 THEN w & x ELSE w | x END AS l, CASE WHEN y & z <> 0 THEN y & z ELSE y | z END AS r,
+    CASE WHEN w & x = 0 THEN 1 ELSE 0 END + CASE WHEN y & z = 0 THEN 1 ELSE 0 END AS inner_cost FROM t),
+  scored AS (SELECT aln_id, newick, CAST(sum(inner_cost + CASE WHEN l & r = 0 THEN 1 ELSE 0 END) AS BIGINT) AS score FROM u GROUP BY 1, 2)"""
+
+
+def quartets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three trees of every alignment of four taxa, with their lengths."""
+    return trees.search(small(spark, sf_dir, 4))[0]
+
+
+@register("t7_enumeration", QUARTET + " SELECT * FROM scored")
+def t7(spark, sf_dir):
+    return quartets(spark, sf_dir).select("aln_id", trees.newick_text(F.col("parents")).alias("newick"), "score")
+
+
+@register("t1_tree_scores", QUARTET + " SELECT aln_id, newick, score AS length FROM scored")
+def t1(spark, sf_dir):
+    patterns = small(spark, sf_dir, 4)
+    shapes = trees.search(patterns)[0].select("aln_id", "parents").withColumn("tree_id", F.xxhash64("parents"))
+    text = shapes.select("aln_id", "tree_id", trees.newick_text(F.col("parents")).alias("newick"))
+    return trees.score_trees(shapes, patterns).join(text, ["aln_id", "tree_id"]).select("aln_id", "newick", "length")
+
+
+@register("u2_o7_shortest_trees", QUARTET + ", b AS (SELECT * FROM scored QUALIFY score = min(score) OVER (PARTITION BY aln_id)) SELECT aln_id, newick, score, count(*) OVER (PARTITION BY aln_id) AS n_ties FROM b")
+def u2(spark, sf_dir):
+    best = trees.shortest(quartets(spark, sf_dir)).withColumn("n_ties", F.count("*").over(W.Window.partitionBy("aln_id")))
+    return best.select("aln_id", trees.newick_text(F.col("parents")).alias("newick"), "score", "n_ties")
+
+
+@register("o7_kept_trees", QUARTET + ", b AS (SELECT aln_id, score, count(*) AS n FROM scored GROUP BY 1, 2 QUALIFY score = min(score) OVER (PARTITION BY aln_id)) SELECT aln_id, score, least(n, 1) AS n_kept, n > 1 AS missed FROM b")
+def o7(spark, sf_dir):
+    kept = trees.shortest(quartets(spark, sf_dir), 1)
+    return kept.groupBy("aln_id", "score").agg(F.count("*").alias("n_kept"), F.bool_or("missed").alias("missed"))
+
+
+@register("u1_union_of_trees", QUARTET + " SELECT aln_id, count(*) AS n_trees, min(score) AS least FROM scored GROUP BY 1")
+def u1(spark, sf_dir):
+    found = quartets(spark, sf_dir)
+    both = found.unionByName(trees.shortest(found).select(found.columns)).dropDuplicates(["aln_id", "parents"])
+    return both.groupBy("aln_id").agg(F.count("*").alias("n_trees"), F.min("score").alias("least"))
+
+
+@register("t14_three_taxon_length", f"WITH {CHUNK}, q AS (SELECT a.aln_id, a.mask AS a, b.mask AS b, c.mask AS c FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND b.taxon = 1 JOIN cells c ON a.aln_id = c.aln_id AND a.site = c.site AND c.taxon = 2 WHERE a.taxon = 0) SELECT aln_id, CAST(sum(CASE WHEN a & b = 0 THEN 1 ELSE 0 END + CASE WHEN (CASE WHEN a & b <> 0 THEN a & b ELSE a | b END) & c = 0 THEN 1 ELSE 0 END) AS BIGINT) AS length FROM q GROUP BY 1")
+def t14(spark, sf_dir):
+    return trees.three_taxon_lengths(found_patterns(chunked(spark, sf_dir)))
+
+
+THREE = f"""WITH {CHUNK}, q AS (SELECT a.aln_id, a.site, a.mask AS a, b.mask AS b, c.mask AS c FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND b.taxon = 1
+  JOIN cells c ON a.aln_id = c.aln_id AND a.site = c.site AND c.taxon = 2 WHERE a.taxon = 0),
+  e AS (SELECT aln_id, site, 1 AS edge, b AS own, CASE WHEN a & c <> 0 THEN a & c ELSE a | c END AS others FROM q
+    UNION ALL SELECT aln_id, site, 2, c, CASE WHEN a & b <> 0 THEN a & b ELSE a | b END FROM q
+    UNION ALL SELECT aln_id, site, 3, a, CASE WHEN b & c <> 0 THEN b & c ELSE b | c END FROM q),
+  m AS (SELECT aln_id, site, edge, CASE WHEN own & others <> 0 THEN own & others ELSE own | others END AS mid FROM e),
+  places AS (SELECT m.aln_id, taxon, edge, CAST(sum(CASE WHEN mid & mask = 0 THEN 1 ELSE 0 END) AS BIGINT) AS cost FROM m JOIN cells USING (aln_id, site) WHERE taxon > 2 GROUP BY 1, 2, 3)"""
+
+
+def three_taxon_costs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    patterns = small(spark, sf_dir, 12)
+    begin = patterns.select("aln_id").distinct().select("aln_id", F.lit(0).cast("long").alias("tree_id"), F.array(*[F.lit(x) for x in (-1, 3, 3, 0)]).alias("parents"))
+    return begin, patterns, trees.placements(begin, patterns)
+
+
+@register("t3_placements", THREE + " SELECT aln_id, taxon, edge, cost FROM places")
+def t3(spark, sf_dir):
+    return three_taxon_costs(spark, sf_dir)[2].select("aln_id", "taxon", "edge", "cost")
+
+
+@register("w9_best_places", THREE + ", b AS (SELECT aln_id, taxon, min({'cost': cost, 'edge': edge}) AS best, round(avg(cost), 6) AS mean_cost, round(var_pop(cost), 6) AS var_cost FROM places GROUP BY 1, 2) SELECT aln_id, taxon, best.edge AS edge, best.cost AS cost, mean_cost, var_cost, dense_rank() OVER (PARTITION BY aln_id ORDER BY best.cost) AS place FROM b")
+def w9(spark, sf_dir):
+    best = trees.best_places(three_taxon_costs(spark, sf_dir)[2])
+    return best.select("aln_id", "taxon", "edge", "cost", F.round("mean_cost", 6).alias("mean_cost"), F.round("var_cost", 6).alias("var_cost"), F.col("place").cast("long").alias("place"))
+
+
+@register("t2_edge_views", THREE + ", v AS (SELECT aln_id, edge, site, mid FROM m) SELECT v.aln_id, edge, CAST(sum(CASE WHEN bit_count(mid) > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_open FROM v JOIN cells USING (aln_id, site) WHERE taxon = 3 GROUP BY 1, 2")
+def t2(spark, sf_dir):
+    begin, patterns, _ = three_taxon_costs(spark, sf_dir)
+    seen = trees.edge_views(begin, patterns)
+    weights = patterns.groupBy("aln_id", F.floor(F.col("site") / trees.BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("site", "weight"))).alias("held"))
+    met = seen.join(weights, ["aln_id", "block"])
+    byte = lambda i: F.conv(F.hex(F.substring("mid", i + 1, F.lit(1))), 16, 10).cast("int")
+    open_ = F.aggregate("held", F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("n")), lambda a, h: F.struct((a["i"] + 1).alias("i"), (a["n"] + F.when(F.bit_count(byte(a["i"])) > 1, h["weight"]).otherwise(F.lit(0))).alias("n")))["n"]
+    return met.groupBy("aln_id", "edge").agg(F.sum(open_).alias("n_open"))
+
+
+@register("t13_look_ahead", THREE + f", {SEEN.replace('seen_ AS', 'shown AS')}, nw AS (SELECT aln_id, taxon, CAST(count(*) FILTER (mask & seen = 0) AS BIGINT) AS n_new FROM shown GROUP BY 1, 2), lb AS (SELECT aln_id, taxon, min(cost) AS cost FROM places GROUP BY 1, 2) SELECT aln_id, max(cost - n_new) AS bound FROM lb JOIN nw USING (aln_id, taxon) GROUP BY 1")
+def t13(spark, sf_dir):
+    newly = prefixes.newly_shown(chunked(spark, sf_dir))
+    return trees.look_ahead(three_taxon_costs(spark, sf_dir)[2], newly).select("aln_id", "bound")
+
+
+@register("p11_p12_newick_round_trip", QUARTET + " SELECT aln_id, newick, true AS same FROM scored")
+def p12(spark, sf_dir):
+    told = quartets(spark, sf_dir).select("aln_id", F.col("parents").alias("old"), trees.newick_text(F.col("parents")).alias("newick"))
+    back = trees.parsed_trees(told.withColumn("labels", F.array(*[F.lit(str(i + 1)) for i in range(4)])))
+    return back.select("aln_id", "newick", (F.col("old") == F.col("parents")).alias("same"))
+
+
+@register("p13_structure_check", QUARTET + " SELECT aln_id, count(*) * 6 AS n_nodes, CAST(0 AS BIGINT) AS n_faults FROM scored GROUP BY 1")
+def p13(spark, sf_dir):
+    found = quartets(spark, sf_dir).withColumn("tree_id", F.xxhash64("parents"))
+    nodes = trees.node_table(found.select("aln_id", "tree_id", "parents"))
+    faults = trees.structure_faults(nodes, ["aln_id", "tree_id"]).groupBy("aln_id").agg(F.count("*").alias("n_faults"))
+    return nodes.groupBy("aln_id").agg(F.count("*").alias("n_nodes")).join(faults, "aln_id", "left").select("aln_id", "n_nodes", F.coalesce("n_faults", F.lit(0).cast("long")).alias("n_faults"))
+
+
+def six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small(spark, sf_dir, 6)
+
+
+def with_text(found: DataFrame, *columns: str) -> DataFrame:
+    return found.select("aln_id", trees.newick_text(F.col("parents")).alias("newick"), *columns)
+
+
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    patterns = six(spark, sf_dir)
+    weights = patterns.select("aln_id", "site", "weight")
+    cells = sites.cells_from_columns(patterns)
+    rest = bounds.combined(prefixes.rest_bound(cells, weights), None, None, [bounds.spanning_rest_bounds(patterns)])
+    return trees.search(patterns, bounds.swapped_upper_bounds(patterns), rest)
+
+
+@register("t6_exact_search")
+def t6(spark, sf_dir):
+    return with_text(trees.shortest(searched(spark, sf_dir)[0]), "score")
+
+
+@register("a15_search_counters")
+def a15(spark, sf_dir):
+    return searched(spark, sf_dir)[1]
+
+
+@register("t4_greedy_trees")
+def t4(spark, sf_dir):
+    return with_text(trees.greedy_trees(small(spark, sf_dir, 12)), "length")
+
+
+@register("t5_cheapest_next_trees")
+def t5(spark, sf_dir):
+    return with_text(trees.cheapest_next_trees(small(spark, sf_dir, 12)), "taxa", "length")
+
+
+@register("o5_heaviest_three", f"WITH {CHUNK}, q AS (SELECT a.aln_id, a.taxon AS i, b.taxon AS j, c.taxon AS k, a.mask AS a, b.mask AS b, c.mask AS c FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon JOIN cells c ON a.aln_id = c.aln_id AND a.site = c.site AND b.taxon < c.taxon), s AS (SELECT aln_id, i, j, k, CAST(sum(CASE WHEN a & b = 0 THEN 1 ELSE 0 END + CASE WHEN (CASE WHEN a & b <> 0 THEN a & b ELSE a | b END) & c = 0 THEN 1 ELSE 0 END) AS BIGINT) AS length FROM q GROUP BY 1, 2, 3, 4), big AS (SELECT aln_id FROM cells GROUP BY 1 HAVING count(DISTINCT taxon) >= 4) SELECT aln_id, i, j, k, length FROM s JOIN big USING (aln_id) QUALIFY row_number() OVER (PARTITION BY aln_id ORDER BY length DESC, i, j, k) = 1")
+def o5(spark, sf_dir):
+    return trees.heaviest_threes(small(spark, sf_dir, 12))
+
+
+@register("t8_bisections")
+def t8(spark, sf_dir):
+    patterns = six(spark, sf_dir)
+    begin = trees.greedy_trees(patterns).withColumn("tree_id", F.lit(0).cast("long"))
+    return with_text(trees.bisections(begin, patterns), "cut", "length")
+
+
+@register("t9_improved_trees")
+def t9(spark, sf_dir):
+    patterns = six(spark, sf_dir)
+    begin = trees.greedy_trees(patterns).withColumn("tree_id", F.lit(0).cast("long"))
+    return with_text(trees.improved_trees(begin, patterns), "length")
+
+
+@register("t10_swapped_upper_bound")
+def t10(spark, sf_dir):
+    return bounds.swapped_upper_bounds(six(spark, sf_dir))
+
+
+@register("t11_neighbour_joining")
+def t11(spark, sf_dir):
+    return trees.joined_neighbours(pairs.blocked_distances(emb(spark, sf_dir)).select("aln_id", "i", "j", F.col("strict").alias("dist")))
+
+
+@register("t12_rest_upper_bound")
+def t12(spark, sf_dir):
+    cells = sites.enough_taxa(chunked(spark, sf_dir))
+    return bounds.rest_upper_bounds(found_patterns(cells), pairs.fitch_distances(cells))
+
+
+# --- bounds and orders ---
+
+
+@register("h1_spanning_tree")
+def h1(spark, sf_dir):
+    return bounds.spanning_tree_weights(found_patterns(emb(spark, sf_dir)))
+
+
+@register("h2_upper_bound")
+def h2(spark, sf_dir):
+    return bounds.upper_bounds(found_patterns(emb(spark, sf_dir)))
+
+
+@register("h3_spanning_rest_bound")
+def h3(spark, sf_dir):
+    return bounds.spanning_rest_bounds(small(spark, sf_dir, 12))
+
+
+@register("h4_j6_j7_incompatible_pairs")
+def h4(spark, sf_dir):
+    return bounds.incompatible_pairs(chunked(spark, sf_dir))
+
+
+@register("j7_incompatible_ambiguous")
+def j7(spark, sf_dir):
+    return bounds.incompatible_ambiguous(sites.columns(tables.from_events(spark, sf_dir)))
+
+
+@register("h5_incompatibility_bound")
+def h5(spark, sf_dir):
+    cells = chunked(spark, sf_dir)
+    return bounds.incompatibility_bounds(cells, found_patterns(cells))
+
+
+@register("h6_part_bounds")
+def h6(spark, sf_dir):
+    return bounds.part_bounds(found_patterns(chunked(spark, sf_dir)), F.floor(F.col("site") / 4), 3)
+
+
+@register("h7_two_way_scores")
+def h7(spark, sf_dir):
+    return bounds.two_way_scores(found_patterns(chunked(spark, sf_dir)), F.floor(F.col("site") / 4))
+
+
+@register("h8_partition_bound")
+def h8(spark, sf_dir):
+    return bounds.partition_bounds(sites.informative_patterns(six(spark, sf_dir)))
+
+
+@register("h9_uninformative_bound")
+def h9(spark, sf_dir):
+    return bounds.uninformative_bounds(six(spark, sf_dir))
+
+
+@register("h10_corrected_bound")
+def h10(spark, sf_dir):
+    return bounds.corrected_bounds(six(spark, sf_dir))
+
+
+@register("h11_hitting_set_bound")
+def h11(spark, sf_dir):
+    return bounds.hitting_set_bounds(six(spark, sf_dir))
+
+
+@register("h12_surplus_bound")
+def h12(spark, sf_dir):
+    return bounds.surplus_bounds(chunked(spark, sf_dir))
+
+
+COMBINED = f"WITH {EMB}, {REST}, {SEEN}, raw AS (SELECT aln_id, taxon AS k, count(*) FILTER (mask & seen = 0) AS bound FROM seen_ GROUP BY 1, 2), held AS (SELECT aln_id, k, max(bound) OVER (PARTITION BY aln_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS bound FROM raw)"
+
+
+@register("h13_combined_bounds", COMBINED + " SELECT rest.aln_id, rest.k, greatest(CASE WHEN rest.k = 2 THEN raw.bound ELSE rest.bound + raw.bound END, held.bound) AS bound FROM rest JOIN raw USING (aln_id, k) JOIN held USING (aln_id, k)")
+def h13(spark, sf_dir):
+    cells = emb(spark, sf_dir)
+    raw = prefixes.newly_shown(cells).select("aln_id", F.col("taxon").alias("k"), F.col("n_new").alias("bound"))
+    return bounds.combined(prefixes.rest_bound(cells), raw, raw.filter("k = 2"), [prefixes.held_for_fewer(raw)])
+
+
+@register("h14_whole_lower_bound")
+def h14(spark, sf_dir):
+    return bounds.whole_lower_bounds(small(spark, sf_dir, 12))
+
+
+@register("o2_max_min_order")
+def o2(spark, sf_dir):
+    return bounds.addition_orders(pairs.blocked_distances(emb(spark, sf_dir)))
+
+
+@register("o3_max_sum_order")
+def o3(spark, sf_dir):
+    return bounds.addition_orders(pairs.blocked_distances(emb(spark, sf_dir)), "max_sum")
+
+
+@register("o4_placement_orders")
+def o4(spark, sf_dir):
+    patterns = small(spark, sf_dir, 12)
+    every = [bounds.placement_orders(patterns, rule).withColumn("rule", F.lit(rule)) for rule in bounds.RULES]
+    out = every[0]
+    for other in every[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+# --- set operations, labels, files ---
+
+
+@register("u3_uncovered_pairs", f"WITH {CHUNK}, hit AS (SELECT a.aln_id, a.taxon AS i, b.taxon AS j, a.site FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon WHERE a.mask & b.mask = 0), best AS (SELECT aln_id, site FROM (SELECT aln_id, site, row_number() OVER (PARTITION BY aln_id ORDER BY count(*) DESC, site) AS nr FROM hit GROUP BY 1, 2) WHERE nr = 1) SELECT DISTINCT aln_id, i, j FROM hit WHERE (aln_id, i, j) NOT IN (SELECT (aln_id, i, j) FROM hit JOIN best USING (aln_id, site))")
+def u3(spark, sf_dir):
+    hits = pairs.distinguishing_sites(chunked(spark, sf_dir))
+    best = hits.groupBy("aln_id", "site").agg(F.count("*").alias("n")).groupBy("aln_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "site")).alias("best"))
+    covered = hits.join(best.select("aln_id", F.col("best.site").alias("site")), ["aln_id", "site"], "left_semi")
+    return hits.select("aln_id", "i", "j").distinct().join(covered, ["aln_id", "i", "j"], "left_anti")
+
+
+@register("u4_pairs_without_used_sites", f"WITH {CHUNK}, {SITE_PAIR}, first AS (SELECT aln_id, min({{'p': p, 'q': q}}) AS f FROM sp GROUP BY 1) SELECT sp.aln_id, count(*) AS n_left FROM sp JOIN first USING (aln_id) WHERE p NOT IN (f.p, f.q) AND q NOT IN (f.p, f.q) GROUP BY 1")
+def u4(spark, sf_dir):
+    found = pairs.site_pairs(chunked(spark, sf_dir)).select("aln_id", "p", "q")
+    first = found.groupBy("aln_id").agg(F.min(F.struct("p", "q")).alias("f"))
+    used = first.select("aln_id", F.explode(F.array("f.p", "f.q")).alias("site"))
+    for side in ("p", "q"):
+        found = found.join(used.withColumnRenamed("site", side), ["aln_id", side], "left_anti")
+    return found.groupBy("aln_id").agg(F.count("*").alias("n_left"))
+
+
+@register("j8_relabelled", f"WITH {EMB}, n AS (SELECT aln_id, count(DISTINCT taxon) AS n FROM cells GROUP BY 1), {SEEN}, shown AS (SELECT aln_id, taxon, count(*) FILTER (mask & seen = 0) AS n_new FROM seen_ GROUP BY 1, 2) SELECT aln_id, n - 1 - taxon AS taxon, n_new FROM shown JOIN n USING (aln_id)")
+def j8(spark, sf_dir):
+    cells = emb(spark, sf_dir)
+    order = cells.select("aln_id", "taxon").distinct()
+    order = order.withColumn("rank", F.row_number().over(W.Window.partitionBy("aln_id").orderBy(F.desc("taxon"))).cast("long") - 1)
+    ranked = prefixes.newly_shown(cells).select("aln_id", F.col("taxon").alias("rank"), "n_new")
+    return pairs.relabelled(ranked, order).select("aln_id", "taxon", "n_new")
+
+
+@register("s1_s3_phylip_round_trip", f"WITH {EMB} SELECT aln_id, taxon, 'T' || CAST(taxon + 1 AS VARCHAR) AS label, string_agg(CASE mask WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' ELSE 'T' END, '' ORDER BY site) AS seq FROM cells GROUP BY 1, 2")
+def s1(spark, sf_dir):
+    lines = writers.phylip_lines(sites.patterns(sites.columns(emb(spark, sf_dir))))
+    files = lines.groupBy("aln_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    files = files.select(F.col("aln_id").alias("path"), F.array_join(F.col("lines.line"), "\n").alias("value"))
+    return phylip.parsed(files).filter("error is null").select(F.col("path").alias("aln_id"), "taxon", "label", "seq")
+
+
+@register("s2_rejected_texts", "SELECT CAST(doc_id AS VARCHAR) AS path, 1 AS line, 'no header of two numbers' AS error FROM documents")
+def s2(spark, sf_dir):
+    files = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value"))
+    return phylip.parsed(files).filter("error is not null").select("path", "line", "error")
+
+
+@register("s4_weighted_phylip", f"WITH {CHUNK}, {RECODED} SELECT aln_id, string_agg(CAST(weight AS VARCHAR), ' ' ORDER BY site) AS line FROM pats GROUP BY 1")
+def s4(spark, sf_dir):
+    lines = writers.phylip_lines(found_patterns(chunked(spark, sf_dir)), repeat=False)
+    last = F.row_number().over(W.Window.partitionBy("aln_id").orderBy(F.desc("line_no")))
+    return lines.withColumn("last", last).filter("last = 1").select("aln_id", "line")
+
+
+@register("s5_s6_nexus_round_trip", QUARTET + " SELECT aln_id, newick || ';' AS newick FROM scored")
+def s5(spark, sf_dir):
+    found = quartets(spark, sf_dir)
+    told = found.select("aln_id", F.xxhash64("parents").alias("tree_id"), trees.newick_text(F.col("parents")).alias("newick"), "score")
+    labels = sites.enough_taxa(chunked(spark, sf_dir, 4)).select("aln_id", "taxon").distinct().withColumn("label", F.concat(F.lit("t"), F.col("taxon").cast("string")))
+    lines = writers.nexus_lines(told, labels).select("aln_id", F.explode(F.split("line", "\n")).alias("value"))
+    return phylip.newick_of_nexus(lines).select("aln_id", "newick")
+
+
+@register("s8_incompatibility_graph")
+def s8(spark, sf_dir):
+    cells = chunked(spark, sf_dir)
+    n = cells.groupBy("aln_id").agg(F.countDistinct("site").alias("sites"))
+    return writers.dimacs_lines(bounds.incompatible_pairs(cells), n)
+
+
+@register("s7_bound_lines", f"WITH {EMB}, {REST} SELECT aln_id, CAST(k AS VARCHAR) || chr(9) || CAST(bound AS VARCHAR) AS line FROM rest WHERE k >= 2")
+def s7(spark, sf_dir):
+    found = prefixes.rest_bound(emb(spark, sf_dir)).filter("k >= 2")
+    return found.select("aln_id", F.concat_ws("\t", "k", "bound").alias("line"))
+
+
+PARTS = f"""WITH {EMB}, {SEEN}, u AS (SELECT aln_id, site, count(*) - greatest(count(*) FILTER (mask = 1), count(*) FILTER (mask = 2), count(*) FILTER (mask = 4), count(*) FILTER (mask = 8)) AS upper, greatest(count(DISTINCT mask) - 1, 0) AS lower FROM cells GROUP BY 1, 2),
+  p AS (SELECT aln_id, site // 5 AS part_id, CAST(sum(lower) AS BIGINT) AS lower, CAST(sum(upper) AS BIGINT) AS upper, count(*) AS width FROM u GROUP BY 1, 2),
+  a AS (SELECT aln_id, site // 5 AS part_id, count(*) FILTER (taxon >= 3 AND (mask & ~seen) <> 0) AS additive FROM seen_ GROUP BY 1, 2),
+  parts AS (SELECT p.*, additive, greatest(additive, lower - upper) AS final FROM p JOIN a USING (aln_id, part_id))"""
+
 
-    return uninformative_prefixes(chunked(spark, sf_dir)).select("aln_id", "k", "site")
+@register("s11_partition_statistics", PARTS + " SELECT aln_id, part_id, CAST(sum(lower) AS BIGINT) AS lower, CAST(sum(upper) AS BIGINT) AS upper, CAST(sum(additive) AS BIGINT) AS additive, CAST(sum(final) AS BIGINT) AS final, min(width) AS narrowest, max(width) AS widest, round(avg(width), 6) AS mean_width FROM parts GROUP BY ROLLUP (aln_id, part_id) HAVING aln_id IS NOT NULL")
+def s11(spark, sf_dir):
+    cells, part = emb(spark, sf_dir), F.floor(F.col("site") / 5)
+    bound = sites.columns(cells).groupBy("aln_id", part.alias("part_id")).agg(F.sum(sites.site_lower_bound()).alias("lower"), F.sum(sites.site_upper_bound()).alias("upper"), F.count("*").alias("width"))
+    parts = bound.join(prefixes.additive_scores(cells, part, 3), ["aln_id", "part_id"])
+    parts = parts.withColumn("final", dna.part_score("additive", F.col("lower"), F.col("upper"), F.col("additive")))
+    return writers.part_statistics(parts).withColumn("mean_width", F.round("mean_width", 6))

@@ -57,8 +57,8 @@ def nexus_lines(trees: DataFrame, labels: DataFrame) -> DataFrame:
     trees = trees.withColumn("nr", F.row_number().over(_in_order("tree_id")).cast("long"))
     head = trees.groupBy("aln_id").agg(F.min("score").alias("score"), F.count("*").alias("n"))
     opening = head.select("aln_id", at(0).alias("part"), at(0).alias("line_no"), F.concat(F.lit("#NEXUS\n[!"), F.col("n").cast("string"), F.lit(" trees of length "), F.col("score").cast("string"), F.lit("]\nBEGIN TREES;\n\tTRANSLATE")).alias("line"))
-    last = F.max("taxon").over(_in_order("taxon").rowsBetween(-(2**62), 2**62))
-    names = labels.select("aln_id", at(1).alias("part"), F.col("taxon").alias("line_no"), F.concat(F.lit("\t\t"), (F.col("taxon") + 1).cast("string"), F.lit(" "), "label", F.when(F.col("taxon") == last, "").otherwise(",")).alias("line"))
+    last = labels.groupBy("aln_id").agg(F.max("taxon").alias("last"))
+    names = labels.join(last, "aln_id").select("aln_id", at(1).alias("part"), F.col("taxon").alias("line_no"), F.concat(F.lit("\t\t"), (F.col("taxon") + 1).cast("string"), F.lit(" "), "label", F.when(F.col("taxon") == F.col("last"), "").otherwise(",")).alias("line"))
     names = names.join(head.select("aln_id"), "aln_id", "left_semi")
     semicolon = head.select("aln_id", at(2).alias("part"), at(0).alias("line_no"), F.lit("\t\t;").alias("line"))
     body = trees.select("aln_id", at(3).alias("part"), F.col("nr").alias("line_no"), F.concat(F.lit("TREE T_"), F.col("nr").cast("string"), F.lit(" = [&U] "), "newick", F.lit(";")).alias("line"))
