@@ -121,9 +121,10 @@ def part_upper(masks: np.ndarray, first: int) -> int:
 
 
 def part_additive(masks: np.ndarray, first: int) -> int:
-    """Cells of taxa from rank ``first`` on that show a base not seen at a lower rank."""
+    """Cells of taxa from rank ``first`` on that share no base with any lower rank: for single bases, those that show one not
+    seen before. An ambiguous cell that could be an old base needs no change."""
     seen = np.bitwise_or.accumulate(masks, axis=0)
-    return int(((masks[first:] & ~seen[first - 1 : -1]) != 0).sum()) if first < len(masks) else 0
+    return int(((masks[first:] & seen[first - 1 : -1]) == 0).sum()) if first < len(masks) else 0
 
 
 def part_final(masks: np.ndarray, first: int) -> int:
