@@ -152,8 +152,9 @@ def optimised_partition(masks: np.ndarray, first: int, widest: int = 4) -> list[
 
 
 def simple_partition(masks: np.ndarray) -> int:
-    """Distinct rows less two, and the last edge of their spanning tree; at least their number less one."""
-    rows = np.unique(masks, axis=0)
+    """Distinct rows less two, and the last edge of their spanning tree. Taxa with an ambiguous state are left out: a tree of
+    fewer taxa is no longer."""
+    rows = np.unique(masks[((masks & (masks - 1)) == 0).all(1)], axis=0)
     if len(rows) < 2:
         return 0
     matrix = distances(rows, np.ones(masks.shape[1], np.int64))
