@@ -38,7 +38,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
-        "spans",
     )
 
 
@@ -64,7 +63,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(c)
+    return found.select("doc_id", "n_repeated", "n_removed", told("repeated"), told("removed"))
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +104,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
+WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: Queries that plain SQL expresses. The others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""WITH d AS (SELECT doc_id, coalesce({WORDS.format("text")}, []) AS ws FROM documents),
+  b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
+  k AS (SELECT item, ws, least(13, len(ws)) AS k FROM b WHERE len(ws) > 0),
+  windows AS (SELECT DISTINCT item, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM (SELECT *, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM k)),
+  widths AS (SELECT DISTINCT k FROM windows),
+  places AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, widths WHERE len(ws) >= k)),
+  hits AS (SELECT doc_id, i, places.k AS k, item FROM places JOIN windows ON places.k = windows.k AND places.win = windows.win),
+  words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS w FROM hits) GROUP BY 1),
+  items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY 1)
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op2_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce({WORDS.format("text")}, []) AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS sh FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i
+    FROM (SELECT *, least(5, len(ws)) AS k FROM d WHERE len(ws) > 0))),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m >= 0.8 * (x.n + y.n - m)),
+  reach(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT id, b FROM reach JOIN links ON other = a)
+  SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM d JOIN reach ON id = doc_id GROUP BY doc_id""",
+    "op5_suffix_dedup": f"""WITH d AS (SELECT doc_id, {WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, i - 1 AS start, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
+  ends AS (SELECT h, min(doc_id) AS low FROM p GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+  f AS (SELECT doc_id, start, doc_id > low AS later FROM p JOIN ends USING (h)),
+  kinds AS (SELECT 'repeated' AS kind, doc_id, start FROM f UNION SELECT 'removed', doc_id, start FROM f WHERE later),
+  marked AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY kind, doc_id ORDER BY start) <= 50 THEN 0 ELSE 1 END AS fresh FROM kinds),
+  numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY kind, doc_id ORDER BY start) AS nr FROM marked),
+  spans AS (SELECT kind, doc_id, min(start) AS a, max(start) + 50 AS b FROM numbered GROUP BY kind, doc_id, nr),
+  told AS (SELECT kind, doc_id, CAST(sum(b - a) AS BIGINT) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS t FROM spans GROUP BY 1, 2)
+  SELECT r.doc_id, r.n AS n_repeated, coalesce(x.n, 0) AS n_removed, r.t AS repeated, coalesce(x.t, '') AS removed
+  FROM (SELECT * FROM told WHERE kind = 'repeated') r LEFT JOIN (SELECT * FROM told WHERE kind = 'removed') x USING (doc_id)""",
+    "op7_vector_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+  reach(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT id, b FROM reach JOIN links ON other = a)
+  SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(other) AS component_id, min(other) = vec_id AS kept FROM v JOIN reach ON id = vec_id GROUP BY vec_id""",
+}
