@@ -27,6 +27,12 @@ PAIRS = 1 << 17
 Compare = Callable[[dict[str, list], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def crowded(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one; counting the others is all that is ever done with them."""
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return checkpointed(members.join(shared.select("bucket"), "bucket", "left_semi"))
+
+
 def meetings(members: DataFrame) -> DataFrame:
     """``members`` has ``key``, ``band`` and ``bucket`` (a hash that differs between bands). Returns rows
     ``bucket``, ``low``, ``high``, ``side``, ``band``, ``merged``, ``key``: a place of a member in a meeting."""

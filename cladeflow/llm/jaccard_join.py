@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.collisions import link
+from cladeflow.llm.collisions import crowded, link
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.shared_files import checkpointed
 from cladeflow.llm.words import hash_words, shingle_hashes
@@ -167,13 +167,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         lambda k: F.struct(k.alias("band"), F.xxhash64(k, F.substring("signature", k * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket")),
     )
     members = classes.select("key", F.explode(bands).alias("m")).select("key", "m.band", "m.bucket")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = members.join(crowded.select("bucket"), "bucket", "left_semi").select("key").distinct()
-    wanted = classes.join(met, "key", "left_semi").select("least", "key", "copies")
+    near = crowded(members)
+    wanted = classes.join(near.select("key").distinct(), "key", "left_semi").select("least", "key", "copies")
     asked = docs.join(wanted.select("least"), docs["doc_id"].eqNullSafe(F.col("least")), "left_semi")
     sets = asked.mapInArrow(_sketches(True), "key binary, signature binary, shingles binary")
     payload = wanted.select("key", "copies").join(sets, "key").dropDuplicates(["key"])
-    found = checkpointed(link(members.select("key", "band", "bucket"), payload, _compare, "binary"))
+    found = checkpointed(link(near, payload, _compare, "binary"))
     totals = found.groupBy("key").agg(F.sum("linked").alias("linked"))
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     placed = classes.join(roots, classes["key"] == roots["id"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
