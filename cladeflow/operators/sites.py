@@ -51,15 +51,24 @@ def recoded(sites: DataFrame, bits: int = 4) -> DataFrame:
     """Bases of a site are numbered by the first taxon that shows them, at equal taxa by their bit; the states are
     written with the new numbers, so that columns equal but for the names of their bases become equal."""
     values = [1 << b for b in range(bits)]
-    shown = [_first(v) for v in values]
-    ranks = [
-        sum(((shown[o] > 0) & ((shown[o] < shown[b]) | ((shown[o] == shown[b]) & F.lit(o < b)))).cast("int") for o in range(bits) if o != b)
-        for b in range(bits)
-    ]
-    named = sites.select("*", F.array(*[F.element_at(F.array(*[F.lit(v) for v in values]), r + 1) for r in ranks]).alias("_new"))
     old = F.array(*[F.lit(v) for v in values])
-    parts = lambda m: F.zip_with(old, "_new", lambda o, n: F.when(m.bitwiseAND(o) != 0, n).otherwise(0))
-    return named.withColumn("states", F.transform("states", lambda m: F.aggregate(parts(m), F.lit(0), lambda a, x: a + x))).drop("_new")
+
+    def renamed(shown: Column) -> Column:
+        """The new bit of each base, by the places where they are first shown."""
+        before = lambda o, b: (shown[o] > 0) & ((shown[o] < shown[b]) | ((shown[o] == shown[b]) & F.lit(o < b)))
+        ranks = [sum(before(o, b).cast("int") for o in range(bits) if o != b) for b in range(bits)]
+        return F.array(*[F.element_at(old, r + 1) for r in ranks])
+
+    def written(new: Column) -> Column:
+        bits_of = lambda m: F.zip_with(old, new, lambda o, n: F.when(m.bitwiseAND(o) != 0, n).otherwise(0))
+        return F.transform("states", lambda m: F.aggregate(bits_of(m), F.lit(0), lambda a, x: a + x))
+
+    return sites.withColumn("states", _once(_once(F.array(*[_first(v) for v in values]), renamed), written))
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once for a row, however often and deep it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _first(value: int) -> Column:
