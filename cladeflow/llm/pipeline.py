@@ -11,7 +11,7 @@ from cladeflow.llm.language import UNDETERMINED, detect_language, fit_languages
 from cladeflow.llm.packing import pack
 from cladeflow.llm.queries import held_out, table, tokenizer_path
 from cladeflow.llm.secrets import mask_secrets
-from cladeflow.llm.shared_files import stored
+from cladeflow.llm.shared_files import release_shuffles, stored
 
 
 def _rows(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -30,7 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = similar_documents(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
     kept = stored(kept)
-    out = docs.join(kept.select("kept"), docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
+    del found
+    release_shuffles(spark)
+    # the kept ids grow with the documents: no broadcast at any size
+    out = docs.join(kept.select("kept").hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if kept.filter("n > 1").limit(1).count() else out
 
 

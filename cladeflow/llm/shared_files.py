@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -32,3 +33,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a finished plan's shuffle files when the driver happens to collect its garbage; this asks for it,
+    before another large shuffle is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
