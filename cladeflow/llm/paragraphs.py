@@ -1,4 +1,8 @@
-"""Substring dedup: MinHash banding of paragraphs, exact verification, connected components.
+"""Substring dedup: paragraphs that share a rare enough shingle, exact verification, connected components.
+
+Sets with a Jaccard similarity of 0.8 or more share one of the first fifth of their shingles in any fixed order of all
+shingles, so the shingles of that prefix are the buckets and no pair is missed. Within a bucket, members by size come
+apart where one is over 1.25 times as large as the one before.
 
 A paragraph is a line of a text; a line of more than ``LONG`` words is taken apart after each sentence, so that a passage
 that stands within a longer line is met too. Paragraphs of fewer than ``LEAST`` words are left alone.
@@ -7,8 +11,7 @@ that stands within a longer line is met too. Paragraphs of fewer than ``LEAST``
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,13 @@ from pyspark.sql import functions as F
 from cladeflow.llm.collisions import link
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.jaccard_join import shared_counts
-from cladeflow.llm.shared_files import checkpointed
+from cladeflow.llm.shared_files import checkpointed, release_shuffles, stored
 from cladeflow.llm.words import hash_words, mix64, shingle_hashes
 
 LONG, LEAST, WIDTH, THRESHOLD = 40, 12, 5, 0.8
-#: Two paragraphs of similarity s share a band with a chance of 1 - (1 - s ** 2) ** 4: 0.983 at 0.8, 0.9987 at 0.9.
-BANDS, ROWS = 4, 2
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: A text's pieces, ranges without a common word; and its units: ranges, with the first piece and the one after the last.
+Layout = Callable[[str | None], tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]]
 
 
 def paragraphs(text: str | None) -> list[tuple[int, int]]:
@@ -43,97 +46,175 @@ def paragraphs(text: str | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
-@lru_cache(maxsize=1)
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(31).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _shingles_of(texts: list[str | None]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Of the long enough paragraphs of all texts: their text's place, their range, their hashed shingles one after
-    another, and where each one's begin."""
-    found = [(i, a, b) for i, t in enumerate(texts) for a, b in paragraphs(t) if b - a >= 2 * LEAST - 1]
-    hashed, counts = hash_words([texts[i][a:b] for i, a, b in found])
-    every = shingle_hashes(hashed, WIDTH) if len(hashed) >= WIDTH else np.empty(0, np.uint64)
-    begin = np.cumsum(counts) - counts
-    kept = np.flatnonzero(counts >= LEAST)
-    sizes = counts[kept] - WIDTH + 1
+def _single(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """Each of a text's paragraphs, by itself."""
+    found = paragraphs(text)
+    return found, [(a, b, k, k + 1) for k, (a, b) in enumerate(found)]
+
+
+def _shingles_of(texts: list[str | None], layout: Layout, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units of ``least`` words or more of all texts: their text's place, their range, their sets of hashed
+    shingles in rising order one after another, and where each one's begin."""
+    pieces, owner, units = [], [], []
+    for i, text in enumerate(texts):
+        some, found = layout(text)
+        before = len(pieces)
+        pieces += [text[a:b] for a, b in some]
+        owner += [i] * len(found)
+        units += [(a, b, first + before, last + before) for a, b, first, last in found]
+    hashed, counts = hash_words(pieces)
+    ranges = np.array(units, np.int64).reshape(-1, 4)
+    ends = np.append(0, np.cumsum(counts))
+    begin, words = ends[ranges[:, 2]], ends[ranges[:, 3]] - ends[ranges[:, 2]]
+    kept = np.flatnonzero(words >= max(least, 1))
+    begin, words = begin[kept], words[kept]
+    sizes = np.maximum(words - WIDTH + 1, 1)
     starts = np.append(0, np.cumsum(sizes))
-    inside = np.repeat(begin[kept] - starts[:-1], sizes) + np.arange(starts[-1])
-    return np.array([found[k][0] for k in kept], np.int64), [found[k][1:] for k in kept], every[inside], starts
-
-
-def _bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each paragraph's bands of MinHash values."""
-    least = np.stack([np.minimum.reduceat(shingles * m, starts[:-1]) for m in _multipliers()], axis=1)
-    joined = np.zeros((len(starts) - 1, BANDS), np.uint64)
-    for r in range(ROWS):
-        joined = mix64(joined * np.uint64(31) + least[:, r::ROWS])
-    return joined
+    inside = np.repeat(begin - starts[:-1], sizes) + np.arange(starts[-1])
+    shingles = np.zeros(len(inside), np.uint64)
+    for width in range(1, WIDTH + 1):  # fewer words than a shingle has are one shingle
+        of = np.repeat(words >= WIDTH if width == WIDTH else words == width, sizes)
+        if of.any():
+            shingles[of] = shingle_hashes(hashed, width)[inside[of]]
+    unit = np.repeat(np.arange(len(kept)), sizes)
+    order = np.lexsort((shingles, unit))
+    shingles, unit = shingles[order], unit[order]
+    new = np.ones(len(shingles), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (unit[1:] != unit[:-1])
+    starts = np.append(0, np.cumsum(np.bincount(unit[new], minlength=len(kept))))
+    return np.array(owner, np.int64)[kept], ranges[kept, :2].astype(np.int32), shingles[new], starts
 
 
 def _keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of each paragraph's set of shingles."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((shingles, owner))
-    sorted_, of = shingles[order], owner[order]
-    new = np.append(True, (sorted_[1:] != sorted_[:-1]) | (of[1:] != of[:-1]))
-    value = np.where(new, mix64(sorted_ ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0))
-    return np.add.reduceat(value, starts[:-1])
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            owner, where, shingles, starts = _shingles_of(part.column(1).to_pylist())
-            if not where:
-                continue
-            ranges = np.array(where, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(pa.array(owner)),
-                    pa.array(ranges[:, 0]),
-                    pa.array(ranges[:, 1]),
-                    pa.array(_keys(shingles, starts).view(np.int64)),
-                    pa.FixedSizeListArray.from_arrays(pa.array(_bands(shingles, starts).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "start", "end", "key", "bands"],
-            )
-
-
-def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the paragraphs whose start is asked for, with their bands."""
+    """A hash of each unit's set of shingles."""
+    return np.add.reduceat(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1]).view(np.int64)
+
+
+def _marked(layout: Layout, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                owner, ranges, shingles, starts = _shingles_of(part.column(1).to_pylist(), layout, least)
+                if not len(owner):
+                    continue
+                keys, sizes = _keys(shingles, starts), np.diff(starts)
+                # the prefixes; of equal sets, one's is enough
+                first = np.zeros(len(keys), bool)
+                first[np.unique(keys, return_index=True)[1]] = True
+                many = np.where(first, sizes // 5 + 1, 0)
+                ends = np.append(0, np.cumsum(many))
+                inside = np.repeat(starts[:-1] - ends[:-1], many) + np.arange(ends[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(owner)),
+                        pa.array(ranges[:, 0]),
+                        pa.array(ranges[:, 1]),
+                        pa.array(keys),
+                        pa.array(sizes.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shingles[inside].view(np.int64))),
+                    ],
+                    names=["doc_id", "start", "end", "key", "size", "prefix"],
+                )
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by shingle, size and key: those of which another key of like size has the shingle, with their bucket. One
+    row is held back, as the next may join it."""
+    held = None
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            asked = {(i, a) for i, some in enumerate(part.column(1).to_pylist()) for a in some}
-            owner, where, shingles, starts = _shingles_of(part.column(0).to_pylist())
-            wanted = [k for k, (i, (a, _)) in enumerate(zip(owner.tolist(), where)) if (i, a) in asked]
-            if not wanted:
-                continue
-            keys, bands = _keys(shingles, starts).view(np.int64), _bands(shingles, starts)
-            sets = [np.unique(shingles[starts[k] : starts[k + 1]]).tobytes() for k in wanted]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[wanted]), pa.array(sets, pa.binary()), pa.array([bands[k].tobytes() for k in wanted], pa.binary())],
-                names=["key", "shingles", "codes"],
-            )
+        shingle, size, key = (batch.column(c).to_numpy() for c in range(3))
+        joined, least = False, -1
+        if held is not None:
+            shingle, size, key = (np.append(h, x) for h, x in zip(held[:3], (shingle, size, key)))
+            joined, least = held[3:]
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
+        shingle, size, key = shingle[new], size[new].astype(np.int64), key[new]
+        tied = np.zeros(len(key) + 1, bool)
+        tied[0] = joined
+        tied[1:-1] = (shingle[1:] == shingle[:-1]) & (4 * size[1:] <= 5 * size[:-1])
+        start = np.maximum.accumulate(np.where(tied[:-1], 0, np.arange(len(key))))
+        lowest = size[start]
+        if joined:
+            lowest[start == 0] = least
+        yield _joined(shingle[:-1], lowest[:-1], key[:-1], (tied[:-1] | tied[1:])[:-1])
+        held = shingle[-1], size[-1], key[-1], tied[-2], lowest[-1]
+    if held is not None:
+        yield _joined(*(np.array([held[k]]) for k in (0, 4, 2, 3)))
+
+
+def _joined(shingle: np.ndarray, lowest: np.ndarray, key: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+    bucket = mix64(shingle.view(np.uint64) ^ mix64(lowest.view(np.uint64) + np.uint64(1)))
+    return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(bucket[kept].view(np.int64))], names=["key", "bucket"])
+
+
+def _payload(layout: Layout, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Shingle sets of the units with the keys that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                asked = set().union(*part.column(1).to_pylist())
+                _, _, shingles, starts = _shingles_of(part.column(0).to_pylist(), layout, least)
+                if len(starts) == 1:
+                    continue
+                keys = _keys(shingles, starts)
+                wanted = {k: i for i, k in enumerate(keys.tolist()) if k in asked}
+                sets = [shingles[starts[i] : starts[i + 1]].tobytes() for i in wanted.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+
+    return run
 
 
 def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
-    codes = np.frombuffer(b"".join(data["codes"]), np.uint64).reshape(-1, BANDS)
-    live = np.arange(len(a))
-    if (band >= 0).any():  # each pair counts where it first meets
-        first = (codes[a] == codes[b]).argmax(1)
-        live = live[(band < 0) | (first == band)]
+    sizes = np.array([len(x) // 8 for x in data["shingles"]])
     yes = np.zeros(len(a), bool)
+    live = np.flatnonzero(4 * np.maximum(sizes[a], sizes[b]) <= 5 * np.minimum(sizes[a], sizes[b]))
     if len(live):
-        sets = {i: np.frombuffer(data["shingles"][i], np.uint64) for i in np.unique(np.concatenate([a[live], b[live]])).tolist()}
-        sizes = np.array([len(x) // 8 for x in data["shingles"]])
-        shared = shared_counts(sets, a[live], b[live])
-        yes[live] = shared >= THRESHOLD * (sizes[a[live]] + sizes[b[live]] - shared) - 1e-9
+        a, b = a[live], b[live]
+        sets = {i: np.frombuffer(data["shingles"][i], np.uint64) for i in np.unique(np.concatenate([a, b])).tolist()}
+        shared = shared_counts(sets, a, b)
+        yes[live] = shared >= THRESHOLD * (sizes[a] + sizes[b] - shared) - 1e-9
     return yes
 
 
+def _repeated(docs: DataFrame, layout: Layout, least: int) -> DataFrame:
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
+    marked = stored(docs.mapInArrow(_marked(layout, least), "doc_id long, start int, end int, key long, size int, prefix array<long>"))
+    members = marked.filter("size(prefix) > 0").select(F.explode("prefix").alias("shingle"), "size", "key")
+    members = members.repartition("shingle").sortWithinPartitions("shingle", "size", "key")
+    near = stored(members.mapInArrow(_met, "key long, bucket long").withColumn("band", F.lit(0)))
+    del members
+    release_shuffles(spark)
+    places = marked.select("key", "doc_id").join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    asked = stored(places.groupBy("doc_id").agg(F.collect_list("key").alias("asked")))
+    del places
+    release_shuffles(spark)
+    sets = docs.join(asked, "doc_id").select("text", "asked").mapInArrow(_payload(layout, least), "key long, shingles binary")
+    payload = stored(sets.dropDuplicates(["key"]).select("key", F.lit(1).cast("long").alias("copies"), "shingles"))
+    del sets
+    release_shuffles(spark)
+    found = checkpointed(link(near, payload, _compare, "long"))
+    roots = stored(connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))))
+    del found
+    release_shuffles(spark)
+    tied = roots.select(F.col("id").alias("key"), "root").union(roots.select(F.col("root").alias("key"), "root").distinct())
+    keys = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    classes = keys.join(tied, "key").groupBy("root").agg(F.min("least").alias("class_least"), F.max("last").alias("class_last"))
+    named = keys.join(tied.join(classes, "root"), "key", "left")
+    named = named.select("key", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_last", "last").alias("last"))
+    named = named.filter("class_id < last").select("key", "class_id")
+    out = marked.select("doc_id", "start", "end", "key").join(named, "key")
+    return out.select("doc_id", "start", "end", "class_id", (F.col("doc_id") != F.col("class_id")).alias("removed"))
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """One row per paragraph of which another document has a near copy: ``doc_id``, ``start`` and ``end`` (code points of the
     text), ``class_id`` (the least doc_id of its component) and ``removed`` (it is not in that document).
@@ -142,20 +223,4 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     are classes. A paragraph that only its own document repeats is not reported. Rows with one doc_id are one document,
     a null ``doc_id`` takes no part; null, empty and short texts hold nothing to report. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    marked = checkpointed(docs.mapInArrow(_marked, "doc_id long, start int, end int, key long, bands array<long>"))
-    members = marked.select("key", F.posexplode("bands").alias("band", "code"))
-    members = members.select("key", "band", F.xxhash64("band", "code").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    near = checkpointed(members.join(crowded.select("bucket"), "bucket", "left_semi").distinct())
-    asked = marked.join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    starts = asked.groupBy("at.doc_id").agg(F.collect_list("at.start").alias("starts"))
-    sets = docs.join(starts, "doc_id").select("text", "starts").mapInArrow(_payload, "key long, shingles binary, codes binary")
-    payload = sets.dropDuplicates(["key"]).withColumn("copies", F.lit(1).cast("long")).select("key", "copies", "shingles", "codes")
-    found = checkpointed(link(near, payload, _compare, "long"))
-    roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    placed = marked.select("doc_id", "start", "end", "key").join(roots.withColumnRenamed("id", "key"), "key", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "key"))
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).filter("class_id < last")
-    out = placed.join(classes, "root")
-    return out.select("doc_id", "start", "end", "class_id", (F.col("doc_id") != F.col("class_id")).alias("removed"))
+    return _repeated(docs, _single, LEAST)
