@@ -5,7 +5,8 @@ shingles, so the shingles of that prefix are the buckets and no pair is missed.
 apart where one is over 1.25 times as large as the one before.
 
 A paragraph is a line of a text; a line of more than ``LONG`` words is taken apart after each sentence, so that a passage
-that stands within a longer line is met too. Paragraphs of fewer than ``LEAST`` words are left alone.
+that stands within a longer line is met too. ``repeated_units`` takes all of them, ``repeated_paragraphs`` those of
+``LEAST`` words or more.
 """
 
 from __future__ import annotations
@@ -224,3 +225,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     a null ``doc_id`` takes no part; null, empty and short texts hold nothing to report. Other columns are not read.
     """
     return _repeated(docs, _single, LEAST)
+
+
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """As :func:`repeated_paragraphs`, for every paragraph with a word; one of fewer than five words is one shingle."""
+    return _repeated(docs, _single, 1)

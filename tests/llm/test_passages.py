@@ -16,3 +16,8 @@ def test_lone_pairs_at_the_threshold_are_all_found(spark, tmp_path):
         rows += [(2 * i, " ".join([*words, "left"])), (2 * i + 1, " ".join([*words, "right"]))]
     expected = sorted((d, 0, len(t), d - d % 2, d % 2 == 1) for d, t in rows)
     assert found(spark, tmp_path, rows) == expected
+
+
+def test_short_lines_take_part(spark, tmp_path):
+    rows = [(1, "Terms apply.\none two three four five six"), (2, "own words\nTerms  apply!\nx"), (3, "one two three four five six\n\n-- "), (4, "terms"), (4, "terms")]
+    assert found(spark, tmp_path, rows) == [(1, 0, 12, 1, False), (1, 13, 40, 1, False), (2, 10, 24, 1, True), (3, 0, 27, 1, True)]
