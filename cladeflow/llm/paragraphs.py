@@ -4,9 +4,8 @@ Sets with a Jaccard similarity of 0.8 or more share one of the first fifth of th
 shingles, so the shingles of that prefix are the buckets and no pair is missed. Within a bucket, members by size come
 apart where one is over 1.25 times as large as the one before.
 
-A paragraph is a line of a text; a line of more than ``LONG`` words is taken apart after each sentence, so that a passage
-that stands within a longer line is met too. ``repeated_units`` takes all of them, ``repeated_paragraphs`` those of
-``LEAST`` words or more.
+``repeated_units`` takes every line of a text and every sentence of a line. ``repeated_paragraphs`` takes paragraphs of
+``LEAST`` words or more: lines, and in place of a line of more than ``LONG`` words its sentences.
 """
 
 from __future__ import annotations
@@ -53,6 +52,26 @@ def _single(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, in
     return found, [(a, b, k, k + 1) for k, (a, b) in enumerate(found)]
 
 
+def passages(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """The sentences of every line, and as units the lines and, where a line has several, its sentences."""
+    pieces, units, at = [], [], 0
+    for line in (text or "").split("\n"):
+        end = at + len(line)
+        if end > at:
+            first, start = len(pieces), at
+            for m in SENTENCE.finditer(line):
+                pieces.append((start, at + m.start()))
+                start = at + m.end()
+            if end > start:
+                pieces.append((start, end))
+            last = len(pieces)
+            units.append((at, end, first, last))
+            if last - first > 1:
+                units += [(*pieces[k], k, k + 1) for k in range(first, last)]
+        at = end + 1
+    return pieces, units
+
+
 def _shingles_of(texts: list[str | None], layout: Layout, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the units of ``least`` words or more of all texts: their text's place, their range, their sets of hashed
     shingles in rising order one after another, and where each one's begin."""
@@ -228,5 +247,6 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """As :func:`repeated_paragraphs`, for every paragraph with a word; one of fewer than five words is one shingle."""
-    return _repeated(docs, _single, 1)
+    """As :func:`repeated_paragraphs`, for every line with a word and every sentence of a line of several, whatever
+    their lengths; fewer than five words are one shingle. Ranges of a line and of its sentences overlap."""
+    return _repeated(docs, passages, 1)

@@ -1,6 +1,13 @@
 """op6 over whole tables: no pair of near copies is lost, whatever its length."""
 
+import random
+import re
+from collections import Counter
+
 from cladeflow.llm.queries import op6_paragraph_dedup
+from tests.llm.test_paragraphs import corpus
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def found(spark, tmp_path, rows):
@@ -20,4 +27,46 @@ def test_lone_pairs_at_the_threshold_are_all_found(spark, tmp_path):
 
 def test_short_lines_take_part(spark, tmp_path):
     rows = [(1, "Terms apply.\none two three four five six"), (2, "own words\nTerms  apply!\nx"), (3, "one two three four five six\n\n-- "), (4, "terms"), (4, "terms")]
-    assert found(spark, tmp_path, rows) == [(1, 0, 12, 1, False), (1, 13, 40, 1, False), (2, 10, 24, 1, True), (3, 0, 27, 1, True)]
+    assert found(spark, tmp_path, rows) == [(1, 0, 12, 1, False), (1, 13, 40, 1, False), (2, 10, 23, 1, True), (3, 0, 27, 1, True)]
+
+
+def units(text):
+    """Lines, and sentences where a line has several, with their sets of shingles."""
+    for m in re.finditer(r"[^\n]+", text):
+        inner = [x.span() for x in re.finditer(r"(?:^|\S).*?(?:(?<=[.!?])(?=\s)|$)", m[0])]
+        for a, b in {(0, len(m[0])), *(inner if len(inner) > 1 else ())}:
+            w = WORD.findall(m[0][a:b].lower())
+            if w:
+                yield m.start() + a, m.start() + b, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def brute(rows):
+    all_ = [(d, *u) for d, t in rows if t and d is not None for u in units(t)]
+    root = list(range(len(all_)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(all_):
+        for j in range(i):
+            both = len(x[3] & all_[j][3])
+            if both and 5 * both >= 4 * len(x[3] | all_[j][3]):
+                root[top(i)] = top(j)
+    docs = {}
+    for i, u in enumerate(all_):
+        docs.setdefault(top(i), set()).add(u[0])
+    return sorted((*u[:3], min(docs[top(i)]), u[0] != min(docs[top(i)])) for i, u in enumerate(all_) if len(docs[top(i)]) > 1)
+
+
+def test_lines_of_any_length_equal_brute_force(spark, tmp_path):
+    draw = random.Random(8)
+    say = lambda n: (" ".join("v%d" % draw.randint(0, 9999) for _ in range(n)) + ".").capitalize()
+    near = say(40)
+    short = " ".join(say(9) for _ in range(8))
+    # 39 and 40 blanks; a long line of short sentences with a word changed
+    rows = [*corpus(4), (80, near), (81, near + " more"), (82, short), (83, re.sub(r"\w+\.$", "end.", short)), (84, near + " more and"), (85, "\t" + short + "  ")]
+    got, expected = found(spark, tmp_path, rows), brute(rows)
+    assert {80, 81, 82, 83} <= {r[0] for r in expected}
+    assert Counter(got) == Counter(expected)
