@@ -22,6 +22,11 @@ LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{14,}+", r"(?<![0-9a-f])[0-9a-f]{16,}+"
 #: Whole runs that may hold an encoded key.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
+#: What a run looks like that some encoding fits. Others come apart at inner "=", and what then mixes "+/" with "-_" into
+#: its longest base64 and URL-safe parts.
+WHOLE = r"^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+SEGMENT, MIXED_PARTS, RUN_LENGTH = r"[A-Za-z0-9+/_-]+=*", (r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*"), 20
+
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings, most special first: name, what a string in it looks like, its alphabet.
@@ -74,6 +79,34 @@ def _with_spans(df: DataFrame, kind: str, pattern: str) -> DataFrame:
     return df.withColumn(kind, F.coalesce(spans, empty)).drop("_found", "_values", "_gaps", "_lengths", "_before", "_ends")
 
 
+def _pieces(value: Column, pattern: str) -> Column:
+    """Structs ``start`` and ``value`` of the matches in a string. As they are leftmost, a match is where it is first met
+    after the one before."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("all"))
+
+    def append(acc: Column, m: Column) -> Column:
+        start = F.position(m, value, acc["at"] + 1) - 1
+        return F.struct((start + F.length(m)).alias("at"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), m.alias("value")))).alias("all"))
+
+    return F.aggregate(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), zero, append)["all"]
+
+
+def _parts(run: Column) -> Column:
+    """A run that an encoding fits, or else its parts that one fits; parts of both kinds may overlap."""
+    moved = lambda part, by: F.struct((by + part["start"]).alias("start"), part["value"].alias("value"))
+
+    def of_segment(s: Column) -> Column:
+        both = F.concat(*[_pieces(s["value"], p) for p in MIXED_PARTS])
+        return F.when(s["value"].rlike(WHOLE), F.array(s)).otherwise(F.transform(both, lambda x: moved(x, s["start"])))
+
+    found = F.filter(F.flatten(F.transform(_pieces(run["value"], SEGMENT), of_segment)), lambda x: F.length(x["value"]) >= RUN_LENGTH)
+    spans = F.transform(
+        found,
+        lambda x: F.struct((run["start"] + x["start"]).alias("start"), (run["start"] + x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")),
+    )
+    return F.when(run["value"].rlike(WHOLE), F.array(run)).otherwise(spans)
+
+
 def _normal_tail(z: Column) -> Column:
     """Upper tail of the standard normal distribution, by a rational approximation good to 1e-7 or so."""
     x = F.abs(z)
@@ -127,7 +160,8 @@ def _candidates(df: DataFrame, entropy: float) -> DataFrame:
         step = F.least(F.lit(MOST), F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-31)))).cast("int"))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["stratum"].alias("stratum"), step.alias("step"))
 
-    mixed = F.filter("random", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    is_mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+    mixed = F.filter(F.flatten(F.transform(F.filter("random", is_mixed), _parts)), is_mixed)
     bits = F.array(*[F.lit(len(a).bit_length() - 1) for _, _, a in ENCODINGS])
     enough = lambda s: s["at"].isNotNull() & (F.length(s["bare"]) * F.element_at(bits, s["at"] + 1) >= entropy)
     candidates = F.filter(F.transform(mixed, named), enough)
@@ -180,6 +214,7 @@ def find_secrets(docs: DataFrame, carry: list[str], rate: float = 0.05, entropy:
     of the known forms and of all kinds, in code points, end exclusive.
 
     A candidate of the kind ``random`` has letters and digits and at least ``entropy`` bits of its encoding;
+    A run of such characters that no encoding fits is tested in parts, which may overlap.
     ``rate`` bounds the expected share of truly random strings among those let go as not random, in each
     encoding and range of lengths. A null text counts as empty. Repeated rows and other columns do no harm; an
     empty table gives no rows.
