@@ -5,40 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.shared_files import checkpointed
+from cladeflow.llm.shared_files import Tables
+
+#: Parts in which the links of one node are joined, so that no node is a task's alone.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Adds ``m``, the least ``b`` of each ``a``."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's smallest neighbour."""
+    """Every larger neighbour of a node is tied to the node's smallest neighbour, or to the node if that is smaller."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
-    edges = edges.distinct()
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.union(least.select("a", F.col("m").alias("b"))).distinct()
+    told = _with_least(edges.distinct())
+    tied = told.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return tied.union(told.select("a", F.col("m").alias("b"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """``edges`` has columns ``a`` and ``b`` of one orderable type. Returns ``id`` and ``root``, the smallest node of
-    its component, for every node that is not itself the smallest. Links may repeat; a node linked with
-    itself alone is left out."""
+    its component, for every node that is not itself the smallest, as one of ``tables``. Links may repeat; a node
+    linked with itself alone is left out."""
     edges = edges.filter(F.col("a") != F.col("b"))
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = checkpointed(edges)
+    edges = tables.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(edges)
     while before[0]:
-        edges = checkpointed(_small_star(_large_star(edges)))
-        after = _mark(edges)
+        later = tables.store(_small_star(_large_star(edges)))
+        tables.drop(edges)
+        edges, after = later, _mark(later)
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    out = tables.store(edges.select(F.col("a").alias("id"), F.col("b").alias("root")))
+    tables.drop(edges)
+    return out

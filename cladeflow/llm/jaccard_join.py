@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join with Bayesian pruning of candidates.
 
-Texts that collide in a band of MinHash values are candidates. Their MinHash values are compared a few at a time;
-a pair goes when the posterior probability that its similarity reaches the threshold, under a uniform prior, falls
-below a tolerance. The shingle sets of the rest are compared exactly.
+Texts that collide in a band of MinHash values, and whose lowest bits of all values leave the threshold possible, are tied to
+candidate groups. In a group, MinHash values are compared a few at a time; a pair goes when the posterior probability
+that its similarity reaches the threshold, under a uniform prior, falls below a tolerance. The shingle sets of the
+rest are compared exactly.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.collisions import crowded, link
+from cladeflow.llm.collisions import candidate_groups, candidate_ties, link
 from cladeflow.llm.components import connected_components
-from cladeflow.llm.shared_files import checkpointed
-from cladeflow.llm.words import hash_words, shingle_hashes
+from cladeflow.llm.shared_files import Tables
+from cladeflow.llm.words import hash_words, mix64, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8 ** 4) ** 32, or 5e-8.
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-7
+#: The same for the lowest bits of all values; a bit of two unlike values is equal by chance half of the time.
+BIT_THRESHOLD, BIT_TOLERANCE = (1 + THRESHOLD) / 2, 1e-9
 #: MinHash values that are compared at a time.
 STEP = 16
 #: Most sets whose elements become one 0/1 matrix, and elements of a matrix.
@@ -70,26 +73,49 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
         at += n
 
 
-def _sketches(with_sets: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _key(found: np.ndarray) -> bytes | None:
+    """Names a set: equal keys of 128 bits are taken for equal sets."""
+    import xxhash
 
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                keys, marks, sets = [], [], []
-                for found in shingle_sets(part.column(1).to_pylist()):
-                    data = found.tobytes()
-                    keys.append(xxhash.xxh3_128_digest(data) if data else None)
-                    marks.append(minhash(found).tobytes() if data else None)
-                    sets.append(data)
-                columns = [part.column(0), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())]
-                names = ["doc_id", "key", "signature"]
-                if with_sets:
-                    columns, names = [*columns[1:], pa.array(sets, pa.binary())], [*names[1:], "shingles"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
 
-    return run
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            found = list(shingle_sets(part.column(1).to_pylist()))
+            marks = [minhash(x).tobytes() if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(map(_key, found), pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "key", "signature"]
+            )
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            found = list(shingle_sets(batch.column(0).slice(at, 256).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(_key, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "shingles"]
+            )
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of a signature, with the lowest bits of all values."""
+    for batch in batches:
+        for at in range(0, len(batch), 2048):
+            keys, signature = batch.column(0).slice(at, 2048), _values(batch.column(1).slice(at, 2048).to_pylist())
+            sketch = np.packbits((signature & 1).astype(np.uint8), axis=1)
+            bucket = np.zeros((len(keys), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            for k in range(ROWS):
+                bucket = mix64(bucket ^ signature[:, k::ROWS].astype(np.uint64)) + np.uint64(k)
+            of = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+            sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), keys.take(of), sketches.take(of)], names=["bucket", "key", "sketch"])
+
+
+def _values(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, HASHES)
 
 
 def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,18 +145,9 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return product[left_at, right_at].astype(np.int64)
 
 
-def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
-    signature = np.frombuffer(b"".join(data["signature"]), np.uint32).reshape(-1, HASHES)
-    needed = needed_matches(THRESHOLD, TOLERANCE)
-    live = np.arange(len(a))
-    met = band >= 0
-    if met.any():  # each pair counts where it first meets
-        first = np.full(len(a), -1)
-        for k in range(BANDS - 1, -1, -1):
-            part = slice(k * ROWS, k * ROWS + ROWS)
-            first[(signature[a, part] == signature[b, part]).all(1)] = k
-        live = live[~met | (first == band)]
-    equal = np.zeros(len(a), np.int64)
+def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    signature, needed = _values(data["signature"]), needed_matches(THRESHOLD, TOLERANCE)
+    live, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for at in range(0, HASHES, STEP):
         part = slice(at, at + STEP)
         equal[live] += (signature[a[live], part] == signature[b[live], part]).sum(1)
@@ -157,27 +174,25 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     the start and count as often as they stand there, so do repeated rows. A null ``doc_id`` is kept; a class of
     nulls alone has a null id. Other columns are not read; an empty table gives no rows.
     """
+    tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = checkpointed(docs.mapInArrow(_sketches(False), "doc_id long, key binary, signature binary"))
-    classes = checkpointed(
-        marked.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
-    )
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda k: F.struct(k.alias("band"), F.xxhash64(k, F.substring("signature", k * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket")),
-    )
-    members = classes.select("key", F.explode(bands).alias("m")).select("key", "m.band", "m.bucket")
-    near = crowded(members)
-    wanted = classes.join(near.select("key").distinct(), "key", "left_semi").select("least", "key", "copies")
-    asked = docs.join(wanted.select("least"), docs["doc_id"].eqNullSafe(F.col("least")), "left_semi")
-    sets = asked.mapInArrow(_sketches(True), "key binary, signature binary, shingles binary")
-    payload = wanted.select("key", "copies").join(sets, "key").dropDuplicates(["key"])
-    found = checkpointed(link(near, payload, _compare, "binary"))
+    marked = tables.store(docs.mapInArrow(_signatures, "doc_id long, key binary, signature binary"))
+    usable = marked.filter("key is not null").groupBy("key")
+    classes = tables.store(usable.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
+    members = classes.select("key", "signature").mapInArrow(_members, "bucket long, key binary, sketch binary")
+    ties = candidate_ties(members, needed_matches(BIT_THRESHOLD, BIT_TOLERANCE)[HASHES], tables)
+    groups = tables.store(candidate_groups(ties, tables))
+    wanted = classes.join(groups.select("key"), "key", "left_semi").select("least", "key", "copies", "signature")
+    asked = docs.join(wanted.select("least"), docs["doc_id"].eqNullSafe(F.col("least")), "left_semi").select("text")
+    sets = tables.store(asked.mapInArrow(_sets, "key binary, shingles binary"))
+    payload = wanted.drop("least").join(sets, "key").dropDuplicates(["key"])
+    found = tables.store(link(groups, payload, _compare, "binary"))
     totals = found.groupBy("key").agg(F.sum("linked").alias("linked"))
-    roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), tables)
     placed = classes.join(roots, classes["key"] == roots["id"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("class_id"))
     placed = placed.join(names, "root").join(totals, "key", "left")
-    placed = placed.select("key", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    alone = marked.filter(F.col("key").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    placed = tables.store(placed.select("key", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    alone = marked.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    tables.drop_all(keep=(marked, placed))
     return marked.select("doc_id", "key").join(placed, "key").select("doc_id", "class_id", "n_links").unionByName(alone)

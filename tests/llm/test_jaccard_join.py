@@ -7,6 +7,7 @@ import numpy as np
 from cladeflow.llm import collisions
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.jaccard_join import needed_matches, shared_counts, similar_documents
+from cladeflow.llm.shared_files import Tables
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -34,7 +35,7 @@ def brute(rows):
                 root[top(i)] = top(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
-        least[top(i)] = min(least.get(top(i), doc), doc)
+        least[top(i)] = min((x for x in (least.get(top(i)), doc) if x is not None), default=None)
     return Counter((doc, least[top(i)], links[i]) for i, (doc, _) in enumerate(rows))
 
 
@@ -90,5 +91,18 @@ def test_pruning_bounds_rise():
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (7, 7), (300, 300)]
-    got = {r["id"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["id"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Tables(spark)).collect()}
     assert got == {i: 0 for i in range(1, 21)} | {i: 100 for i in range(101, 130)} | {201: 200, 202: 200}
+
+
+def test_buckets_over_several_tasks(spark, monkeypatch):
+    """Members of one bucket that lie in many tasks, or are too many to be held, are still tied."""
+    monkeypatch.setattr(collisions, "CHUNK", 16)
+    monkeypatch.setattr(collisions, "BLOCK", 32)
+    base = ["w%d" % i for i in range(60)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        copy[i % 60] = "e%d" % i
+        rows.append((i, " ".join(copy)))
+    check(spark, [*rows, (None, rows[3][1]), (None, None)])
