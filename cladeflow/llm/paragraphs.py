@@ -1,17 +1,18 @@
-"""Substring dedup: paragraphs that share a rare enough shingle, exact verification, connected components.
+"""Substring dedup: MinHash bands of paragraphs, exact verification, connected components.
 
-Sets with a Jaccard similarity of 0.8 or more share one of the first fifth of their shingles in any fixed order of all
-shingles, so the shingles of that prefix are the buckets and no pair is missed. Within a bucket, members by size come
-apart where one is over 1.25 times as large as the one before.
+The bands of a paragraph are the least hashes of its set of shingles (a bottom-k MinHash, one hash a band), as many as its
+size needs: of two sets with a Jaccard similarity of 0.8 or more, at least one of the first fifth and one more is in
+both. Sets of ``CAPPED`` shingles and more have ``MOST`` bands, which miss a pair at the threshold with a chance of 1e-7. Sets of fewer than
+four shingles are near copies of equal sets alone, and have none.
 
-``repeated_units`` takes every line of a text and every sentence of a line. ``repeated_paragraphs`` takes paragraphs of
-``LEAST`` words or more: lines, and in place of a line of more than ``LONG`` words its sentences.
+Within a band's bucket, members by size come apart where one is over 1.25 times as large as the one before. The members of a
+crowded bucket must share a second of their least hashes, too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,39 +22,19 @@ from pyspark.sql import functions as F
 from cladeflow.llm.collisions import link
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.jaccard_join import shared_counts
-from cladeflow.llm.shared_files import checkpointed, release_shuffles, stored
-from cladeflow.llm.words import hash_words, mix64, shingle_hashes
+from cladeflow.llm.shared_files import Tables
+from cladeflow.llm.words import hash_words, mix64, shingle_hashes, slices
 
-LONG, LEAST, WIDTH, THRESHOLD = 40, 12, 5, 0.8
+WIDTH, THRESHOLD = 5, 0.8
+#: Bands of the largest sets; hashes of which near copies share two; members of a bucket beyond which two are asked for.
+MOST, MOST_OF_TWO, CROWD = 10, 14, 512
+CAPPED = 5 * MOST - 5
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: A text's pieces, ranges without a common word; and its units: ranges, with the first piece and the one after the last.
-Layout = Callable[[str | None], tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]]
-
-
-def paragraphs(text: str | None) -> list[tuple[int, int]]:
-    """Character ranges of a text's paragraphs."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        if line.count(" ") < LONG:
-            out.append((at, at + len(line)))
-        else:
-            start = 0
-            for m in SENTENCE.finditer(line):
-                out.append((at + start, at + m.start()))
-                start = m.end()
-            out.append((at + start, at + len(line)))
-        at += len(line) + 1
-    return [(a, b) for a, b in out if b > a]
-
-
-def _single(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """Each of a text's paragraphs, by itself."""
-    found = paragraphs(text)
-    return found, [(a, b, k, k + 1) for k, (a, b) in enumerate(found)]
 
 
 def passages(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """The sentences of every line, and as units the lines and, where a line has several, its sentences."""
+    """The sentences of every line, as character ranges; and as units the lines and, where a line has several, its
+    sentences: ranges, with the first sentence and the one after the last."""
     pieces, units, at = [], [], 0
     for line in (text or "").split("\n"):
         end = at + len(line)
@@ -72,12 +53,12 @@ def passages(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, i
     return pieces, units
 
 
-def _shingles_of(texts: list[str | None], layout: Layout, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the units of ``least`` words or more of all texts: their text's place, their range, their sets of hashed
+def _shingles_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units with a word of all texts: their text's place, their range, their sets of hashed
     shingles in rising order one after another, and where each one's begin."""
     pieces, owner, units = [], [], []
     for i, text in enumerate(texts):
-        some, found = layout(text)
+        some, found = passages(text)
         before = len(pieces)
         pieces += [text[a:b] for a, b in some]
         owner += [i] * len(found)
@@ -86,7 +67,7 @@ def _shingles_of(texts: list[str | None], layout: Layout, least: int) -> tuple[n
     ranges = np.array(units, np.int64).reshape(-1, 4)
     ends = np.append(0, np.cumsum(counts))
     begin, words = ends[ranges[:, 2]], ends[ranges[:, 3]] - ends[ranges[:, 2]]
-    kept = np.flatnonzero(words >= max(least, 1))
+    kept = np.flatnonzero(words > 0)
     begin, words = begin[kept], words[kept]
     sizes = np.maximum(words - WIDTH + 1, 1)
     starts = np.append(0, np.cumsum(sizes))
@@ -110,40 +91,36 @@ def _keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1]).view(np.int64)
 
 
-def _marked(layout: Layout, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                owner, ranges, shingles, starts = _shingles_of(part.column(1).to_pylist(), layout, least)
-                if not len(owner):
-                    continue
-                keys, sizes = _keys(shingles, starts), np.diff(starts)
-                # the prefixes; of equal sets, one's is enough
-                first = np.zeros(len(keys), bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                many = np.where(first, sizes // 5 + 1, 0)
-                ends = np.append(0, np.cumsum(many))
-                inside = np.repeat(starts[:-1] - ends[:-1], many) + np.arange(ends[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(owner)),
-                        pa.array(ranges[:, 0]),
-                        pa.array(ranges[:, 1]),
-                        pa.array(keys),
-                        pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shingles[inside].view(np.int64))),
-                    ],
-                    names=["doc_id", "start", "end", "key", "size", "prefix"],
-                )
-
-    return run
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 1):
+            owner, ranges, shingles, starts = _shingles_of(part.column(1).to_pylist())
+            if len(owner):
+                columns = [part.column(0).take(pa.array(owner)), pa.array(ranges[:, 0]), pa.array(ranges[:, 1]), pa.array(_keys(shingles, starts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "key"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 0):
+            owner, _, shingles, starts = _shingles_of(part.column(0).to_pylist())
+            if not len(owner):
+                continue
+            keys, sizes = _keys(shingles, starts), np.diff(starts)
+            # of equal sets, one's bands are enough
+            first = np.zeros(len(keys), bool)
+            first[np.unique(keys, return_index=True)[1]] = True
+            many = np.where(first & (sizes > 3), np.minimum(sizes // 5 + 1, MOST), 0)
+            inside = np.repeat(starts[:-1] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+            columns = [pa.array(shingles[inside].view(np.int64)), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(np.repeat(keys, many))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "size", "key"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows by shingle, size and key: those of which another key of like size has the shingle, with their bucket. One
-    row is held back, as the next may join it."""
-    held = None
+    row is held back, as the next may join it. The first and the last shingle may go on in other tasks: all their rows
+    stay, and a row without a key names them."""
+    held, opening, lone = None, None, []
     for batch in batches:
         shingle, size, key = (batch.column(c).to_numpy() for c in range(3))
         joined, least = False, -1
@@ -152,6 +129,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined, least = held[3:]
         if not len(key):
             continue
+        opening = shingle[0] if opening is None else opening
         new = np.ones(len(key), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
         shingle, size, key = shingle[new], size[new].astype(np.int64), key[new]
@@ -162,37 +140,51 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lowest = size[start]
         if joined:
             lowest[start == 0] = least
-        yield _joined(shingle[:-1], lowest[:-1], key[:-1], (tied[:-1] | tied[1:])[:-1])
+        met = (tied[:-1] | tied[1:] | (shingle == opening))[:-1]
+        yield _joined(shingle[:-1][met], lowest[:-1][met], key[:-1][met])
+        # rows by themselves of the shingle at hand: as sizes rise by a quarter from each to the next, a few
+        last = np.flatnonzero(~met & (shingle[:-1] == shingle[-1]))
+        lone = [x for x in lone if x[0] == shingle[-1]] + [(shingle[i], lowest[i], key[i]) for i in last.tolist()]
         held = shingle[-1], size[-1], key[-1], tied[-2], lowest[-1]
     if held is not None:
-        yield _joined(*(np.array([held[k]]) for k in (0, 4, 2, 3)))
+        yield _joined(*(np.array(x) for x in zip(*lone, (held[0], held[4], held[2]))))
+        ends = pa.array([opening, held[0]], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), ends, pa.nulls(2, pa.int64())], names=["key", "shingle", "bucket"])
 
 
-def _joined(shingle: np.ndarray, lowest: np.ndarray, key: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+def _joined(shingle: np.ndarray, lowest: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
     bucket = mix64(shingle.view(np.uint64) ^ mix64(lowest.view(np.uint64) + np.uint64(1)))
-    return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(bucket[kept].view(np.int64))], names=["key", "bucket"])
-
-
-def _payload(layout: Layout, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shingle sets of the units with the keys that are asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                asked = set().union(*part.column(1).to_pylist())
-                _, _, shingles, starts = _shingles_of(part.column(0).to_pylist(), layout, least)
-                if len(starts) == 1:
-                    continue
-                keys = _keys(shingles, starts)
-                wanted = {k: i for i, k in enumerate(keys.tolist()) if k in asked}
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, shingle, bucket)], names=["key", "shingle", "bucket"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the units with the keys that are asked for."""
+    for batch in batches:
+        for part in slices(batch, 0):
+            asked = set().union(*part.column(1).to_pylist())
+            _, _, shingles, starts = _shingles_of(part.column(0).to_pylist())
+            if len(starts) > 1:
+                wanted = {k: i for i, k in enumerate(_keys(shingles, starts).tolist()) if k in asked}
                 sets = [shingles[starts[i] : starts[i + 1]].tobytes() for i in wanted.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return run
 
-
-def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members of crowded buckets: a bucket for each other one of their least hashes."""
+    for batch in batches:
+        keys, shared, buckets = (batch.column(k).to_numpy() for k in range(3))
+        out_key, out = [], []
+        for key, x, bucket, data in zip(keys.tolist(), shared.view(np.uint64).tolist(), buckets.view(np.uint64), batch.column(3)):
+            found = np.frombuffer(data.as_buffer(), np.uint64)
+            found = found[: min(len(found) // 5 + 2, MOST_OF_TWO)]
+            found = found[found != x]
+            out_key.append(np.full(len(found), key))
+            out.append(mix64(found ^ mix64(np.array([bucket]))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out).view(np.int64))], names=["key", "bucket"])
+
+
+def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     sizes = np.array([len(x) // 8 for x in data["shingles"]])
     yes = np.zeros(len(a), bool)
     live = np.flatnonzero(4 * np.maximum(sizes[a], sizes[b]) <= 5 * np.minimum(sizes[a], sizes[b]))
@@ -204,49 +196,57 @@ def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray, band: np.ndarr
     return yes
 
 
-def _repeated(docs: DataFrame, layout: Layout, least: int) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    marked = stored(docs.mapInArrow(_marked(layout, least), "doc_id long, start int, end int, key long, size int, prefix array<long>"))
-    members = marked.filter("size(prefix) > 0").select(F.explode("prefix").alias("shingle"), "size", "key")
-    members = members.repartition("shingle").sortWithinPartitions("shingle", "size", "key")
-    near = stored(members.mapInArrow(_met, "key long, bucket long").withColumn("band", F.lit(0)))
-    del members
-    release_shuffles(spark)
-    places = marked.select("key", "doc_id").join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    asked = stored(places.groupBy("doc_id").agg(F.collect_list("key").alias("asked")))
-    del places
-    release_shuffles(spark)
-    sets = docs.join(asked, "doc_id").select("text", "asked").mapInArrow(_payload(layout, least), "key long, shingles binary")
-    payload = stored(sets.dropDuplicates(["key"]).select("key", F.lit(1).cast("long").alias("copies"), "shingles"))
-    del sets
-    release_shuffles(spark)
-    found = checkpointed(link(near, payload, _compare, "long"))
-    roots = stored(connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))))
-    del found
-    release_shuffles(spark)
-    tied = roots.select(F.col("id").alias("key"), "root").union(roots.select(F.col("root").alias("key"), "root").distinct())
-    keys = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
-    classes = keys.join(tied, "key").groupBy("root").agg(F.min("least").alias("class_least"), F.max("last").alias("class_last"))
-    named = keys.join(tied.join(classes, "root"), "key", "left")
-    named = named.select("key", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_last", "last").alias("last"))
-    named = named.filter("class_id < last").select("key", "class_id")
-    out = marked.select("doc_id", "start", "end", "key").join(named, "key")
-    return out.select("doc_id", "start", "end", "class_id", (F.col("doc_id") != F.col("class_id")).alias("removed"))
+def _sized(rows: DataFrame) -> DataFrame:
+    """Members of buckets of two or more, as groups with their sizes; buckets with the same members count once."""
+    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("marks"), F.min("key").alias("least")]
+    alike = rows.groupBy("bucket").agg(*marks).filter("n > 1").groupBy("n", "marks", "least").agg(F.min("bucket").alias("group"))
+    return rows.join(alike.select(F.col("group").alias("bucket"), "n"), "bucket").withColumnRenamed("bucket", "group")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """One row per paragraph of which another document has a near copy: ``doc_id``, ``start`` and ``end`` (code points of the
     text), ``class_id`` (the least doc_id of its component) and ``removed`` (it is not in that document).
 
-    Near copies have sets of five-word shingles with a Jaccard similarity of 0.8 or more; components of such pairs
-    are classes. A paragraph that only its own document repeats is not reported. Rows with one doc_id are one document,
-    a null ``doc_id`` takes no part; null, empty and short texts hold nothing to report. Other columns are not read.
+    Paragraphs are every line with a word and, where a line has several sentences, every sentence with a word, whatever their
+    lengths; ranges of a line and of its sentences overlap. Near copies have sets of five-word shingles with a Jaccard
+    similarity of 0.8 or more; fewer than five words are one shingle. Components of such pairs are classes. A paragraph that
+    only its own document repeats is not reported. Rows with one doc_id are one document, a null ``doc_id`` takes no
+    part; null and empty texts hold nothing to report. Equal sets of shingles are told by a hash of 64 bits. Other
+    columns are not read; an empty table gives no rows.
     """
-    return _repeated(docs, _single, LEAST)
-
-
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """As :func:`repeated_paragraphs`, for every line with a word and every sentence of a line of several, whatever
-    their lengths; fewer than five words are one shingle. Ranges of a line and of its sentences overlap."""
-    return _repeated(docs, passages, 1)
+    tables = Tables(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
+    members = docs.select("text").mapInArrow(_bands, "shingle long, size int, key long")
+    members = members.repartitionByRange("shingle", "size", "key").sortWithinPartitions("shingle", "size", "key")
+    met = tables.store(members.mapInArrow(_met, "key long, shingle long, bucket long"))
+    # shingles at the ends of tasks, at most two a task: their rows meet whatever their sizes
+    ends = met.filter("key is null").select("shingle", F.lit(True).alias("at_end")).distinct()
+    rows = met.filter("key is not null").join(F.broadcast(ends), "shingle", "left")
+    rows = rows.select("key", "shingle", F.when(F.col("at_end"), F.xxhash64("shingle")).otherwise(F.col("bucket")).alias("bucket"))
+    near = tables.store(rows)
+    tables.drop(met)
+    units = tables.store(docs.mapInArrow(_units, "doc_id long, start int, end int, key long"))
+    places = units.select("key", "doc_id").join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    asked = tables.store(places.groupBy("doc_id").agg(F.collect_list("key").alias("asked")))
+    sets = docs.join(asked, "doc_id").select("text", "asked").mapInArrow(_sets, "key long, shingles binary")
+    payload = tables.store(sets.dropDuplicates(["key"]).select("key", F.lit(1).cast("long").alias("copies"), "shingles"))
+    tables.drop(asked)
+    crowded = near.groupBy("bucket").count().filter(F.col("count") > CROWD).select("bucket")
+    some = near.join(crowded, "bucket", "left_semi").join(payload.select("key", "shingles"), "key").select("key", "shingle", "bucket", "shingles")
+    groups = near.join(crowded, "bucket", "left_anti").select("key", "bucket").unionByName(some.mapInArrow(_second, "key long, bucket long"))
+    groups = tables.store(_sized(groups))
+    tables.drop(near)
+    found = tables.store(link(groups, payload, _compare, "long", count=False))
+    tables.drop(groups, payload)
+    roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), tables)
+    tables.drop(found)
+    tied = roots.select(F.col("id").alias("key"), "root").union(roots.select(F.col("root").alias("key"), "root").distinct())
+    keys = units.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    keys = tables.store(keys.join(tied, "key", "left").filter("least < last or root is not null"))
+    classes = keys.filter("root is not null").groupBy("root").agg(F.min("least").alias("class_least"), F.max("last").alias("class_last"))
+    named = keys.join(classes, "root", "left")
+    named = named.select("key", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_last", "last").alias("last"))
+    named = tables.store(named.filter("class_id < last").select("key", "class_id"))
+    tables.drop_all(keep=(units, named))
+    out = units.join(named, "key")
+    return out.select("doc_id", "start", "end", "class_id", (F.col("doc_id") != F.col("class_id")).alias("removed"))

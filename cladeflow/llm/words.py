@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 
 def _table() -> bytes:
@@ -71,3 +74,13 @@ def shingle_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += word_hash[k : n - width + 1 + k]
     return mix64(out)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts with about ``most`` bytes of a text column together."""
+    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)])
+    group = (np.cumsum(sizes) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
