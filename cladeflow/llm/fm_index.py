@@ -65,13 +65,13 @@ class FMIndex:
         self.sample_at = np.append(0, np.cumsum(kept))
         self.positions = order[kept]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of suffixes that begin with each row of ``phrases``."""
-        m = len(phrases)
+    def search(self, sequence: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of suffixes that begin with the ``width`` symbols of ``sequence`` from each start."""
+        m = len(starts)
         low, high = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
         live = np.arange(m)
-        for j in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[live, j]
+        for j in range(width - 1, -1, -1):
+            symbol = sequence[starts[live] + j].astype(np.int64)
             low[live] = self.before[symbol] + self.wavelet.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.wavelet.rank(symbol, high[live])
             live = live[low[live] < high[live]]

@@ -33,7 +33,7 @@ def brute(text, items, width=13):
 def test_index_finds_every_occurrence(runs, phrase):
     text = np.array([s for r in runs for s in [*r, 0]])
     index = FMIndex(text, 3, sample=3)
-    low, high = index.search(np.array([phrase]))
+    low, high = index.search(np.array(phrase), np.array([0]), len(phrase))
     found = sorted(index.locate(np.arange(low[0], high[0])).tolist())
     m = len(phrase)
     assert found == [i for i in range(len(text)) if text[i : i + m].tolist() == phrase]
@@ -67,8 +67,8 @@ def test_operator_in_blocks_with_clashing_columns(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     named = [("null" if i is None else str(i), t) for i, t in items]
     expected = sorted((i, *brute(t, named)[:3]) if i is not None else (-1, *brute(t, named)[:3]) for i, t, _ in rows)
-    for block_bytes in (1 << 20, 40):
-        found = decontaminate(frame, bench, ["doc_id", "n_words"], block_bytes=block_bytes, shard_words=50).collect()
+    for block_words in (1 << 20, 20):
+        found = decontaminate(frame, bench, ["doc_id", "n_words"], block_words=block_words, shard_words=50).collect()
         got = sorted((-1 if r["row"]["doc_id"] is None else r["row"]["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found)
         assert got == expected
 
@@ -80,3 +80,40 @@ def test_rule_and_empty_tables(spark):
     one = spark.createDataFrame([(7, "k l")], "item_id long, text string")
     assert decontaminate(docs, one, ["doc_id"]).select(contaminated().alias("x"), "spans").first() == (False, [(100, 102)])
     assert decontaminate(docs.limit(0), one, ["doc_id"]).count() == 0
+
+
+def test_long_items_and_texts_in_several_blocks(spark, monkeypatch):
+    from cladeflow.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "PART", 40)
+    draw = random.Random(9)
+    say = lambda n: " ".join("t%d" % draw.randint(0, 5000) for _ in range(n))
+    items = [(i, say(n)) for i, n in enumerate((300, 52, 53, 40, 13, 12, 4))]
+    long = items[0][1].split()
+    docs = [say(30_000) + " " + " ".join(long[k : k + 14]) + " " + say(10) for k in range(0, 280, 9)] + [t for _, t in items]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_words=120).collect()
+    windows = {}
+    for name, t in items:
+        w = t.split()
+        for at in range(max(1, len(w) - 12)):
+            windows.setdefault(tuple(w[at : at + 13]), set()).add(str(name))
+    widths = {len(w) for w in windows}
+    for r in found:
+        w, hit, names = docs[r["row"]["doc_id"]].split(), set(), set()
+        for k in widths:
+            for at in range(len(w) - k + 1):
+                of = windows.get(tuple(w[at : at + k]))
+                if of:
+                    hit.update(range(at, at + k))
+                    names |= of
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(names))
+
+
+def test_a_block_of_unlike_words_is_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    Phrases([("i", " ".join("w%d" % k for k in range(200_000)))], 13)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
