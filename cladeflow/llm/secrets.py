@@ -1,9 +1,11 @@
 """Secret scans: known forms of credentials, and strings that pass a battery of randomness tests.
 
-Spark functions only. A randomness candidate is tested against uniform draws from the alphabet of the encoding it
-is written in: chi-squared counts of characters, runs above and below the middle of the alphabet, and serial
-correlation. Strings shown to be not random, with the share of false such findings controlled among strings of
-like length and encoding, are let go; the others are reported.
+Spark functions only. A candidate is tested in the encoding that it is written in: chi-squared evenness of its characters,
+runs of one class of characters, and serial correlation. The null hypothesis is an ordinary string: characters no more even,
+changes of class no more frequent and neighbours no less alike than in names, paths and words. Strings that are shown not to be
+ordinary are reported; the share of ordinary ones among them is controlled, among strings of like length and
+encoding, by the Benjamini-Hochberg rule, so that short strings need what long ones have to spare. A string that the same
+tests show to be no random draw either, such as a count or a repeat, is let go.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from cladeflow.llm.shared_files import Tables, columns
+
 # The known forms. Each is matched leftmost, without overlap; too short matches are dropped after.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -29,15 +33,20 @@ SEGMENT, MIXED_PARTS, RUN_LENGTH = r"[A-Za-z0-9+/_-]+=*", (r"[A-Za-z0-9+/]+=*",
 
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Encodings, most special first: name, what a string in it looks like, its alphabet.
+#: Encodings, most special first: name, what a string in it looks like, its alphabet, where its second and later classes of
+#: characters begin, and how uneven ordinary strings are at least (``k`` times the sum of squared shares, less 1).
 ENCODINGS = (
-    ("hex", r"^[0-9a-f]+$", DIGITS + "abcdef"),
-    ("HEX", r"^[0-9A-F]+$", DIGITS + "ABCDEF"),
-    ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567"),
-    ("alphanumeric", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
-    ("base64", r"^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
-    ("url-safe", r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    ("hex", r"^[0-9a-f]+$", DIGITS + "abcdef", (10,), 0.6),
+    ("HEX", r"^[0-9A-F]+$", DIGITS + "ABCDEF", (10,), 0.6),
+    ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567", (26,), 1.0),
+    ("alphanumeric", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, (26, 52), 2.0),
+    ("base64", r"^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/", (26, 52, 62), 2.0),
+    ("url-safe", r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", (26, 52, 62), 2.0),
 )
+#: Ordinary strings change class at most so often, of random ones' changes; their neighbours' correlation is this at least.
+CHANGES, ALIKE = 0.5, 0.3
+#: A random string is let go with this chance.
+LET_GO = 1e-3
 #: Steps of -log10 p: 20 a decade, none past 30 decades. Bounds the table from which thresholds are taken.
 STEPS, MOST = 20, 600
 #: Elements whose lengths are added up one by one; longer arrays are summed in chunks of so many.
@@ -116,60 +125,104 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _battery(codes: Column, pairs: Column, k: Column) -> Column:
-    """Combined p of the three tests, for a string's places in an alphabet of ``k`` and its neighbouring pairs."""
+def _noncentral_tail(x: Column, free: Column, shift: Column) -> Column:
+    """Lower tail of the noncentral chi-squared distribution, by Sankaran's approximation."""
+    mean = free + shift
+    h = 1 - 2 * mean * (free + 3 * shift) / (3 * (free + 2 * shift) * (free + 2 * shift))
+    p = (free + 2 * shift) / (mean * mean)
+    m = (h - 1) * (1 - 3 * h)
+    z = (F.pow(x / mean, h) - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * F.sqrt(2 * p) * (1 + 0.5 * m * p))
+    return _normal_tail(-z)
+
+
+def _measured(s: Column) -> dict[str, Column]:
+    """Statistics of a string's ``codes`` (places in an alphabet of ``k``) and neighbouring ``pairs``."""
+    codes, pairs, k = s["codes"], s["pairs"], s["k"]
     n = F.size(codes).cast("double")
     counts = F.transform(F.sequence(F.lit(0), k - 1), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
-    free = k - 1
+    class_of = lambda x: F.size(F.filter(s["bounds"], lambda b: b <= x))
+    middle = (k - 1).cast("double") / 2
+    return {
+        "n": n,
+        "chi": F.greatest(squares * k / n - n, F.lit(1e-9)),
+        "changes": F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (class_of(x["a"]) != class_of(x["b"])).cast("double")),
+        "serial": F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (x["a"] - middle) * (x["b"] - middle)) / (n - 1) / ((k * k - 1) / 12),
+    }
+
+
+def _judged(s: Column) -> dict[str, Column]:
+    """From those: whether the string is no random draw, and half of Fisher's statistic of the tests whether it is ordinary."""
+    n, free = s["n"], (s["k"] - 1).cast("double")
+    runs = lambda rate, off: (s["changes"] - off - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
     part = 2 / (9 * free)
-    chi = F.greatest((squares * k / n - n) / free, F.lit(1e-9))
-    p_chi = _normal_tail((F.pow(chi, F.lit(1 / 3)) - (1 - part)) / F.sqrt(part))
-    half = free / 2
-    crosses = lambda x: ((x["a"] > half) != (x["b"] > half)).cast("double")
-    changes = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + crosses(x))
-    p_runs = 2 * _normal_tail(F.abs((changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)))
-    product = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x["a"] - half) * (x["b"] - half))
-    p_serial = 2 * _normal_tail(F.abs(product / F.sqrt(n - 1) / ((k * k - 1) / 12)))
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+    uneven = _normal_tail((F.pow(s["chi"] / free, F.lit(1 / 3)) - (1 - part)) / F.sqrt(part))
+    regular = 2 * _normal_tail(F.abs(runs(s["rate"], 0)))
+    bound = 2 * _normal_tail(F.abs(s["serial"] * F.sqrt(n - 1)))
+    p_chi = _noncentral_tail(s["chi"], free, n * s["uneven"])
+    p_runs = _normal_tail(runs(s["rate"] * CHANGES, 0.5))
+    p_serial = _normal_tail((ALIKE - s["serial"]) * F.sqrt((n - 1) / (1 - ALIKE * ALIKE)))
+    logs = [F.log(F.greatest(p, F.lit(1e-300))) for p in (p_chi, p_runs, p_serial)]
+    return {"not_random": 3 * F.least(uneven, regular, bound) < LET_GO, "half": -(logs[0] + logs[1] + logs[2])}
+
+
+def _step(s: Column) -> Column:
+    """Steps of -log10 p that the string is ordinary. Fisher's statistic has a chi-squared distribution of six degrees of
+    freedom, whose tail is in closed form."""
+    half = s["half"]
+    told = (half - F.log(1 + half + half * half / 2)) / 2.302585092994046
+    return F.when(s["not_random"], 0).otherwise(F.least(F.lit(MOST), F.floor(STEPS * F.greatest(told, F.lit(0.0))).cast("int")))
 
 
 def _candidates(df: DataFrame, entropy: float) -> DataFrame:
     """Turns the spans in ``random`` into candidates with ``stratum`` (length and encoding) and ``step`` of their p."""
-    alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
+    told = [
+        F.struct(
+            F.lit(a).alias("alphabet"),
+            F.array(*map(F.lit, bounds)).alias("bounds"),
+            F.lit(uneven).alias("uneven"),
+            F.lit(1 - sum(((hi - lo) / len(a)) ** 2 for lo, hi in zip((0, *bounds), (*bounds, len(a))))).alias("rate"),
+        )
+        for _, _, a, bounds, uneven in ENCODINGS
+    ]
+    encodings = F.array(*told)
 
     def named(s: Column) -> Column:
         at = F.lit(None).cast("int")
-        for i, (_, looks, _) in reversed(list(enumerate(ENCODINGS))):
+        for i, (_, looks, *_) in reversed(list(enumerate(ENCODINGS))):
             at = F.when(s["value"].rlike(looks), i).otherwise(at)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.rtrim(s["value"], F.lit("=")).alias("bare"), at.alias("at"))
 
     def spelled(s: Column) -> Column:
-        alphabet = F.element_at(alphabets, s["at"] + 1)
-        codes = F.transform(F.split(s["bare"], ""), lambda c: F.instr(alphabet, c) - 1)
+        of = F.element_at(encodings, s["at"] + 1)
+        codes = F.transform(F.split(s["bare"], ""), lambda c: F.instr(of["alphabet"], c) - 1)
         length = F.floor(F.log2(F.length(s["bare"]).cast("double"))).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (length * len(ENCODINGS) + s["at"]).alias("stratum"), F.length(alphabet).alias("k"), codes.alias("codes"))
+        stratum = (length * len(ENCODINGS) + s["at"]).alias("stratum")
+        return F.struct(
+            *[s[c].alias(c) for c in ("start", "end")], stratum, F.length(of["alphabet"]).alias("k"), codes.alias("codes"), *[of[c].alias(c) for c in ("bounds", "uneven", "rate")]
+        )
 
     def paired(s: Column) -> Column:
         last = F.size(s["codes"]) - 1
         pairs = F.zip_with(F.slice(s["codes"], 1, last), F.slice(s["codes"], 2, last), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["stratum"].alias("stratum"), s["k"].alias("k"), s["codes"].alias("codes"), pairs.alias("pairs"))
+        return F.struct(*[s[c].alias(c) for c in ("start", "end", "stratum", "k", "codes", "bounds", "uneven", "rate")], pairs.alias("pairs"))
 
-    def tested(s: Column) -> Column:
-        p = _battery(s["codes"], s["pairs"], s["k"])
-        step = F.least(F.lit(MOST), F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-31)))).cast("int"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["stratum"].alias("stratum"), step.alias("step"))
+    def with_(new: dict[str, Column], s: Column, kept: tuple[str, ...]) -> Column:
+        return F.struct(*[s[c].alias(c) for c in ("start", "end", "stratum", *kept)], *[x.alias(c) for c, x in new.items()])
 
     is_mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
     mixed = F.filter(F.flatten(F.transform(F.filter("random", is_mixed), _parts)), is_mixed)
-    bits = F.array(*[F.lit(len(a).bit_length() - 1) for _, _, a in ENCODINGS])
+    bits = F.array(*[F.lit(len(a).bit_length() - 1) for _, _, a, *_ in ENCODINGS])
     enough = lambda s: s["at"].isNotNull() & (F.length(s["bare"]) * F.element_at(bits, s["at"] + 1) >= entropy)
     candidates = F.filter(F.transform(mixed, named), enough)
-    return df.withColumn("random", F.transform(F.transform(F.transform(candidates, spelled), paired), tested))
+    # one after another, so that nothing is computed twice
+    measured = F.transform(F.transform(F.transform(candidates, spelled), paired), lambda s: with_(_measured(s), s, ("k", "uneven", "rate")))
+    judged = F.transform(measured, lambda s: with_(_judged(s), s, ()))
+    return df.withColumn("random", F.transform(judged, lambda s: with_({"step": _step(s)}, s, ())))
 
 
 def _thresholds(candidates: DataFrame, rate: float) -> dict[int, int]:
-    """Of each stratum: the least step at which a string counts as not random, by the Benjamini-Hochberg rule."""
+    """Of each stratum: the least step at which a string counts as not ordinary, by the Benjamini-Hochberg rule."""
     rows = candidates.select(F.explode("random").alias("c")).groupBy("c.stratum", "c.step").agg(F.count("*").alias("n"))
     by = W.Window.partitionBy("stratum")
     rank = F.sum("n").over(by.orderBy(F.desc("step")))
@@ -181,24 +234,21 @@ def _thresholds(candidates: DataFrame, rate: float) -> dict[int, int]:
 
 
 def _scan(docs: DataFrame, carry: list[str], rate: float, entropy: float) -> DataFrame:
-    base = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    asked = _candidates(_with_spans(base.select("text"), "random", RUN), entropy)
-    limits = _thresholds(asked, rate)
-    scanned = base
+    """``row`` and the spans of each kind. Texts are searched once: spans are kept in the shared folder while the thresholds
+    of all documents are found."""
+    scanned = docs.select(F.struct(*columns(carry)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for kind, pattern in zip(KINDS, (ASSIGN, LONG_ACCESS, LONG_HEX, RUN)):
         scanned = _with_spans(scanned, kind, pattern)
-    scanned = _candidates(scanned, entropy)
-    if limits:
-        by_stratum = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
-        limit = lambda c: F.coalesce(F.try_element_at(by_stratum, c["stratum"]), F.lit(MOST + 1))
-        scanned = scanned.withColumn("random", F.filter("random", lambda c: c["step"] < limit(c)))
-    return scanned
+    held = Tables(docs.sparkSession).store(_candidates(scanned, entropy).select("row", *KINDS))
+    limits = _thresholds(held, rate)
+    by_stratum = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv]) if limits else F.lit(None).cast("map<int,int>")
+    limit = lambda c: F.coalesce(F.try_element_at(by_stratum, c["stratum"]), F.lit(MOST + 1))
+    return held.withColumn("random", F.filter("random", lambda c: c["step"] >= limit(c)))
 
 
 def _joined(*kinds: str) -> Column:
     """``kind:start:end`` of all spans, by start and then by kind as listed."""
 
-
     def placed(at: int) -> Column:
         return F.transform(KINDS[at], lambda s: F.struct(s["start"].alias("start"), F.lit(at).alias("at"), s["end"].alias("end")))
 
@@ -214,9 +264,9 @@ def find_secrets(docs: DataFrame, carry: list[str], rate: float = 0.05, entropy:
     of the known forms and of all kinds, in code points, end exclusive.
 
     A candidate of the kind ``random`` has letters and digits and at least ``entropy`` bits of its encoding;
-    A run of such characters that no encoding fits is tested in parts, which may overlap.
-    ``rate`` bounds the expected share of truly random strings among those let go as not random, in each
-    encoding and range of lengths. A null text counts as empty. Repeated rows and other columns do no harm; an
+    a run of such characters that no encoding fits is tested in parts, which may overlap.
+    ``rate`` bounds the expected share of ordinary strings among those reported, in each encoding and range of lengths.
+    A null text counts as empty. Repeated rows and other columns do no harm; an
     empty table gives no rows.
     """
     scanned = _scan(docs, carry, rate, entropy)
@@ -227,7 +277,8 @@ def find_secrets(docs: DataFrame, carry: list[str], rate: float = 0.05, entropy:
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rate: float = 0.05, entropy: float = 80.0) -> DataFrame:
     """``docs`` with every found span, overlapping ones as one, replaced by ``mask`` in ``text``; a text without
     a span stays as it is, also a null one."""
-    scanned = _scan(docs, docs.columns, rate, entropy)
+    names = docs.columns
+    scanned = _scan(docs, names, rate, entropy).withColumn("text", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
     plain = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
     scanned = scanned.withColumn("_spans", plain)
     kept = F.aggregate(
@@ -250,4 +301,4 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rate: float = 0.05, en
     scanned = scanned.withColumn("_kept", F.when(F.size("_spans") > 0, kept))
     rest = F.substring(F.col("text"), (F.col("_kept.at") + 1).cast("int"), F.length("text"))
     masked = F.when(F.col("_kept").isNotNull(), F.concat("_kept.out", rest)).otherwise(F.col("row.text"))
-    return scanned.select(*[masked.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return scanned.select(*[masked.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names])
