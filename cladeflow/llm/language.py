@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladeflow.llm.shared_files import columns
+
 GRAM = 3
 #: Bytes that are looked up at once: bounds memory, also for very long texts.
 SLICE = 1 << 20
@@ -82,8 +84,8 @@ class LanguageModel:
     languages: list[str]
     code: np.ndarray  # language x bit
     weights: np.ndarray  # n-gram bucket x bit: log odds of the bit being +1
-    trust: np.ndarray  # of each bit, from its accuracy on the sample
-    usual: np.ndarray  # mean size of each bit's log odds per n-gram, on the sample
+    trust: np.ndarray  # of each bit, from its accuracy on texts not learnt from
+    usual: np.ndarray  # mean size of each bit's log odds per n-gram, on the same texts
 
     #: n-grams beyond which more text makes a bit no surer
     FULL = 60.0
@@ -110,7 +112,7 @@ def fit_languages(docs: DataFrame, buckets: int = 1 << 13, per_language: int = 2
     """Learn from the ``text`` and ``lang`` of ``docs``; rows where either is null are left out.
 
     At most about ``per_language`` texts of a language are used (the documented bound of the sample: rows whose
-    text hashes lowest); of languages with fewer, all. N-grams are counted by the tasks, so only the counts of
+    text hashes lowest); of languages with fewer, all. Four in five give the counts, the others the trust in each bit. N-grams are counted by the tasks, so only the counts of
     ``buckets`` n-grams per language reach the driver. Without any labelled row the model has no language.
     """
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -121,19 +123,23 @@ def fit_languages(docs: DataFrame, buckets: int = 1 << 13, per_language: int = 2
         return LanguageModel([], codewords(0), np.zeros((buckets, 0)), np.zeros(0), np.zeros(0))
     share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))]), F.col("lang"))
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    # one text in five shows how far each bit can be trusted; equal texts stand on one side
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)) == 0
     counts = np.zeros((len(languages), buckets))
-    for lang, bucket, n in sample.mapInArrow(_counter(languages, buckets), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect():
+    for lang, bucket, n in sample.filter(~fold).mapInArrow(_counter(languages, buckets), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect():
         counts[lang, bucket] = n
     chance = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
     code = codewords(len(languages))
     weights = np.stack([np.log(chance[c > 0].mean(0)) - np.log(chance[c < 0].mean(0)) for c in code.T], axis=1) if code.shape[1] else np.zeros((buckets, 0))
     model = LanguageModel(languages, code, weights.astype(np.float32), np.ones(code.shape[1]), np.ones(code.shape[1]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    right = sample.mapInArrow(_bit_checker(shared), "bit int, wrong double, size double, n double").groupBy("bit").agg(F.sum("wrong"), F.sum("size"), F.sum("n")).collect()
+    right = sample.filter(fold).mapInArrow(_bit_checker(shared), "bit int, wrong double, size double, n double").groupBy("bit").agg(F.sum("wrong"), F.sum("size"), F.sum("n")).collect()
     for bit, wrong, size, n in right:
         model.usual[bit] = size / max(n, 1)
         model.trust[bit] = np.log((n - wrong + 0.5) / (wrong + 0.5))
     model.trust = np.maximum(model.trust, 0.0)
+    if not model.trust.any():  # too few texts to tell
+        model.trust = np.ones_like(model.trust)
     model.trust /= max(model.trust.mean(), 1e-12) if len(model.trust) else 1.0
     return model
 
@@ -192,7 +198,7 @@ def detect_language(docs: DataFrame, model: LanguageModel, carry: list[str], tol
         ]
     )
     text = F.col("text").cast("string")
-    asked = docs.select(F.struct(*carry).alias("row"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
+    asked = docs.select(F.struct(*columns(carry)).alias("row"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -1,12 +1,14 @@
 """Packing of tokenised documents into near-equal windows by Karmarkar-Karp multiway differencing.
 
 One pass, no shuffle: every task tokenises its rows, cuts documents into pieces, and closes a batch of
-windows whenever its pieces fill ``batch_windows`` windows. Memory is bounded by one batch and one text.
+windows whenever its pieces fill ``batch_windows`` windows. Memory is bounded by one batch and a
+megabyte of texts, or one longer text.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.llm.words import slices
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
     "sequence_tokens long"
@@ -28,9 +32,15 @@ class WordTokenizer:
 
     A text of Latin-1 characters is cut where the vocabulary's pre-tokenizer cuts; words not seen before go
     to the tokenizer many at a time, and the last id of each ends a word. Any other text goes to the
-    tokenizer whole.
+    tokenizer whole, and so does every text if the tokenizer's settings are others than those below.
     """
 
+    # The settings of a tokenizer file for which the cuts hold.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
     LETTER, DIGIT, BLANK = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
     PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{DIGIT}]|[^{LETTER}{DIGIT}{BLANK}]+")
 
@@ -39,6 +49,10 @@ class WordTokenizer:
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.end = np.array([end_id], "<u4").tobytes()
+        settings = json.loads(self.tokenizer.to_str())
+        model = {k: v for k, v in settings["model"].items() if k not in ("vocab", "merges")}
+        cuts = {"type": "Sequence", "pretokenizers": [self.SPLIT, self.BYTES]}
+        self.known_settings = (settings["normalizer"], settings["pre_tokenizer"], model, settings["truncation"]) == (self.NORMALIZER, cuts, self.MODEL, None)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -74,7 +88,7 @@ class WordTokenizer:
             text = text or ""
             try:
                 text.encode("latin-1")
-                by_piece = not any(s in text for s in self.special)
+                by_piece = self.known_settings and not any(s in text for s in self.special)
             except UnicodeEncodeError:
                 by_piece = False
             if not by_piece:
@@ -196,9 +210,8 @@ def pack(
             held_tokens = 0
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                for doc, data in zip(ids[at : at + 256], encoder.encode(texts[at : at + 256].to_pylist())):
+            for part in slices(batch, 1):
+                for doc, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                     n = len(data) // 4
                     view = memoryview(data)
                     full, rest = _cut(n, capacity, least)

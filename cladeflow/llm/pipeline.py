@@ -11,40 +11,50 @@ from cladeflow.llm.language import UNDETERMINED, detect_language, fit_languages
 from cladeflow.llm.packing import pack
 from cladeflow.llm.queries import held_out, table, tokenizer_path
 from cladeflow.llm.secrets import mask_secrets
-from cladeflow.llm.shared_files import release_shuffles, stored
+from cladeflow.llm.shared_files import Tables
 
 
 def _rows(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return found.select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected: texts without a letter, and those for which no language gets half of the score."""
-    model = fit_languages(docs.filter(F.coalesce(~held_out(), F.lit(True))))
+    """Rejected: null texts and texts without a letter, and those for which no language gets half of the score. Repeated rows
+    are decided alike; without a labelled document all go, as nothing can be told."""
+    model = fit_languages(docs.filter(~held_out()))
     found = detect_language(docs, model, docs.columns)
     return _rows(found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; of repeated rows, one."""
+    """Of each group of near copies the document with the least id stays; of rows with one id and text, one.
+
+    Texts without words, null ones too, are copies of nothing. Documents that share an id, or have none, stay together
+    or go together. An empty table stays empty.
+    """
+    tables = Tables(spark)
     found = similar_documents(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
-    kept = stored(kept)
-    del found
-    release_shuffles(spark)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = tables.store(kept)
+    names = docs.columns
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column's name can clash with another
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
     # the kept ids grow with the documents: no broadcast at any size
-    out = docs.join(kept.select("kept").hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if kept.filter("n > 1").limit(1).count() else out
+    told = renamed.join(kept.hint("merge"), renamed[doc_id].eqNullSafe(kept["_kept"]))
+    lone = told.filter("_rows = 1").select(*renamed.columns)
+    several = told.filter("_rows > 1").select(*renamed.columns).dropDuplicates([doc_id, text])
+    return lone.unionByName(several).toDF(*names)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go: some word lies in a window of the benchmark, and at least one in twenty. Null and empty
+    texts stay, repeated rows are decided alike; an empty benchmark or table takes nothing away."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), docs.columns)
     return _rows(found.filter(~contaminated()), docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; ``n_chars`` follows the text."""
+    """Secrets are masked; ``n_chars`` follows the text. No document goes; a null text stays null."""
     masked = mask_secrets(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -52,7 +62,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens. A null or empty text is the end id alone; repeated rows are
+    packed as often as they stand there; an empty table gives no pieces."""
     return pack(docs, tokenizer_path())
 
 
@@ -69,7 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        kept = tables.store(stage(spark, docs, sf_dir))
+        if at:
+            tables.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladeflow.llm.shared_files import columns
+
 VIEWS = ("text", "meta")
 BUCKETS = {"text": 1 << 13, "meta": 1 << 12}
 #: Raw scores are counted in so many bins from -SPAN to SPAN for calibration.
@@ -76,7 +78,7 @@ def _prepared(docs: DataFrame, labels: DataFrame, most_labels: int, carry: list[
     size = F.floor(F.log2(F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)) + 2)).cast("string")
     named = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("?"))) for c in META[:2]] + [F.concat(F.lit("size="), F.coalesce(size, F.lit("?")))]
     rows = docs.select(
-        F.struct(*carry).alias("row"),
+        F.struct(*columns(carry)).alias("row"),
         F.col("doc_id").cast("long").alias("_id"),
         F.col("text").cast("string").alias("text"),
         F.array(*[F.pmod(F.xxhash64(c), F.lit(BUCKETS["meta"])).cast("int") for c in named]).alias("meta"),

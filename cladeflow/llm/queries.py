@@ -11,7 +11,7 @@ from cladeflow.llm.decontaminate import contaminated, decontaminate
 from cladeflow.llm.jaccard_join import similar_documents
 from cladeflow.llm.language import detect_language, fit_languages
 from cladeflow.llm.packing import pack
-from cladeflow.llm.paragraphs import repeated_units
+from cladeflow.llm.paragraphs import repeated_paragraphs
 from cladeflow.llm.quality import score_quality
 from cladeflow.llm.secrets import find_secrets
 from cladeflow.llm.sharding import shard_by_bytes
@@ -46,15 +46,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out():
-    """One document in four is kept from learning: crc32 of its id as text, modulo 4, is 2."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """One document in four is kept from learning: crc32 of its id as text, modulo 4, is 2. A null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_languages(docs.filter(F.coalesce(~held_out(), F.lit(True))))
+    model = fit_languages(docs.filter(~held_out()))
     found = detect_language(docs, model, ["doc_id"])
-    return found.select("row.doc_id", "lang_pred", "score", "ambiguous").withColumn("held_out", held_out())
+    return found.select("row.doc_id", "lang_pred", "score", "ambiguous").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"))
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

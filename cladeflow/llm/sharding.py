@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cladeflow.llm.shared_files import checkpointed
+from cladeflow.llm.shared_files import Tables, columns
 
 #: Bits of the hash by which ranges are told apart, coarse to fine.
 LEVELS = (12, 20, 28, 36, 44, 52, 64)
@@ -132,23 +132,26 @@ def shard_by_bytes(docs: DataFrame, carry: list[str], shards: int = 8) -> DataFr
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select(
-        F.struct(*carry).alias("row"),
+        F.struct(*columns(carry)).alias("row"),
         F.xxhash64(text).alias("key"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    groups = checkpointed(sized.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    tables = Tables(docs.sparkSession)
+    groups = tables.store(sized.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     total = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
     shard = F.lit(0)
     for cut in find_cuts(groups, shards):
         if cut is not None:
             shard = shard + (F.col("key") >= F.lit(cut)).cast("int")
+    tables.drop(groups)
     salts = 1 + total // (shards * SLOTS)
     placed = sized.withColumn("shard", shard).withColumn("salt", F.pmod(F.xxhash64("row", "text_crc32"), F.lit(salts)))
     counts = placed.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     by_shard = W.Window.partitionBy("shard").orderBy("salt").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "salt", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before"))
-    inside = W.Window.partitionBy("shard", "salt").orderBy("key", "text_crc32")
+    # by the whole row: what is equal here may change places, so that a task that runs again gives out the same slots
+    inside = W.Window.partitionBy("shard", "salt").orderBy("key", "text_crc32", "size", "row")
     numbered = placed.withColumn("at", F.row_number().over(inside) - 1)
     slot = (F.col("before") + F.col("at")).cast("long").alias("slot")
     return numbered.join(offsets, ["shard", "salt"]).select("row", "size", "text_crc32", "shard", slot)
