@@ -9,6 +9,7 @@ a row. These rules are the same for groups of all sizes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,13 @@ BLOCK = 256
 PAIRS = 1 << 17
 #: Members of a bucket that are held at a time.
 CHUNK = 1 << 16
+#: Rows that are compared with all others before the rest, where only ties count.
+LEADERS = 4
 #: Buckets of more members are searched from seeds and not pair by pair.
 FEW = 8
 
-#: Given columns of payload and pairs of positions in them, tells which pairs are links.
-Compare = Callable[[dict[str, list], np.ndarray, np.ndarray], np.ndarray]
+#: Given what was made of the columns of payload and pairs of positions in them, tells which pairs are links.
+Compare = Callable[[Any, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _agree(sketch: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
@@ -142,9 +145,10 @@ def meetings(members: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("group").alias("group"), low, high, (F.col("mine") > F.col("other")).cast("int").alias("side"), "key")
 
 
-def link(members: DataFrame, payload: DataFrame, compare: Compare, key_type: str, count: bool = True) -> DataFrame:
+def link(members: DataFrame, payload: DataFrame, prepare: Callable[[dict[str, list]], Any], compare: Compare, key_type: str, count: bool = True) -> DataFrame:
     """Rows ``key``, ``linked`` and ``root``: a share of the ``copies`` that a key links to, to be added up, and a
-    smaller or equal key that it is tied to. ``payload`` has ``key``, ``copies`` and columns for ``compare``. Without
+    smaller or equal key that it is tied to. ``payload`` has ``key``, ``copies`` and columns
+    that ``prepare`` makes ready for ``compare``, once for many meetings. Without
     ``count``, what is tied already is not compared, and ``linked`` is 1."""
     columns = [c for c in payload.columns if c not in ("key", "copies")]
     rows = meetings(members).join(payload, "key").select("group", "low", "high", "side", "key", "copies", *columns)
@@ -157,11 +161,11 @@ def link(members: DataFrame, payload: DataFrame, compare: Compare, key_type: str
             table = pa.concat_tables([held, table]) if held is not None else table
             ends = _ends(table)
             if len(ends) > 1:
-                yield from _compare_all(table.slice(0, ends[-2]), ends[:-1], columns, compare, count)
+                yield from _compare_all(table.slice(0, ends[-2]), ends[:-1], columns, prepare, compare, count)
                 table = table.slice(ends[-2])
             held = table
         if held is not None and len(held):
-            yield from _compare_all(held, _ends(held), columns, compare, count)
+            yield from _compare_all(held, _ends(held), columns, prepare, compare, count)
 
     return rows.mapInArrow(run, f"key {key_type}, linked long, root {key_type}")
 
@@ -174,11 +178,11 @@ def _ends(table: pa.Table) -> list[int]:
     return [*np.flatnonzero(new).tolist(), len(table)]
 
 
-def _compare_all(table: pa.Table, ends: list[int], columns: list[str], compare: Compare, count: bool) -> Iterator[pa.RecordBatch]:
+def _compare_all(table: pa.Table, ends: list[int], columns: list[str], prepare: Callable[[dict[str, list]], Any], compare: Compare, count: bool) -> Iterator[pa.RecordBatch]:
     side = table.column("side").to_numpy()
     two_blocks = table.column("low").to_numpy() < table.column("high").to_numpy()
     copies, keys = table.column("copies").to_numpy(), table.column("key").to_pylist()
-    data = {c: table.column(c).to_pylist() for c in columns}
+    data = prepare({c: table.column(c).to_pylist() for c in columns})
     linked, root = np.zeros(len(table), np.int64), list(range(len(table)))
 
     def top(i: int) -> int:
@@ -187,7 +191,16 @@ def _compare_all(table: pa.Table, ends: list[int], columns: list[str], compare:
             i = root[i]
         return i
 
+    def apart(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that are not tied yet."""
+        tops = np.array([top(i) for i in range(int(min(a.min(), b.min())), int(max(a.max(), b.max())) + 1)])
+        low = min(a.min(), b.min())
+        rest = tops[a - low] != tops[b - low]
+        return a[rest], b[rest]
+
     def settle(a: np.ndarray, b: np.ndarray) -> None:
+        if not count and len(a):
+            a, b = apart(a, b)
         yes = compare(data, a, b)
         a, b = a[yes], b[yes]
         if count:
@@ -202,13 +215,15 @@ def _compare_all(table: pa.Table, ends: list[int], columns: list[str], compare:
                     i, j = j, i
                 root[j] = i
 
-    def one_by_one(rows: np.ndarray, others: np.ndarray | None) -> None:
-        """Each row against those that it is not yet tied to."""
-        for k, i in enumerate(rows.tolist()):
-            rest, mine = rows[k + 1 :] if others is None else others, top(i)
-            rest = rest[[top(j) != mine for j in rest.tolist()]] if len(rest) else rest
-            if len(rest):
-                settle(np.full(len(rest), i), rest)
+    def leaders(some: np.ndarray, others: np.ndarray) -> None:
+        """A few rows against all others first: where most are copies of one, few pairs are left to compare."""
+        seen: set[int] = set()
+        for i in some.tolist():
+            if len(seen) == LEADERS:
+                break
+            if top(i) not in seen:
+                settle(np.full(len(others), i), others)
+                seen.add(top(i))
 
     left, right, waiting = [], [], 0
     for start, end in zip([0, *ends], ends):
@@ -217,15 +232,15 @@ def _compare_all(table: pa.Table, ends: list[int], columns: list[str], compare:
             high = side[start:end].astype(bool)
             one, two = start + np.flatnonzero(~high), start + np.flatnonzero(high)
             if not count:
-                one_by_one(one, two)
-                continue
+                leaders(one, two)
+                leaders(two, one)
             step = max(1, PAIRS // max(1, len(two)))
             for at in range(0, len(one), step):
                 some = one[at : at + step]
                 settle(np.repeat(some, len(two)), np.tile(two, len(some)))
-        elif n > 2 * FEW and not count:
-            one_by_one(np.arange(start, end), None)
         elif n > 1:
+            if n > 2 * FEW and not count:
+                leaders(np.arange(start, end), np.arange(start, end))
             i, j = np.triu_indices(n, 1)
             left.append(start + i)
             right.append(start + j)

@@ -50,6 +50,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+@lru_cache
 def needed_matches(threshold: float, tolerance: float) -> list[int]:
     """For each n: the fewest equal values of n with which a pair's posterior probability of reaching the
     threshold is ``tolerance`` or more. It is the chance of at most m successes in n + 1 draws."""
@@ -145,8 +146,13 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return product[left_at, right_at].astype(np.int64)
 
 
-def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    signature, needed = _values(data["signature"]), needed_matches(THRESHOLD, TOLERANCE)
+def _prepare(data: dict[str, list]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[int]]:
+    sets = [np.frombuffer(x, np.uint64) for x in data["shingles"]]
+    return _values(data["signature"]), sets, np.array([len(x) for x in sets]), needed_matches(THRESHOLD, TOLERANCE)
+
+
+def _compare(data: tuple[np.ndarray, list[np.ndarray], np.ndarray, list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    signature, sets, sizes, needed = data
     live, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for at in range(0, HASHES, STEP):
         part = slice(at, at + STEP)
@@ -154,11 +160,6 @@ def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         live = live[equal[live] >= needed[at + STEP]]
     yes = np.zeros(len(a), bool)
     if len(live):
-        used = np.unique(np.concatenate([a[live], b[live]])).tolist()
-        sets = {i: np.frombuffer(data["shingles"][i], np.uint64) for i in used}
-        sizes = np.zeros(max(used) + 1, np.int64)
-        for i in used:
-            sizes[i] = len(sets[i])
         shared = shared_counts(sets, a[live], b[live])
         union = sizes[a[live]] + sizes[b[live]] - shared
         yes[live] = shared >= THRESHOLD * union - 1e-9
@@ -186,7 +187,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     asked = docs.join(wanted.select("least"), docs["doc_id"].eqNullSafe(F.col("least")), "left_semi").select("text")
     sets = tables.store(asked.mapInArrow(_sets, "key binary, shingles binary"))
     payload = wanted.drop("least").join(sets, "key").dropDuplicates(["key"])
-    found = tables.store(link(groups, payload, _compare, "binary"))
+    found = tables.store(link(groups, payload, _prepare, _compare, "binary"))
     totals = found.groupBy("key").agg(F.sum("linked").alias("linked"))
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), tables)
     placed = classes.join(roots, classes["key"] == roots["id"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))

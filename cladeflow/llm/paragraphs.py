@@ -184,13 +184,17 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out).view(np.int64))], names=["key", "bucket"])
 
 
-def _compare(data: dict[str, list], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sizes = np.array([len(x) // 8 for x in data["shingles"]])
+def _prepare(data: dict[str, list]) -> tuple[list[np.ndarray], np.ndarray]:
+    sets = [np.frombuffer(x, np.uint64) for x in data["shingles"]]
+    return sets, np.array([len(x) for x in sets])
+
+
+def _compare(data: tuple[list[np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    sets, sizes = data
     yes = np.zeros(len(a), bool)
     live = np.flatnonzero(4 * np.maximum(sizes[a], sizes[b]) <= 5 * np.minimum(sizes[a], sizes[b]))
     if len(live):
         a, b = a[live], b[live]
-        sets = {i: np.frombuffer(data["shingles"][i], np.uint64) for i in np.unique(np.concatenate([a, b])).tolist()}
         shared = shared_counts(sets, a, b)
         yes[live] = shared >= THRESHOLD * (sizes[a] + sizes[b] - shared) - 1e-9
     return yes
@@ -236,7 +240,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     groups = near.join(crowded, "bucket", "left_anti").select("key", "bucket").unionByName(some.mapInArrow(_second, "key long, bucket long"))
     groups = tables.store(_sized(groups))
     tables.drop(near)
-    found = tables.store(link(groups, payload, _compare, "long", count=False))
+    found = tables.store(link(groups, payload, _prepare, _compare, "long", count=False))
     tables.drop(groups, payload)
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), tables)
     tables.drop(found)
