@@ -78,11 +78,12 @@ def _first(value: int) -> Column:
 
 def recoded_symbols(symbols: DataFrame) -> DataFrame:
     """Cells of generic characters: the symbols of a site are numbered by the first taxon that shows them, then by name;
-    a cell holds the bits of all its symbols."""
+    a cell holds the bits of all its symbols. Sites of more than 31 symbols have null masks."""
     site = ["aln_id", "site"]
     first = symbols.groupBy(*site, "symbol").agg(F.min("taxon").alias("first"))
     number = F.row_number().over(W.Window.partitionBy(*site).orderBy("first", "symbol")) - 1
-    coded = first.select(*site, "symbol", F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), number + 1).alias("bit"))
+    told = first.select(*site, "symbol", number.alias("number"), F.count("*").over(W.Window.partitionBy(*site)).alias("many"))
+    coded = told.select(*site, "symbol", F.when(F.col("many") < 32, F.expr("shiftleft(1, number)")).alias("bit"))
     return symbols.join(coded, [*site, "symbol"]).groupBy(*site, "taxon").agg(F.bit_or("bit").alias("mask"))
 
 

@@ -178,19 +178,19 @@ def _whole(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("aln_id").agg(row.alias("row"))
 
 
-def improved_trees(trees: DataFrame, patterns: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """Trees (aln_id, tree_id, parents, length) after taking the best bisection move while one is shorter."""
+def improved_trees(trees: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Trees (aln_id, tree_id, parents, length) after taking the best bisection move while one is shorter. Lengths fall in every
+    round, so that rounds end."""
     trees = checkpointed(trees.select("aln_id", "tree_id", "parents", "length"))
     done = trees.limit(0)
-    for _ in range(most_rounds):
+    while True:
         best = bisections(trees, patterns).groupBy("aln_id", "tree_id").agg(F.min(F.struct("length", "cut", "parents")).alias("best"))
         both = checkpointed(trees.join(best, ["aln_id", "tree_id"], "left"))
         shorter = F.coalesce(F.col("best.length") < F.col("length"), F.lit(False))
         done = done.unionByName(both.filter(~shorter).drop("best"))
         trees = both.filter(shorter).select("aln_id", "tree_id", F.col("best.parents").alias("parents"), F.col("best.length").alias("length"))
         if not trees.limit(1).count():
-            break
-    return done.unionByName(trees)
+            return done
 
 
 def start_trees(patterns: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from cladeflow import bound_sql
 from cladeflow.functions import dna
 from cladeflow.operators import bounds, pairs, prefixes, sites, trees
 from cladeflow.plans.storage import checkpointed
@@ -45,9 +46,11 @@ EVT = """seen AS (SELECT CAST(user_id % 3 AS VARCHAR) AS aln_id, CAST(day(ts) AS
     WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 4 WHEN 'view' THEN 8 WHEN 'error' THEN 15 END) AS mask FROM events GROUP BY 1, 2, 3),
   grid AS (SELECT DISTINCT s.aln_id, s.site, t.taxon FROM seen s JOIN (SELECT DISTINCT aln_id, taxon FROM seen) t USING (aln_id)),
   cells AS (SELECT aln_id, site, taxon, coalesce(mask, 15) AS mask FROM grid LEFT JOIN seen USING (aln_id, site, taxon))"""
-DOC = """letters AS (SELECT doc_id, lang AS aln_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents),
-  seqs AS (SELECT aln_id, row_number() OVER (PARTITION BY aln_id ORDER BY doc_id) - 1 AS taxon, 'd' || CAST(doc_id AS VARCHAR) AS label,
-    substr(seq, 1, 64) AS seq FROM letters WHERE length(seq) >= 64)"""
+IUPAC = "ACGTURYSWKMBDHVN?-"
+SEQS = "seqs AS (SELECT lang AS aln_id, doc_id AS taxon, upper(regexp_replace(text, '[^{0}]', '', 'g')) AS seq FROM documents)"
+DOC = SEQS.format("ACGTacgt")
+#: Letters of whole texts, for each language.
+LETTERS = SEQS.format(IUPAC[:-2].lower() + IUPAC) + ", l AS (SELECT aln_id, unnest(string_split(seq, '')) AS letter FROM seqs WHERE seq <> '')"
 COLS = "cols AS (SELECT aln_id, site, list(mask ORDER BY taxon) AS states FROM cells GROUP BY 1, 2)"
 #: Canonically recoded columns: bits by first taxon that shows them, then by base.
 RECODED = """bits AS (SELECT aln_id, site, taxon, b FROM cells, (VALUES (1), (2), (4), (8)) t(b) WHERE mask & b <> 0),
@@ -78,9 +81,9 @@ def found_patterns(cells: DataFrame) -> DataFrame:
 # --- projections and filters ---
 
 
-@register("p1_letter_to_mask", f"WITH {DOC}, l AS (SELECT aln_id, unnest(string_split(seq, '')) AS letter FROM seqs) SELECT aln_id, letter, CASE letter WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 END AS mask, count(*) AS n FROM l GROUP BY 1, 2, 3")
+@register("p1_letter_to_mask", f"WITH {LETTERS} SELECT aln_id, letter, CASE letter WHEN '?' THEN 15 WHEN '-' THEN 15 WHEN 'U' THEN 8 ELSE CAST(strpos('ACMGRSVTWYHKDBN', letter) AS INTEGER) END AS mask, count(*) AS n FROM l GROUP BY 1, 2, 3")
 def p1(spark, sf_dir):
-    letters = tables.sequences_from_documents(spark, sf_dir).select("aln_id", F.explode(F.split("seq", "")).alias("letter"))
+    letters = tables.sequences_from_documents(spark, sf_dir, IUPAC).select("aln_id", F.explode(F.split("seq", "")).alias("letter"))
     return letters.groupBy("aln_id", "letter", dna.mask_of_letter(F.col("letter")).alias("mask")).agg(F.count("*").alias("n"))
 
 
@@ -89,7 +92,7 @@ def p2(spark, sf_dir):
     return tables.from_events(spark, sf_dir).groupBy("aln_id", "mask", dna.letter_of_mask(F.col("mask")).alias("letter")).agg(F.count("*").alias("n"))
 
 
-@register("p3_letter_to_code", f"WITH {DOC}, l AS (SELECT aln_id, unnest(string_split(seq, '')) AS letter FROM seqs) SELECT aln_id, CASE letter WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 END AS code, count(*) AS n FROM l GROUP BY 1, 2")
+@register("p3_letter_to_code", f"WITH {DOC}, l AS (SELECT aln_id, unnest(string_split(seq, '')) AS letter FROM seqs WHERE seq <> '') SELECT aln_id, CASE letter WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 END AS code, count(*) AS n FROM l GROUP BY 1, 2")
 def p3(spark, sf_dir):
     letters = tables.sequences_from_documents(spark, sf_dir).select("aln_id", F.explode(F.split("seq", "")).alias("letter"))
     return letters.groupBy("aln_id", dna.code_of_letter(F.col("letter")).cast("int").alias("code")).agg(F.count("*").alias("n"))
@@ -100,7 +103,7 @@ def p4(spark, sf_dir):
     return sites.sequences_from_cells(emb(spark, sf_dir))
 
 
-@register("p4_sequences_to_cells", f"WITH {DOC}, l AS (SELECT aln_id, taxon, unnest(string_split(seq, '')) AS letter, unnest(generate_series(0, 63)) AS site FROM seqs) SELECT aln_id, site, taxon, CASE letter WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 END AS mask FROM l")
+@register("p4_sequences_to_cells", f"WITH {DOC}, l AS (SELECT aln_id, taxon, unnest(string_split(seq, '')) AS letter, unnest(generate_series(0, length(seq) - 1)) AS site FROM seqs WHERE seq <> '') SELECT aln_id, site, taxon, CASE letter WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 END AS mask FROM l")
 def p4b(spark, sf_dir):
     return sites.cells_from_sequences(tables.sequences_from_documents(spark, sf_dir))
 
@@ -732,9 +735,25 @@ def s1(spark, sf_dir):
     return phylip.parsed(files).filter("error is null").select(F.col("path").alias("aln_id"), "taxon", "label", "seq")
 
 
-@register("s2_rejected_texts", "SELECT CAST(doc_id AS VARCHAR) AS path, 1 AS line, 'no header of two numbers' AS error FROM documents")
+@register(
+    "s2_rejected_texts",
+    "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(CASE WHEN doc_id % 6 = 0 THEN 1 WHEN doc_id % 6 = 5 THEN 3 ELSE 2 END AS INTEGER) AS line, CASE doc_id % 6 WHEN 0 THEN 'no header of two numbers' "
+    "WHEN 1 THEN 'invalid character ' || chr(39) || '!' || chr(39) WHEN 2 THEN 'too few sites' WHEN 3 THEN 'too many characters' WHEN 4 THEN 'lines are missing' ELSE 'rows of a group differ in length' END AS error FROM documents",
+)
 def s2(spark, sf_dir):
-    files = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value"))
+    """Whole texts as they are, and alignments of their letters with one fault each."""
+    letters = F.coalesce(F.regexp_replace("text", "[^ACGTacgt]", ""), F.lit(""))
+    name, n = "taxon     ", F.length(letters)
+    kinds = [
+        F.col("text"),
+        F.concat(F.lit("1 "), n + 1, F.lit("\n" + name), letters, F.lit("!")),
+        F.concat(F.lit("1 "), n + 1, F.lit("\n" + name), letters),
+        F.concat(F.lit("1 "), n, F.lit("\n" + name), letters, F.lit("A")),
+        F.concat(F.lit("2 "), n + 1, F.lit("\n" + name), letters),
+        F.concat(F.lit("2 "), n + 5, F.lit("\n" + name), letters, F.lit("\n" + name), letters, F.lit("A")),
+    ]
+    text = F.element_at(F.array(*kinds), F.pmod(F.col("doc_id"), F.lit(6)).cast("int") + 1)
+    files = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("value"))
     return phylip.parsed(files).filter("error is not null").select("path", "line", "error")
 
 
@@ -780,3 +799,6 @@ def s11(spark, sf_dir):
     parts = bound.join(prefixes.additive_scores(cells, part, 3), ["aln_id", "part_id"])
     parts = parts.withColumn("final", dna.part_score("additive", F.col("lower"), F.col("upper"), F.col("additive")))
     return writers.part_statistics(parts).withColumn("mean_width", F.round("mean_width", 6))
+
+
+ORACLE |= bound_sql.oracles(EMB, EVT, CHUNK, chunk_sql(6), FORCED, RECODED, RUNNING, SITE_PAIR, PAIR, SEEN)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cladeflow.functions.dna import LETTER_MASKS
 
 LABEL = 10
-SKIPPED = set(" \t\r0123456789")
+SKIPPED = dict.fromkeys(map(ord, " \t\r0123456789"))
 LETTERS = set(LETTER_MASKS) | {c.lower() for c in LETTER_MASKS}
 SCHEMA = "path string, taxon long, label string, seq string, line int, error string"
 
@@ -29,26 +29,28 @@ def parse(text: str) -> list[tuple[str, str]]:
     case and any line ends are taken. Raises BadLine for what is no alignment."""
     lines = text.split("\n")
     head = lines[0].split()
-    if len(head) < 2 or not all(x.isdigit() for x in head[:2]) or int(head[0]) < 1:
+    if len(head) < 2 or not all(x.isascii() and x.isdigit() and len(x) < 19 for x in head[:2]) or int(head[0]) < 1:
         raise BadLine(1, "no header of two numbers")
     n, length = int(head[0]), int(head[1])
     labels: list[str] = []
-    rows: list[list[str]] = [[] for _ in range(n)]
-    sizes, taxon = [0] * n, 0
+    rows: list[list[str]] = []  # grows with the labels, whatever the header says
+    sizes: list[int] = []
+    taxon = 0
     for number, line in enumerate(lines[1:], 2):
-        if min(sizes) >= length and len(labels) == n:
+        if len(labels) == n and min(sizes) >= length:
             break
         line = line.rstrip("\r")
         if not line.strip():
             continue
         if len(labels) < n:
             labels.append(line[:LABEL].strip())
+            rows.append([])
+            sizes.append(0)
             line = line[LABEL:]
-        letters = [c for c in line if c not in SKIPPED]
-        wrong = next((c for c in letters if c not in LETTERS), None)
-        if wrong is not None:
-            raise BadLine(number, f"invalid character {wrong!r}")
-        rows[taxon] += letters
+        letters = line.translate(SKIPPED)
+        if not LETTERS.issuperset(letters):
+            raise BadLine(number, f"invalid character {next(c for c in letters if c not in LETTERS)!r}")
+        rows[taxon].append(letters)
         sizes[taxon] += len(letters)
         if sizes[taxon] > length:
             raise BadLine(number, "too many characters")

@@ -44,13 +44,13 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(seen, ["aln_id", "site", "taxon"], "left").select("aln_id", "site", "taxon", F.coalesce("mask", F.lit(15)).cast("int").alias("mask"))
 
 
-def sequences_from_documents(spark: SparkSession, sf_dir: str, length: int = 64) -> DataFrame:
-    """The first ``length`` letters A, C, G and T of each document that has so many; an alignment per language."""
-    letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("aln_id"), letters.alias("seq"))
-    docs = docs.filter(F.length("seq") >= length)
-    rank = F.row_number().over(W.Window.partitionBy("aln_id").orderBy("doc_id")).cast("long") - 1
-    return docs.select("aln_id", rank.alias("taxon"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("label"), F.substring("seq", 1, length).alias("seq"))
+def sequences_from_documents(spark: SparkSession, sf_dir: str, letters: str = "ACGT") -> DataFrame:
+    """All of ``letters`` in each whole text, in either case, as a sequence; an alignment per language, whose sequences
+    differ in length. Texts without such a letter give none."""
+    lower = "".join(c for c in letters.lower() if c.isalpha())
+    found = F.upper(F.regexp_replace("text", f"[^{lower}{letters}]", ""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("aln_id"), found.alias("seq")).filter("seq <> ''")
+    return docs.select("aln_id", F.col("doc_id").alias("taxon"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("label"), "seq")
 
 
 def symbols_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeflow.operators import sites
-from cladeflow.sources import writers
+from cladeflow.sources import phylip, writers
 from cladeflow.sources.phylip import BadLine, newick_of_nexus, parse, read_phylip
 
 GOOD = "4 5\r\nT1        ACG\r\nT2        ACG\r\nT3        ACG\r\nT 4       acg\r\n\r\nTA\r\nTC\r\nTG\r\nTT"
@@ -72,3 +72,16 @@ def test_prefixes_and_statistics(spark):
     parts = spark.createDataFrame([("a", 1, 3, 1, 2, 2, 4), ("a", 2, 1, 1, 0, 0, 2)], "aln_id string, part_id long, lower long, upper long, additive long, final long, width long")
     total = writers.part_statistics(parts).filter("part_id is null").first()
     assert (total["lower"], total["narrowest"], total["widest"], total["mean_width"]) == (4, 2, 4, 3.0)
+
+
+def test_headers_that_are_no_plain_numbers(spark):
+    texts = [("a", "² 3\nx         ACG"), ("b", "1000000000 5\nx         ACGTA"), ("c", "9" * 30 + " 2\nx         AC"), ("d", None)]
+    rows = {r["path"]: (r["line"], r["error"]) for r in phylip.parsed(spark.createDataFrame(texts, "path string, value string")).collect()}
+    none = (1, "no header of two numbers")
+    assert rows == {"a": none, "b": (2, "lines are missing"), "c": none, "d": none}
+
+
+def test_many_symbols_at_a_site(spark):
+    rows = [("x", 0, t, "s%02d" % t) for t in range(12)] + [("x", 1, t, "s%02d" % t) for t in range(40)]
+    found = {(r["site"], r["taxon"]): r["mask"] for r in sites.recoded_symbols(spark.createDataFrame(rows, "aln_id string, site long, taxon long, symbol string")).collect()}
+    assert [found[0, t] for t in range(12)] == [1 << t for t in range(12)] and all(found[1, t] is None for t in range(40))
