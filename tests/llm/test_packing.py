@@ -71,3 +71,11 @@ def test_round_trip(spark, rows):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_another_tokenizer_is_not_cut_by_this_ones_rules():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), WordTokenizer(path, 1)
+    texts = ["It's  a Test\n\nof x.y 123", "", "é漢"]
+    for text, data in zip(texts, own.encode(texts)):
+        assert np.frombuffer(data, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids + [1]

@@ -56,3 +56,27 @@ def test_stages(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_run_packs_what_the_stages_kept(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() > 50
+
+
+def test_stages_with_clashing_names_and_odd_rows(spark):
+    """Columns that are named like a stage's own or hold dots, null ids and texts, repeated rows, a long text, and no rows."""
+    say = "the cat and the dog are in the house and it is not so bad for them to be there with us all day "
+    rows = [(1, say, "en", "s", len(say), "k", 1), (2, say + "again", "en", "s", 5, "k", 2), (None, "another text of some words that is not like any other one here", "en", "s", 5, None, 3)]
+    rows += [(4, None, "en", "s", 0, "k", 4), (5, "", "en", "s", 0, "k", 5), (6, say.replace("cat", "bird") * 3 + "tail " * 30_000, "en", "s", 9, "k", 6)]
+    rows += [(7, "token = abcdefghijklmnop0 " + say[::-1], "en", "s", 9, "k", 7)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, `a.b` int"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            after = stage(spark, some, SF)
+            if name != "packing":
+                assert after.columns == docs.columns
+            found = after.collect()
+            if some is not docs:
+                assert not found
+            elif name == "language ID":
+                assert {r["doc_id"] for r in found} == {1, 2, None, 6, 7}
+            elif name == "n-gram Jaccard join":
+                assert sorted((r["doc_id"] or 0, r["a.b"]) for r in found) == [(0, 3), (1, 1), (4, 4), (5, 5), (6, 6), (7, 7)]
+            elif name == "secret scans":
+                assert sum("[SECRET]" in (r["text"] or "") for r in found) == 2 and len(found) == len(rows)
