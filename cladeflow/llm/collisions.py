@@ -9,6 +9,7 @@ a row. These rules are the same for groups of all sizes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -33,6 +34,11 @@ FEW = 8
 Compare = Callable[[Any, np.ndarray, np.ndarray], np.ndarray]
 
 
+@lru_cache(maxsize=BLOCK)
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _agree(sketch: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
     """How many bits are the same."""
     return 64 * sketch.shape[1] - np.bitwise_count(sketch[a] ^ sketch[b]).sum(-1).astype(np.int64)
@@ -43,7 +49,7 @@ def _ties(sketch: np.ndarray, starts: np.ndarray, ends: np.ndarray, fewest: int)
     sizes, left, right = ends - starts, [], []
     for n in range(2, FEW + 1):
         first = starts[sizes == n]
-        i, j = np.triu_indices(n, 1)
+        i, j = _all_pairs(n)
         for at in range(0, len(first), max(1, PAIRS // len(i))):
             some = first[at : at + max(1, PAIRS // len(i)), None]
             a, b = (some + i).ravel(), (some + j).ravel()
@@ -241,7 +247,7 @@ def _compare_all(table: pa.Table, ends: list[int], columns: list[str], prepare:
         elif n > 1:
             if n > 2 * FEW and not count:
                 leaders(np.arange(start, end), np.arange(start, end))
-            i, j = np.triu_indices(n, 1)
+            i, j = _all_pairs(n)
             left.append(start + i)
             right.append(start + j)
             waiting += len(i)

@@ -33,6 +33,10 @@ BIT_THRESHOLD, BIT_TOLERANCE = (1 + THRESHOLD) / 2, 1e-9
 STEP = 16
 #: Most sets whose elements become one 0/1 matrix, and elements of a matrix.
 MATRIX, ELEMENTS = 1024, 4096
+#: Elements of pairs of sets that are compared at once.
+GATHERED = 1 << 20
+#: Steps of a product that take as long as gathering an element.
+GATHER_COST = 600
 
 
 @lru_cache(maxsize=1)
@@ -119,22 +123,45 @@ def _values(signatures: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, HASHES)
 
 
-def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sorted sets ``a[i]`` and ``b[i]``."""
+class Sets:
+    """Sorted sets of 64-bit values one after another, with a number for each value."""
+
+    def __init__(self, data: list[bytes]):
+        self.sizes = np.array([len(x) // 8 for x in data], np.int64)
+        self.starts = np.append(0, np.cumsum(self.sizes))
+        distinct, self.numbers = np.unique(np.frombuffer(b"".join(data), np.uint64), return_inverse=True)
+        self.many = len(distinct)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in the sets at ``rows``, and to which place in ``rows`` each belongs."""
+        sizes = self.sizes[rows]
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        first = self.starts[rows] - np.append(0, np.cumsum(sizes)[:-1])
+        return self.numbers[np.repeat(first, sizes) + np.arange(len(owner))], owner
+
+
+def shared_counts(sets: Sets, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``a[i]`` and ``b[i]``."""
     used = np.unique(np.concatenate([a, b]))
-    if len(a) < 4 * len(used):
-        out = np.empty(len(a), np.int64)
-        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-            x, y = (sets[i], sets[j]) if len(sets[i]) >= len(sets[j]) else (sets[j], sets[i])
-            out[k] = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
+    # gathering takes time for each element of each pair, a product for each element of every two sets
+    if GATHER_COST * (sets.sizes[a] + sets.sizes[b]).sum() <= len(used) ** 2 * sets.sizes[used].sum():
+        out = np.zeros(len(a), np.int64)
+        group = np.cumsum(sets.sizes[a] + sets.sizes[b]) // GATHERED
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(a)]
+        for low, high in zip(edges, edges[1:]):
+            if high > low:
+                (x, x_of), (y, y_of) = sets.of(a[low:high]), sets.of(b[low:high])
+                # a pair and a number in one: both sides are sorted
+                x, y = x_of * sets.many + x, y_of * sets.many + y
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                out[low:high] = np.bincount(y_of[x[at] == y], minlength=high - low)
         return out
     if len(used) > MATRIX:  # pairs of one meeting stand together: parts have fewer sets
         half = len(a) // 2
         return np.concatenate([shared_counts(sets, a[:half], b[:half]), shared_counts(sets, a[half:], b[half:])])
     # many pairs of few sets: products of 0/1 matrices over ranges of the elements
-    sizes = [len(sets[i]) for i in used]
-    elements, inverse = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
-    owner = np.repeat(np.arange(len(used)), sizes)
+    numbers, owner = sets.of(used)
+    elements, inverse = np.unique(numbers, return_inverse=True)
     left, left_at = np.unique(np.searchsorted(used, a), return_inverse=True)
     right, right_at = np.unique(np.searchsorted(used, b), return_inverse=True)
     product = np.zeros((len(left), len(right)), np.float32)
@@ -146,13 +173,12 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return product[left_at, right_at].astype(np.int64)
 
 
-def _prepare(data: dict[str, list]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[int]]:
-    sets = [np.frombuffer(x, np.uint64) for x in data["shingles"]]
-    return _values(data["signature"]), sets, np.array([len(x) for x in sets]), needed_matches(THRESHOLD, TOLERANCE)
+def _prepare(data: dict[str, list]) -> tuple[np.ndarray, Sets, list[int]]:
+    return _values(data["signature"]), Sets(data["shingles"]), needed_matches(THRESHOLD, TOLERANCE)
 
 
-def _compare(data: tuple[np.ndarray, list[np.ndarray], np.ndarray, list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    signature, sets, sizes, needed = data
+def _compare(data: tuple[np.ndarray, Sets, list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    signature, sets, needed = data
     live, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for at in range(0, HASHES, STEP):
         part = slice(at, at + STEP)
@@ -161,7 +187,7 @@ def _compare(data: tuple[np.ndarray, list[np.ndarray], np.ndarray, list[int]], a
     yes = np.zeros(len(a), bool)
     if len(live):
         shared = shared_counts(sets, a[live], b[live])
-        union = sizes[a[live]] + sizes[b[live]] - shared
+        union = sets.sizes[a[live]] + sets.sizes[b[live]] - shared
         yes[live] = shared >= THRESHOLD * union - 1e-9
     return yes
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.llm.collisions import link
 from cladeflow.llm.components import connected_components
-from cladeflow.llm.jaccard_join import shared_counts
+from cladeflow.llm.jaccard_join import Sets, shared_counts
 from cladeflow.llm.shared_files import Tables
 from cladeflow.llm.words import hash_words, mix64, shingle_hashes, slices
 
@@ -91,29 +91,22 @@ def _keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1]).view(np.int64)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units with the bands of their sets; of equal sets, one's bands are enough."""
     for batch in batches:
         for part in slices(batch, 1):
             owner, ranges, shingles, starts = _shingles_of(part.column(1).to_pylist())
-            if len(owner):
-                columns = [part.column(0).take(pa.array(owner)), pa.array(ranges[:, 0]), pa.array(ranges[:, 1]), pa.array(_keys(shingles, starts))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "key"])
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, 0):
-            owner, _, shingles, starts = _shingles_of(part.column(0).to_pylist())
             if not len(owner):
                 continue
             keys, sizes = _keys(shingles, starts), np.diff(starts)
-            # of equal sets, one's bands are enough
             first = np.zeros(len(keys), bool)
             first[np.unique(keys, return_index=True)[1]] = True
             many = np.where(first & (sizes > 3), np.minimum(sizes // 5 + 1, MOST), 0)
-            inside = np.repeat(starts[:-1] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-            columns = [pa.array(shingles[inside].view(np.int64)), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(np.repeat(keys, many))]
-            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "size", "key"])
+            ends = np.append(0, np.cumsum(many))
+            inside = np.repeat(starts[:-1] - ends[:-1], many) + np.arange(ends[-1])
+            bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shingles[inside].view(np.int64)))
+            columns = [part.column(0).take(pa.array(owner)), pa.array(ranges[:, 0]), pa.array(ranges[:, 1]), pa.array(keys), pa.array(sizes.astype(np.int32)), bands]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "key", "size", "bands"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,19 +177,17 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out).view(np.int64))], names=["key", "bucket"])
 
 
-def _prepare(data: dict[str, list]) -> tuple[list[np.ndarray], np.ndarray]:
-    sets = [np.frombuffer(x, np.uint64) for x in data["shingles"]]
-    return sets, np.array([len(x) for x in sets])
+def _prepare(data: dict[str, list]) -> Sets:
+    return Sets(data["shingles"])
 
 
-def _compare(data: tuple[list[np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sets, sizes = data
+def _compare(sets: Sets, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    left, right = sets.sizes[a], sets.sizes[b]
     yes = np.zeros(len(a), bool)
-    live = np.flatnonzero(4 * np.maximum(sizes[a], sizes[b]) <= 5 * np.minimum(sizes[a], sizes[b]))
+    live = np.flatnonzero(4 * np.maximum(left, right) <= 5 * np.minimum(left, right))
     if len(live):
-        a, b = a[live], b[live]
-        shared = shared_counts(sets, a, b)
-        yes[live] = shared >= THRESHOLD * (sizes[a] + sizes[b] - shared) - 1e-9
+        shared = shared_counts(sets, a[live], b[live])
+        yes[live] = shared >= THRESHOLD * (left[live] + right[live] - shared) - 1e-9
     return yes
 
 
@@ -220,7 +211,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """
     tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    members = docs.select("text").mapInArrow(_bands, "shingle long, size int, key long")
+    marked = tables.store(docs.mapInArrow(_marked, "doc_id long, start int, end int, key long, size int, bands array<long>"))
+    members = marked.filter("size(bands) > 0").select(F.explode("bands").alias("shingle"), "size", "key")
     members = members.repartitionByRange("shingle", "size", "key").sortWithinPartitions("shingle", "size", "key")
     met = tables.store(members.mapInArrow(_met, "key long, shingle long, bucket long"))
     # shingles at the ends of tasks, at most two a task: their rows meet whatever their sizes
@@ -229,7 +221,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     rows = rows.select("key", "shingle", F.when(F.col("at_end"), F.xxhash64("shingle")).otherwise(F.col("bucket")).alias("bucket"))
     near = tables.store(rows)
     tables.drop(met)
-    units = tables.store(docs.mapInArrow(_units, "doc_id long, start int, end int, key long"))
+    units = tables.store(marked.select("doc_id", "start", "end", "key"))
+    tables.drop(marked)
     places = units.select("key", "doc_id").join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     asked = tables.store(places.groupBy("doc_id").agg(F.collect_list("key").alias("asked")))
     sets = docs.join(asked, "doc_id").select("text", "asked").mapInArrow(_sets, "key long, shingles binary")

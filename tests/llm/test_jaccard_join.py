@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from cladeflow.llm import collisions
+from cladeflow.llm import collisions, jaccard_join
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.jaccard_join import needed_matches, shared_counts, similar_documents
 from cladeflow.llm.shared_files import Tables
@@ -75,13 +75,17 @@ def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_shared_counts_both_ways():
+def test_shared_counts_both_ways(monkeypatch):
     draw = np.random.default_rng(1)
     sets = [np.unique(draw.integers(0, 60, 40).astype(np.uint64)) for _ in range(6)]
     a, b = (x.ravel() for x in np.indices((6, 6)))
     expected = [len(set(sets[i]) & set(sets[j])) for i, j in zip(a, b)]
-    assert shared_counts(sets, a, b).tolist() == expected
-    assert shared_counts(sets, a[:3], b[:3]).tolist() == expected[:3]
+    held = jaccard_join.Sets([x.tobytes() for x in sets])
+    for cost in (0, 10**9):
+        monkeypatch.setattr(jaccard_join, "GATHER_COST", cost)
+        monkeypatch.setattr(jaccard_join, "GATHERED", 50)
+        assert shared_counts(held, a, b).tolist() == expected
+        assert shared_counts(held, a[:3], b[:3]).tolist() == expected[:3]
 
 
 def test_pruning_bounds_rise():
