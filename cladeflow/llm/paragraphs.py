@@ -23,67 +23,91 @@ from cladeflow.llm.collisions import link
 from cladeflow.llm.components import connected_components
 from cladeflow.llm.jaccard_join import Sets, shared_counts
 from cladeflow.llm.shared_files import Tables
-from cladeflow.llm.words import hash_words, mix64, shingle_hashes, slices
+from cladeflow.llm.words import hash_bytes, mix64, shingle_hashes, slices
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Bands of the largest sets; hashes of which near copies share two; members of a bucket beyond which two are asked for.
 MOST, MOST_OF_TWO, CROWD = 10, 14, 512
 CAPPED = 5 * MOST - 5
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
-
-
-def passages(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """The sentences of every line, as character ranges; and as units the lines and, where a line has several, its
-    sentences: ranges, with the first sentence and the one after the last."""
-    pieces, units, at = [], [], 0
-    for line in (text or "").split("\n"):
-        end = at + len(line)
-        if end > at:
-            first, start = len(pieces), at
-            for m in SENTENCE.finditer(line):
-                pieces.append((start, at + m.start()))
-                start = at + m.end()
-            if end > start:
-                pieces.append((start, end))
-            last = len(pieces)
-            units.append((at, end, first, last))
-            if last - first > 1:
-                units += [(*pieces[k], k, k + 1) for k in range(first, last)]
-        at = end + 1
-    return pieces, units
-
-
-def _shingles_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the units with a word of all texts: their text's place, their range, their sets of hashed
-    shingles in rising order one after another, and where each one's begin."""
-    pieces, owner, units = [], [], []
-    for i, text in enumerate(texts):
-        some, found = passages(text)
-        before = len(pieces)
-        pieces += [text[a:b] for a, b in some]
-        owner += [i] * len(found)
-        units += [(a, b, first + before, last + before) for a, b, first, last in found]
-    hashed, counts = hash_words(pieces)
-    ranges = np.array(units, np.int64).reshape(-1, 4)
-    ends = np.append(0, np.cumsum(counts))
-    begin, words = ends[ranges[:, 2]], ends[ranges[:, 3]] - ends[ranges[:, 2]]
-    kept = np.flatnonzero(words > 0)
-    begin, words = begin[kept], words[kept]
-    sizes = np.maximum(words - WIDTH + 1, 1)
-    starts = np.append(0, np.cumsum(sizes))
-    inside = np.repeat(begin - starts[:-1], sizes) + np.arange(starts[-1])
-    shingles = np.zeros(len(inside), np.uint64)
-    for width in range(1, WIDTH + 1):  # fewer words than a shingle has are one shingle
-        of = np.repeat(words >= WIDTH if width == WIDTH else words == width, sizes)
-        if of.any():
-            shingles[of] = shingle_hashes(hashed, width)[inside[of]]
-    unit = np.repeat(np.arange(len(kept)), sizes)
-    order = np.lexsort((shingles, unit))
-    shingles, unit = shingles[order], unit[order]
-    new = np.ones(len(shingles), bool)
-    new[1:] = (shingles[1:] != shingles[:-1]) | (unit[1:] != unit[:-1])
-    starts = np.append(0, np.cumsum(np.bincount(unit[new], minlength=len(kept))))
-    return np.array(owner, np.int64)[kept], ranges[kept, :2].astype(np.int32), shingles[new], starts
+#: The end of a sentence and the white space after it that stays in the line, as UTF-8.
+SENTENCE = re.compile(
+    rb"[.!?](?:[\t\v\f\r\x1c-\x1f ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)+"
+)
+
+
+class Units:
+    """The lines of some texts and, of lines of several sentences, their sentences, where they hold a word: ``owner`` (a text's
+    place), ``ranges`` (code points of that text), ``begin`` and ``words`` (a stretch of ``hashed``), by owner and start."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join([*texts, b""])
+        blanks = np.array([m.span() for m in SENTENCE.finditer(data)], np.int64).reshape(-1, 2)
+        blanks[:, 0] += 1
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A)
+        starts = np.append(0, ends + 1)[:-1]
+        starts, ends = starts[ends > starts], ends[ends > starts]
+        first, last = np.sort(np.append(starts, blanks[:, 1])), np.sort(np.append(blanks[:, 0], ends))
+        first, last = first[last > first], last[last > first]
+        several = np.searchsorted(first, ends) - np.searchsorted(first, starts) > 1
+        inner = several[np.searchsorted(starts, first, side="right") - 1]
+        starts, ends = np.append(starts, first[inner]), np.append(ends, last[inner])
+        text_starts = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        points = None
+        if not data.isascii():
+            raw = np.frombuffer(data, np.uint8)
+            points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+            # white space beyond ASCII would join the words on either side
+            changed = bytearray(data)
+            for a, b in blanks[points[blanks[:, 1]] - points[blanks[:, 0]] < blanks[:, 1] - blanks[:, 0]].tolist():
+                changed[a:b] = b" " * (b - a)
+            data = bytes(changed)
+        self.hashed, at = hash_bytes(data)
+        begin = np.searchsorted(at, starts)
+        words = np.searchsorted(at, ends) - begin
+        order = np.argsort(starts, kind="stable")
+        order = order[words[order] > 0]
+        self.begin, self.words = begin[order], words[order]
+        starts, ends = starts[order], ends[order]
+        self.owner = np.searchsorted(text_starts, starts, side="right") - 1
+        origin = text_starts[self.owner]
+        if points is not None:
+            starts, ends, origin = points[starts], points[ends], points[origin]
+        self.ranges = np.stack([starts - origin, ends - origin], 1).astype(np.int32)
+
+    def sets(self, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Sets of hashed shingles of some units, in rising order one after another, and where each one's begin."""
+        begin, words = self.begin[some], self.words[some]
+        sizes = np.maximum(words - WIDTH + 1, 1)
+        starts = np.append(0, np.cumsum(sizes))
+        inside = np.repeat(begin - starts[:-1], sizes) + np.arange(starts[-1])
+        whole = shingle_hashes(self.hashed, WIDTH)
+        shingles = whole[np.minimum(inside, len(whole) - 1)]
+        for width in range(1, WIDTH):  # fewer words than a shingle has are one shingle
+            of = np.flatnonzero(words == width)
+            if len(of):
+                shingles[starts[of]] = shingle_hashes(self.hashed, width)[begin[of]]
+        _sort_each(shingles, starts, sizes)
+        new = np.ones(len(shingles), bool)
+        new[1:] = shingles[1:] != shingles[:-1]
+        new[starts[:-1]] = True
+        return shingles[new], np.append(0, np.cumsum(new))[starts]
+
+
+def _sort_each(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    """Sorts every stretch by itself: those of one size together, as rows."""
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(sizes[order], prepend=-1)), len(order))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        size = int(sizes[order[a]])
+        if b - a == 1:
+            values[starts[order[a]] : starts[order[a]] + size].sort()
+        elif size > 1:
+            places = starts[order[a:b], None] + np.arange(size)
+            values[places] = np.sort(values[places], axis=1)
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
 
 
 def _keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -92,21 +116,25 @@ def _keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units with the bands of their sets; of equal sets, one's bands are enough."""
+    """Units, numbered in each document, with the bands of their sets; of equal sets, one's bands are enough."""
     for batch in batches:
         for part in slices(batch, 1):
-            owner, ranges, shingles, starts = _shingles_of(part.column(1).to_pylist())
+            units = Units(_bytes(part.column(1)))
+            owner = units.owner
             if not len(owner):
                 continue
+            shingles, starts = units.sets()
             keys, sizes = _keys(shingles, starts), np.diff(starts)
+            number = np.arange(len(owner)) - np.searchsorted(owner, owner)
             first = np.zeros(len(keys), bool)
             first[np.unique(keys, return_index=True)[1]] = True
             many = np.where(first & (sizes > 3), np.minimum(sizes // 5 + 1, MOST), 0)
             ends = np.append(0, np.cumsum(many))
             inside = np.repeat(starts[:-1] - ends[:-1], many) + np.arange(ends[-1])
             bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shingles[inside].view(np.int64)))
-            columns = [part.column(0).take(pa.array(owner)), pa.array(ranges[:, 0]), pa.array(ranges[:, 1]), pa.array(keys), pa.array(sizes.astype(np.int32)), bands]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "key", "size", "bands"])
+            numbers = [pa.array(x.astype(np.int32)) for x in (number, units.ranges[:, 0], units.ranges[:, 1])]
+            columns = [part.column(0).take(pa.array(owner)), *numbers, pa.array(keys), pa.array(sizes.astype(np.int32)), bands]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "number", "start", "end", "key", "size", "bands"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +179,20 @@ def _joined(shingle: np.ndarray, lowest: np.ndarray, key: np.ndarray) -> pa.Reco
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the units with the keys that are asked for."""
+    """Sets of the units with the numbers that are asked for; of rows with one doc_id, of each."""
     for batch in batches:
         for part in slices(batch, 0):
-            asked = set().union(*part.column(1).to_pylist())
-            _, _, shingles, starts = _shingles_of(part.column(0).to_pylist())
-            if len(starts) > 1:
-                wanted = {k: i for i, k in enumerate(_keys(shingles, starts).tolist()) if k in asked}
-                sets = [shingles[starts[i] : starts[i + 1]].tobytes() for i in wanted.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+            units = Units(_bytes(part.column(0)))
+            asked, every = part.column(1), np.arange(len(part))
+            first, end = np.searchsorted(units.owner, every), np.searchsorted(units.owner, every, side="right")
+            lengths = asked.value_lengths().to_numpy()
+            some = np.repeat(first, lengths) + asked.flatten().to_numpy()
+            some = some[some < np.repeat(end, lengths)]
+            if len(some):
+                shingles, starts = units.sets(some)
+                data, ends = shingles.tobytes(), (8 * starts).tolist()
+                sets = pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(shingles, starts)), sets], names=["key", "shingles"])
 
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +244,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """
     tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    marked = tables.store(docs.mapInArrow(_marked, "doc_id long, start int, end int, key long, size int, bands array<long>"))
+    marked = tables.store(docs.mapInArrow(_marked, "doc_id long, number int, start int, end int, key long, size int, bands array<long>"))
     members = marked.filter("size(bands) > 0").select(F.explode("bands").alias("shingle"), "size", "key")
     members = members.repartitionByRange("shingle", "size", "key").sortWithinPartitions("shingle", "size", "key")
     met = tables.store(members.mapInArrow(_met, "key long, shingle long, bucket long"))
@@ -221,10 +254,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     rows = rows.select("key", "shingle", F.when(F.col("at_end"), F.xxhash64("shingle")).otherwise(F.col("bucket")).alias("bucket"))
     near = tables.store(rows)
     tables.drop(met)
-    units = tables.store(marked.select("doc_id", "start", "end", "key"))
+    units = tables.store(marked.select("doc_id", "number", "start", "end", "key"))
     tables.drop(marked)
-    places = units.select("key", "doc_id").join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    asked = tables.store(places.groupBy("doc_id").agg(F.collect_list("key").alias("asked")))
+    places = units.join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "number")).alias("place"))
+    asked = tables.store(places.groupBy("place.doc_id").agg(F.collect_list("place.number").alias("asked")))
     sets = docs.join(asked, "doc_id").select("text", "asked").mapInArrow(_sets, "key long, shingles binary")
     payload = tables.store(sets.dropDuplicates(["key"]).select("key", F.lit(1).cast("long").alias("copies"), "shingles"))
     tables.drop(asked)

@@ -40,18 +40,14 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _PLACE = mix64(np.arange(1000, 1064, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts one after another, and how many each text has. A word's hash depends on
-    the word alone."""
-    data = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(WORD_TABLE) for t in texts]
-    raw = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+def hash_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 bytes, and where each begins. A word's hash depends on the word alone."""
+    raw = np.frombuffer(data.translate(WORD_TABLE), np.uint8)
     letter = raw != 0x20
     edge = np.flatnonzero(np.diff(np.concatenate([[0], letter.view(np.int8), [0]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    begins = np.append(0, np.cumsum([len(d) + 1 for d in data]))
-    counts = np.diff(np.searchsorted(starts, begins))
     if not len(starts):
-        return np.empty(0, np.uint64), counts
+        return np.empty(0, np.uint64), starts
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
@@ -60,7 +56,15 @@ def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(far):
         factor[far] = mix64((place[far] + 1000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     factor *= _BYTE[raw[letter]]
-    return mix64(np.add.reduceat(factor, first)), counts
+    return mix64(np.add.reduceat(factor, first)), starts
+
+
+def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after another, and how many each text has."""
+    data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    hashed, starts = hash_bytes(b" ".join([*data, b""]))
+    begins = np.append(0, np.cumsum([len(d) + 1 for d in data]))
+    return hashed, np.diff(np.searchsorted(starts, begins))
 
 
 def shingle_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:

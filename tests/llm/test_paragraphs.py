@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from cladeflow.llm import paragraphs
-from cladeflow.llm.paragraphs import passages, repeated_paragraphs
+from cladeflow.llm.paragraphs import Units, repeated_paragraphs
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -119,7 +119,13 @@ def test_empty_table(spark):
 
 
 def test_lines_and_their_sentences():
-    text = "One two. Three\n\nNext line."
-    pieces, found_ = passages(text)
-    assert [text[a:b] for a, b in pieces] == ["One two.", "Three", "Next line."]
-    assert [text[a:b] for a, b, _, _ in found_] == ["One two. Three", "One two.", "Three", "Next line."]
+    texts = ["One two. Three\n\nNext line.", "", "... -", "É! Ça.\u00a0\u2003Où?\t\nMid.dle \u00a0x. ", "?? \n y"]
+    found_ = Units([t.encode() for t in texts])
+    assert [(o, texts[o][a:b]) for o, (a, b) in zip(found_.owner.tolist(), found_.ranges.tolist())] == [
+        *((0, x) for x in ("One two. Three", "One two.", "Three", "Next line.")),
+        *((3, x) for x in ("É! Ça.\u00a0\u2003Où?\t", "É!", "Ça.", "Où?", "Mid.dle \u00a0x. ")),
+        (4, " y"),
+    ]
+    # white space between sentences parts words, elsewhere what is not ASCII belongs to a word
+    assert found_.words.tolist() == [3, 2, 1, 2, 3, 1, 1, 1, 3, 1]
+    assert Units([]).owner.tolist() == Units([b""]).owner.tolist() == []
