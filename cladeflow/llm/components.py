@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds."""
+"""Connected components of a link table, by hash-to-min rounds."""
 
 from __future__ import annotations
 
@@ -7,49 +7,27 @@ from pyspark.sql import functions as F
 
 from cladeflow.llm.shared_files import Tables
 
-#: Parts in which the links of one node are joined, so that no node is a task's alone.
-SALTS = 64
-
-
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Adds ``m``, the least ``b`` of each ``a``."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    least = parts.groupBy("a").agg(F.min("m").alias("m"))
-    return salted.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's smallest neighbour, or to the node if that is smaller."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are tied to the smallest of them."""
-    told = _with_least(edges.distinct())
-    tied = told.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.union(told.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
 
 def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """``edges`` has columns ``a`` and ``b`` of one orderable type. Returns ``id`` and ``root``, the smallest node of
     its component, for every node that is not itself the smallest, as one of ``tables``. Links may repeat; a node
-    linked with itself alone is left out."""
+    linked with itself alone is left out.
+
+    In a round every node and its neighbours are tied to the smallest of them, until each node has larger neighbours
+    alone or a single one. A node's smallest neighbour comes from partial minima, so that no node is a task's alone; it
+    is stored, so that the join with it is one of two tables, whose crowded nodes Spark splits.
+    """
     edges = edges.filter(F.col("a") != F.col("b"))
     edges = tables.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _mark(edges)
-    while before[0]:
-        later = tables.store(_small_star(_large_star(edges)))
-        tables.drop(edges)
-        edges, after = later, _mark(later)
-        if after == before:
-            break
-        before = after
-    out = tables.store(edges.select(F.col("a").alias("id"), F.col("b").alias("root")))
-    tables.drop(edges)
-    return out
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = tables.store(both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("last")))
+        if near.filter("m < a and m < last").isEmpty():
+            out = tables.store(near.filter("m < a").select(F.col("a").alias("id"), F.col("m").alias("root")))
+            tables.drop(edges, near)
+            return out
+        told = both.join(near.select("a", F.least("a", "m").alias("m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = told.union(near.filter("m < a").select("a", F.col("m").alias("b"))).filter("a != b")
+        later = tables.store(stars.distinct())
+        tables.drop(edges, near)
+        edges = later

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from cladeflow.llm import collisions, jaccard_join
 from cladeflow.llm.components import connected_components
@@ -110,3 +111,23 @@ def test_buckets_over_several_tasks(spark, monkeypatch):
         copy[i % 60] = "e%d" % i
         rows.append((i, " ".join(copy)))
     check(spark, [*rows, (None, rows[3][1]), (None, None)])
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_equal_a_union_of_sets(spark, kind):
+    draw = random.Random(12)
+    order = draw.sample(range(200), 200)
+    edges = [*zip(order, order[1:]), *((500, x) for x in range(600, 900)), (500, 7), *((draw.randrange(1000, 1300), draw.randrange(1000, 1300)) for _ in range(250))]
+    root = {i: i for e in edges for i in e}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    name = (lambda i: i) if kind == "long" else (lambda i: i.to_bytes(2, "big"))
+    frame = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")
+    got = {r["id"]: r["root"] for r in connected_components(frame, Tables(spark)).collect()}
+    assert got == {name(i): name(top(i)) for i in root if top(i) != i}
