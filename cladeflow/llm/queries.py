@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from cladeflow.llm.decontaminate import contaminated, decontaminate
 from cladeflow.llm.jaccard_join import similar_documents
 from cladeflow.llm.language import detect_language, fit_languages
+from cladeflow.llm.mixing import mix_sources
 from cladeflow.llm.packing import pack
 from cladeflow.llm.paragraphs import repeated_paragraphs
 from cladeflow.llm.quality import score_quality
 from cladeflow.llm.secrets import find_secrets
 from cladeflow.llm.sharding import shard_by_bytes
+from cladeflow.llm.spelling import spelling_variants
 from cladeflow.llm.suffixes import repeated_passages
 from cladeflow.llm.vectors import similar_vectors
+from cladeflow.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +94,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
@@ -102,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_mixing": op13_mixing,
 }
 
 WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -143,4 +161,19 @@ ORACLE: dict[str, str] = {
   links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
   reach(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT id, b FROM reach JOIN links ON other = a)
   SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(other) AS component_id, min(other) = vec_id AS kept FROM v JOIN reach ON id = vec_id GROUP BY vec_id""",
+    # the checksum is made byte by byte; words within one edit share a word with one code point less at one place
+    "op11_spelling": """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+  g AS (SELECT doc_id, run, count(*) AS n, lower(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run))) AS x FROM r WHERE length(run) >= 7 GROUP BY 1, 2),
+  h AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: 16 * (strpos('0123456789abcdef', x[2 * i + 1]) - 1) + strpos('0123456789abcdef', x[2 * i + 2]) - 1)), lambda c, b: xor(c >> 8, t.t[xor(c & 255, b) + 1]))) AS h FROM g, t),
+  d AS (SELECT n, CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+  v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+  less AS (SELECT DISTINCT word, n, i, word[1:i - 1] || word[i + 1:] AS w FROM (SELECT *, unnest(generate_series(1, length(word))) AS i FROM v)),
+  one AS (SELECT a.word AS x, b.word AS y, b.n AS m FROM less a JOIN less b ON a.w = b.w AND a.i = b.i AND a.word <> b.word
+    UNION SELECT v.word, less.word, less.n FROM v JOIN less ON v.word = less.w UNION SELECT less.word, v.word, v.n FROM v JOIN less ON v.word = less.w),
+  best AS (SELECT x AS word, count(*) AS n_near, min({'less': -m, 'y': y}) AS b FROM one GROUP BY 1),
+  f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 10 * n THEN b.y END AS form, CASE WHEN -b.less >= 10 * n THEN -b.less END AS form_n FROM v LEFT JOIN best USING (word)),
+  walk(word, last, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.last WHERE f.form IS NOT NULL),
+  root AS (SELECT word, max({'step': step, 'last': last}).last AS root FROM walk GROUP BY 1)
+  SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)""",
 }
