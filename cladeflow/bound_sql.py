@@ -91,7 +91,14 @@ def oracles(EMB: str, EVT: str, CHUNK: str, CHUNK6: str, FORCED: str, RECODED: s
   sums AS (SELECT aln_id, part_id, sum(single) AS single, sum(up) AS up, count(*) AS width FROM per GROUP BY 1, 2),
   added AS (SELECT pc.aln_id, part_id, count(*) FILTER (pc.taxon >= 3 AND pc.mask & seen = 0) AS additive FROM pc JOIN seen_ ON seen_.aln_id = pc.aln_id AND seen_.site = pc.site AND seen_.taxon = pc.taxon GROUP BY 1, 2),
   n AS (SELECT aln_id, part_id, count(*) AS n FROM dr GROUP BY 1, 2),
-  lows AS (SELECT sums.aln_id, sums.part_id, CAST(greatest(single, (coalesce(weight, 0) + 1) // 2, n - 1, CASE WHEN width = 2 THEN coalesce(weight, 0) ELSE 0 END) AS BIGINT) AS lower, CAST(up AS BIGINT) AS upper, width FROM sums JOIN n USING (aln_id, part_id) LEFT JOIN mst ON g.aln_id = sums.aln_id AND g.part_id = sums.part_id)
+  gs AS (SELECT g, t, top, count(*) AS c FROM tops GROUP BY 1, 2, 3),
+  ga AS (SELECT dd.g, x.t, least(x.top, y.top) AS a, greatest(x.top, y.top) AS b, min(d) AS d FROM dd JOIN tops x ON x.g = dd.g AND x.v = dd.a JOIN tops y ON y.g = dd.g AND y.t = x.t AND y.v = dd.b WHERE x.top <> y.top GROUP BY 1, 2, 3, 4),
+  two AS (SELECT ga.g, max(x.c + y.c + d) - 2 AS two FROM ga JOIN gs x ON x.g = ga.g AND x.t = ga.t AND x.top = a JOIN gs y ON y.g = ga.g AND y.t = ga.t AND y.top = b GROUP BY 1),
+  three AS (SELECT p.g, max(x.c + y.c + z.c - 3 + least(p.d + q.d + r.d - greatest(p.d, q.d, r.d), (p.d + q.d + r.d + 1) // 2)) AS three FROM ga p JOIN ga q ON q.g = p.g AND q.t = p.t AND q.a = p.b JOIN ga r ON r.g = p.g AND r.t = p.t AND r.a = p.a AND r.b = q.b
+    JOIN gs x ON x.g = p.g AND x.t = p.t AND x.top = p.a JOIN gs y ON y.g = p.g AND y.t = p.t AND y.top = p.b JOIN gs z ON z.g = p.g AND z.t = p.t AND z.top = q.b GROUP BY 1),
+  grouped AS (SELECT mst.g, weight, last, two, coalesce(three, 0) AS three FROM mst JOIN two ON two.g = mst.g LEFT JOIN three ON three.g = mst.g),
+  lows AS (SELECT sums.aln_id, sums.part_id, CAST(greatest(single, (coalesce(weight, 0) + 1) // 2, n - 1, coalesce(n - 2 + last, 0), coalesce(two, 0), coalesce(three, 0), CASE WHEN width = 2 THEN coalesce(weight, 0) ELSE 0 END) AS BIGINT) AS lower, CAST(up AS BIGINT) AS upper, width
+    FROM sums JOIN n USING (aln_id, part_id) LEFT JOIN grouped ON g.aln_id = sums.aln_id AND g.part_id = sums.part_id)
   SELECT aln_id, part_id, lower, upper, additive, greatest(additive, lower - upper) AS final, width FROM lows JOIN added USING (aln_id, part_id)""",
         "h7_two_way_scores": f"""{parts}, wide AS (SELECT aln_id, part_id, count(*) AS w FROM ps GROUP BY 1, 2), subs AS (SELECT aln_id, part_id, w, unnest(generate_series(1, (1 << CAST(w AS INTEGER)) - 1)) AS s FROM wide),
   sc AS (SELECT pc.aln_id, pc.part_id, s, site, taxon, mask FROM pc JOIN subs ON pc.aln_id = subs.aln_id AND pc.part_id = subs.part_id AND (s >> CAST(pos AS INTEGER)) & 1 = 1),

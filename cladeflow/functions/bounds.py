@@ -32,11 +32,6 @@ def merged_rows(masks: np.ndarray, first: int) -> np.ndarray:
     return np.vstack([np.bitwise_or.reduce(masks[:first], axis=0)[None], masks[first:]])
 
 
-def spanning_rest(masks: np.ndarray, weights: np.ndarray) -> list[int]:
-    """For each rank j: half the spanning tree of the first j + 1 taxa as one, and the rest."""
-    return [spanning_tree(distances(merged_rows(masks, j + 1), weights)) // 2 for j in range(len(masks))]
-
-
 def joint_mask(a: np.ndarray, b: np.ndarray) -> int:
     """The pairs of bases that some taxon shows at two unambiguous sites, a bit for each."""
     code = np.array([0, 0, 1, 0, 2, 0, 0, 0, 3])
@@ -98,20 +93,70 @@ def matching(pairs: list[tuple[int, int, int, int]], copies: dict[int, int]) ->
     return count, total
 
 
+def spanning_edges(matrix: np.ndarray) -> list[tuple[int, int, int]]:
+    """Edges (weight, a, b) of a minimum spanning tree, by weight."""
+    n = len(matrix)
+    near, towards, rest, out = matrix[0].copy(), np.zeros(n, int), np.ones(n, bool), []
+    rest[0] = False
+    for _ in range(n - 1):
+        k = int(np.where(rest, near, np.iinfo(np.int64).max).argmin())
+        out.append((int(near[k]), int(towards[k]), k))
+        rest[k] = False
+        closer = matrix[k] < near
+        near[closer], towards[closer] = matrix[k][closer], k
+    return sorted(out)
+
+
+def group_lower(matrix: np.ndarray, edges: list[tuple[int, int, int]] | None = None) -> int:
+    """Lower bound of a tree from groups of its rows that are far apart; ``matrix`` has their distances.
+
+    Along a tree's changes lie its nodes, one more than changes. Rows that are apart are different nodes: of each group as many
+    as rows that no zeros tie. Where two groups are d apart, the way between them has d - 1 nodes more. Three groups meet either
+    by two of these ways or in an inner point, whose three ways are together half as long as the three distances at least.
+    Groups are those of single linkage, at every length of an edge of the spanning tree: all pairs and triples of them, and all
+    of them as two sides."""
+    edges = spanning_edges(matrix) if edges is None else edges
+    n = len(matrix)
+    group, apart, held = np.arange(n), matrix.astype(np.int64), np.ones(n, np.int64)
+    best, at = 0, 0
+    for level in sorted({0, *(w for w, _, _ in edges)}):
+        while at < len(edges) and edges[at][0] <= level:
+            w, a, b = edges[at]
+            a, b = sorted((int(group[a]), int(group[b])))
+            # b goes into a; rows at distance 0 count once
+            held[a] += held[b] - (w == 0)
+            apart[a] = np.minimum(apart[a], apart[b])
+            apart[:, a] = apart[a]
+            group[group == b] = a
+            at += 1
+        ids = np.unique(group)
+        k = len(ids)
+        if k < 2:
+            return max(best, int(held[ids].sum()) - 1)
+        d, c = apart[np.ix_(ids, ids)], held[ids]
+        upper = np.triu_indices(k, 1)
+        best = max(best, int(c.sum()) - 2 + int(d[upper].min()), int((d + c[:, None] + c[None])[upper].max()) - 2)
+        for x in range(k - 2):
+            ab, bc = d[x, x + 1 :], d[x + 1 :, x + 1 :]
+            total = ab[:, None] + ab[None] + bc
+            longest = np.maximum(np.maximum(ab[:, None], ab[None]), bc)
+            most = np.minimum(total - longest, (total + 1) // 2) + c[x] + c[x + 1 :, None] + c[None, x + 1 :] - 3
+            best = max(best, int(most[np.triu_indices(k - x - 1, 1)].max()))
+    return best
+
+
 def part_lower(masks: np.ndarray) -> int:
-    """Lower bound of the changes of a few sites: distinct rows less one, half the spanning tree (all of it for one
-    or two sites of single bases), or what the sites need one by one."""
+    """Lower bound of the changes of a few sites: groups of rows that are far apart, half the spanning tree (all of it for two
+    sites of single bases), or what the sites need one by one."""
     rows = np.unique(masks, axis=0)
-    clear = bool(((masks & (masks - 1)) == 0).all())
-    ones = np.ones(masks.shape[1], np.int64)
-    tree = spanning_tree(distances(rows, ones))
     single = sum(max(0, len({int(m) for m in column if m & (m - 1) == 0}) - 1) for column in masks.T)
-    out = max(single, -(-tree // 2))
-    if clear:
-        out = max(out, len(rows) - 1)
-        if masks.shape[1] == 2:
-            out = max(out, pair_cost(joint_mask(masks[:, 0], masks[:, 1]))[0])
-    return out
+    if len(rows) < 2 or masks.shape[1] == 0:
+        return single
+    apart = ((rows[:, None] & rows[None]) == 0).sum(2)
+    edges = spanning_edges(apart)
+    tree = sum(w for w, _, _ in edges)
+    out = max(single, -(-tree // 2), group_lower(apart, edges))
+    return max(out, tree) if masks.shape[1] == 2 and bool(((masks & (masks - 1)) == 0).all()) else out
 
 
 def part_upper(masks: np.ndarray, first: int) -> int:
@@ -131,24 +176,63 @@ def part_final(masks: np.ndarray, first: int) -> int:
     return max(part_additive(masks, first), part_lower(masks) - part_upper(masks, first))
 
 
-def optimised_partition(masks: np.ndarray, first: int, widest: int = 4) -> list[list[int]]:
-    """Sites in parts of at most ``widest``: each site in turn joins the part whose score gains most, if any gains."""
-    parts, scores = [], []
-    for site in range(masks.shape[1]):
-        own = part_final(masks[:, [site]], first)
-        best, gain = None, 0
+def optimised_partition(masks: np.ndarray, first: int | None = None) -> tuple[list[list[int]], int]:
+    """Sites in parts whose final scores for trees of the first ``first`` taxa, or whose lower bounds without it, sum up as high as
+    moves of single sites bring them, and that sum.
+
+    From a first fit on, each site in turn goes to the part, or a part of its own, where the sum gains most, until a whole round
+    moves none; the better of two starts counts, a first fit to parts of four sites and one without limit. Of moves that leave the sum as it is, those are taken that bring lower bounds nearer to where they count, and
+    rather one part very near than two halfway: both together only rise, so that rounds end."""
+    known: dict[frozenset, tuple[int, int]] = {frozenset(): (0, 0)}
+
+    def score(part: frozenset) -> tuple[int, int]:
+        if part not in known:
+            some = masks[:, sorted(part)]
+            low = part_lower(some)
+            if first is None:
+                known[part] = low, 0
+            else:
+                raw = low - part_upper(some, first)
+                final = max(part_additive(some, first), raw)
+                known[part] = final, 1 << max(0, 40 - 4 * (final - raw))
+        return known[part]
+
+    def plus(x: tuple[int, int], y: tuple[int, int], sign: int = 1) -> tuple[int, int]:
+        return x[0] + sign * y[0], x[1] + sign * y[1]
+
+    def entering(site: int, parts: list[frozenset]) -> tuple[tuple[int, int], int]:
+        """What the site gains where it gains most, and which part that is; -1 is a new one."""
+        best = score(frozenset([site])), -1
         for k, part in enumerate(parts):
-            if len(part) < widest:
-                more = part_final(masks[:, [*part, site]], first) - scores[k] - own
-                if more > gain:
-                    best, gain = k, more
-        if best is None:
-            parts.append([site])
-            scores.append(own)
-        else:
-            parts[best].append(site)
-            scores[best] += own + gain
-    return parts
+            gain = plus(score(part | {site}), score(part), -1)
+            if gain > best[0]:
+                best = gain, k
+        return best
+
+    def settled(widest: int) -> list[frozenset]:
+        parts: list[frozenset] = []
+        for site in range(masks.shape[1]):
+            open_ = [p for p in parts if len(p) < widest]
+            k = entering(site, open_)[1]
+            if k < 0:
+                parts.append(frozenset([site]))
+            else:
+                parts[parts.index(open_[k])] |= {site}
+        moved = True
+        while moved:
+            moved = False
+            for site in range(masks.shape[1]):
+                home = next(k for k, part in enumerate(parts) if site in part)
+                left = parts[home] - {site}
+                others = [*parts[:home], left, *parts[home + 1 :]]
+                gain, k = entering(site, others)
+                if gain > plus(score(parts[home]), score(left), -1):
+                    others = [*others, frozenset([site])] if k < 0 else [*others[:k], others[k] | {site}, *others[k + 1 :]]
+                    parts, moved = [p for p in others if p], True
+        return parts
+
+    total, best = max(((sum(score(p)[0] for p in found), found) for found in map(settled, (4, masks.shape[1]))), key=lambda x: x[0])
+    return [sorted(p) for p in best], total
 
 
 def simple_partition(masks: np.ndarray) -> int:

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from cladeflow.functions import bounds as b
 from cladeflow.functions import fitch, newick
@@ -148,20 +149,32 @@ def two_way_scores(patterns: DataFrame, part) -> DataFrame:
     return held.groupBy("aln_id", "part_id").applyInArrow(run, "aln_id string, part_id long, score long, best long")
 
 
+def _layers(patterns: DataFrame) -> DataFrame:
+    """Layers of the weights of each alignment: ``level``, and how often (``times``) the patterns of at least that weight count
+    beyond those of the layer below. Distinct weights are few beside the patterns."""
+    levels = patterns.select("aln_id", F.col("weight").alias("level")).distinct()
+    below = F.lag("level", 1, 0).over(W.Window.partitionBy("aln_id").orderBy("level"))
+    return levels.withColumn("times", F.col("level") - below)
+
+
 def partition_bounds(patterns: DataFrame) -> DataFrame:
-    """Sum of final part scores of an optimised partition, once for each layer of weights: patterns that stand there at
-    least so often."""
+    """Sum of the final scores of parts, for each number of first taxa from 3 on; the bound stands at rank k = first - 1.
 
-    def compute(masks, weights, first, seed):
-        total, before = 0, 0
-        for level in np.unique(weights):
-            layer = masks[:, weights >= level]
-            parts = b.optimised_partition(layer, first)
-            total += int(level - before) * sum(b.part_final(layer[:, p], first) for p in parts)
-            before = level
-        return total
+    Each layer of weights has a partition of its own, found by moving sites until none gains. An alignment, a number of first taxa and a
+    layer are one task; the layers' sums are added up, by ``times``."""
+    layers = _layers(patterns)
+    some = patterns.join(layers, "aln_id").filter("weight >= level")
+    row = F.array_sort(F.collect_list(F.struct("site", "states", "weight")))
+    held = some.groupBy("aln_id", "level", "times").agg(row.alias("row"), F.max(F.size("states")).alias("n"))
+    keyed = held.withColumn("first", F.explode(F.when(F.col("n") > 3, F.sequence(F.lit(3), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))))
 
-    return _by_rank(patterns, compute)
+    def run(key, table):
+        masks, _ = _matrix(table)
+        value = b.optimised_partition(masks, key[2].as_py())[1]
+        return pa.table({"aln_id": [key[0].as_py()], "k": pa.array([key[2].as_py() - 1], pa.int64()), "bound": pa.array([table.column("times")[0].as_py() * value], pa.int64())})
+
+    parts = keyed.select("aln_id", "level", "first", "times", "row").groupBy("aln_id", "level", "first").applyInArrow(run, "aln_id string, k long, bound long")
+    return parts.groupBy("aln_id", "k").agg(F.sum("bound").alias("bound"))
 
 
 def uninformative_bounds(patterns: DataFrame) -> DataFrame:
@@ -238,8 +251,8 @@ def combined(distinct: DataFrame, incompatible: DataFrame | None = None, loaded:
 
 
 def whole_lower_bounds(patterns: DataFrame) -> DataFrame:
-    """Lower bound of all patterns of an alignment: parts of an optimised partition by weight layer, the spanning tree's half,
-    and for the uninformative patterns their forced weight."""
+    """Lower bound of all patterns of an alignment: what its sites need alone and the surpluses of pairs of sites, taken in order as
+    long as both are unused, or the spanning tree's half; and for the uninformative patterns their forced weight."""
     told = checkpointed(patterns.withColumn("forced", sites.forced_weight()))
     fixed = told.groupBy("aln_id").agg(F.coalesce(F.sum(F.col("weight") * F.col("forced")), F.lit(0)).alias("fixed"))
 
@@ -260,6 +273,23 @@ def whole_lower_bounds(patterns: DataFrame) -> DataFrame:
     return fixed.join(rest, "aln_id", "left").select("aln_id", (F.col("fixed") + F.coalesce("rest", F.lit(0))).alias("lower"))
 
 
+def partitioned_lower_bounds(patterns: DataFrame) -> DataFrame:
+    """Lower bound of all patterns of an alignment: the lower bounds of parts of its informative patterns, layer by layer of their
+    weights, by the partition that moves of single sites reach; and the forced weight of the others. A layer is one task."""
+    told = checkpointed(patterns.withColumn("forced", sites.forced_weight()))
+    fixed = told.groupBy("aln_id").agg(F.coalesce(F.sum(F.col("weight") * F.col("forced")), F.lit(0)).alias("fixed"))
+    some = told.filter("forced is null").drop("forced")
+    row = F.array_sort(F.collect_list(F.struct("site", "states", "weight")))
+    held = some.join(_layers(some), "aln_id").filter("weight >= level").groupBy("aln_id", "level", "times").agg(row.alias("row"))
+
+    def run(key, table):
+        masks, _ = _matrix(table)
+        return pa.table({"aln_id": [key[0].as_py()], "part": pa.array([table.column("times")[0].as_py() * b.optimised_partition(masks)[1]], pa.int64())})
+
+    parts = held.groupBy("aln_id", "level").applyInArrow(run, "aln_id string, part long").groupBy("aln_id").agg(F.sum("part").alias("rest"))
+    return fixed.join(parts, "aln_id", "left").select("aln_id", (F.col("fixed") + F.coalesce("rest", F.lit(0))).alias("lower"))
+
+
 def addition_orders(distances: DataFrame, rule: str = "max_min") -> DataFrame:
     """``rank`` and ``taxon`` of each alignment by distances (aln_id, i, j, dist); rules are ``max_min`` and ``max_sum``."""
 

@@ -1,13 +1,49 @@
-"""Cutting the lineage of iterative plans, in the folder that driver and executors share."""
+"""Cutting the lineage of iterative plans, and files of intermediate results, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import os
+import uuid
+from urllib.parse import urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, a folder below the warehouse, but on one machine only."""
+    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if held:
+        return held
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder for files that a lazy result still reads; they are deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    """Files that this driver cannot reach by their address stay, for the folder's owner to clear."""
+    from pyarrow import ArrowException, fs
+
+    for path in _written:
+        try:
+            files, place = fs.FileSystem.from_uri(path if urlsplit(path).scheme else os.path.abspath(path))
+            files.delete_dir(place)
+        except (OSError, ArrowException):
+            continue
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -11,7 +11,7 @@ from pyspark.sql import window as W
 from cladeflow import bound_sql
 from cladeflow.functions import dna
 from cladeflow.operators import bounds, pairs, prefixes, sites, trees
-from cladeflow.plans.storage import checkpointed
+from cladeflow.plans.storage import checkpointed, scratch
 from cladeflow.sources import phylip, tables, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -677,6 +677,26 @@ def h14(spark, sf_dir):
     return bounds.whole_lower_bounds(small(spark, sf_dir, 12))
 
 
+@register("h14_partition_lower_bound")
+def h14b(spark, sf_dir):
+    return bounds.partitioned_lower_bounds(small(spark, sf_dir, 12))
+
+
+@register("h13_s7_real_bounds")
+def h13b(spark, sf_dir):
+    """Distinct bases and incompatible pairs added, spanning trees where they say more, and the file of rest bounds as written and
+    read again, which takes its place at rank 2."""
+    cells = sites.enough_taxa(chunked(spark, sf_dir))
+    patterns = checkpointed(found_patterns(cells))
+    weights = patterns.select("aln_id", "site", "weight")
+    distinct = prefixes.rest_bound(cells.join(weights.select("aln_id", "site"), ["aln_id", "site"], "left_semi"), weights)
+    incompatible = bounds.incompatibility_bounds(cells, patterns)
+    path = scratch(spark)
+    writers.write_bounds(distinct, path)
+    loaded = writers.read_bounds(spark, path).filter("k = 2")
+    return bounds.combined(distinct, incompatible, loaded, [bounds.spanning_rest_bounds(patterns)])
+
+
 @register("o2_max_min_order")
 def o2(spark, sf_dir):
     return bounds.addition_orders(pairs.blocked_distances(emb(spark, sf_dir)))
@@ -802,3 +822,9 @@ def s11(spark, sf_dir):
 
 
 ORACLE |= bound_sql.oracles(EMB, EVT, CHUNK, chunk_sql(6), FORCED, RECODED, RUNNING, SITE_PAIR, PAIR, SEEN)
+ORACLE["h13_s7_real_bounds"] = (
+    f"WITH added AS ({ORACLE['h5_incompatibility_bound']}), tied AS ({ORACLE['h3_spanning_rest_bound']}), "
+    f"shown AS (WITH {CHUNK}, {REST}, big AS (SELECT aln_id FROM cells GROUP BY 1 HAVING count(DISTINCT taxon) >= 4) SELECT rest.* FROM rest JOIN big USING (aln_id)) "
+    "SELECT shown.aln_id, shown.k, CAST(greatest(shown.bound + CASE WHEN shown.k = 2 THEN 0 ELSE coalesce(added.bound, 0) END, coalesce(tied.bound, 0)) AS BIGINT) AS bound FROM shown "
+    "LEFT JOIN added ON added.aln_id = shown.aln_id AND added.k = shown.k LEFT JOIN tied ON tied.aln_id = shown.aln_id AND tied.k = shown.k"
+)

@@ -90,6 +90,7 @@ def _by_k():
     return W.Window.partitionBy("aln_id", "k").orderBy("p", "q")
 
 
+# fixed values: the header of a file of rest bounds
 BOUND_HEADER = ("i", "Min weight added by taxa i+1, i+2, ..., n-1.")
 
 
@@ -100,8 +101,9 @@ def write_bounds(bounds: DataFrame, path: str) -> None:
 
 
 def read_bounds(spark, path: str) -> DataFrame:
-    schema = "k long, bound long"
-    return spark.read.csv(path, sep="\t", header=True, schema=schema)
+    """Rest bounds of a folder that ``write_bounds`` wrote; the first column is k, the second the bound, whatever the header says."""
+    schema = "k long, bound long, aln_id string"
+    return spark.read.csv(path, sep="\t", header=True, schema=schema).select("aln_id", "k", "bound")
 
 
 def part_statistics(parts: DataFrame) -> DataFrame:

@@ -78,6 +78,8 @@ def test_no_rest_bound_exceeds_the_truth(cells, patterns, alignments):
 def test_whole_bounds_hold(patterns, alignments):
     least = {a: min(fitch.length(t, m, np.ones(m.shape[1], np.int64)) for t in every_tree(len(m))) for a, m in alignments.items()}
     lower = {r["aln_id"]: r["lower"] for r in bounds.whole_lower_bounds(patterns).collect()}
+    parted = {r["aln_id"]: r["lower"] for r in bounds.partitioned_lower_bounds(patterns).collect()}
+    assert all(0 < parted[a] <= least[a] for a in alignments)
     upper = {r["aln_id"]: r["upper"] for r in bounds.upper_bounds(patterns).collect()}
     swapped = {r["aln_id"]: r["upper"] for r in bounds.swapped_upper_bounds(patterns).collect()}
     for a in alignments:
@@ -125,6 +127,68 @@ def test_parts(patterns, alignments):
         assert b.part_lower(masks[:, at : at + 3]) <= least and b.best_two_way(masks[:, at : at + 3]) <= least
 
 
+def test_part_lower_bounds_hold_for_all_trees_and_are_often_exact():
+    draw = np.random.default_rng(21)
+    every, exact, better = {n: every_tree(n) for n in (4, 5, 6)}, 0, 0
+    for turn in range(120):
+        n, width = int(draw.integers(4, 7)), int(draw.integers(1, 7))
+        masks = (1 << draw.integers(0, 2 + turn % 3, (n, width))).astype(np.uint8)
+        if turn % 4 == 0:
+            masks = np.where(draw.random(masks.shape) < 0.25, draw.integers(1, 16, masks.shape), masks).astype(np.uint8)
+        least = min(fitch.length(t, masks, np.ones(width, np.int64)) for t in every[n])
+        low = b.part_lower(masks)
+        rows = np.unique(masks, axis=0)
+        tree = b.spanning_tree(b.distances(rows, np.ones(width, np.int64)))
+        plain = max(-(-tree // 2), len(rows) - 1 if ((masks & (masks - 1)) == 0).all() else 0)
+        assert plain <= low <= least
+        exact, better = exact + (low == least), better + (low > plain)
+    assert exact > 70 and better > 15
+
+
+def test_group_bounds_of_known_rows():
+    far = np.array([[0, 6, 6], [6, 0, 6], [6, 6, 0]])
+    assert b.group_lower(far) == 9  # an inner point is nearer than two of the ways
+    chain = np.array([[0, 3, 9], [3, 0, 6], [9, 6, 0]])
+    assert b.group_lower(chain) == 9
+    assert b.group_lower(np.array([[0, 0, 4], [0, 0, 5], [4, 5, 0]])) == 4  # the first two may be one row
+
+
+def test_partitions_by_moves_use_each_site_once_and_beat_a_first_fit():
+    draw = np.random.default_rng(22)
+    better = 0
+    for turn in range(12):
+        n, width = int(draw.integers(5, 9)), int(draw.integers(4, 14))
+        masks = (1 << draw.integers(0, 2 + turn % 3, (n, width))).astype(np.uint8)
+        for first in (None, 3, n - 1):
+            parts, total = b.optimised_partition(masks, first)
+            score = (lambda p: b.part_lower(masks[:, p])) if first is None else (lambda p: b.part_final(masks[:, p], first))  # noqa: B023
+            assert sorted(sum(parts, [])) == list(range(width)) and total == sum(map(score, parts))
+            fit: list = []
+            for site in range(width):
+                gains = [(score([*p, site]) - score(p) - score([site]), -k) for k, p in enumerate(fit) if len(p) < 4]
+                if gains and max(gains)[0] > 0:
+                    fit[-max(gains)[1]] += [site]
+                else:
+                    fit.append([site])
+            assert total >= sum(map(score, fit))
+            better += total > sum(map(score, fit))
+    assert better
+
+
+def test_layers_of_weights_count_as_often_as_they_stand_there(spark):
+    draw = np.random.default_rng(23)
+    rows = [("w", i, [int(1 << x) for x in draw.integers(0, 3, 6)], int(draw.integers(1, 4))) for i in range(8)]
+    rows += [("same", i, [1, 1, 1, 2, 4, 8], 5) for i in range(3)] + [("three", 0, [1, 2, 4], 1)]
+    table = spark.createDataFrame(rows, "aln_id string, site long, states array<int>, weight long")
+    got = {(r["aln_id"], r["k"]): r["bound"] for r in bounds.partition_bounds(table).collect()}
+    assert {k for a, k in got if a == "w"} == {2, 3, 4} and not any(a == "three" for a, _ in got)
+    assert got["same", 2] == 45 and got["same", 3] == 30
+    masks, weights = np.array([r[2] for r in rows if r[0] == "w"], np.uint8).T, np.array([r[3] for r in rows if r[0] == "w"])
+    for first in (3, 4, 5):
+        expected = sum(b.optimised_partition(masks[:, weights >= level], first)[1] for level in range(1, weights.max() + 1))
+        assert got["w", first - 1] == expected
+
+
 def test_surplus_bound_holds(cells, alignments):
     got = {r["aln_id"]: r["bound"] for r in bounds.surplus_bounds(cells).collect()}
     for a in ("clear", "twos"):

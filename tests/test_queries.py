@@ -8,7 +8,7 @@ import pytest
 from cladeflow.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["p1_letter_to_mask", "a3_forced_weight", "a4_site_summary", "w2_symbol_recoding", "w4_onset", "w5_rest_bound", "j5_blocked_site_pairs", "t7_enumeration", "t3_placements", "s5_s6_nexus_round_trip", "s11_partition_statistics", "h1_spanning_tree", "h5_incompatibility_bound", "h7_two_way_scores", "o2_max_min_order", "j7_incompatible_ambiguous", "t6_exact_search", "s2_rejected_texts"]
+NAMES = ["p1_letter_to_mask", "a3_forced_weight", "a4_site_summary", "w2_symbol_recoding", "w4_onset", "w5_rest_bound", "j5_blocked_site_pairs", "t7_enumeration", "t3_placements", "s5_s6_nexus_round_trip", "s11_partition_statistics", "h1_spanning_tree", "h5_incompatibility_bound", "h6_part_bounds", "h7_two_way_scores", "h13_s7_real_bounds", "o2_max_min_order", "j7_incompatible_ambiguous", "t6_exact_search", "s2_rejected_texts"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
