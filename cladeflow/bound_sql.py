@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cladeflow.functions import newick
+from cladeflow.functions import fitch, newick
 
 #: Spanning tree weights of graphs ``dd`` (g, a, b, d): at each threshold, the components less one. ``last``: the longest edge.
 SPANNING = """th AS (SELECT g, unnest(generate_series(0, max(d) - 1)) AS t FROM dd GROUP BY g),
@@ -20,20 +20,41 @@ COSTS = """ms AS (SELECT DISTINCT mask16 AS m FROM sp), eb AS (SELECT m, k // 4
   costs AS (SELECT m AS mask16, CAST(bit_count(m) + c - 2 AS INTEGER) AS cost, CAST(bit_count(m) - v + c AS INTEGER) AS extra FROM cc)"""
 
 
+def _joins(parents: list[int], n: int) -> list[list[int]]:
+    """Which places of a list of states are joined, each result at its end."""
+    below, place, joins = newick.children(parents), {newick.node_of(t): t + 1 for t in range(n)}, []
+    for v in reversed(newick.preorder(parents)):
+        if newick.taxon_of(v) is None:
+            joins.append([place[c] for c in below[v]])
+            place[v] = n + len(joins)
+    return [*joins, [1, place[below[0][0]]]]
+
+
 def tree_values(n: int) -> str:
-    """Every tree of ``n`` taxa as a row: its text, and which places of a list of states are joined, each result at its end."""
+    """Every tree of ``n`` taxa as a row: its text and its joins."""
     trees = [newick.start()]
     for _ in range(n - 2):
         trees = [newick.insert(p, e) for p in trees for e in range(1, len(p))]
-    rows = []
-    for parents in trees:
-        below, place, joins = newick.children(parents), {newick.node_of(t): t + 1 for t in range(n)}, []
-        for v in reversed(newick.preorder(parents)):
-            if newick.taxon_of(v) is None:
-                joins.append([place[c] for c in below[v]])
-                place[v] = n + len(joins)
-        joins.append([1, place[below[0][0]]])
-        rows.append(f"({n}, '{newick.to_newick(parents)}', {joins})")
+    return ", ".join(f"({n}, '{newick.to_newick(p)}', {_joins(p, n)})" for p in trees)
+
+
+def comb(n: int) -> list[int]:
+    """The tree of ``n`` taxa in which each hangs on the edge of the second."""
+    parents = newick.start()
+    for _ in range(n - 2):
+        parents = newick.insert(parents, 1)
+    return parents
+
+
+def reconnection_values(n: int) -> str:
+    """Every cut of the comb of ``n`` taxa and every way to join its sides: the edges, whether the tree is the old one, its text and its joins."""
+    old, rows = comb(n), []
+    for cut in range(1, len(old)):
+        lower, upper = fitch.cut_sides(old, cut)
+        for x in lower:
+            for y in upper:
+                tree = fitch.reconnected(old, cut, x, y)
+                rows.append(f"({n}, {cut}, {x}, {y}, {str(newick.to_newick(tree) == newick.to_newick(old)).lower()}, '{newick.to_newick(tree)}', {_joins(tree, n)})")
     return ", ".join(rows)
 
 
@@ -125,6 +146,11 @@ def oracles(EMB: str, EVT: str, CHUNK: str, CHUNK6: str, FORCED: str, RECODED: s
         "j7_incompatible_ambiguous": f"""WITH RECURSIVE {EVT}, rec(aln_id, p, q, r) AS (SELECT a.aln_id, a.site, b.site, list(DISTINCT {{'x': a.mask, 'y': b.mask}}) FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.taxon = b.taxon AND a.site < b.site GROUP BY 1, 2, 3
     UNION ALL SELECT aln_id, p, q, s FROM (SELECT *, list_filter(r, lambda u: len(list_filter(r, lambda o: o <> u AND (o.x & u.x) <> 0)) > 0 AND len(list_filter(r, lambda o: o <> u AND (o.y & u.y) <> 0)) > 0) AS s FROM rec) WHERE len(s) < len(r))
   SELECT aln_id, p, q, min(len(r)) > 2 AS incompatible FROM rec GROUP BY 1, 2, 3""",
+        "t8_j10_reconnections": f"""WITH RECURSIVE {CHUNK6}, {RECODED}, trees(n, cut, below, above, old, newick, joins) AS (VALUES {reconnection_values(4)}, {reconnection_values(5)}, {reconnection_values(6)}),
+  rec(aln_id, cut, below, above, old, newick, joins, weight, l, cost, step) AS (SELECT aln_id, cut, below, above, old, newick, joins, weight, states, CAST(0 AS BIGINT), 1 FROM pats JOIN trees ON len(states) = n
+    UNION ALL SELECT aln_id, cut, below, above, old, newick, joins, weight, list_append(l, CASE WHEN l[x] & l[y] <> 0 THEN l[x] & l[y] ELSE l[x] | l[y] END), cost + CASE WHEN l[x] & l[y] = 0 THEN weight ELSE 0 END, step + 1 FROM (SELECT *, joins[step][1] AS x, joins[step][2] AS y FROM rec WHERE step <= len(joins))),
+  scored AS (SELECT aln_id, cut, below, above, old, newick, sum(cost) AS score FROM rec WHERE step = len(joins) + 1 GROUP BY ALL)
+  SELECT aln_id, cut, below, above, newick, CAST(max(score) FILTER (old) OVER (PARTITION BY aln_id) - score AS BIGINT) AS gain FROM scored""",
         "t6_exact_search": f"""WITH RECURSIVE {CHUNK6}, {RECODED}, trees(n, newick, joins) AS (VALUES {tree_values(4)}, {tree_values(5)}, {tree_values(6)}),
   rec(aln_id, newick, joins, weight, l, cost, step) AS (SELECT aln_id, newick, joins, weight, states, CAST(0 AS BIGINT), 1 FROM pats JOIN trees ON len(states) = n
     UNION ALL SELECT aln_id, newick, joins, weight, list_append(l, CASE WHEN l[x] & l[y] <> 0 THEN l[x] & l[y] ELSE l[x] | l[y] END), cost + CASE WHEN l[x] & l[y] = 0 THEN weight ELSE 0 END, step + 1 FROM (SELECT *, joins[step][1] AS x, joins[step][2] AS y FROM rec WHERE step <= len(joins)))

@@ -93,66 +93,99 @@ def heaviest_three(masks: np.ndarray, weights: np.ndarray) -> tuple[tuple[int, i
     return best
 
 
-def _unrooted(parents: list[int]) -> dict[int, set[int]]:
-    near: dict[int, set[int]] = {v: set() for v in range(len(parents))}
-    for v, p in enumerate(parents):
-        if p >= 0:
-            near[v].add(p)
-            near[p].add(v)
-    return near
-
-
-def _without(near: dict[int, set[int]], node: int) -> dict[int, set[int]]:
-    """An inner node with two links goes; its neighbours are joined."""
-    if newick.taxon_of(node) is None and len(near[node]) == 2:
-        a, b = near.pop(node)
-        near[a].remove(node)
-        near[b].remove(node)
-        near[a].add(b)
-        near[b].add(a)
-    return near
-
-
-def _side(near: dict[int, set[int]], start: int) -> set[int]:
-    seen, stack = {start}, [start]
-    while stack:
-        for w in near[stack.pop()]:
-            if w not in seen:
-                seen.add(w)
-                stack.append(w)
-    return seen
-
-
-def bisection_moves(parents: list[int], cut: int):
-    """All trees from cutting the edge above node ``cut`` and joining any edge of one side to any of the other, as
-    unrooted neighbour sets. A side of one taxon is joined at that taxon."""
-    near = _unrooted(parents)
-    a, b = cut, parents[cut]
-    near[a].remove(b)
-    near[b].remove(a)
-    sides = []
-    for end in (a, b):
-        part = {v: set(near[v]) for v in _side(near, end)}
-        sides.append(_without(part, end) if len(part) > 1 else part)
-    edges = [sorted({(min(v, w), max(v, w)) for v in part for w in part[v]}) or [(v, None) for v in part] for part in sides]
-    for e in edges[0]:
-        for f in edges[1]:
-            joined = {v: set(w) for part in sides for v, w in part.items()}
-            ends = []
-            for name, (v, w) in zip(("x", "y"), (e, f)):
-                if w is None:
-                    ends.append(v)
-                    continue
-                node = (name,)
-                joined[v].remove(w)
-                joined[w].remove(v)
-                joined[v].add(node)
-                joined[w].add(node)
-                joined[node] = {v, w}
-                ends.append(node)
-            joined[ends[0]].add(ends[1])
-            joined[ends[1]].add(ends[0])
-            yield joined
+def cut_sides(parents: list[int], cut: int) -> tuple[dict[int, int], dict[int, int]]:
+    """The edges of both sides of a tree cut above node ``cut``, the node below the cut having been smoothed out on either side: each
+    edge's name and the node at its other end. A side of one taxon has that taxon in place of an edge, with no other end (-1).
+
+    The first edge of either side is where the tree was cut."""
+    below = newick.children(parents)
+    lower: dict[int, int] = {}
+    if below[cut]:
+        x, y = below[cut]
+        lower[x] = y
+        stack = [x, y]
+        while stack:
+            v = stack.pop()
+            for c in below[v]:
+                lower[c] = v
+                stack.append(c)
+    else:
+        lower[cut] = -1
+    top = parents[cut]
+    if top == 0:
+        return lower, {0: -1}
+    (sister,) = (c for c in below[top] if c != cut)
+    upper = {sister: parents[top]}
+    gone = {cut, top, sister, *lower, *lower.values()}
+    upper |= {v: p for v, p in enumerate(parents) if p >= 0 and v not in gone}
+    return lower, upper
+
+
+def cut_views(parents: list[int], cut: int, down: np.ndarray, masks: np.ndarray) -> tuple[list[int], np.ndarray, list[int], np.ndarray]:
+    """Of both sides of a cut tree the edges and, for each, the set in its middle. ``down`` are the sets below the nodes of the whole tree:
+    below the cut they stay, above it they change on the way to the root alone."""
+    lower, upper = cut_sides(parents, cut)
+    below = newick.children(parents)
+
+    def middles(edges: dict[int, int], sets: dict[int, np.ndarray], above: dict[int, np.ndarray], kids: dict[int, list[int]], start: list[int]) -> np.ndarray:
+        stack = list(start)
+        while stack:
+            v = stack.pop()
+            for c in kids[v]:
+                (sister,) = (k for k in kids[v] if k != c)
+                above[c] = union(above[v], sets[sister])
+                stack.append(c)
+        return np.array([union(sets[v], above[v]) for v in edges])
+
+    if below[cut]:
+        x, y = below[cut]
+        kids = {v: below[v] for v in [x, y, *lower]}
+        low = middles(lower, {v: down[v] for v in kids}, {x: down[y], y: down[x]}, kids, [x, y])
+    else:
+        low = down[cut][None]
+    top = parents[cut]
+    if top == 0:
+        return list(lower), low, list(upper), masks[0][None]
+    (sister,) = (c for c in below[top] if c != cut)
+    kids = {v: [sister if c == top else c for c in below[v]] for v in [0, *upper]}
+    sets, v = {k: down[k] for k in upper}, parents[top]
+    while v:
+        sets[v] = union(*(sets[c] for c in kids[v]))
+        v = parents[v]
+    (first,) = kids[0]
+    return list(lower), low, list(upper), middles(upper, sets, {first: masks[0]}, kids, [first])
+
+
+def reconnection_costs(low: np.ndarray, high: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Changes on a new edge between the middles of each edge of the lower and each of the upper side."""
+    return np.array([((high & one) == 0) @ weights for one in low])
+
+
+def reconnected(parents: list[int], cut: int, below: int, above: int) -> list[int]:
+    """The tree after cutting above ``cut`` and joining edge ``below`` of the lower side to edge ``above`` of the upper one."""
+    sides = cut_sides(parents, cut)
+    near: dict = {}
+
+    def link(v, w):
+        near.setdefault(v, set()).add(w)
+        near.setdefault(w, set()).add(v)
+
+    ends = []
+    for name, edges, at in zip(("x", "y"), sides, (below, above)):
+        for v, w in edges.items():
+            if w < 0:
+                near.setdefault(v, set())
+            elif v != at:
+                link(v, w)
+        if edges[at] < 0:
+            ends.append(at)
+        else:
+            node = (name,)
+            link(at, node)
+            link(edges[at], node)
+            ends.append(node)
+    link(*ends)
+    return grown(near)
 
 
 def grown(near: dict) -> list[int]:
@@ -162,17 +195,6 @@ def grown(near: dict) -> list[int]:
     return newick._grown(again, sum(isinstance(v, int) for v in again))
 
 
-def best_bisection(parents: list[int], masks: np.ndarray, weights: np.ndarray, cut: int) -> tuple[int, list[int]]:
-    """The shortest tree of all moves at one cut, the first of equals."""
-    best = None
-    for near in bisection_moves(parents, cut):
-        tree = grown(near)
-        size = length(tree, masks, weights)
-        if best is None or size < best[0]:
-            best = (size, tree)
-    return best
-
-
 def neighbour_joining(matrix: np.ndarray, adjusted: bool = True) -> str:
     """Newick text, taxa from 1, of the neighbour-joining tree. ``adjusted``: a joined pair is as far from another taxon as
     the farther of the two, instead of their mean less half their distance."""

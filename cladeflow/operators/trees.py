@@ -158,41 +158,77 @@ def heaviest_threes(patterns: DataFrame) -> DataFrame:
     return _per_alignment(patterns.filter(F.size("states") >= 3), run, "aln_id string, i long, j long, k long, length long")
 
 
-def bisections(trees: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Of each tree and each edge above a node: the shortest tree of cutting that edge and joining the sides anywhere."""
-    cuts = trees.withColumn("cut", F.explode(F.sequence(F.lit(1), F.size("parents") - 1)))
+def reconnections(trees: DataFrame, patterns: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Every tree that cutting one edge and joining the sides anywhere makes of a tree: the ``cut``, edge ``below`` of the lower and
+    edge ``above`` of the upper side, and the ``gain``, the changes that it saves. The tree as it was is among them, with gain 0.
+
+    Of a cut and a block of patterns, all edges of one side meet all of the other in a task, by the sets in their middles: no tree
+    is built. Blocks add up."""
+    cuts = trees.select("aln_id", "tree_id", "parents", F.explode(F.sequence(F.lit(1), F.size("parents") - 1)).alias("cut"))
 
     def run(key, some, held):
         masks, weights = _matrix(held)
-        ids, at = some.column("tree_id").to_pylist(), some.column("cut").to_pylist()
-        found = [fitch.best_bisection(p, masks, weights, c) for p, c in zip(some.column("parents").to_pylist(), at)]
-        lists = pa.list_(pa.int32())
-        return pa.table({"aln_id": [key[0].as_py()] * len(ids), "tree_id": pa.array(ids, pa.int64()), "cut": pa.array(at, pa.int32()), "length": pa.array([s for s, _ in found], pa.int64()), "parents": pa.array([t for _, t in found], lists)})
+        rows = sorted(zip(some.column("tree_id").to_pylist(), some.column("parents").to_pylist(), some.column("cut").to_pylist()))
+        out: list[tuple] = []
+        last, down = None, None
+        for tree, parents, cut in rows:
+            k = newick.taxa(parents)
+            if (tree, parents) != last:
+                last, down = (tree, parents), fitch.views(parents, masks[:k], weights, up=False)[0]
+            lower, low, upper, high = fitch.cut_views(parents, cut, down, masks[:k])
+            costs = fitch.reconnection_costs(low, high, weights)
+            n = costs.size
+            out.append((np.full(n, tree), np.full(n, cut), np.repeat(lower, len(upper)), np.tile(upper, len(lower)), (costs[0, 0] - costs).ravel()))
+        parts = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.table([pa.array([key[0].as_py()] * len(parts[0]), pa.string()), *(pa.array(x, k) for x, k in zip(parts, kinds))], names=["aln_id", "tree_id", "cut", "below", "above", "gain"])
 
-    held = _whole(patterns)
-    return _met(cuts.select("aln_id", "tree_id", "parents", "cut"), held, ["aln_id"], run, "aln_id string, tree_id long, cut int, length long, parents array<int>")
+    schema = "aln_id string, tree_id long, cut int, below int, above int, gain long"
+    part = _met(cuts, blocks(patterns, size), ["aln_id", "block"], run, schema)
+    return part.groupBy("aln_id", "tree_id", "cut", "below", "above").agg(F.sum("gain").alias("gain"))
 
 
-def _whole(patterns: DataFrame) -> DataFrame:
-    row = F.array_sort(F.collect_list(F.struct("site", "states", "weight")))
-    return patterns.groupBy("aln_id").agg(row.alias("row"))
+def reconnected(parents: Column, cut: Column, below: Column, above: Column) -> Column:
+    """The tree that a row of ``reconnections`` stands for."""
+
+    @F.pandas_udf("array<int>")
+    def joined(p: pd.Series, c: pd.Series, b: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([fitch.reconnected([int(v) for v in w], int(x), int(y), int(z)) for w, x, y, z in zip(p, c, b, a)], dtype=object)
+
+    return joined(parents, cut, below, above)
+
+
+def bisections(trees: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Of each tree (aln_id, tree_id, parents, length) and each edge above a node: the shortest tree of cutting that edge and joining the
+    sides anywhere, of equals the first by its edges."""
+    best = reconnections(trees, patterns).groupBy("aln_id", "tree_id", "cut").agg(F.min(F.struct((-F.col("gain")).alias("less"), "below", "above")).alias("best"))
+    both = best.join(trees.select("aln_id", "tree_id", "parents", "length"), ["aln_id", "tree_id"])
+    tree = reconnected(F.col("parents"), F.col("cut"), F.col("best.below"), F.col("best.above"))
+    return both.select("aln_id", "tree_id", "cut", (F.col("length") + F.col("best.less")).alias("length"), tree.alias("parents"))
 
 
 def improved_trees(trees: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Trees (aln_id, tree_id, parents, length) after taking the best bisection move while one is shorter. Lengths fall in every
-    round, so that rounds end."""
+    """Trees (aln_id, tree_id, parents, length) after taking the best reconnection while one is shorter. Lengths fall in every
+    round, so that rounds end; a round stores one row for each tree that still gets shorter."""
+    patterns = checkpointed(patterns.select("aln_id", "site", "states", "weight"))
     trees = checkpointed(trees.select("aln_id", "tree_id", "parents", "length"))
     done = trees.limit(0)
     while True:
-        best = bisections(trees, patterns).groupBy("aln_id", "tree_id").agg(F.min(F.struct("length", "cut", "parents")).alias("best"))
+        gains = reconnections(trees, patterns).filter("gain > 0")
+        best = gains.groupBy("aln_id", "tree_id").agg(F.min(F.struct((-F.col("gain")).alias("less"), "cut", "below", "above")).alias("best"))
         both = checkpointed(trees.join(best, ["aln_id", "tree_id"], "left"))
-        shorter = F.coalesce(F.col("best.length") < F.col("length"), F.lit(False))
-        done = done.unionByName(both.filter(~shorter).drop("best"))
-        trees = both.filter(shorter).select("aln_id", "tree_id", F.col("best.parents").alias("parents"), F.col("best.length").alias("length"))
-        if not trees.limit(1).count():
+        done = done.unionByName(both.filter("best is null").drop("best"))
+        tree = reconnected(F.col("parents"), F.col("best.cut"), F.col("best.below"), F.col("best.above"))
+        trees = both.filter("best is not null").select("aln_id", "tree_id", tree.alias("parents"), (F.col("length") + F.col("best.less")).alias("length"))
+        if trees.isEmpty():
             return done
 
 
+def _whole(patterns: DataFrame) -> DataFrame:
+    row = F.array_sort(F.collect_list(F.struct("site", "states", "weight")))
+    return patterns.groupBy("aln_id").agg(row.alias("row"))
+
+
 def start_trees(patterns: DataFrame) -> DataFrame:
     """The tree of the first two taxa of each alignment."""
     cost = fitch_cost(F.element_at("states", 1), F.element_at("states", 2))

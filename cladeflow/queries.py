@@ -563,6 +563,18 @@ def o5(spark, sf_dir):
     return trees.heaviest_threes(small(spark, sf_dir, 12))
 
 
+@register("t8_j10_reconnections")
+def t8b(spark, sf_dir):
+    """All trees one cut away from the comb of each alignment's taxa, with what they gain."""
+    patterns = six(spark, sf_dir)
+    sizes = patterns.select("aln_id", F.size("states").alias("n")).distinct()
+    combs = F.create_map(*[x for n in (4, 5, 6) for x in (F.lit(n), F.array(*map(F.lit, bound_sql.comb(n))))])
+    begin = sizes.select("aln_id", F.lit(0).cast("long").alias("tree_id"), F.element_at(combs, F.col("n")).alias("parents"))
+    found = trees.reconnections(begin, patterns).join(begin.select("aln_id", "parents"), "aln_id")
+    tree = trees.reconnected(F.col("parents"), F.col("cut"), F.col("below"), F.col("above"))
+    return found.select("aln_id", "cut", "below", "above", trees.newick_text(tree).alias("newick"), "gain")
+
+
 @register("t8_bisections")
 def t8(spark, sf_dir):
     patterns = six(spark, sf_dir)

@@ -37,7 +37,7 @@ def rests(masks):
     for tree in every_tree(len(masks)):
         total = fitch.length(tree, masks, ones)
         for k in full:  # the tree of the first k + 1 taxa within this one
-            near = {v: set(w) for v, w in fitch._unrooted(tree).items()}
+            near = {v: {w for w, p in enumerate(tree) if p == v} | ({tree[v]} if v else set()) for v in range(len(tree))}
             named = {v: newick.taxon_of(v) if newick.taxon_of(v) is not None else ("inner", v) for v in near}
             full[k].append(total - fitch.length(_first(near, named, k + 1), masks[: k + 1], ones))
     return {k: min(v) for k, v in full.items()}

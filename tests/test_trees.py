@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,36 @@ def test_scores_views_and_places(spark, patterns):
     assert list(seen["down"]) == down[3][order].tolist() and list(seen["up"]) == up[3][order].tolist()
 
 
+def every_move(parents):
+    for cut in range(1, len(parents)):
+        for below, above in itertools.product(*fitch.cut_sides(parents, cut)):
+            yield cut, below, above, fitch.reconnected(parents, cut, below, above)
+
+
+def test_gains_of_all_reconnections_equal_full_rescoring(spark, patterns):
+    some = {("five", i): t for i, t in enumerate(every_tree(5)[::4])} | {("five", 90): [-1, 0], ("five", 91): every_tree(3)[0], ("quick", 1): every_tree(7)[500]}
+    table = spark.createDataFrame([(a, i, t) for (a, i), t in some.items()], "aln_id string, tree_id long, parents array<int>")
+    for size in (4096, 2):
+        got = {(r["aln_id"], r["tree_id"], r["cut"], r["below"], r["above"]): r["gain"] for r in trees.reconnections(table, patterns, size).collect()}
+        expected = {}
+        for (a, i), t in some.items():
+            masks, weights = matrix(patterns, a)
+            old = fitch.length(t, masks[: newick.taxa(t)], weights)
+            for cut, below, above, new in every_move(t):
+                assert newick.problems(new) is None
+                expected[a, i, cut, below, above] = old - fitch.length(new, masks[: newick.taxa(t)], weights)
+        assert got == expected
+
+
+def test_bisections_are_the_best_of_each_cut(spark, patterns):
+    tree = every_tree(5)[3]
+    masks, weights = matrix(patterns, "five")
+    begin = spark.createDataFrame([("five", 0, tree, fitch.length(tree, masks, weights))], "aln_id string, tree_id long, parents array<int>, length long")
+    for r in trees.bisections(begin, patterns).collect():
+        least = min(fitch.length(t, masks, weights) for c, _, _, t in every_move(tree) if c == r["cut"])
+        assert r["length"] == least == fitch.length(r["parents"], masks, weights)
+
+
 def test_swapping_reaches_a_tree_without_better_neighbours(spark, patterns):
     begin = trees.greedy_trees(patterns).withColumn("tree_id", F.lit(0).cast("long"))
     end = {r["aln_id"]: (r["parents"], r["length"]) for r in trees.improved_trees(begin, patterns).collect()}
@@ -60,7 +92,7 @@ def test_swapping_reaches_a_tree_without_better_neighbours(spark, patterns):
         masks, weights = matrix(patterns, name)
         parents, size = end[name]
         assert fitch.length(parents, masks, weights) == size
-        assert all(fitch.best_bisection(parents, masks, weights, c)[0] >= size for c in range(1, len(parents)))
+        assert all(fitch.length(t, masks, weights) >= size for _, _, _, t in every_move(parents))
     assert end["quick"][1] == 6
 
 

@@ -87,8 +87,8 @@ def test_bisection_reaches_neighbours_and_never_loses_a_taxon():
     tree = every_tree(6)[draw.randrange(105)]
     seen = set()
     for cut in range(1, len(tree)):
-        for near in fitch.bisection_moves(tree, cut):
-            out = fitch.grown(near)
+        for below, above in itertools.product(*fitch.cut_sides(tree, cut)):
+            out = fitch.reconnected(tree, cut, below, above)
             assert newick.problems(out) is None and newick.taxa(out) == 6
             seen.add(newick.to_newick(out))
     assert newick.to_newick(tree) in seen and 20 < len(seen) < 105
