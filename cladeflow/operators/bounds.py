@@ -17,16 +17,18 @@ from pyspark.sql import window as W
 
 from cladeflow.functions import bounds as b
 from cladeflow.functions import fitch, newick
-from cladeflow.operators import pairs, prefixes, sites, trees
+from cladeflow.operators import pairs, prefixes, sites, spanning, trees
 from cladeflow.operators.trees import _matrix, _per_alignment
 from cladeflow.plans.storage import checkpointed
 
 
 def spanning_tree_weights(patterns: DataFrame, strict: bool = False) -> DataFrame:
-    def run(key, held):
-        return pa.table({"aln_id": [key[0].as_py()], "weight": [b.spanning_tree(b.distances(*_matrix(held), strict))]})
-
-    return _per_alignment(patterns, run, "aln_id string, weight long")
+    """Weight of the minimum spanning tree of the taxa of each alignment, by Fitch or strict distances. Distances come from blocks of taxa,
+    and trees from rounds over all alignments."""
+    cells = patterns.select("aln_id", "site", "weight", F.posexplode("states").alias("taxon", "mask")).withColumn("taxon", F.col("taxon").cast("long"))
+    edges = pairs.blocked_distances(cells).select("aln_id", "i", "j", F.col("strict" if strict else "dist").alias("dist"))
+    found = spanning.spanning_weights(edges, ["aln_id"])
+    return patterns.select("aln_id").distinct().join(found, "aln_id", "left").select("aln_id", F.coalesce("weight", F.lit(0).cast("long")).alias("weight"))
 
 
 def upper_bounds(patterns: DataFrame) -> DataFrame:
