@@ -38,6 +38,16 @@ def tree_values(n: int) -> str:
     return ", ".join(f"({n}, '{newick.to_newick(p)}', {_joins(p, n)})" for p in trees)
 
 
+def prefix_values(n: int) -> str:
+    """Every tree of the first 3 to ``n`` taxa as a row: the taxa, its text, the text of the tree before and the edge that grew, and its joins."""
+    trees, rows = [newick.start()], []
+    for k in range(3, n + 1):
+        grown = [(newick.insert(p, e), p, e) for p in trees for e in range(1, len(p))]
+        rows += [f"({k}, '{newick.to_newick(t)}', '{newick.to_newick(p)}', {e}, {_joins(t, k)})" for t, p, e in grown]
+        trees = [t for t, _, _ in grown]
+    return ", ".join(rows)
+
+
 def comb(n: int) -> list[int]:
     """The tree of ``n`` taxa in which each hangs on the edge of the second."""
     parents = newick.start()
@@ -83,6 +93,15 @@ def oracles(EMB: str, EVT: str, CHUNK: str, CHUNK6: str, FORCED: str, RECODED: s
     UNION ALL SELECT aln_id, m, n, k + 1, {swap("o", "o[k + 1]", "o[best]")} FROM (SELECT *, -(list_reverse_sort(list_transform(generate_series(k + 1, n), lambda c: {{'v': {value}, 'x': -c}}))[1]['x']) AS best FROM rec WHERE k < n))
   SELECT aln_id, unnest(generate_series(0, n - 1)) AS rank, unnest(o) AS taxon FROM rec WHERE k = n"""
 
+    # lengths of the trees of the first taxa of each alignment, and the greedy tree
+    prefix = f"""WITH RECURSIVE {CHUNK6}, {RECODED}, trees(k, newick, before, edge, joins) AS (VALUES {prefix_values(6)}),
+  n AS (SELECT aln_id, max(len(states)) AS n FROM pats GROUP BY 1 HAVING max(len(states)) >= 4),
+  rec(aln_id, k, newick, before, edge, joins, weight, l, cost, step) AS (SELECT aln_id, k, newick, before, edge, joins, weight, states[1:k], CAST(0 AS BIGINT), 1 FROM pats JOIN n USING (aln_id) JOIN trees ON k <= n
+    UNION ALL SELECT aln_id, k, newick, before, edge, joins, weight, list_append(l, CASE WHEN l[x] & l[y] <> 0 THEN l[x] & l[y] ELSE l[x] | l[y] END), cost + CASE WHEN l[x] & l[y] = 0 THEN weight ELSE 0 END, step + 1 FROM (SELECT *, joins[step][1] AS x, joins[step][2] AS y FROM rec WHERE step <= len(joins))),
+  scored AS (SELECT aln_id, k, newick, before, edge, CAST(sum(cost) AS BIGINT) AS score FROM rec WHERE step = len(joins) + 1 GROUP BY ALL),
+  steps(aln_id, k, newick, score) AS (SELECT aln_id, 2, '(1,2)', CAST(0 AS BIGINT) FROM n
+    UNION ALL SELECT aln_id, k, newick, score FROM (SELECT s.aln_id, s.k, s.newick, s.score, row_number() OVER (PARTITION BY s.aln_id ORDER BY s.score, s.edge) AS nr FROM steps JOIN scored s ON s.aln_id = steps.aln_id AND s.k = steps.k + 1 AND s.before = steps.newick) WHERE nr = 1),
+  greedy AS (SELECT steps.aln_id, newick, score AS length FROM steps JOIN n ON n.aln_id = steps.aln_id AND n.n = steps.k)"""
     chosen = "list_transform(o[1:k], lambda t: m[o[c] + 1][t + 1])"
     return {
         "h1_spanning_tree": f"WITH RECURSIVE {EMB}, {PAIR}, dd AS (SELECT aln_id AS g, i AS a, j AS b, dist AS d FROM pr), {SPANNING} SELECT DISTINCT dd.g AS aln_id, coalesce(weight, 0) AS weight FROM dd LEFT JOIN mst ON dd.g = mst.g",
@@ -146,6 +165,15 @@ def oracles(EMB: str, EVT: str, CHUNK: str, CHUNK6: str, FORCED: str, RECODED: s
         "j7_incompatible_ambiguous": f"""WITH RECURSIVE {EVT}, rec(aln_id, p, q, r) AS (SELECT a.aln_id, a.site, b.site, list(DISTINCT {{'x': a.mask, 'y': b.mask}}) FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.taxon = b.taxon AND a.site < b.site GROUP BY 1, 2, 3
     UNION ALL SELECT aln_id, p, q, s FROM (SELECT *, list_filter(r, lambda u: len(list_filter(r, lambda o: o <> u AND (o.x & u.x) <> 0)) > 0 AND len(list_filter(r, lambda o: o <> u AND (o.y & u.y) <> 0)) > 0) AS s FROM rec) WHERE len(s) < len(r))
   SELECT aln_id, p, q, min(len(r)) > 2 AS incompatible FROM rec GROUP BY 1, 2, 3""",
+        "t4_rounds_greedy_trees": f"{prefix} SELECT * FROM greedy",
+        "a15_t6_counters": f"""{prefix}, {SEEN}, shown AS (SELECT aln_id, taxon, count(*) FILTER (mask & seen = 0) AS n_new FROM seen_ GROUP BY 1, 2),
+  rest AS (SELECT aln_id, taxon AS k, coalesce(sum(n_new) OVER (PARTITION BY aln_id ORDER BY taxon DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bound FROM shown),
+  judged AS (SELECT s.*, s.score + bound <= length AS fits FROM scored s JOIN greedy USING (aln_id) JOIN rest ON rest.aln_id = s.aln_id AND rest.k = s.k - 1),
+  kept(aln_id, k, newick, score) AS (SELECT aln_id, 2, '(1,2)', CAST(0 AS BIGINT) FROM n UNION ALL SELECT j.aln_id, j.k, j.newick, j.score FROM kept JOIN judged j ON j.aln_id = kept.aln_id AND j.k = kept.k + 1 AND j.before = kept.newick WHERE fits),
+  levels AS (SELECT k.aln_id, k.k + 1 AS level, count(*) * CASE WHEN k.k = 2 THEN 1 ELSE 2 * k.k - 3 END AS tried FROM kept k JOIN n ON n.aln_id = k.aln_id WHERE k.k < n.n GROUP BY k.aln_id, k.k),
+  counts AS (SELECT aln_id, k AS level, count(*) AS kept FROM kept GROUP BY 1, 2), ties AS (SELECT kept.aln_id, count(*) AS ties FROM kept JOIN n ON n.aln_id = kept.aln_id AND n.n = kept.k JOIN (SELECT aln_id, k, min(score) AS score FROM kept GROUP BY 1, 2) b ON b.aln_id = kept.aln_id AND b.k = kept.k AND b.score = kept.score GROUP BY 1)
+  SELECT levels.aln_id, levels.level, CAST(tried AS BIGINT) AS tried, coalesce(kept, 0) AS kept, CAST(tried - coalesce(kept, 0) AS BIGINT) AS pruned, CASE WHEN levels.level = n.n THEN coalesce(kept, 0) ELSE 0 END AS "full", CASE WHEN levels.level = n.n THEN coalesce(ties, 0) ELSE 0 END AS ties
+  FROM levels JOIN n ON n.aln_id = levels.aln_id LEFT JOIN counts ON counts.aln_id = levels.aln_id AND counts.level = levels.level LEFT JOIN ties ON ties.aln_id = levels.aln_id""",
         "t8_j10_reconnections": f"""WITH RECURSIVE {CHUNK6}, {RECODED}, trees(n, cut, below, above, old, newick, joins) AS (VALUES {reconnection_values(4)}, {reconnection_values(5)}, {reconnection_values(6)}),
   rec(aln_id, cut, below, above, old, newick, joins, weight, l, cost, step) AS (SELECT aln_id, cut, below, above, old, newick, joins, weight, states, CAST(0 AS BIGINT), 1 FROM pats JOIN trees ON len(states) = n
     UNION ALL SELECT aln_id, cut, below, above, old, newick, joins, weight, list_append(l, CASE WHEN l[x] & l[y] <> 0 THEN l[x] & l[y] ELSE l[x] | l[y] END), cost + CASE WHEN l[x] & l[y] = 0 THEN weight ELSE 0 END, step + 1 FROM (SELECT *, joins[step][1] AS x, joins[step][2] AS y FROM rec WHERE step <= len(joins))),

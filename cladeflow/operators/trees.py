@@ -148,16 +148,6 @@ def cheapest_next_trees(patterns: DataFrame) -> DataFrame:
     return _per_alignment(patterns.filter(F.size("states") >= 3), run, "aln_id string, taxa array<int>, parents array<int>, length long")
 
 
-def heaviest_threes(patterns: DataFrame) -> DataFrame:
-    """Of each alignment the three taxa whose tree is longest."""
-
-    def run(key, held):
-        (i, j, k), size = fitch.heaviest_three(*_matrix(held))
-        return pa.table({"aln_id": [key[0].as_py()], "i": [i], "j": [j], "k": [k], "length": [size]})
-
-    return _per_alignment(patterns.filter(F.size("states") >= 3), run, "aln_id string, i long, j long, k long, length long")
-
-
 def reconnections(trees: DataFrame, patterns: DataFrame, size: int = BLOCK) -> DataFrame:
     """Every tree that cutting one edge and joining the sides anywhere makes of a tree: the ``cut``, edge ``below`` of the lower and
     edge ``above`` of the upper side, and the ``gain``, the changes that it saves. The tree as it was is among them, with gain 0.
@@ -236,19 +226,23 @@ def start_trees(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("aln_id").agg(F.sum(F.col("weight") * cost).alias("score"), (F.max(F.size("states"))).alias("taxa")).withColumn("parents", root)
 
 
-def search(patterns: DataFrame, upper: DataFrame | None = None, rest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search(patterns: DataFrame, upper: DataFrame | None = None, rest: DataFrame | None = None, wave: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All shortest trees of each alignment, and counters of every level.
 
     A level of the search is a table of trees with the first k taxa; each grows by the next taxon on every edge, and a
     tree is kept if its length and ``rest`` (aln_id, k, bound: what the taxa after rank k must still add) stay within
     ``upper`` (aln_id, upper). Without both, every tree is enumerated. Alignments of fewer than three taxa give none.
-    """
+
+    With ``wave``, about so many trees grow at a time, those of most taxa first, so that the tables of trees stay bounded: whole trees
+    come early, and the shortest of a wave is the upper bound of the next ones. Trees longer than that are then missing from the result.
+
+    Counters are by ``level``: places ``tried``, trees ``kept`` of them and ``pruned``, whole trees (``full``), and those as short as the shortest
+    (``ties``). What is pruned is not stored: a tree of k taxa has 2k - 3 edges, which tells how many were tried."""
     held = checkpointed(_whole(patterns.filter(F.size("states") >= 3)))
-    level = checkpointed(start_trees(patterns).filter("taxa >= 3"))
+    first = checkpointed(start_trees(patterns).filter("taxa >= 3"))
     upper, rest = (None if x is None else checkpointed(x) for x in (upper, rest))
-    counters = None
-    most = level.agg(F.max("taxa").alias("n")).first()["n"] or 0
-    finished = level.limit(0)
+    if wave is not None and upper is None:
+        upper = first.select("aln_id", F.lit((1 << 62) - 1).alias("upper"))
 
     def run(key, some, held):
         masks, weights = _matrix(held)
@@ -261,23 +255,46 @@ def search(patterns: DataFrame, upper: DataFrame | None = None, rest: DataFrame
                 scores.append(score + cost)
         return pa.table({"aln_id": pa.array([key[0].as_py()] * len(trees), pa.string()), "score": pa.array(scores, pa.int64()), "taxa": pa.array([len(masks)] * len(trees), pa.int32()), "parents": pa.array(trees, pa.list_(pa.int32()))})
 
-    for k in range(2, most):  # the next taxon has rank k
-        tried = _met(level.filter(F.col("taxa") > k), held, ["aln_id"], run, "aln_id string, score long, taxa int, parents array<int>")
+    finished, counters = first.limit(0), None
+    # what is still to grow: trees of k taxa, their number of parts, and the part that comes next
+    stack = [(2, first, 1, 0)]
+    while stack:
+        k, table, parts, part = stack.pop()
+        if part + 1 < parts:
+            stack.append((k, table, parts, part + 1))
+        level = table if parts == 1 else table.filter(F.pmod(F.xxhash64("aln_id", "parents"), F.lit(parts)) == part)
+        level = level.filter(F.col("taxa") > k)
+        grown = _met(level, held, ["aln_id"], run, "aln_id string, score long, taxa int, parents array<int>")
         if upper is not None:
-            tried = tried.join(upper.select("aln_id", "upper"), "aln_id")
+            limit = upper.select("aln_id", "upper")
             if rest is not None:
-                tried = tried.join(rest.filter(F.col("k") == k).select("aln_id", "bound"), "aln_id", "left")
+                limit = limit.join(rest.filter(F.col("k") == k).select("aln_id", "bound"), "aln_id", "left")
             bound = F.coalesce("bound", F.lit(0)) if rest is not None else F.lit(0)
-            tried = tried.withColumn("kept", F.col("score") + bound <= F.col("upper")).select("aln_id", "score", "taxa", "parents", "kept")
+            grown = grown.join(limit, "aln_id").filter(F.col("score") + bound <= F.col("upper")).select("aln_id", "score", "taxa", "parents")
+        grown = checkpointed(grown)
+        counted = level.groupBy("aln_id").agg((F.count("*") * (2 * k - 3 if k > 2 else 1)).alias("tried"))
+        counted = counted.join(grown.groupBy("aln_id").agg(F.count("*").alias("kept"), F.count_if(F.col("taxa") == k + 1).alias("full")), "aln_id", "left")
+        counted = counted.select("aln_id", F.lit(k + 1).alias("level"), "tried", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("full", F.lit(0)).alias("full"))
+        if wave is None:
+            counters = counted if counters is None else counters.unionByName(counted)
         else:
-            tried = tried.withColumn("kept", F.lit(True))
-        tried = checkpointed(tried)
-        counted = tried.groupBy("aln_id", F.lit(k + 1).alias("level")).agg(F.count("*").alias("tried"), F.count_if("kept").alias("kept"))
-        counters = counted if counters is None else counters.unionByName(counted)
-        level = tried.filter("kept").drop("kept")
-        finished = finished.unionByName(level.filter(F.col("taxa") == k + 1).select(finished.columns))
-    none = level.sparkSession.createDataFrame([], "aln_id string, level int, tried long, kept long")
-    return finished.select("aln_id", "parents", "score"), counters if counters is not None else none
+            counters = checkpointed(counted if counters is None else counters.unionByName(counted).groupBy("aln_id", "level").agg(*[F.sum(c).alias(c) for c in ("tried", "kept", "full")]))
+        sizes = {r["whole"]: r["n"] for r in grown.groupBy((F.col("taxa") == k + 1).alias("whole")).agg(F.count("*").alias("n")).collect()}
+        if True in sizes:
+            done = grown.filter(F.col("taxa") == k + 1).select(finished.columns)
+            finished = finished.unionByName(done)
+            if wave is not None:
+                least = done.groupBy("aln_id").agg(F.min("score").alias("least"))
+                upper = checkpointed(upper.join(least, "aln_id", "left").select("aln_id", F.least("upper", "least").alias("upper")))
+                finished = checkpointed(finished.join(upper, "aln_id").filter("score <= upper").drop("upper"))
+        if False in sizes:
+            stack.append((k + 1, grown, -(-sizes[False] // wave) if wave else 1, 0))
+    if counters is None:
+        return finished.select("aln_id", "parents", "score"), patterns.sparkSession.createDataFrame([], "aln_id string, level int, tried long, kept long, pruned long, full long, ties long")
+    best = finished.groupBy("aln_id").agg(F.min("score").alias("score"))
+    ties = finished.join(best, ["aln_id", "score"]).groupBy("aln_id").agg(F.count("*").alias("ties"))
+    told = counters.join(ties, "aln_id", "left").withColumn("ties", F.when(F.col("full") > 0, F.col("ties")).otherwise(F.lit(0)))
+    return finished.select("aln_id", "parents", "score"), told.select("aln_id", "level", "tried", "kept", (F.col("tried") - F.col("kept")).alias("pruned"), "full", "ties")
 
 
 def shortest(trees: DataFrame, most: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 from cladeflow import bound_sql
 from cladeflow.functions import dna
-from cladeflow.operators import bounds, pairs, prefixes, sites, trees
+from cladeflow.operators import bounds, growing, pairs, prefixes, sites, trees
 from cladeflow.plans.storage import checkpointed, scratch
 from cladeflow.sources import phylip, tables, writers
 
@@ -548,6 +548,46 @@ def a15(spark, sf_dir):
     return searched(spark, sf_dir)[1]
 
 
+@register("a15_t6_counters")
+def a15b(spark, sf_dir):
+    """Counters of a search within the length of the greedy tree, with the bound of distinct bases."""
+    patterns = six(spark, sf_dir)
+    rest = prefixes.rest_bound(sites.cells_from_columns(patterns), patterns.select("aln_id", "site", "weight"))
+    upper = growing.grown_trees(patterns).select("aln_id", F.col("length").alias("upper"))
+    counted = trees.search(patterns, upper, rest)[1]
+    return counted.select("aln_id", F.col("level").cast("int").alias("level"), "tried", "kept", "pruned", "full", "ties")
+
+
+@register("t6_waves_exact_search")
+def t6b(spark, sf_dir):
+    """The same trees as ``t6_exact_search``, in waves of about two thousand trees, whose whole trees lower the bound."""
+    patterns = six(spark, sf_dir)
+    rest = prefixes.rest_bound(sites.cells_from_columns(patterns), patterns.select("aln_id", "site", "weight"))
+    return with_text(trees.shortest(trees.search(patterns, None, rest, wave=2000)[0]), "score")
+
+
+@register("t4_rounds_greedy_trees")
+def t4b(spark, sf_dir):
+    return with_text(growing.grown_trees(six(spark, sf_dir)), "length")
+
+
+@register("t4_large_alignments")
+def t4c(spark, sf_dir):
+    """Greedy trees of whole labels, a taxon a round over blocks of their patterns."""
+    return with_text(growing.grown_trees(found_patterns(emb(spark, sf_dir)), size=16), "length")
+
+
+@register("t5_rounds_cheapest_next")
+def t5b(spark, sf_dir):
+    return with_text(growing.grown_trees(small(spark, sf_dir, 12), "cheapest"), "taxa", "length")
+
+
+@register("o4_rank_orders_within_bound")
+def o4b(spark, sf_dir):
+    patterns = small(spark, sf_dir, 12)
+    return growing.placement_orders(patterns, "max_rank", bounds.upper_bounds(patterns))
+
+
 @register("t4_greedy_trees")
 def t4(spark, sf_dir):
     return with_text(trees.greedy_trees(small(spark, sf_dir, 12)), "length")
@@ -560,7 +600,7 @@ def t5(spark, sf_dir):
 
 @register("o5_heaviest_three", f"WITH {CHUNK}, q AS (SELECT a.aln_id, a.taxon AS i, b.taxon AS j, c.taxon AS k, a.mask AS a, b.mask AS b, c.mask AS c FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon JOIN cells c ON a.aln_id = c.aln_id AND a.site = c.site AND b.taxon < c.taxon), s AS (SELECT aln_id, i, j, k, CAST(sum(CASE WHEN a & b = 0 THEN 1 ELSE 0 END + CASE WHEN (CASE WHEN a & b <> 0 THEN a & b ELSE a | b END) & c = 0 THEN 1 ELSE 0 END) AS BIGINT) AS length FROM q GROUP BY 1, 2, 3, 4), big AS (SELECT aln_id FROM cells GROUP BY 1 HAVING count(DISTINCT taxon) >= 4) SELECT aln_id, i, j, k, length FROM s JOIN big USING (aln_id) QUALIFY row_number() OVER (PARTITION BY aln_id ORDER BY length DESC, i, j, k) = 1")
 def o5(spark, sf_dir):
-    return trees.heaviest_threes(small(spark, sf_dir, 12))
+    return growing.heaviest_threes(growing.packed_blocks(small(spark, sf_dir, 12)))
 
 
 @register("t8_j10_reconnections")
@@ -834,6 +874,7 @@ def s11(spark, sf_dir):
 
 
 ORACLE |= bound_sql.oracles(EMB, EVT, CHUNK, chunk_sql(6), FORCED, RECODED, RUNNING, SITE_PAIR, PAIR, SEEN)
+ORACLE["t6_waves_exact_search"] = ORACLE["t6_exact_search"]
 ORACLE["h13_s7_real_bounds"] = (
     f"WITH added AS ({ORACLE['h5_incompatibility_bound']}), tied AS ({ORACLE['h3_spanning_rest_bound']}), "
     f"shown AS (WITH {CHUNK}, {REST}, big AS (SELECT aln_id FROM cells GROUP BY 1 HAVING count(DISTINCT taxon) >= 4) SELECT rest.* FROM rest JOIN big USING (aln_id)) "

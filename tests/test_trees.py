@@ -37,6 +37,18 @@ def test_enumeration_and_pruned_search(spark, patterns):
     assert trees.shortest(every, 3).groupBy("aln_id", "missed").count().filter("aln_id = 'quick' and missed and count = 3").count() == 1
 
 
+def test_waves_find_the_same_trees_and_store_less(spark, patterns):
+    told = lambda x: {(r["aln_id"], tuple(r["parents"])) for r in x.collect()}
+    every, counters = trees.search(patterns)
+    found, fewer = trees.search(patterns, wave=40)
+    assert told(trees.shortest(found)) == told(trees.shortest(every)) and found.count() < every.count()
+    rows = {(r["aln_id"], r["level"]): r for r in counters.collect()}
+    assert [rows["quick", k]["tried"] for k in range(3, 8)] == [1, 3, 15, 105, 945] and all(r["pruned"] == 0 for r in rows.values())
+    assert (rows["quick", 7]["full"], rows["quick", 7]["ties"], rows["quick", 6]["full"], rows["quick", 6]["ties"]) == (945, 210, 0, 0)
+    less = {(r["aln_id"], r["level"]): r for r in fewer.collect()}
+    assert all(r["tried"] == r["kept"] + r["pruned"] for r in less.values()) and less["quick", 7]["kept"] < 945 and less["quick", 7]["ties"] == 210
+
+
 def test_scores_views_and_places(spark, patterns):
     some = [("five", i, t) for i, t in enumerate(every_tree(5))]
     table = spark.createDataFrame(some, "aln_id string, tree_id long, parents array<int>")
