@@ -332,6 +332,17 @@ def first_fit(surplus: list[tuple[int, int, int]], base: int) -> int:
     return base
 
 
+def surplus_bound(masks: np.ndarray) -> int:
+    """What the sites need alone, and the surpluses of a first-fit matching of site pairs: distinct joint states beyond their own."""
+    values = np.unique(masks)
+    shown = np.array([masks == v for v in values]).astype(np.float32)  # value, taxon, site
+    own = (shown.sum(1) > 0).sum(0)
+    joint = sum(((shown[c].T @ shown[d]) > 0).astype(np.int64) for c in range(len(values)) for d in range(len(values)))
+    surplus = joint - own[:, None] - own[None] + 1
+    p, q = np.nonzero(np.triu(surplus, 1) > 0)
+    return first_fit(list(zip(p.tolist(), q.tolist(), surplus[p, q].tolist())), int((own - 1).sum()))
+
+
 def addition_order(matrix: np.ndarray, rule: str = "max_min") -> list[int]:
     """Order in which taxa join: the farthest pair, then the one whose ascending distances to those chosen are largest
     (``max_min``, lexicographically) or sum up most (``max_sum``). The chosen taxon changes places with the next one;

@@ -90,25 +90,6 @@ def incompatible_pairs(cells: DataFrame) -> DataFrame:
     return found.select("aln_id", "p", "q", "mask16", "cost", "extra", F.least("onset_p", "onset_q").alias("onset"))
 
 
-def incompatible_ambiguous(sites_: DataFrame) -> DataFrame:
-    """``incompatible`` for every two sites of an alignment, by deletion; takes ambiguous states."""
-
-    def run(key, held):
-        rows = sorted(zip(held.column("site").to_pylist(), held.column("states").to_pylist()))
-        masks = np.array([r for _, r in rows], np.uint8)
-        at = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))]
-        return pa.table(
-            {
-                "aln_id": pa.array([key[0].as_py()] * len(at), pa.string()),
-                "p": pa.array([rows[i][0] for i, _ in at], pa.int64()),
-                "q": pa.array([rows[j][0] for _, j in at], pa.int64()),
-                "incompatible": pa.array([b.eliminated(masks[i], masks[j]) for i, j in at], pa.bool_()),
-            }
-        )
-
-    return sites_.select("aln_id", "site", "states").groupBy("aln_id").applyInArrow(run, "aln_id string, p long, q long, incompatible boolean")
-
-
 def incompatibility_bounds(cells: DataFrame, patterns: DataFrame) -> DataFrame:
     """What a greedy matching of incompatible pairs adds at each k: pairs whose onset is above the number of taxa."""
     weights = patterns.select("aln_id", "site", "weight")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from cladeflow.plans.storage import checkpointed
+
 
 def taxon_pairs(cells: DataFrame) -> DataFrame:
     """Cells of every two taxa at each site: ``i``, ``j``, ``mask_i``, ``mask_j`` and the site's ``weight``."""
@@ -74,11 +76,22 @@ def farthest_pair(distances: DataFrame) -> DataFrame:
 
 
 def cross_minimum(distances: DataFrame) -> DataFrame:
-    """For each rank ``r`` from 1: the least distance between a taxon before ``r`` and one from ``r`` on."""
-    # a pair (i, j) lies across every r in i + 1 .. j: only the nearest j of each i at or after r can be least
-    least = distances.groupBy("aln_id", "i", "j").agg(F.min("dist").alias("dist"))
-    across = least.select("aln_id", F.explode(F.sequence(F.col("i") + 1, F.col("j"))).alias("r"), "dist")
-    return across.groupBy("aln_id", "r").agg(F.min("dist").alias("min_dist"))
+    """For each rank ``r`` from 1: the least distance between a taxon before ``r`` and one from ``r`` on.
+
+    A pair (i, j) lies across all ranks i + 1 .. j. Two runs of 2^k ranks, which may overlap, cover these, so that a pair is two rows
+    whatever its width, and partial minima leave a row for each k and rank. A run's minimum then goes to its halves, k after k."""
+    wide = F.floor(F.log2((F.col("j") - F.col("i")).cast("double")) + F.lit(1e-9)).cast("int")
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))
+    starts = F.explode(F.array(F.col("i") + 1, F.col("j") - step + 1))
+    runs = distances.select("aln_id", "i", "j", "dist", wide.alias("k")).select("aln_id", "k", starts.alias("r"), "dist")
+    runs = checkpointed(runs.groupBy("aln_id", "k", "r").agg(F.min("dist").alias("min_dist")))
+    most = runs.agg(F.max("k")).first()[0] or 0
+    level = runs.filter(F.col("k") == most).drop("k")
+    for k in range(most, 0, -1):
+        halves = F.explode(F.array(F.col("r"), F.col("r") + (1 << (k - 1))))
+        level = level.select("aln_id", halves.alias("r"), "min_dist").unionByName(runs.filter(F.col("k") == k - 1).drop("k"))
+        level = level.groupBy("aln_id", "r").agg(F.min("min_dist").alias("min_dist"))
+    return level.select("aln_id", "r", "min_dist")
 
 
 def relabelled(rows: DataFrame, order: DataFrame, rank: str = "rank") -> DataFrame:
@@ -156,3 +169,35 @@ def blocked_site_pairs(cells: DataFrame, block: int = 256) -> DataFrame:
 
     found = _blocked(_packed(cells, "site", "taxon"), block, compare, ["mask16"])
     return found.select("aln_id", F.col("i").alias("p"), F.col("j").alias("q"), F.col("mask16").cast("int").alias("mask16")).filter("mask16 <> 0")
+
+
+def _elimination() -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of bases at two sites show a common base at the first, and at the second, without being the same."""
+    x, y = np.divmod(np.arange(225), 15)
+    other = ~np.eye(225, dtype=bool)
+    return tuple((((v[:, None] + 1) & (v[None] + 1) != 0) & other).astype(np.float32) for v in (x, y))
+
+
+def blocked_incompatible(cells: DataFrame, block: int = 64) -> DataFrame:
+    """``incompatible`` for every two sites p < q of an alignment, ambiguous states included, for alignments without gaps in the grid.
+
+    Joint states that share no base with another on one side go, until none does; more than two are left if the sites are incompatible.
+    The joint states of all pairs of two blocks of sites are one matrix, and a round of elimination is two products with it."""
+
+    def compare(x, y, weights):
+        first, second = _elimination()
+        held = np.zeros((len(x) * len(y), 225), np.float32)
+        pair = np.arange(len(held))
+        for a, b in zip(x.T.astype(np.int64), y.T.astype(np.int64)):
+            held[pair, ((a[:, None] - 1) * 15 + b[None] - 1).ravel()] = 1
+        live = pair
+        while len(live):
+            some = held[live]
+            kept = some * ((some @ first) > 0) * ((some @ second) > 0)
+            changed = (kept != some).any(1)
+            held[live] = kept
+            live = live[changed]
+        return [(held.sum(1) > 2).astype(np.int64).reshape(len(x), len(y))]
+
+    found = _blocked(_packed(cells, "site", "taxon"), block, compare, ["incompatible"])
+    return found.select("aln_id", F.col("i").alias("p"), F.col("j").alias("q"), (F.col("incompatible") == 1).alias("incompatible"))

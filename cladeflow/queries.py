@@ -670,7 +670,7 @@ def h4(spark, sf_dir):
 
 @register("j7_incompatible_ambiguous")
 def j7(spark, sf_dir):
-    return bounds.incompatible_ambiguous(sites.columns(tables.from_events(spark, sf_dir)))
+    return pairs.blocked_incompatible(tables.from_events(spark, sf_dir))
 
 
 @register("h5_incompatibility_bound")
@@ -734,6 +734,11 @@ def h14b(spark, sf_dir):
     return bounds.partitioned_lower_bounds(small(spark, sf_dir, 12))
 
 
+@register("h12_surplus_orders")
+def h12b(spark, sf_dir):
+    return growing.surplus_orders(small(spark, sf_dir, 12))
+
+
 @register("h13_s7_real_bounds")
 def h13b(spark, sf_dir):
     """Distinct bases and incompatible pairs added, spanning trees where they say more, and the file of rest bounds as written and
@@ -754,11 +759,21 @@ def o2(spark, sf_dir):
     return bounds.addition_orders(pairs.blocked_distances(emb(spark, sf_dir)))
 
 
+@register("o2_rounds_max_min_order")
+def o2b(spark, sf_dir):
+    return growing.distance_orders(pairs.blocked_distances(emb(spark, sf_dir)))
+
+
 @register("o3_max_sum_order")
 def o3(spark, sf_dir):
     return bounds.addition_orders(pairs.blocked_distances(emb(spark, sf_dir)), "max_sum")
 
 
+@register("o3_rounds_max_sum_order")
+def o3b(spark, sf_dir):
+    return growing.distance_orders(pairs.blocked_distances(emb(spark, sf_dir)), "max_sum")
+
+
 @register("o4_placement_orders")
 def o4(spark, sf_dir):
     patterns = small(spark, sf_dir, 12)
@@ -874,6 +889,7 @@ def s11(spark, sf_dir):
 
 
 ORACLE |= bound_sql.oracles(EMB, EVT, CHUNK, chunk_sql(6), FORCED, RECODED, RUNNING, SITE_PAIR, PAIR, SEEN)
+ORACLE["o2_rounds_max_min_order"], ORACLE["o3_rounds_max_sum_order"] = ORACLE["o2_max_min_order"], ORACLE["o3_max_sum_order"]
 ORACLE["t6_waves_exact_search"] = ORACLE["t6_exact_search"]
 ORACLE["h13_s7_real_bounds"] = (
     f"WITH added AS ({ORACLE['h5_incompatibility_bound']}), tied AS ({ORACLE['h3_spanning_rest_bound']}), "

@@ -107,9 +107,14 @@ def test_pair_costs(spark):
         assert b.joint_mask(states[:, 0], states[:, 1]) == mask
 
 
-def test_incompatible_pairs_both_ways(cells, patterns):
+def test_incompatible_pairs_both_ways(cells, patterns, alignments):
     clear = {(r["aln_id"], r["p"], r["q"]) for r in bounds.incompatible_pairs(cells).collect()}
-    every = bounds.incompatible_ambiguous(sites.columns(cells)).filter("incompatible").collect()
+    told = {(r["aln_id"], r["p"], r["q"]): r["incompatible"] for r in pairs.blocked_incompatible(cells, 3).collect()}
+    for a, m in alignments.items():
+        for p, q in itertools.combinations(range(m.shape[1]), 2):
+            assert told.pop((a, p, q)) == b.eliminated(m[:, p], m[:, q])
+    assert not told
+    every = pairs.blocked_incompatible(cells).filter("incompatible").collect()
     assert clear <= {(r["aln_id"], r["p"], r["q"]) for r in every} and clear
     assert {k for k in clear if k[0] == "clear"} == {(r["aln_id"], r["p"], r["q"]) for r in every if r["aln_id"] == "clear"}
 
