@@ -287,14 +287,29 @@ def uninformative_bound(masks: np.ndarray, weights: np.ndarray, forced: np.ndarr
     return max(0, best - fixed) if least else 0
 
 
-def corrected_bound(masks: np.ndarray, weights: np.ndarray, first: int, seed: int, tries: int = 6) -> int:
-    """Sum over random parts of four sites of lower bound less upper bound on the first taxa, where that is positive."""
+def corrected_try(masks: np.ndarray, weights: np.ndarray, first: int, seed: int) -> int:
+    """Sum over random parts of four sites, each site as often as it stands there, of lower bound less upper bound on the first taxa,
+    where that is positive; then half as many random swaps of sites between parts as there are sites, each kept if the sum rises."""
     sites = np.repeat(np.arange(masks.shape[1]), weights)
-    best = 0
-    for turn in range(tries):
-        parts = random_parts(len(sites), seed + turn)
-        best = max(best, sum(max(0, part_lower(masks[:, sites[p]]) - part_upper(masks[:, sites[p]], first)) for p in parts))
-    return best
+    draw = np.random.default_rng(seed)
+    parts = [sites[p].tolist() for p in random_parts(len(sites), seed)]
+    known: dict[tuple, int] = {}
+
+    def score(part: list[int]) -> int:
+        key = tuple(sorted(part))
+        if key not in known:
+            some = masks[:, list(key)]
+            known[key] = max(0, part_lower(some) - part_upper(some, first))
+        return known[key]
+
+    for a, b in draw.integers(0, max(len(sites), 1), (len(sites) // 2, 2)).tolist():
+        (p, i), (q, j) = divmod(a, 4), divmod(b, 4)
+        if p != q:
+            one, two = parts[p].copy(), parts[q].copy()
+            one[i], two[j] = two[j], one[i]
+            if score(one) + score(two) > score(parts[p]) + score(parts[q]):
+                parts[p], parts[q] = one, two
+    return sum(map(score, parts))
 
 
 def hitting_sets(masks: np.ndarray, first: int, widest: int = 6) -> list[tuple[int, list[int]]]:

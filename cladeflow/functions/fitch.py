@@ -17,21 +17,23 @@ def length(parents: list[int], masks: np.ndarray, weights: np.ndarray) -> int:
     return views(parents, masks, weights, up=False)[2]
 
 
-def views(parents: list[int], masks: np.ndarray, weights: np.ndarray, up: bool = True) -> tuple[np.ndarray, np.ndarray | None, int]:
-    """Of each edge the set below it and, with ``up``, the set of all else; and the tree's length."""
+def views(parents: list[int], masks: np.ndarray, weights: np.ndarray | None, up: bool = True) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """Of each edge the set below it and, with ``up``, the set of all else; and the tree's length, 0 without ``weights``."""
     order, below = newick.preorder(parents), newick.children(parents)
     down = np.empty((len(parents), masks.shape[1]), masks.dtype)
     total = 0
     for v in reversed(order):
         t = newick.taxon_of(v)
         if v == 0:
-            total += int(weights[(down[below[0][0]] & masks[0]) == 0].sum())
+            total += 0 if weights is None else int(weights[(down[below[0][0]] & masks[0]) == 0].sum())
         elif t is not None:
             down[v] = masks[t]
         else:
             a, b = (down[c] for c in below[v])
-            total += int(weights[(a & b) == 0].sum())
-            down[v] = union(a, b)
+            both = a & b
+            gap = both == 0
+            total += 0 if weights is None else int(weights[gap].sum())
+            down[v] = np.where(gap, a | b, both)
     if not up:
         return down, None, total
     above = np.empty_like(down)

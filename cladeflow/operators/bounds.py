@@ -186,9 +186,25 @@ def _forced(states: np.ndarray) -> int:
     return best
 
 
-def corrected_bounds(patterns: DataFrame) -> DataFrame:
-    """Random parts of four sites, each counted as often as it stands there: lower bound less upper bound on the taxa up to k."""
-    return prefixes.held_for_fewer(_by_rank(patterns, b.corrected_bound))
+def corrected_bounds(patterns: DataFrame, tries: int = 8) -> DataFrame:
+    """Random parts of four sites, each counted as often as it stands there: lower bound less upper bound on the taxa up to k. The best of
+    ``tries`` seeded tries, each with swaps at its end, is the bound; a try of an alignment and a number of first taxa is one task's
+    row, so that more tries spread over more tasks."""
+    held = trees.blocks(patterns, 1 << 40).withColumn("n", F.size(F.col("row")[0]["states"]))
+    keyed = held.filter("n > 3").withColumn("first", F.explode(F.sequence(F.lit(3), F.col("n") - 1))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+
+    def run(batches):
+        for batch in batches:
+            names, firsts, turns, rows = (batch.column(c).to_pylist() for c in ("aln_id", "first", "turn", "row"))
+            value = []
+            for name, first, turn, row in zip(names, firsts, turns, rows):
+                masks, weights = np.array([r["states"] for r in row], np.uint8).T, np.array([r["weight"] for r in row], np.int64)
+                value.append(b.corrected_try(masks, weights, first, zlib.crc32(f"{name} {first}".encode()) + turn))
+            yield pa.RecordBatch.from_arrays([batch.column("aln_id"), pa.array([f - 1 for f in firsts], pa.int64()), pa.array(value, pa.int64())], names=["aln_id", "k", "bound"])
+
+    dealt = keyed.select("aln_id", "first", "turn", "row").repartition(patterns.sparkSession.sparkContext.defaultParallelism * 4, "aln_id", "first", "turn")
+    found = dealt.mapInArrow(run, "aln_id string, k long, bound long").groupBy("aln_id", "k").agg(F.max("bound").alias("bound"))
+    return prefixes.held_for_fewer(found)
 
 
 def hitting_set_bounds(patterns: DataFrame) -> DataFrame:
@@ -196,10 +212,11 @@ def hitting_set_bounds(patterns: DataFrame) -> DataFrame:
 
     def compute(masks, weights, first, seed):
         expanded = np.repeat(np.arange(masks.shape[1]), weights)
-        covers = sum(gain for gain, _ in b.hitting_sets(masks[:, expanded], first))
-        return max(covers, b.corrected_bound(masks, weights, first, seed))
+        return sum(gain for gain, _ in b.hitting_sets(masks[:, expanded], first))
 
-    return _by_rank(patterns, compute)
+    covers = _by_rank(patterns, compute)
+    both = covers.join(corrected_bounds(patterns).withColumnRenamed("bound", "corrected"), ["aln_id", "k"], "left")
+    return both.select("aln_id", "k", F.greatest("bound", F.coalesce("corrected", F.lit(0))).alias("bound"))
 
 
 def surplus_bounds(cells: DataFrame) -> DataFrame:

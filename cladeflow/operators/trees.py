@@ -246,13 +246,16 @@ def search(patterns: DataFrame, upper: DataFrame | None = None, rest: DataFrame
 
     def run(key, some, held):
         masks, weights = _matrix(held)
+        # sums of these stay whole numbers, and products with doubles are fast
+        doubles = weights.astype(np.float64)
         trees, scores = [], []
-        for parents, score in zip(some.column("parents").to_pylist(), some.column("score").to_pylist()):
+        for parents, score, most in zip(*(some.column(c).to_pylist() for c in ("parents", "score", "most"))):
             k = newick.taxa(parents)
-            down, up, _ = fitch.views(parents, masks[:k], weights)
-            for edge, cost in enumerate(fitch.insertion_costs(down, up, masks[k], weights)[1:].tolist(), 1):
-                trees.append(newick.insert(parents, edge))
-                scores.append(score + cost)
+            down, up, _ = fitch.views(parents, masks[:k], None)
+            costs = (((fitch.union(down[1:], up[1:]) & masks[k]) == 0).astype(np.float64) @ doubles).astype(np.int64)
+            for edge in (np.flatnonzero(costs <= most - score) + 1 if most is not None else range(1, k * 2 - 2)):
+                trees.append(newick.insert(parents, int(edge)))
+                scores.append(score + int(costs[edge - 1]))
         return pa.table({"aln_id": pa.array([key[0].as_py()] * len(trees), pa.string()), "score": pa.array(scores, pa.int64()), "taxa": pa.array([len(masks)] * len(trees), pa.int32()), "parents": pa.array(trees, pa.list_(pa.int32()))})
 
     finished, counters = first.limit(0), None
@@ -264,13 +267,15 @@ def search(patterns: DataFrame, upper: DataFrame | None = None, rest: DataFrame
             stack.append((k, table, parts, part + 1))
         level = table if parts == 1 else table.filter(F.pmod(F.xxhash64("aln_id", "parents"), F.lit(parts)) == part)
         level = level.filter(F.col("taxa") > k)
-        grown = _met(level, held, ["aln_id"], run, "aln_id string, score long, taxa int, parents array<int>")
-        if upper is not None:
+        if upper is None:
+            limited = level.withColumn("most", F.lit(None).cast("long"))
+        else:
             limit = upper.select("aln_id", "upper")
             if rest is not None:
                 limit = limit.join(rest.filter(F.col("k") == k).select("aln_id", "bound"), "aln_id", "left")
-            bound = F.coalesce("bound", F.lit(0)) if rest is not None else F.lit(0)
-            grown = grown.join(limit, "aln_id").filter(F.col("score") + bound <= F.col("upper")).select("aln_id", "score", "taxa", "parents")
+            most = F.col("upper") - (F.coalesce("bound", F.lit(0)) if rest is not None else F.lit(0))
+            limited = level.join(limit.select("aln_id", most.alias("most")), "aln_id")
+        grown = _met(limited.select("aln_id", "score", "taxa", "parents", "most"), held, ["aln_id"], run, "aln_id string, score long, taxa int, parents array<int>")
         grown = checkpointed(grown)
         counted = level.groupBy("aln_id").agg((F.count("*") * (2 * k - 3 if k > 2 else 1)).alias("tried"))
         counted = counted.join(grown.groupBy("aln_id").agg(F.count("*").alias("kept"), F.count_if(F.col("taxa") == k + 1).alias("full")), "aln_id", "left")

@@ -401,6 +401,14 @@ def s10(spark, sf_dir):
     return writers.uninformative_prefixes(chunked(spark, sf_dir)).select("aln_id", "k", "site")
 
 
+LETTER = "CASE mask WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' ELSE 'T' END"
+
+
+@register("s10_uninformative_columns", f"WITH {CHUNK}, {RUNNING}, o AS (SELECT aln_id, site, min(CASE WHEN forced IS NULL THEN taxon + 1 END) AS onset FROM running GROUP BY 1, 2), n AS (SELECT aln_id, count(DISTINCT taxon) AS n FROM cells GROUP BY 1), ks AS (SELECT aln_id, unnest(generate_series(3, n - 1)) AS k FROM n WHERE n >= 4) SELECT cells.aln_id, k, taxon, string_agg({LETTER}, '' ORDER BY cells.site) AS seq FROM o JOIN ks USING (aln_id) JOIN cells ON cells.aln_id = o.aln_id AND cells.site = o.site WHERE onset > k GROUP BY 1, 2, 3")
+def s10b(spark, sf_dir):
+    return writers.uninformative_columns(chunked(spark, sf_dir))
+
+
 # --- trees ---
 
 
@@ -888,6 +896,31 @@ def s11(spark, sf_dir):
     return writers.part_statistics(parts).withColumn("mean_width", F.round("mean_width", 6))
 
 
+@register("s11_partition_lines", f"WITH {EMB}, p AS (SELECT aln_id, taxon, site // 5 AS part_id, string_agg({LETTER}, '' ORDER BY site) AS text FROM cells GROUP BY 1, 2, 3) SELECT aln_id, taxon, string_agg(text, '|' ORDER BY part_id) AS line FROM p GROUP BY 1, 2")
+def s11b(spark, sf_dir):
+    return writers.partition_lines(emb(spark, sf_dir), F.floor(F.col("site") / 5))
+
+
+@register("s11_partition_totals")
+def s11c(spark, sf_dir):
+    """Totals of the parts of ``h6_part_bounds``."""
+    return writers.partition_totals(h6(spark, sf_dir))
+
+
+@register("p13_broken_trees", QUARTET + """, shapes(newick, v, parent) AS (SELECT newick, unnest(range(6)), unnest(p) FROM (VALUES ('(1,2,(3,4))', [-1, 3, 5, 0, 5, 3]), ('(1,(2,4),3)', [-1, 5, 3, 0, 5, 3]), ('(1,(2,3),4)', [-1, 3, 3, 5, 5, 0])) t(newick, p)),
+  bent AS (SELECT newick, d AS bent, v, CASE WHEN v = d THEN (parent + 1) % 6 ELSE parent END AS parent FROM shapes, generate_series(1, 5) t(d)),
+  kids AS (SELECT a.newick, a.bent, a.v, count(b.v) AS n FROM bent a LEFT JOIN bent b ON b.newick = a.newick AND b.bent = a.bent AND b.parent = a.v GROUP BY 1, 2, 3),
+  faults AS (SELECT newick, bent, count(*) FILTER (n <> CASE WHEN v = 0 THEN 1 WHEN v IN (3, 5) THEN 2 ELSE 0 END) AS n_faults FROM kids GROUP BY 1, 2)
+  SELECT aln_id, newick, CAST(bent AS INTEGER) AS bent, n_faults FROM scored JOIN faults USING (newick)""")
+def p13b(spark, sf_dir):
+    """Every tree of four taxa with one node at a time hung on the next node."""
+    found = quartets(spark, sf_dir).withColumn("newick", trees.newick_text(F.col("parents"))).withColumn("bent", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    parents = F.transform("parents", lambda p, v: F.when(v == F.col("bent"), (p + 1) % 6).otherwise(p))
+    keys = ["aln_id", "newick", "bent"]
+    faults = trees.structure_faults(trees.node_table(found.select(*keys, parents.alias("parents"))), keys).groupBy(*keys).agg(F.count("*").alias("n_faults"))
+    return found.select(*keys).join(faults, keys, "left").select(*keys, F.coalesce("n_faults", F.lit(0).cast("long")).alias("n_faults"))
+
+
 ORACLE |= bound_sql.oracles(EMB, EVT, CHUNK, chunk_sql(6), FORCED, RECODED, RUNNING, SITE_PAIR, PAIR, SEEN)
 ORACLE["o2_rounds_max_min_order"], ORACLE["o3_rounds_max_sum_order"] = ORACLE["o2_max_min_order"], ORACLE["o3_max_sum_order"]
 ORACLE["t6_waves_exact_search"] = ORACLE["t6_exact_search"]
@@ -897,3 +930,7 @@ ORACLE["h13_s7_real_bounds"] = (
     "SELECT shown.aln_id, shown.k, CAST(greatest(shown.bound + CASE WHEN shown.k = 2 THEN 0 ELSE coalesce(added.bound, 0) END, coalesce(tied.bound, 0)) AS BIGINT) AS bound FROM shown "
     "LEFT JOIN added ON added.aln_id = shown.aln_id AND added.k = shown.k LEFT JOIN tied ON tied.aln_id = shown.aln_id AND tied.k = shown.k"
 )
+ORACLE["s11_partition_totals"] = (
+    f"WITH parts AS ({ORACLE['h6_part_bounds']}) SELECT aln_id, count(*) AS n_parts, CAST(sum(width) AS BIGINT) AS width, CAST(sum(lower) AS BIGINT) AS lower, CAST(sum(upper) AS BIGINT) AS upper, CAST(sum(lower - upper) AS BIGINT) AS raw, "
+    "CAST(sum(greatest(lower - upper, 0)) AS BIGINT) AS clipped, CAST(sum(additive) AS BIGINT) AS additive, CAST(sum(final) AS BIGINT) AS final, min({'w': width, 'p': part_id}).p AS narrowest, min({'w': -width, 'p': part_id}).p AS widest FROM parts GROUP BY 1"
+)

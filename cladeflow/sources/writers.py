@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.dna import letter_of_mask
@@ -23,6 +23,14 @@ def uninformative_prefixes(cells: DataFrame) -> DataFrame:
     return found.select("aln_id", "site", F.explode(F.sequence(F.lit(3).cast("long"), F.least(F.col("onset") - 1, F.col("last")))).alias("k"))
 
 
+def uninformative_columns(cells: DataFrame) -> DataFrame:
+    """For each ``k`` the whole columns of the sites of ``uninformative_prefixes``, as the sequence of each taxon."""
+    found = cells.join(uninformative_prefixes(cells), ["aln_id", "site"])
+    row = F.array_sort(F.collect_list(F.struct("site", "mask")))
+    rows = found.groupBy("aln_id", "k", "taxon").agg(row.alias("row"))
+    return rows.select("aln_id", "k", "taxon", F.array_join(F.transform("row", lambda c: letter_of_mask(c["mask"])), "").alias("seq"))
+
+
 def phylip_lines(found: DataFrame, labels: DataFrame | None = None, repeat: bool = True) -> DataFrame:
     """``aln_id``, ``line_no`` and ``line`` of PHYLIP files of weighted patterns (aln_id, site, states, weight).
 
@@ -112,3 +120,23 @@ def part_statistics(parts: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("lower", "upper", "additive", "final")], F.min("width").alias("narrowest"), F.max("width").alias("widest"), F.avg("width").alias("mean_width")
     )
     return rows.filter("aln_id is not null")
+
+
+def partition_lines(cells: DataFrame, part: Column) -> DataFrame:
+    """A line for each taxon: its letters part by part, with a bar between parts."""
+    row = F.array_sort(F.collect_list(F.struct("site", "mask")))
+    parts = cells.groupBy("aln_id", "taxon", part.alias("part_id")).agg(row.alias("row"))
+    parts = parts.select("aln_id", "taxon", F.struct("part_id", F.array_join(F.transform("row", lambda c: letter_of_mask(c["mask"])), "").alias("text")).alias("part"))
+    lines = parts.groupBy("aln_id", "taxon").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return lines.select("aln_id", "taxon", F.array_join("parts.text", "|").alias("line"))
+
+
+def partition_totals(parts: DataFrame) -> DataFrame:
+    """Of the parts of each alignment (aln_id, part_id, width, lower, upper, additive, final): their number and width, the totals with raw
+    scores (lower less upper) as they are and cut off at 0, and the first of the narrowest and of the widest parts."""
+    raw = F.col("lower") - F.col("upper")
+    found = parts.groupBy("aln_id").agg(
+        F.count("*").alias("n_parts"), F.sum("width").alias("width"), F.sum("lower").alias("lower"), F.sum("upper").alias("upper"), F.sum(raw).alias("raw"), F.sum(F.greatest(raw, F.lit(0))).alias("clipped"),
+        F.sum("additive").alias("additive"), F.sum("final").alias("final"), F.min(F.struct("width", "part_id")).alias("low"), F.min(F.struct((-F.col("width")).alias("less"), "part_id")).alias("high"),
+    )
+    return found.select("aln_id", "n_parts", "width", "lower", "upper", "raw", "clipped", "additive", "final", F.col("low.part_id").alias("narrowest"), F.col("high.part_id").alias("widest"))
