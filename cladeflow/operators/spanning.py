@@ -25,8 +25,7 @@ def spanning_trees(edges: DataFrame, keys: list[str]) -> DataFrame:
         both = live.select(*keys, F.col("a").alias("node"), F.struct("edge", F.col("b").alias("other")).alias("way"))
         both = both.unionByName(live.select(*keys, F.col("b").alias("node"), F.struct("edge", F.col("a").alias("other")).alias("way")))
         least = checkpointed(both.groupBy(*keys, "node").agg(F.min("way").alias("way")))
-        size = least.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if size is None:
+        if least.isEmpty():
             return edges.select(*keys, "i", "j", "dist").limit(0) if taken is None else taken.select(*keys, "edge.i", "edge.j", "edge.dist")
         found = least.select(*keys, "way.edge").distinct()
         taken = found if taken is None else taken.unionByName(found)
@@ -34,13 +33,14 @@ def spanning_trees(edges: DataFrame, keys: list[str]) -> DataFrame:
         back = least.select(*keys, F.col("node").alias("up"), F.col("way.other").alias("then"))
         tops = least.select(*keys, "node", F.col("way.other").alias("up")).join(back, [*keys, "up"])
         tops = tops.select(*keys, "node", F.when((F.col("then") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up"))
-        reach = 1
-        while reach < size:
-            tops = checkpointed(tops)
-            further = tops.select(*keys, F.col("node").alias("up"), F.col("up").alias("top"))
-            tops = tops.join(further, [*keys, "up"]).select(*keys, "node", F.col("top").alias("up"))
-            reach *= 2
         tops = checkpointed(tops)
+        while True:
+            further = tops.select(*keys, F.col("node").alias("up"), F.col("up").alias("top"))
+            tops = checkpointed(tops.join(further, [*keys, "up"]))
+            settled = tops.filter("top <> up").isEmpty()
+            tops = tops.select(*keys, "node", F.col("top").alias("up"))
+            if settled:
+                break
         for side in ("a", "b"):
             live = live.join(tops.select(*keys, F.col("node").alias(side), F.col("up").alias("top")), [*keys, side]).drop(side).withColumnRenamed("top", side)
         live = live.filter("a <> b").groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("edge").alias("edge"))
