@@ -143,10 +143,15 @@ def candidate_groups(ties: DataFrame, tables: Tables) -> DataFrame:
 
 def meetings(members: DataFrame) -> DataFrame:
     """``members`` has ``group``, ``key`` and ``n``. Returns rows ``group``, ``low``, ``high``, ``side`` and ``key``: a place of a
-    member in the meeting of two of its group's blocks, or of a block with itself."""
+    member in the meeting of two of its group's blocks, or of a block with itself. Where there is a column ``probe``, members
+    with it meet only those without it; ``n`` counts the latter and ``probes`` the former."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("mine", F.pmod(F.xxhash64("key", "group"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    mine, others = F.pmod(F.xxhash64("key", "group"), blocks), blocks
+    if "probe" in members.columns:
+        more = F.ceil(F.col("probes") / BLOCK).cast("int")
+        mine = F.when(F.col("probe"), blocks + F.pmod(F.xxhash64("key", "group"), more)).otherwise(mine)
+        others = F.when(F.col("probe"), blocks).otherwise(blocks + more)
+    rows = members.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     low, high = F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
     return rows.select(F.xxhash64("group").alias("group"), low, high, (F.col("mine") > F.col("other")).cast("int").alias("side"), "key")
 

@@ -5,12 +5,14 @@ size needs: of two sets with a Jaccard similarity of 0.8 or more, at least one o
 both. Sets of ``CAPPED`` shingles and more have ``MOST`` bands, which miss a pair at the threshold with a chance of 1e-7. Sets of fewer than
 four shingles are near copies of equal sets alone, and have none.
 
-Within a band's bucket, members by size come apart where one is over 1.25 times as large as the one before. The members of a
-crowded bucket must share a second of their least hashes, too.
+Within a band's bucket, members by size come apart where one is over 1.25 times as large as the one before. Members of a
+crowded bucket are joined in another exact way, by their rarest shingles: lines of one boilerplate that differ in more than a
+near copy may meet in every band, but share nothing rare.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,9 +28,11 @@ from cladeflow.llm.shared_files import Tables
 from cladeflow.llm.words import hash_bytes, mix64, shingle_hashes, slices
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Bands of the largest sets; hashes of which near copies share two; members of a bucket beyond which two are asked for.
-MOST, MOST_OF_TWO, CROWD = 10, 14, 512
+#: Bands of the largest sets; members of a bucket that are compared as they are.
+MOST, CROWD = 10, 512
 CAPPED = 5 * MOST - 5
+#: Sizes of a class lie within this factor; shingles of more than one in so many rows are frequent.
+CLASS, FREQUENT = 1.05, 4096
 #: The end of a sentence and the white space after it that stays in the line, as UTF-8.
 SENTENCE = re.compile(
     rb"[.!?](?:[\t\v\f\r\x1c-\x1f ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)+"
@@ -195,19 +199,38 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(shingles, starts)), sets], names=["key", "shingles"])
 
 
-def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of members of crowded buckets: a bucket for each other one of their least hashes."""
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every shingle of every set."""
     for batch in batches:
-        keys, shared, buckets = (batch.column(k).to_numpy() for k in range(3))
-        out_key, out = [], []
-        for key, x, bucket, data in zip(keys.tolist(), shared.view(np.uint64).tolist(), buckets.view(np.uint64), batch.column(3)):
-            found = np.frombuffer(data.as_buffer(), np.uint64)
-            found = found[: min(len(found) // 5 + 2, MOST_OF_TWO)]
-            found = found[found != x]
-            out_key.append(np.full(len(found), key))
-            out.append(mix64(found ^ mix64(np.array([bucket]))))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out).view(np.int64))], names=["key", "bucket"])
+        for part in slices(batch, 1):
+            data = part.column(1).to_pylist()
+            sizes = np.array([len(x) // 8 for x in data])
+            every = np.repeat(np.arange(len(part)), sizes)
+            columns = [part.column(0).take(pa.array(every)), pa.array(sizes[every].astype(np.int32)), pa.array(np.frombuffer(b"".join(data), np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "shingle"])
+
+
+def _rarest(sets: DataFrame, tables: Tables) -> DataFrame:
+    """Buckets ``key``, ``bucket``, ``probe`` in which every two of the sets at 0.8 or more meet, one of them no probe: the first
+    shingle that two sets share, in an order from rare to frequent, leaves enough after it in either set to reach 0.8 with
+    the other's size. Sizes are in classes; a set is a probe in classes below its own. What many sets share comes last in
+    the order, so that sets alike by nothing else don't meet. Counts of shingles of over one in ``FREQUENT`` rows are
+    broadcast (they are fewer than that), the others joined."""
+    rows = tables.store(sets.select("key", "shingles").mapInArrow(_shingles, "key long, size int, shingle long"))
+    counts = tables.store(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"))
+    often = F.col("n") * FREQUENT > rows.count()
+    told = rows.join(F.broadcast(counts.filter(often)), "shingle", "left")
+    rest = told.filter("n is null").drop("n").join(counts.filter(~often), "shingle", "left")
+    told = told.filter("n is not null").unionByName(rest.withColumn("n", F.coalesce("n", F.lit(1).cast("long"))))
+    ordered = told.groupBy("key", "size").agg(F.collect_list(F.struct("n", "shingle")).alias("all"))
+    first = F.slice(F.sort_array("all"), F.lit(1), F.expr("size div 5 + 1").cast("int"))
+    placed = ordered.select("key", "size", F.posexplode(first).alias("place", "x"))
+    placed = placed.withColumn("most", F.expr("9 * (size - place) div 4 - size")).withColumn("least", F.expr("(4 * size + 4) div 5"))
+    of = lambda c: F.floor(F.log(c) / math.log(CLASS)).cast("int")
+    mine = of("size").alias("mine")
+    classes = F.explode(F.sequence(of("least"), F.least(of("size"), of("most")))).alias("class")
+    placed = placed.filter("most >= least").select("key", F.col("x.shingle").alias("shingle"), mine, classes)
+    return placed.select("key", F.xxhash64("shingle", "class").alias("bucket"), (F.col("class") < F.col("mine")).alias("probe"))
 
 
 def _prepare(data: dict[str, list]) -> Sets:
@@ -225,10 +248,12 @@ def _compare(sets: Sets, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, as groups with their sizes; buckets with the same members count once."""
-    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("marks"), F.min("key").alias("least")]
-    alike = rows.groupBy("bucket").agg(*marks).filter("n > 1").groupBy("n", "marks", "least").agg(F.min("bucket").alias("group"))
-    return rows.join(alike.select(F.col("group").alias("bucket"), "n"), "bucket").withColumnRenamed("bucket", "group")
+    """Members of buckets of two or more, as groups with their sizes ``n`` and ``probes``; buckets with the same members count once."""
+    probes = F.count_if("probe")
+    marks = [(F.count("*") - probes).alias("n"), probes.alias("probes"), F.bit_xor(F.xxhash64("key", "probe")).alias("marks"), F.min("key").alias("least")]
+    alike = rows.groupBy("bucket").agg(*marks).filter("n > 0 and n + probes > 1")
+    alike = alike.groupBy("n", "probes", "marks", "least").agg(F.min("bucket").alias("group"))
+    return rows.join(alike.select(F.col("group").alias("bucket"), "n", "probes"), "bucket").withColumnRenamed("bucket", "group")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -262,8 +287,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     payload = tables.store(sets.dropDuplicates(["key"]).select("key", F.lit(1).cast("long").alias("copies"), "shingles"))
     tables.drop(asked)
     crowded = near.groupBy("bucket").count().filter(F.col("count") > CROWD).select("bucket")
-    some = near.join(crowded, "bucket", "left_semi").join(payload.select("key", "shingles"), "key").select("key", "shingle", "bucket", "shingles")
-    groups = near.join(crowded, "bucket", "left_anti").select("key", "bucket").unionByName(some.mapInArrow(_second, "key long, bucket long"))
+    crowd = near.join(crowded, "bucket", "left_semi").select("key").distinct()
+    rarest = _rarest(payload.join(crowd, "key", "left_semi"), tables)
+    groups = near.join(crowded, "bucket", "left_anti").select("key", "bucket", F.lit(False).alias("probe")).unionByName(rarest)
     groups = tables.store(_sized(groups))
     tables.drop(near)
     found = tables.store(link(groups, payload, _prepare, _compare, "long", count=False))

@@ -8,6 +8,7 @@ import pytest
 
 from cladeflow.llm import paragraphs
 from cladeflow.llm.paragraphs import Units, repeated_paragraphs
+from cladeflow.llm.shared_files import Tables
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -96,6 +97,36 @@ def test_crowded_buckets_and_several_blocks(spark, monkeypatch, crowd):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_families_and_sizes_in_crowded_buckets(spark, monkeypatch, block):
+    from cladeflow.llm import collisions
+
+    monkeypatch.setattr(paragraphs, "CROWD", 2)
+    monkeypatch.setattr(collisions, "BLOCK", block)
+    draw = random.Random(6)
+    common = ["c%d" % i for i in range(60)]
+    rows = []
+    for i in range(80):  # a boilerplate, some of it left out, with own words that some lines share
+        own = ["o%d" % draw.randint(0, 60) for _ in range(draw.randint(0, 16))]
+        rows.append((i, " ".join([*common[: 60 - draw.randint(0, 12)], *own])))
+    for i in range(80, 160):  # short sets of four shingles and more
+        rows.append((i, " ".join(common[draw.randint(0, 2) : draw.randint(7, 24)] + ["z"] * draw.randint(0, 2))))
+    expected = brute(rows)
+    assert len(expected) > 60 and found(spark, rows) == expected
+
+
+def test_lines_of_one_boilerplate_do_not_meet(spark):
+    draw = random.Random(7)
+    common = ["c%d" % i for i in range(60)]
+    lines = [" ".join([*common, *("o%d" % draw.randint(0, 10**9) for _ in range(10))]) for _ in range(300)]
+    sets = Units([x.encode() for x in lines]).sets()
+    rows = [(i, sets[0][a:b].tobytes()) for i, (a, b) in enumerate(zip(sets[1], sets[1][1:]))]
+    tables = Tables(spark)
+    frame = spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "key long, shingles binary")
+    assert paragraphs._sized(paragraphs._rarest(frame, tables)).count() == 0
+    tables.drop_all()
+
+
 def test_lone_pairs_at_the_threshold_are_all_found(spark):
     # 13 words of which the last differs: 8 of 10 shingles; 100 words of which one in the middle differs
     rows = []
