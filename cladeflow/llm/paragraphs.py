@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.llm.collisions import link
@@ -199,29 +199,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(shingles, starts)), sets], names=["key", "shingles"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every shingle of every set."""
-    for batch in batches:
-        for part in slices(batch, 1):
-            data = part.column(1).to_pylist()
-            sizes = np.array([len(x) // 8 for x in data])
-            every = np.repeat(np.arange(len(part)), sizes)
-            columns = [part.column(0).take(pa.array(every)), pa.array(sizes[every].astype(np.int32)), pa.array(np.frombuffer(b"".join(data), np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "shingle"])
+def _shingles(frequent: list[tuple[int, int]]):
+    """A row for every shingle of every set, with its count ``n`` if it is frequent. Of these, which follow the others in the
+    order, there are only those that the first fifth of a set needs."""
+    known, counts = (np.array(x, np.int64) for x in zip(*sorted(frequent), (2**63 - 1, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                data = part.column(1).to_pylist()
+                sizes = np.array([len(x) // 8 for x in data])
+                every, shingle = np.repeat(np.arange(len(part)), sizes), np.frombuffer(b"".join(data), np.int64)
+                at = np.searchsorted(known, shingle)
+                n = np.where(known[at] == shingle, counts[at], 0)
+                order = np.lexsort((shingle, n, every))
+                place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                order = order[(n[order] == 0) | (place <= sizes[every] // 5)]
+                every, n = every[order], n[order]
+                columns = [part.column(0).take(pa.array(every)), pa.array(sizes[every].astype(np.int32)), pa.array(shingle[order]), pa.array(n, mask=n == 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "shingle", "n"])
+
+    return run
 
 
 def _rarest(sets: DataFrame, tables: Tables) -> DataFrame:
     """Buckets ``key``, ``bucket``, ``probe`` in which every two of the sets at 0.8 or more meet, one of them no probe: the first
     shingle that two sets share, in an order from rare to frequent, leaves enough after it in either set to reach 0.8 with
     the other's size. Sizes are in classes; a set is a probe in classes below its own. What many sets share comes last in
-    the order, so that sets alike by nothing else don't meet. Counts of shingles of over one in ``FREQUENT`` rows are
-    broadcast (they are fewer than that), the others joined."""
-    rows = tables.store(sets.select("key", "shingles").mapInArrow(_shingles, "key long, size int, shingle long"))
-    counts = tables.store(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"))
-    often = F.col("n") * FREQUENT > rows.count()
-    told = rows.join(F.broadcast(counts.filter(often)), "shingle", "left")
-    rest = told.filter("n is null").drop("n").join(counts.filter(~often), "shingle", "left")
-    told = told.filter("n is not null").unionByName(rest.withColumn("n", F.coalesce("n", F.lit(1).cast("long"))))
+    the order, so that sets alike by nothing else don't meet. Shingles of over one in ``FREQUENT`` rows, which are fewer than
+    that, go to the tasks with their counts; windows count the others, so that none is a large share of the rows."""
+    sets, kind = tables.store(sets.select("key", "shingles")), "key long, size int, shingle long, n long"
+    total = sets.agg(F.sum(F.length("shingles")) / 8).first()[0] or 0
+    counts = sets.mapInArrow(_shingles([]), kind).groupBy("shingle").agg(F.count("*").alias("n"))
+    frequent = [tuple(r) for r in counts.filter(F.col("n") * FREQUENT > total).collect()]
+    told = tables.store(sets.mapInArrow(_shingles(frequent), kind))
+    rest = told.filter("n is null").withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
+    told = told.filter("n is not null").unionByName(rest)
     ordered = told.groupBy("key", "size").agg(F.collect_list(F.struct("n", "shingle")).alias("all"))
     first = F.slice(F.sort_array("all"), F.lit(1), F.expr("size div 5 + 1").cast("int"))
     placed = ordered.select("key", "size", F.posexplode(first).alias("place", "x"))
