@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from cladeflow.llm.suffixes import PASSAGE, minimisers, repeated_passages, window_hashes
+from cladeflow.llm import suffixes
+from cladeflow.llm.suffixes import PASSAGE, PIECE, minimisers, repeated_passages, window_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -38,21 +40,42 @@ def corpus(seed):
     edited = rows[0][1].split()
     edited[60] = "other"
     rows += [(50, " ".join(edited)), (51, rows[0][1]), (52, None), (53, ""), (54, say(20)), (55, "x " * 300), (56, "x " * 120), (57, say(6000) + " " + shared[4])]
-    return rows + [(3, rows[3][1])]
+    heavy = " ".join("é%d" % draw.randint(0, 400) + "long" * draw.choice((1, 30)) for _ in range(70))
+    rows += [(60, say(40) + " " + heavy), (61, heavy + " " + say(40)), (62, "A--" + heavy.upper().replace("É", "é"))]
+    return rows + [(3, rows[3][1]), (3, shared[5]), (3, say(3)), (None, rows[4][1])]
 
 
 def test_equals_brute_force(spark):
-    for seed in (1, 2):
+    for seed, piece in ((1, PIECE), (2, PIECE), (1, 3), (2, 1)):
         rows = corpus(seed)
         frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")
-        got = {r["doc_id"]: r for r in repeated_passages(frame).collect()}
-        expected = brute(rows)
+        got = {r["doc_id"]: r for r in repeated_passages(frame, piece).collect()}
+        expected = brute([r for r in rows if r[0] is not None])
         assert set(got) == set(expected)
         for i, (repeated, removed) in expected.items():
             assert words_of(got[i]["repeated"]) == repeated and got[i]["n_repeated"] == len(repeated)
             assert words_of(got[i]["removed"]) == removed and got[i]["n_removed"] == len(removed)
 
 
+def test_runs_do_not_depend_on_batches(monkeypatch):
+    draw = random.Random(5)
+    texts = [t for _, t in corpus(3) if t] * 2
+    ids = list(range(len(texts)))
+    draw.shuffle(ids)
+    parts = [pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": texts})]
+    found = pa.Table.from_batches(suffixes._suffixes(iter(parts))).to_pylist()
+    asked = [[{"position": r["position"], "pieces": 1} for r in found if r["doc_id"] == i] for i in ids]
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("pieces", pa.int32())]))
+    parts = [pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": texts, "asked": pa.array(asked, kind)})]
+    ordered = pa.Table.from_batches(suffixes._contexts(iter(parts))).sort_by([(c, "ascending") for c in ("suffix", "piece", "right")])
+    told = []
+    for step, size in ((1, 1), (7, 3), (100, 10), (10**6, 1000)):
+        monkeypatch.setattr(suffixes, "STEP", step)
+        rows = pa.Table.from_batches(suffixes._walk(iter(ordered.to_batches(max_chunksize=size)))).to_pylist()
+        told.append(sorted((r["doc_id"], a, b) for r in rows for a, b in zip(r["starts"], r["later"])))
+    assert told[0] and all(t == told[0] for t in told)
+
+
 def test_empty_table(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
