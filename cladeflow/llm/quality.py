@@ -1,8 +1,8 @@
-"""Quality classification by co-training of two views of a document: its text, and its metadata.
+"""Quality classification by co-training of two views of a document: its text, and its metadata with the layout of the page.
 
 Each view has a binary classifier over hashed features. In every round a classifier labels the documents it is sure of,
-and these train the other one; then both are calibrated anew on labelled documents kept from training. The score of a
-document joins the calibrated views.
+and these train the other one; then both are calibrated anew on labelled documents kept from training. A view that these
+documents show to be worse than in the round before stays as it was. The score of a document joins the calibrated views.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,7 @@ class View:
     weights: np.ndarray | None = None  # log odds of good quality per feature
     slope: float = 0.0  # calibrated log odds are slope * raw + shift
     shift: float = 0.0
+    loss: float = float("inf")  # on the labels kept for calibration
 
     def log_odds(self, raw: np.ndarray) -> np.ndarray:
         return np.clip(self.slope * raw + self.shift, -12, 12)
@@ -67,7 +68,17 @@ def text_codes(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield code >> shift
 
 
-META = ("source", "lang", "n_chars")
+#: Fields of the table, and the layout: characters a line, characters a word, marks, and lines that stand in the text before.
+META = ("source", "lang", "n_chars", "line", "word", "mark", "again")
+
+
+def _layout(text: Column) -> list[Column]:
+    """Bins of the last four of META, null where the text is."""
+    lines = F.split(text, "\n")
+    n, length = F.size(lines).cast("double"), F.greatest(F.length(text), F.lit(1)).cast("double")
+    words = length - F.length(F.translate(text, " ", "")) + 1
+    marks = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", ""))
+    return [F.floor(2 * F.log2(length / n)), F.floor(4 * F.log2(length / words)), F.floor(50 * marks / length), F.floor(20 * (n - F.size(F.array_distinct(lines))) / n)]
 
 
 def _prepared(docs: DataFrame, labels: DataFrame, most_labels: int, carry: list[str]) -> DataFrame:
@@ -76,11 +87,14 @@ def _prepared(docs: DataFrame, labels: DataFrame, most_labels: int, carry: list[
     labels = labels.filter("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     sample = labels.orderBy(F.xxhash64("_id"), "_id").limit(most_labels)  # at most most_labels rows are broadcast
     size = F.floor(F.log2(F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)) + 2)).cast("string")
-    named = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("?"))) for c in META[:2]] + [F.concat(F.lit("size="), F.coalesce(size, F.lit("?")))]
+    text = F.col("text").cast("string")
+    shape = _layout(text)
+    found = dict(zip(META, [F.col("source"), F.col("lang"), size, *[F.when(text.isNotNull(), c) for c in shape]]))
+    named = [F.concat(F.lit(f"{c}="), F.coalesce(x.cast("string"), F.lit("?"))) for c, x in found.items()]
     rows = docs.select(
         F.struct(*columns(carry)).alias("row"),
         F.col("doc_id").cast("long").alias("_id"),
-        F.col("text").cast("string").alias("text"),
+        text.alias("text"),
         F.array(*[F.pmod(F.xxhash64(c), F.lit(BUCKETS["meta"])).cast("int") for c in named]).alias("meta"),
     )
     rows = rows.join(F.broadcast(sample), "_id", "left")
@@ -187,6 +201,11 @@ def calibrate(n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def log_loss(view: View, n0: np.ndarray, n1: np.ndarray) -> float:
+    odds = view.log_odds((np.arange(BINS) + 0.5) / BINS * 2 * SPAN - SPAN)
+    return float((n0 * np.logaddexp(0, odds) + n1 * np.logaddexp(0, -odds)).sum())
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, rounds: int = 2, most_labels: int = 50_000) -> QualityModel:
     """Co-train on ``labels`` (doc_id, quality 0 or 1) and all of ``docs``.
 
@@ -216,6 +235,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rounds: int = 2, most_labels
             fresh.prior = float(np.log(n1 / n0))
             for i, v in enumerate(VIEWS):
                 fresh.views[v].slope, fresh.views[v].shift = calibrate(bins[i, 0], bins[i, 1])
+                fresh.views[v].loss = log_loss(fresh.views[v], bins[i, 0], bins[i, 1])
+                # what the other view told must help on labels that neither has learnt from
+                if fresh.views[v].loss > model.views[v].loss:
+                    fresh.views[v] = model.views[v]
         model = fresh
     return model
 
@@ -224,7 +247,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, carry: list[str], rounds:
     """``carry`` columns of each document as the struct ``row``, with ``p_text`` and ``p_meta`` (the calibrated views),
     ``score`` (both joined) and ``good`` (a score of 0.5 or more).
 
-    Metadata are ``source``, ``lang`` and ``n_chars``; null ones are values of their own. A null or empty text leaves the
+    Metadata are ``source``, ``lang`` and ``n_chars``, and how the text is laid out (lengths of lines and words, shares of
+    marks and of repeated lines); null ones are values of their own. A null or empty text leaves the
     text view without a feature. Repeated rows give repeated results; an empty table none.
     """
     model = fit_quality(docs, labels, rounds, most_labels)
