@@ -29,10 +29,12 @@ from cladeflow.llm.words import hash_bytes, mix64, shingle_hashes, slices
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Bands of the largest sets; members of a bucket that are compared as they are.
-MOST, CROWD = 10, 512
+MOST, CROWD = 10, 32
 CAPPED = 5 * MOST - 5
-#: Sizes of a class lie within this factor; shingles of more than one in so many rows are frequent.
-CLASS, FREQUENT = 1.05, 4096
+#: Sizes of a class lie within this factor. Most frequent shingles that tasks know, and about how many are counted at a time.
+CLASS, KNOWN, RANGE = 1.05, 1 << 20, 1 << 19
+#: Words of a repeated stretch that are a passage: of 50 words that repeat, those of a sentence cut at either end are not found.
+PASSAGE = 25
 #: The end of a sentence and the white space after it that stays in the line, as UTF-8.
 SENTENCE = re.compile(
     rb"[.!?](?:[\t\v\f\r\x1c-\x1f ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)+"
@@ -41,7 +43,8 @@ SENTENCE = re.compile(
 
 class Units:
     """The lines of some texts and, of lines of several sentences, their sentences, where they hold a word: ``owner`` (a text's
-    place), ``ranges`` (code points of that text), ``begin`` and ``words`` (a stretch of ``hashed``), by owner and start."""
+    place), ``ranges`` (code points of that text), ``begin`` and ``words`` (a stretch of ``hashed``), ``before`` (words of that text
+    before it), by owner and start."""
 
     def __init__(self, texts: list[bytes]):
         data = b"\n".join([*texts, b""])
@@ -73,6 +76,7 @@ class Units:
         self.begin, self.words = begin[order], words[order]
         starts, ends = starts[order], ends[order]
         self.owner = np.searchsorted(text_starts, starts, side="right") - 1
+        self.before = self.begin - np.searchsorted(at, text_starts)[self.owner]
         origin = text_starts[self.owner]
         if points is not None:
             starts, ends, origin = points[starts], points[ends], points[origin]
@@ -136,9 +140,10 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.append(0, np.cumsum(many))
             inside = np.repeat(starts[:-1] - ends[:-1], many) + np.arange(ends[-1])
             bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shingles[inside].view(np.int64)))
-            numbers = [pa.array(x.astype(np.int32)) for x in (number, units.ranges[:, 0], units.ranges[:, 1])]
-            columns = [part.column(0).take(pa.array(owner)), *numbers, pa.array(keys), pa.array(sizes.astype(np.int32)), bands]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "number", "start", "end", "key", "size", "bands"])
+            numbers = [pa.array(x.astype(np.int32)) for x in (number, *units.ranges.T, units.before, units.words)]
+            ids = [part.column(c).take(pa.array(owner)) for c in (0, 2)]
+            columns = [*ids, *numbers, pa.array(keys), pa.array(sizes.astype(np.int32)), bands]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "number", "start", "end", "before", "words", "key", "size", "bands"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +204,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(shingles, starts)), sets], names=["key", "shingles"])
 
 
-def _shingles(frequent: list[tuple[int, int]]):
-    """A row for every shingle of every set, with its count ``n`` if it is frequent. Of these, which follow the others in the
-    order, there are only those that the first fifth of a set needs."""
-    known, counts = (np.array(x, np.int64) for x in zip(*sorted(frequent), (2**63 - 1, 0)))
+def _counted(parts: int):
+    """Different shingles of a batch of sets with their counts, a row for each of ``parts`` ranges of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0, 1 << 22):
+                shingle, n = np.unique(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64), return_counts=True)
+                range_ = (shingle >> np.uint64(48)).astype(np.int64) * parts >> 16
+                cuts = np.append(np.flatnonzero(np.diff(range_, prepend=-1)), len(range_)).tolist()
+                data = [[x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for x in (shingle.view(np.int64), n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(range_[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in data)], names=["part", "shingles", "counts"])
+
+    return run
+
+
+def _frequent(limit: int):
+    """Of the shingles of one range, those in more than ``limit`` sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shingle, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("shingles", "counts"))
+        order = np.argsort(shingle, kind="stable")
+        new = np.flatnonzero(np.diff(shingle[order], prepend=~shingle[order[:1]]))
+        shingle, n = shingle[order][new], np.add.reduceat(n[order], new)
+        return pa.table({"shingles": [shingle[n > limit].tobytes()], "counts": [n[n > limit].tobytes()]})
+
+    return run
+
+
+def _first_fifths(known: np.ndarray, counts: np.ndarray):
+    """Rows for the first fifth of every set, in an order in which frequent shingles, which are ``known``, follow the others by
+    their ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,10 +246,12 @@ def _shingles(frequent: list[tuple[int, int]]):
                 n = np.where(known[at] == shingle, counts[at], 0)
                 order = np.lexsort((shingle, n, every))
                 place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                order = order[(n[order] == 0) | (place <= sizes[every] // 5)]
-                every, n = every[order], n[order]
-                columns = [part.column(0).take(pa.array(every)), pa.array(sizes[every].astype(np.int32)), pa.array(shingle[order]), pa.array(n, mask=n == 0)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "shingle", "n"])
+                first = place <= sizes[every] // 5
+                order, place = order[first], place[first]
+                every = every[order]
+                numbers = [pa.array(x.astype(np.int32)) for x in (sizes[every], place)]
+                columns = [part.column(0).take(pa.array(every)), *numbers, pa.array(shingle[order]), pa.array(n[order] > 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "place", "shingle", "frequent"])
 
     return run
 
@@ -225,25 +259,25 @@ def _shingles(frequent: list[tuple[int, int]]):
 def _rarest(sets: DataFrame, tables: Tables) -> DataFrame:
     """Buckets ``key``, ``bucket``, ``probe`` in which every two of the sets at 0.8 or more meet, one of them no probe: the first
     shingle that two sets share, in an order from rare to frequent, leaves enough after it in either set to reach 0.8 with
-    the other's size. Sizes are in classes; a set is a probe in classes below its own. What many sets share comes last in
-    the order, so that sets alike by nothing else don't meet. Shingles of over one in ``FREQUENT`` rows, which are fewer than
-    that, go to the tasks with their counts; windows count the others, so that none is a large share of the rows."""
-    sets, kind = tables.store(sets.select("key", "shingles")), "key long, size int, shingle long, n long"
-    total = sets.agg(F.sum(F.length("shingles")) / 8).first()[0] or 0
-    counts = sets.mapInArrow(_shingles([]), kind).groupBy("shingle").agg(F.count("*").alias("n"))
-    frequent = [tuple(r) for r in counts.filter(F.col("n") * FREQUENT > total).collect()]
-    told = tables.store(sets.mapInArrow(_shingles(frequent), kind))
-    rest = told.filter("n is null").withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
-    told = told.filter("n is not null").unionByName(rest)
-    ordered = told.groupBy("key", "size").agg(F.collect_list(F.struct("n", "shingle")).alias("all"))
-    first = F.slice(F.sort_array("all"), F.lit(1), F.expr("size div 5 + 1").cast("int"))
-    placed = ordered.select("key", "size", F.posexplode(first).alias("place", "x"))
+    the other's size. What many sets share comes last in the order, so that sets alike by nothing else don't meet. In buckets
+    of frequent shingles sizes are in classes, and a set is a probe in classes below its own; the others are small.
+
+    Frequent are shingles of more than ``CROWD`` sets, and more where over ``KNOWN`` would be; they go to the tasks with
+    their counts. To count, sets meet as blocks of a range of shingles, each with its count in a block, and no shingle becomes
+    a row but those of the first fifths."""
+    sets = tables.store(sets.select("key", "shingles"))
+    total = int(sets.agg(F.sum(F.length("shingles")) / 8).first()[0] or 0)
+    blocks = sets.select("shingles").mapInArrow(_counted(total // RANGE + 1), "part long, shingles binary, counts binary")
+    found = blocks.groupBy("part").applyInArrow(_frequent(max(CROWD, total // KNOWN)), "shingles binary, counts binary").collect()
+    known, counts = (np.frombuffer(b"".join(r[c] for r in found), np.int64) for c in (0, 1))
+    order = np.argsort(known)
+    known, counts = np.append(known[order], 2**63 - 1), np.append(counts[order], 0)
+    placed = sets.mapInArrow(_first_fifths(known, counts), "key long, size int, place int, shingle long, frequent boolean")
     placed = placed.withColumn("most", F.expr("9 * (size - place) div 4 - size")).withColumn("least", F.expr("(4 * size + 4) div 5"))
     of = lambda c: F.floor(F.log(c) / math.log(CLASS)).cast("int")
-    mine = of("size").alias("mine")
-    classes = F.explode(F.sequence(of("least"), F.least(of("size"), of("most")))).alias("class")
-    placed = placed.filter("most >= least").select("key", F.col("x.shingle").alias("shingle"), mine, classes)
-    return placed.select("key", F.xxhash64("shingle", "class").alias("bucket"), (F.col("class") < F.col("mine")).alias("probe"))
+    classes = F.when(F.col("frequent"), F.sequence(of("least"), F.least(of("size"), of("most")))).otherwise(F.array(F.lit(-1)))
+    placed = placed.filter("most >= least").select("key", "shingle", "frequent", of("size").alias("mine"), F.explode(classes).alias("class"))
+    return placed.select("key", F.xxhash64("shingle", "class").alias("bucket"), (F.col("frequent") & (F.col("class") < F.col("mine"))).alias("probe"))
 
 
 def _prepare(data: dict[str, list]) -> Sets:
@@ -280,9 +314,27 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     part; null and empty texts hold nothing to report. Equal sets of shingles are told by a hash of 64 bits. Other
     columns are not read; an empty table gives no rows.
     """
+    return _repeated(docs).select("doc_id", "start", "end", "class_id", "removed")
+
+
+def sized_paragraphs(docs: DataFrame) -> DataFrame:
+    """:func:`repeated_paragraphs` with how much of a document's text repeats in one piece there: ``words`` of the paragraph,
+    ``passage_words`` of the stretch of repeated paragraphs, with no word between them, that it is in, and ``passage``, true where
+    these are ``PASSAGE`` or more. Many documents share a line of a word or two; those with a true ``passage`` share more."""
+    by = Window.partitionBy("doc_id", "text_hash")
+    reach = F.max(F.col("before") + F.col("words")).over(by.orderBy("before", "words").rowsBetween(Window.unboundedPreceding, -1))
+    found = _repeated(docs).withColumn("apart", F.coalesce((F.col("before") > reach).cast("int"), F.lit(0)))
+    found = found.withColumn("stretch", F.sum("apart").over(by.orderBy("before", "words").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "text_hash", "stretch")
+    found = found.withColumn("passage_words", F.max(F.col("before") + F.col("words")).over(whole) - F.min("before").over(whole))
+    return found.select("doc_id", "start", "end", "class_id", "removed", "words", "passage_words", (F.col("passage_words") >= PASSAGE).alias("passage"))
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    marked = tables.store(docs.mapInArrow(_marked, "doc_id long, number int, start int, end int, key long, size int, bands array<long>"))
+    kind = "doc_id long, text_hash long, number int, start int, end int, before int, words int, key long, size int, bands array<long>"
+    marked = tables.store(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_marked, kind))
     members = marked.filter("size(bands) > 0").select(F.explode("bands").alias("shingle"), "size", "key")
     members = members.repartitionByRange("shingle", "size", "key").sortWithinPartitions("shingle", "size", "key")
     met = tables.store(members.mapInArrow(_met, "key long, shingle long, bucket long"))
@@ -292,7 +344,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     rows = rows.select("key", "shingle", F.when(F.col("at_end"), F.xxhash64("shingle")).otherwise(F.col("bucket")).alias("bucket"))
     near = tables.store(rows)
     tables.drop(met)
-    units = tables.store(marked.select("doc_id", "number", "start", "end", "key"))
+    units = tables.store(marked.drop("size", "bands"))
     tables.drop(marked)
     places = units.join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "number")).alias("place"))
     asked = tables.store(places.groupBy("place.doc_id").agg(F.collect_list("place.number").alias("asked")))
@@ -317,5 +369,4 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     named = named.select("key", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_last", "last").alias("last"))
     named = tables.store(named.filter("class_id < last").select("key", "class_id"))
     tables.drop_all(keep=(units, named))
-    out = units.join(named, "key")
-    return out.select("doc_id", "start", "end", "class_id", (F.col("doc_id") != F.col("class_id")).alias("removed"))
+    return units.join(named, "key").withColumn("removed", F.col("doc_id") != F.col("class_id"))

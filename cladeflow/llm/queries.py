@@ -12,7 +12,7 @@ from cladeflow.llm.jaccard_join import similar_documents
 from cladeflow.llm.language import detect_language, fit_languages
 from cladeflow.llm.mixing import mix_sources
 from cladeflow.llm.packing import pack
-from cladeflow.llm.paragraphs import repeated_paragraphs
+from cladeflow.llm.paragraphs import sized_paragraphs
 from cladeflow.llm.quality import score_quality
 from cladeflow.llm.secrets import find_secrets
 from cladeflow.llm.sharding import shard_by_bytes
@@ -72,7 +72,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return sized_paragraphs(table(spark, sf_dir, "documents"))
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
