@@ -85,3 +85,18 @@ def test_many_symbols_at_a_site(spark):
     rows = [("x", 0, t, "s%02d" % t) for t in range(12)] + [("x", 1, t, "s%02d" % t) for t in range(40)]
     found = {(r["site"], r["taxon"]): r["mask"] for r in sites.recoded_symbols(spark.createDataFrame(rows, "aln_id string, site long, taxon long, symbol string")).collect()}
     assert [found[0, t] for t in range(12)] == [1 << t for t in range(12)] and all(found[1, t] is None for t in range(40))
+
+
+def test_two_long_rows_of_digits_are_no_header(spark, tmp_path):
+    """Whole texts may begin with two card numbers; ``s2_rejected_texts`` holds them against its SQL."""
+    import duckdb
+
+    from cladeflow.queries import ORACLE, QUERIES
+
+    texts = ["4703443633947811 4451718024887799 Achverber auf", "2147483648 4\na         ACGT", None, "1 4", "Acg", "", "4539578519535923 4251825953533393"]
+    rows = [(6 * i if i in (0, 1, 6) else 6 * i + 1, text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = QUERIES["s2_rejected_texts"](spark, str(tmp_path)).select("path", "line", "error").collect()
+    assert sorted(map(tuple, found)) == sorted(db.execute(ORACLE["s2_rejected_texts"]).fetchall())
