@@ -107,6 +107,29 @@ def spanning_edges(matrix: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def spanning_edges_between(matrix: np.ndarray) -> list[tuple[int, int, int]]:
+    """Edges (weight, row, column) of a minimum spanning tree of the graph that ties every row of ``matrix`` to every column."""
+    rows, (n, m) = (matrix, np.ascontiguousarray(matrix.T)), matrix.shape
+    # of rows and columns: distance to the tree, and the same with what is in the tree out of reach
+    near = [np.full(n, np.inf), np.full(m, np.inf)]
+    open_, towards, out = [x.copy() for x in near], [np.zeros(n, np.int64), np.zeros(m, np.int64)], []
+    side, k = 0, 0
+    near[0][0] = -1
+    while True:
+        row, other = rows[side][k], 1 - side
+        closer = np.flatnonzero(row < near[other])
+        near[other][closer] = open_[other][closer] = row[closer]
+        towards[other][closer] = k
+        at = int(open_[0].argmin()), int(open_[1].argmin())
+        side = int(open_[1][at[1]] < open_[0][at[0]])
+        k = at[side]
+        w, end = int(open_[side][k]), int(towards[side][k])
+        out.append((w, k, end) if side == 0 else (w, end, k))
+        near[side][k], open_[side][k] = -1, np.inf
+        if len(out) == n + m - 1:
+            return out
+
+
 def group_lower(matrix: np.ndarray, edges: list[tuple[int, int, int]] | None = None) -> int:
     """Lower bound of a tree from groups of its rows that are far apart; ``matrix`` has their distances.
 

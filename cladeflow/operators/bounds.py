@@ -23,11 +23,10 @@ from cladeflow.plans.storage import checkpointed
 
 
 def spanning_tree_weights(patterns: DataFrame, strict: bool = False) -> DataFrame:
-    """Weight of the minimum spanning tree of the taxa of each alignment, by Fitch or strict distances. Distances come from blocks of taxa,
-    and trees from rounds over all alignments."""
+    """Weight of the minimum spanning tree of the taxa of each alignment, by Fitch or strict distances. Of the distances
+    of every two blocks of taxa the tasks keep a spanning tree, and trees of these come from rounds over all alignments."""
     cells = patterns.select("aln_id", "site", "weight", F.posexplode("states").alias("taxon", "mask")).withColumn("taxon", F.col("taxon").cast("long"))
-    edges = pairs.blocked_distances(cells).select("aln_id", "i", "j", F.col("strict" if strict else "dist").alias("dist"))
-    found = spanning.spanning_weights(edges, ["aln_id"])
+    found = spanning.spanning_weights(pairs.blocked_spanning_edges(cells, strict), ["aln_id"])
     return patterns.select("aln_id").distinct().join(found, "aln_id", "left").select("aln_id", F.coalesce("weight", F.lit(0).cast("long")).alias("weight"))
 
 

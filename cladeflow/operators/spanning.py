@@ -11,21 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.plans.storage import checkpointed
+from cladeflow.plans.storage import checkpointed, dropped
 
 
 def spanning_trees(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Edges (``keys``, i, j, dist) of a minimum spanning tree, or forest, of each graph of ``edges``. Edges may repeat; of the spanning
     trees of a graph it is the one whose edges come first by dist, i and j."""
     end = F.struct("dist", "i", "j")
-    live = checkpointed(edges.filter("i <> j").select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "dist").groupBy(*keys, "i", "j").agg(F.min("dist").alias("dist")))
-    live = live.select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), end.alias("edge"))
+    live = edges.filter("i <> j").select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "dist").groupBy(*keys, "i", "j").agg(F.min("dist").alias("dist"))
+    live = checkpointed(live.select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), end.alias("edge")))
     taken = None
     while True:
         both = live.select(*keys, F.col("a").alias("node"), F.struct("edge", F.col("b").alias("other")).alias("way"))
         both = both.unionByName(live.select(*keys, F.col("b").alias("node"), F.struct("edge", F.col("a").alias("other")).alias("way")))
         least = checkpointed(both.groupBy(*keys, "node").agg(F.min("way").alias("way")))
         if least.isEmpty():
+            dropped(live)
             return edges.select(*keys, "i", "j", "dist").limit(0) if taken is None else taken.select(*keys, "edge.i", "edge.j", "edge.dist")
         found = least.select(*keys, "way.edge").distinct()
         taken = found if taken is None else taken.unionByName(found)
@@ -34,17 +35,19 @@ def spanning_trees(edges: DataFrame, keys: list[str]) -> DataFrame:
         tops = least.select(*keys, "node", F.col("way.other").alias("up")).join(back, [*keys, "up"])
         tops = tops.select(*keys, "node", F.when((F.col("then") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up"))
         tops = checkpointed(tops)
-        while True:
+        settled = False
+        while not settled:
             further = tops.select(*keys, F.col("node").alias("up"), F.col("up").alias("top"))
-            tops = checkpointed(tops.join(further, [*keys, "up"]))
-            settled = tops.filter("top <> up").isEmpty()
-            tops = tops.select(*keys, "node", F.col("top").alias("up"))
-            if settled:
-                break
+            later = checkpointed(tops.join(further, [*keys, "up"]).select(*keys, "node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            dropped(tops)
+            tops, settled = later, later.filter("moved").isEmpty()
+        merged = live
         for side in ("a", "b"):
-            live = live.join(tops.select(*keys, F.col("node").alias(side), F.col("up").alias("top")), [*keys, side]).drop(side).withColumnRenamed("top", side)
-        live = live.filter("a <> b").groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("edge").alias("edge"))
-        live = checkpointed(live)
+            merged = merged.join(tops.select(*keys, F.col("node").alias(side), F.col("up").alias("top")), [*keys, side]).drop(side).withColumnRenamed("top", side)
+        merged = merged.filter("a <> b").groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("edge").alias("edge"))
+        later = checkpointed(merged)
+        dropped(live, tops)
+        live = later
 
 
 def spanning_weights(edges: DataFrame, keys: list[str]) -> DataFrame:

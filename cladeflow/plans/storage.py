@@ -9,7 +9,10 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
+_folders: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,19 +34,40 @@ def scratch(spark: SparkSession) -> str:
 
 @atexit.register
 def _clear() -> None:
+    for path in _written:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
     """Files that this driver cannot reach by their address stay, for the folder's owner to clear."""
     from pyarrow import ArrowException, fs
 
-    for path in _written:
-        try:
-            files, place = fs.FileSystem.from_uri(path if urlsplit(path).scheme else os.path.abspath(path))
-            files.delete_dir(place)
-        except (OSError, ArrowException):
-            continue
+    try:
+        files, place = fs.FileSystem.from_uri(path if urlsplit(path).scheme else os.path.abspath(path))
+        files.delete_dir(place)
+    except (OSError, ArrowException):
+        pass
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` as Parquet in the shared folder. The plan that follows begins with these files and their size; Spark's own checkpoints keep
+    the estimate of the plan before them, and where rounds join what they stored, the product of such estimates gets twice as many
+    digits with every join, until the driver is out of memory."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = out, path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of ``checkpointed`` tables that no later step reads."""
+    for df in tables:
+        _, path = _folders.pop(id(df))
+        _written.remove(path)
+        _delete(path)

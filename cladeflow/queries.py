@@ -330,7 +330,8 @@ PAIR = "pr AS (SELECT a.aln_id, a.taxon AS i, b.taxon AS j, CAST(sum(CASE WHEN a
 
 @register("j1_distances", f"WITH {EVT}, {PAIR} SELECT aln_id, i, j, dist, strict, dist AS sites FROM pr")
 def j1(spark, sf_dir):
-    return pairs.fitch_distances(tables.from_events(spark, sf_dir))
+    # every cell of the grid is there, with a weight of one
+    return pairs.blocked_distances(tables.from_events(spark, sf_dir)).withColumn("sites", F.col("dist"))
 
 
 @register("j1_weighted_distances", f"WITH {CHUNK}, {RECODED}, wc AS (SELECT c.aln_id, c.site, c.taxon, c.mask, weight FROM rcells c JOIN pats USING (aln_id, site)) SELECT a.aln_id, a.taxon AS i, b.taxon AS j, CAST(sum(CASE WHEN a.mask & b.mask = 0 THEN a.weight ELSE 0 END) AS BIGINT) AS dist, CAST(sum(CASE WHEN a.mask <> b.mask THEN a.weight ELSE 0 END) AS BIGINT) AS strict, count(*) FILTER (a.mask & b.mask = 0) AS sites FROM wc a JOIN wc b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon GROUP BY 1, 2, 3")
@@ -365,16 +366,12 @@ def j5b(spark, sf_dir):
 
 @register("j11_cross_minimum", f"WITH {EVT}, {PAIR}, r AS (SELECT DISTINCT aln_id, taxon AS r FROM cells) SELECT aln_id, r, min(dist) AS min_dist FROM pr JOIN (SELECT aln_id AS a2, r FROM r) x ON aln_id = a2 AND i < r AND r <= j GROUP BY 1, 2")
 def j11(spark, sf_dir):
-    # ranks in place of user ids
-    cells = tables.from_events(spark, sf_dir)
-    found = pairs.cross_minimum(pairs.fitch_distances(cells))
-    taxa = cells.select("aln_id", F.col("taxon").alias("r")).distinct()
-    return found.join(taxa, ["aln_id", "r"], "left_semi")
+    return pairs.blocked_cross_minimum(tables.from_events(spark, sf_dir))
 
 
 @register("a9_o1_farthest_pair", f"WITH {EMB}, {PAIR}, b AS (SELECT aln_id, max(dist) AS dist FROM pr GROUP BY 1), t AS (SELECT pr.* FROM pr JOIN b USING (aln_id, dist)) SELECT aln_id, first.i AS i, first.j AS j, dist, n_ties FROM (SELECT aln_id, dist, min({{'i': i, 'j': j}}) AS first, count(*) AS n_ties FROM t GROUP BY 1, 2)")
 def a9(spark, sf_dir):
-    return pairs.farthest_pair(pairs.blocked_distances(emb(spark, sf_dir)))
+    return pairs.blocked_farthest_pair(emb(spark, sf_dir))
 
 
 @register("a14_pair_surplus", f"WITH {CHUNK}, own AS (SELECT aln_id, site, count(DISTINCT mask) AS n FROM cells GROUP BY 1, 2), bt AS (SELECT a.aln_id, a.site AS p, b.site AS q, count(DISTINCT a.mask * 16 + b.mask) AS n FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.taxon = b.taxon AND a.site < b.site GROUP BY 1, 2, 3) SELECT bt.aln_id, p, q, bt.n - x.n - y.n + 1 AS surplus FROM bt JOIN own x ON x.aln_id = bt.aln_id AND x.site = p JOIN own y ON y.aln_id = bt.aln_id AND y.site = q")
