@@ -182,6 +182,22 @@ def part_lower(masks: np.ndarray) -> int:
     return max(out, tree) if masks.shape[1] == 2 and bool(((masks & (masks - 1)) == 0).all()) else out
 
 
+def paired_lower(masks: np.ndarray, weights: np.ndarray) -> int:
+    """What sites need one by one, and what pairs of them need beyond that: pairs in order, as long as both sites are unused. No others are
+    looked at."""
+    alone = [part_lower(masks[:, [s]]) for s in range(masks.shape[1])]
+    total, used = sum(int(w) * x for w, x in zip(weights, alone)), set()
+    for s in range(masks.shape[1]):
+        for t in range(s + 1, masks.shape[1]):
+            if s in used:
+                break
+            gain = 0 if t in used else part_lower(masks[:, [s, t]]) - alone[s] - alone[t]
+            if gain > 0:
+                used |= {s, t}
+                total += int(min(weights[s], weights[t])) * gain
+    return total
+
+
 def part_upper(masks: np.ndarray, first: int) -> int:
     """Most changes that a star on the first taxa needs, site by site."""
     head = masks[:first]
@@ -335,23 +351,134 @@ def corrected_try(masks: np.ndarray, weights: np.ndarray, first: int, seed: int)
     return sum(map(score, parts))
 
 
+def _joined(near: np.ndarray) -> np.ndarray:
+    """Which rows ways of ``near`` rows tie; stacks of matrices lie along the last axis."""
+    for k in range(len(near)):
+        near |= near[:, k, None] & near[None, k]
+    return near
+
+
+def _groups(same: np.ndarray) -> np.ndarray:
+    """Rows that are the first of their group."""
+    return np.stack([~same[x, :x].any(0) for x in range(len(same))])
+
+
+def part_lowers(pairs: np.ndarray, n: int, single: np.ndarray, clear: bool) -> np.ndarray:
+    """``part_lower`` of many parts of at most four sites, other than two, at once: from the distances of every two of ``n`` rows, a column for
+    each part, and what its sites need one by one; ``clear`` if every state is one base, so that rows without a distance are equal.
+
+    Groups of single linkage are what ways of distances up to a level tie, and a tree has an edge beyond a level for each group but
+    one. Rows that no zeros tie are told by level 0, equal rows among the others."""
+    x, y = np.triu_indices(n, 1)
+    apart = np.zeros((n, n, pairs.shape[1]), np.int8)
+    apart[x, y] = apart[y, x] = pairs
+    place = np.zeros((n, n), np.int64)
+    place[x, y] = np.arange(len(x))
+    threes = [(a, b, c) for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n)]
+    rows = _groups(_joined(apart == 0))
+    most, tree, live, far = rows.sum(0) - 1, np.zeros(pairs.shape[1], np.int64), np.arange(pairs.shape[1]), np.int8(100)
+    for level in range(int(pairs.max(initial=0))):
+        same = _joined(apart <= level)
+        count = _groups(same).sum(0)
+        tree[live] += count - 1
+        some = count > 1
+        if not some.all():
+            live, apart, same, rows = live[some], apart[:, :, some], same[:, :, some], rows[:, some]
+            if not len(live):
+                break
+        # distances of groups, and their sizes, at every row of a group
+        d = apart
+        if level or not clear:
+            d = np.where(same[:, 0, None], apart[None, 0], far)
+            for k in range(1, n):
+                np.minimum(d, np.where(same[:, k, None], apart[None, k], far), out=d)
+            one, d = d, np.where(same[None, :, 0], d[:, 0, None], far)
+            for k in range(1, n):
+                np.minimum(d, np.where(same[None, :, k], one[:, k, None], far), out=d)
+        c = (same & rows[None]).sum(1, dtype=np.int8)
+        other, two = ~same[x, y], d[x, y]
+        near = np.where(other, two, far).min(0).astype(np.int64)
+        best = np.maximum(rows.sum(0) - 2 + near, np.where(other, two + c[x] + c[y] - np.int8(2), np.int8(0)).max(0))
+        for i, j, k in threes:
+            ij, ik, jk = place[i, j], place[i, k], place[j, k]
+            total = two[ij] + two[ik] + two[jk]
+            value = np.minimum(total - np.maximum(np.maximum(two[ij], two[ik]), two[jk]), (total + np.int8(1)) // np.int8(2)) + c[i] + c[j] + c[k] - np.int8(3)
+            best = np.maximum(best, np.where(other[ij] & other[ik] & other[jk], value, 0))
+        most[live] = np.maximum(most[live], best)
+    return np.maximum(np.maximum(single, most), (tree + 1) // 2)
+
+
+def corrected_tries(cells: list[tuple[np.ndarray, np.ndarray]], firsts: list[int], seeds: list[int]) -> list[int]:
+    """``corrected_try`` of many alignments (masks and weights), or numbers of first taxa and seeds, swap after swap side by side."""
+    out = [0] * len(cells)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for r, (masks, weights) in enumerate(cells):
+        shapes.setdefault((len(masks), int(weights.sum())), []).append(r)
+    for (n, size), some in shapes.items():
+        if not size or n > 16:  # of many rows the triples of groups are many
+            for r in some:
+                out[r] = corrected_try(*cells[r], firsts[r], seeds[r])
+            continue
+        width, pairs = -(-size // 4), 2 if size % 4 == 2 else 0
+        # a last site without changes fills up the last part
+        masks = np.full((len(some), size + 1, n), 15, np.uint8)
+        parts, swaps = np.full((len(some), width * 4), size), np.empty((len(some), size // 2, 2), np.int64)
+        for k, r in enumerate(some):
+            masks[k, :size] = np.repeat(cells[r][0].T, cells[r][1], axis=0)
+            parts[k, :size] = np.random.default_rng(seeds[r]).permutation(size)
+            swaps[k] = np.random.default_rng(seeds[r]).integers(0, size, (size // 2, 2))
+        shown = np.stack([((masks & b) != 0) for b in (1, 2, 4, 8)], axis=3)
+        clear = (masks & (masks - 1)) == 0
+        single = np.maximum(0, (shown & clear[..., None]).any(2).sum(2) - 1)
+        first = np.array([firsts[r] for r in some])
+        upper = first[:, None] - (shown & (np.arange(n) < first[:, None, None])[..., None]).sum(2).max(2)
+        i, j = np.triu_indices(n, 1)
+        apart = np.ascontiguousarray(((masks[:, :, i] & masks[:, :, j]) == 0).astype(np.int8).reshape(-1, len(i)).T)
+        parts = parts.reshape(len(some), width, 4)
+
+        def score(rows: np.ndarray, held: np.ndarray) -> np.ndarray:
+            at = rows[:, None], held
+            flat = (rows[:, None] * (size + 1) + held).T
+            lower = part_lowers(sum(apart.take(f, axis=1) for f in flat), n, single[at].sum(1), bool(clear.all()))
+            if pairs:  # of two sites of single bases the whole tree counts
+                for k in np.flatnonzero((held < size).sum(1) == 2):
+                    lower[k] = part_lower(masks[rows[k], held[k][held[k] < size]].T)
+            return np.maximum(0, lower - upper[at].sum(1))
+
+        every = np.arange(len(some))
+        scores = np.stack([score(every, parts[:, p]) for p in range(width)], axis=1)
+        for a, b in swaps.transpose(1, 2, 0):
+            rows = np.flatnonzero(a // 4 != b // 4)
+            (p, i), (q, j) = divmod(a[rows], 4), divmod(b[rows], 4)
+            one, two, k = parts[rows, p], parts[rows, q], np.arange(len(rows))
+            one[k, i], two[k, j] = two[k, j], one[k, i]
+            new, new_two = np.split(score(np.tile(rows, 2), np.concatenate([one, two])), 2)
+            better = new + new_two > scores[rows, p] + scores[rows, q]
+            rows, p, q = rows[better], p[better], q[better]
+            parts[rows, p], parts[rows, q] = one[better], two[better]
+            scores[rows, p], scores[rows, q] = new[better], new_two[better]
+        for k, r in enumerate(some):
+            out[r] = int(scores[k].sum())
+    return out
+
+
 def hitting_sets(masks: np.ndarray, first: int, widest: int = 6) -> list[tuple[int, list[int]]]:
     """Covers of taxon pairs: site after site that tells most uncovered pairs apart, of equals with the least upper bound,
     then the first; sites of a cover are used up. With each cover its gain, distinct rows less one less the upper bounds."""
-    n, free, out = len(masks), set(range(masks.shape[1])), []
+    n, free, out = len(masks), np.ones(masks.shape[1], bool), []
     i, j = np.triu_indices(n, 1)
-    apart = (masks[i] & masks[j]) == 0
-    upper = [part_upper(masks[:, [s]], first) for s in range(masks.shape[1])]
-    while free:
+    apart = ((masks[i] & masks[j]) == 0).astype(np.int64)
+    upper = np.array([part_upper(masks[:, [s]], first) for s in range(masks.shape[1])], np.int64)
+    while free.any():
         open_, cover = np.ones(len(i), bool), []
-        while free and len(cover) < widest and open_.any():
-            hits = {s: int(apart[open_, s].sum()) for s in free}
-            s = min(free, key=lambda x: (-hits[x], upper[x], x))
+        while free.any() and len(cover) < widest and open_.any():
+            hits = open_ @ apart
+            s = int(np.where(free, hits * (n + 1) - upper, -n - 1).argmax())
             if not hits[s]:
                 break
             cover.append(s)
-            free.discard(s)
-            open_ &= ~apart[:, s]
+            free[s] = False
+            open_ &= apart[:, s] == 0
         if not cover:
             break
         distinct = len(np.unique(masks[:, cover], axis=0))

@@ -194,12 +194,13 @@ def corrected_bounds(patterns: DataFrame, tries: int = 8) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names, firsts, turns, rows = (batch.column(c).to_pylist() for c in ("aln_id", "first", "turn", "row"))
-            value = []
-            for name, first, turn, row in zip(names, firsts, turns, rows):
-                masks, weights = np.array([r["states"] for r in row], np.uint8).T, np.array([r["weight"] for r in row], np.int64)
-                value.append(b.corrected_try(masks, weights, first, zlib.crc32(f"{name} {first}".encode()) + turn))
-            yield pa.RecordBatch.from_arrays([batch.column("aln_id"), pa.array([f - 1 for f in firsts], pa.int64()), pa.array(value, pa.int64())], names=["aln_id", "k", "bound"])
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                names, firsts, turns, rows = (part.column(c).to_pylist() for c in ("aln_id", "first", "turn", "row"))
+                cells = [(np.array([r["states"] for r in row], np.uint8).T, np.array([r["weight"] for r in row], np.int64)) for row in rows]
+                seeds = [zlib.crc32(f"{name} {first}".encode()) + turn for name, first, turn in zip(names, firsts, turns)]
+                value = b.corrected_tries(cells, firsts, seeds)
+                yield pa.RecordBatch.from_arrays([part.column("aln_id"), pa.array([f - 1 for f in firsts], pa.int64()), pa.array(value, pa.int64())], names=["aln_id", "k", "bound"])
 
     dealt = keyed.select("aln_id", "first", "turn", "row").repartition(patterns.sparkSession.sparkContext.defaultParallelism * 4, "aln_id", "first", "turn")
     found = dealt.mapInArrow(run, "aln_id string, k long, bound long").groupBy("aln_id", "k").agg(F.max("bound").alias("bound"))
@@ -257,15 +258,7 @@ def whole_lower_bounds(patterns: DataFrame) -> DataFrame:
 
     def run(key, held):
         masks, weights = _matrix(held)
-        single = sum(int(w) * b.part_lower(masks[:, [s]]) for s, w in enumerate(weights))
-        paired, used = 0, set()
-        for s in range(masks.shape[1]):
-            for t in range(s + 1, masks.shape[1]):
-                gain = b.part_lower(masks[:, [s, t]]) - b.part_lower(masks[:, [s]]) - b.part_lower(masks[:, [t]])
-                if gain > 0 and s not in used and t not in used:
-                    used |= {s, t}
-                    paired += int(min(weights[s], weights[t])) * gain
-        value = max(single + paired, -(-b.spanning_tree(b.distances(masks, weights)) // 2))
+        value = max(b.paired_lower(masks, weights), -(-b.spanning_tree(b.distances(masks, weights)) // 2))
         return pa.table({"aln_id": [key[0].as_py()], "rest": [value]})
 
     rest = _per_alignment(told.filter("forced is null").drop("forced"), run, "aln_id string, rest long")

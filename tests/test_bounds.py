@@ -251,3 +251,41 @@ def test_spanning_tree_equals_brute_force():
         if len(set(root)) == 1:
             best = min(best, sum(int(m[e]) for e in chosen))
     assert b.spanning_tree(m) == best
+
+
+def test_tries_side_by_side_equal_one_after_another():
+    draw = np.random.default_rng(61)
+    for n, sites, most in ((6, 16, 1), (5, 9, 3), (4, 6, 1), (7, 3, 1), (6, 1, 1)):
+        for high in (None, 16):
+            cells = [((1 << draw.integers(0, 4, (n, sites)) if high is None else draw.integers(1, high, (n, sites))).astype(np.uint8), draw.integers(1, most + 1, sites)) for _ in range(9)]
+            firsts, seeds = [3 + k % max(1, n - 3) for k in range(9)], draw.integers(0, 1 << 32, 9).tolist()
+            assert b.corrected_tries(cells, firsts, seeds) == [b.corrected_try(*c, f, s) for c, f, s in zip(cells, firsts, seeds)]
+
+
+def test_covers_equal_a_search_site_by_site():
+    draw = np.random.default_rng(62)
+    for _ in range(5):
+        masks = (1 << draw.integers(0, 4, (6, 14))).astype(np.uint8)
+        i, j = np.triu_indices(6, 1)
+        apart, free = (masks[i] & masks[j]) == 0, set(range(14))
+        for _, cover in b.hitting_sets(masks, 3):
+            open_ = np.ones(15, bool)
+            for s in cover:
+                assert s == min(free, key=lambda x: (-int(apart[open_, x].sum()), b.part_upper(masks[:, [x]], 3), x))
+                free.discard(s)
+                open_ &= ~apart[:, s]
+        assert not any(apart[:, s].any() for s in free)
+
+
+def test_only_unused_pairs_of_sites_are_looked_at(monkeypatch):
+    draw, seen, whole = np.random.default_rng(63), [], b.part_lower
+    masks, weights = (1 << draw.integers(0, 4, (9, 30))).astype(np.uint8), draw.integers(1, 4, 30)
+    total, used = sum(int(w) * whole(masks[:, [s]]) for s, w in enumerate(weights)), set()
+    for s in range(30):
+        for t in range(s + 1, 30):
+            gain = whole(masks[:, [s, t]]) - whole(masks[:, [s]]) - whole(masks[:, [t]])
+            if gain > 0 and not used & {s, t}:
+                used |= {s, t}
+                total += int(min(weights[s], weights[t])) * gain
+    monkeypatch.setattr(b, "part_lower", lambda some: seen.append(1) or whole(some))
+    assert b.paired_lower(masks, weights) == total and len(seen) < 30 * 29 // 4
