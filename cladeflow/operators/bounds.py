@@ -296,6 +296,21 @@ def addition_orders(distances: DataFrame, rule: str = "max_min") -> DataFrame:
     return distances.select("aln_id", "i", "j", "dist").groupBy("aln_id").applyInArrow(run, "aln_id string, rank long, taxon long")
 
 
+def addition_orders_of_cells(cells: DataFrame, rule: str = "max_min") -> DataFrame:
+    """``addition_orders`` by Fitch distances, for alignments without gaps in the grid and without weights. A task has an alignment's rows, a byte a
+    cell; no distance becomes a row. Taxa are ranks from 0."""
+
+    def run(key, held):
+        held = held.sort_by("id")
+        masks = np.frombuffer(b"".join(held.column("masks").to_pylist()), np.uint8).reshape(len(held), -1)
+        order = b.order_of_rows(masks, rule) if len(masks) > 1 else []
+        return pa.table({"aln_id": pa.array([key[0].as_py()] * len(order), pa.string()), "rank": pa.array(range(len(order)), pa.int64()), "taxon": pa.array(order, pa.int64())})
+
+    rows = pairs.packed_rows(cells).select("aln_id", "id", "masks")
+    rows = rows.repartition(4 * cells.sparkSession.sparkContext.defaultParallelism, "aln_id")
+    return rows.groupBy("aln_id").applyInArrow(run, "aln_id string, rank long, taxon long")
+
+
 #: Which absent taxon is placed next, from the costs of all its places: larger keys first.
 RULES = ("max_mini", "max_mini_lb", "max_variance", "max_rank", "tournament")
 

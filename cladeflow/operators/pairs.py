@@ -120,6 +120,11 @@ def _packed(cells: DataFrame, row: str, column: str) -> DataFrame:
     return rows.mapInArrow(run, "aln_id string, id long, masks binary, weights array<long>")
 
 
+def packed_rows(cells: DataFrame) -> DataFrame:
+    """Taxa (``id``) with their ``masks``, a byte for each site in order."""
+    return _packed(cells, "taxon", "site")
+
+
 #: Rows of one block, by their ids: the ids, and the masks as a matrix.
 Block = tuple[np.ndarray, np.ndarray]
 

@@ -761,7 +761,7 @@ def h13b(spark, sf_dir):
 
 @register("o2_max_min_order")
 def o2(spark, sf_dir):
-    return bounds.addition_orders(pairs.blocked_distances(emb(spark, sf_dir)))
+    return bounds.addition_orders_of_cells(emb(spark, sf_dir))
 
 
 @register("o2_rounds_max_min_order")
@@ -771,7 +771,7 @@ def o2b(spark, sf_dir):
 
 @register("o3_max_sum_order")
 def o3(spark, sf_dir):
-    return bounds.addition_orders(pairs.blocked_distances(emb(spark, sf_dir)), "max_sum")
+    return bounds.addition_orders_of_cells(emb(spark, sf_dir), "max_sum")
 
 
 @register("o3_rounds_max_sum_order")

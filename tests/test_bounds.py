@@ -289,3 +289,17 @@ def test_only_unused_pairs_of_sites_are_looked_at(monkeypatch):
                 total += int(min(weights[s], weights[t])) * gain
     monkeypatch.setattr(b, "part_lower", lambda some: seen.append(1) or whole(some))
     assert b.paired_lower(masks, weights) == total and len(seen) < 30 * 29 // 4
+
+
+def test_orders_from_rows_equal_those_from_a_matrix(spark):
+    draw, rows, expected = np.random.default_rng(64), [], {}
+    for n, sites, high in ((2, 3, 16), (3, 2, 4), (14, 5, 16), (30, 9, 3), (25, 70, 16), (9, 1, 2)):
+        masks = draw.integers(1, high, (n, sites))
+        rows += [(f"n{n}", s, t, int(masks[t, s])) for t in range(n) for s in range(sites)]
+        expected[f"n{n}"] = b.distances(masks, np.ones(sites, np.int64))
+    cells = spark.createDataFrame([*rows, ("one", 0, 0, 1)], "aln_id string, site long, taxon long, mask int").repartition(3)
+    for rule in ("max_min", "max_sum"):
+        got = {}
+        for r in bounds.addition_orders_of_cells(cells, rule).orderBy("rank").collect():
+            got.setdefault(r["aln_id"], []).append(r["taxon"])
+        assert got == {name: b.addition_order(m, rule) for name, m in expected.items()}
