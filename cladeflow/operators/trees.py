@@ -259,13 +259,15 @@ def search(patterns: DataFrame, upper: DataFrame | None = None, rest: DataFrame
         return pa.table({"aln_id": pa.array([key[0].as_py()] * len(trees), pa.string()), "score": pa.array(scores, pa.int64()), "taxa": pa.array([len(masks)] * len(trees), pa.int32()), "parents": pa.array(trees, pa.list_(pa.int32()))})
 
     finished, counters = first.limit(0), None
-    # what is still to grow: trees of k taxa, their number of parts, and the part that comes next
-    stack = [(2, first, 1, 0)]
+    # what is still to grow: trees of k taxa, their number of parts, the part that comes next, and alignments that fill a part alone
+    stack = [(2, first, 1, 0, [])]
     while stack:
-        k, table, parts, part = stack.pop()
+        k, table, parts, part, large = stack.pop()
         if part + 1 < parts:
-            stack.append((k, table, parts, part + 1))
-        level = table if parts == 1 else table.filter(F.pmod(F.xxhash64("aln_id", "parents"), F.lit(parts)) == part)
+            stack.append((k, table, parts, part + 1, large))
+        # an alignment is in one part, so that its patterns are read once, unless its trees are many
+        dealt = F.when(F.col("aln_id").isin(large), F.xxhash64("aln_id", "parents")).otherwise(F.xxhash64("aln_id"))
+        level = table if parts == 1 else table.filter(F.pmod(dealt, F.lit(parts)) == part)
         level = level.filter(F.col("taxa") > k)
         if upper is None:
             limited = level.withColumn("most", F.lit(None).cast("long"))
@@ -293,7 +295,10 @@ def search(patterns: DataFrame, upper: DataFrame | None = None, rest: DataFrame
                 upper = checkpointed(upper.join(least, "aln_id", "left").select("aln_id", F.least("upper", "least").alias("upper")))
                 finished = checkpointed(finished.join(upper, "aln_id").filter("score <= upper").drop("upper"))
         if False in sizes:
-            stack.append((k + 1, grown, -(-sizes[False] // wave) if wave else 1, 0))
+            parts = -(-sizes[False] // wave) if wave else 1
+            # fewer than there are parts
+            many = grown.filter(F.col("taxa") > k + 1).groupBy("aln_id").agg(F.count("*").alias("n")).filter(F.col("n") > wave) if parts > 1 else None
+            stack.append((k + 1, grown, parts, 0, [] if many is None else [r["aln_id"] for r in many.collect()]))
     if counters is None:
         return finished.select("aln_id", "parents", "score"), patterns.sparkSession.createDataFrame([], "aln_id string, level int, tried long, kept long, pruned long, full long, ties long")
     best = finished.groupBy("aln_id").agg(F.min("score").alias("score"))
