@@ -306,6 +306,36 @@ def random_parts(n: int, seed: int, width: int = 4) -> list[np.ndarray]:
     return [order[at : at + width] for at in range(0, n, width)]
 
 
+def forced_weights(masks: np.ndarray) -> np.ndarray:
+    """Forced weights of sites; -1 where a site is informative: there are states that share a base beside every base."""
+    out = np.full(masks.shape[1], -1)
+    for base in (1, 2, 4, 8):
+        lacking = (masks & base) == 0
+        held = np.where(lacking, masks, 0)
+        apart = np.bitwise_count(held).sum(0, dtype=np.int64) == np.bitwise_count(np.bitwise_or.reduce(held, axis=0))
+        count = lacking.sum(0)
+        out = np.where(apart & ((out < 0) | (count < out)), count, out)
+    return out
+
+
+def simple_partitions(pairs: np.ndarray, n: int) -> np.ndarray:
+    """``simple_partition`` of many parts of single bases at once, from the distances of every two of ``n`` rows, a column for each part: the last
+    edge of a tree is as long as there are levels at which ways of distances up to them don't tie all rows."""
+    x, y = np.triu_indices(n, 1)
+    apart = np.zeros((n, n, pairs.shape[1]), np.int8)
+    apart[x, y] = apart[y, x] = pairs
+    count = [_groups(_joined(apart <= level)).sum(0) for level in range(int(pairs.max(initial=0)))]
+    return np.where(count[0] > 1, count[0] - 2 + sum(c > 1 for c in count), 0) if count else np.zeros(pairs.shape[1], np.int64)
+
+
+def best_two_ways(pairs: np.ndarray, n: int, parts: np.ndarray) -> np.ndarray:
+    """``best_two_way`` of parts of four sites (columns of ``pairs``) each."""
+    sites = [pairs.take(parts[:, k], axis=1) for k in range(4)]
+    some = [sum(sites[k] for k in range(4) if chosen >> k & 1) for chosen in range(1, 16)]
+    value = simple_partitions(np.concatenate(some, axis=1), n).reshape(15, len(parts))
+    return np.maximum(value[14], np.max([value[k - 1] + value[14 - k] for k in range(1, 8)], axis=0))
+
+
 def uninformative_bound(masks: np.ndarray, weights: np.ndarray, forced: np.ndarray, seed: int, tries: int = 6) -> int:
     """For patterns that are uninformative on some first taxa, with their forced weight there: what they need on all taxa
     beyond that. The best of random partitions into parts of four, and half the spanning tree."""
@@ -313,7 +343,21 @@ def uninformative_bound(masks: np.ndarray, weights: np.ndarray, forced: np.ndarr
         return 0
     fixed = int((forced * weights).sum())
     best = spanning_tree(distances(masks, weights)) // 2
-    least = int(weights.min())
+    least, size, n = int(weights.min()), masks.shape[1], len(masks)
+    if ((masks & (masks - 1)) == 0).all():
+        # a last site without changes fills up the last part of each turn
+        i, j = np.triu_indices(n, 1)
+        pairs = np.zeros((len(i), size + 1), np.int8)
+        pairs[:, :size] = (masks[i] & masks[j]) == 0
+        parts = np.full((tries, -(-size // 4) * 4), size)
+        for turn in range(tries):
+            parts[turn, :size] = np.concatenate(random_parts(size, seed + turn))
+        parts = parts.reshape(-1, 4)
+        held = np.append(weights, weights.max())[parts]
+        times = held.min(1)
+        value = times * best_two_ways(pairs, n, parts) + ((held - times[:, None]) * simple_partitions(pairs, n)[parts]).sum(1)
+        best = max(best, int(value.reshape(tries, -1).sum(1).max()))
+        return max(0, best - fixed) if least else 0
     for turn in range(tries):
         # a part counts as often as all its patterns stand there; what is left counts site by site
         total = 0

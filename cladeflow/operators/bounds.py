@@ -163,28 +163,13 @@ def uninformative_bounds(patterns: DataFrame) -> DataFrame:
     """From the patterns that are not informative on the taxa up to k: what they need on all taxa beyond their forced weight."""
 
     def compute(masks, weights, first, seed):
-        forced = np.array([_forced(c) for c in masks[:first].T])
+        forced = b.forced_weights(masks[:first])
         some = forced >= 0
         return b.uninformative_bound(masks[:, some], weights[some], forced[some], seed)
 
     return prefixes.held_for_fewer(_by_rank(patterns, compute))
 
 
-def _forced(states: np.ndarray) -> int:
-    """Forced weight of a site; -1 if it is informative."""
-    best = -1
-    for base in (1, 2, 4, 8):
-        lacking = [int(m) for m in states if not m & base]
-        union = 0
-        for m in lacking:
-            if union & m:
-                break
-            union |= m
-        else:
-            best = len(lacking) if best < 0 else min(best, len(lacking))
-    return best
-
-
 def corrected_bounds(patterns: DataFrame, tries: int = 8) -> DataFrame:
     """Random parts of four sites, each counted as often as it stands there: lower bound less upper bound on the taxa up to k. The best of
     ``tries`` seeded tries, each with swaps at its end, is the bound; a try of an alignment and a number of first taxa is one task's

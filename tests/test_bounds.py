@@ -303,3 +303,19 @@ def test_orders_from_rows_equal_those_from_a_matrix(spark):
         for r in bounds.addition_orders_of_cells(cells, rule).orderBy("rank").collect():
             got.setdefault(r["aln_id"], []).append(r["taxon"])
         assert got == {name: b.addition_order(m, rule) for name, m in expected.items()}
+
+
+def test_uninformative_parts_at_once_equal_one_by_one():
+    draw = np.random.default_rng(65)
+    for n, sites, most in ((6, 17, 1), (5, 8, 4), (4, 1, 2), (6, 3, 3), (7, 30, 1)):
+        masks, weights = (1 << draw.integers(0, 4, (n, sites))).astype(np.uint8), draw.integers(1, most + 1, sites)
+        pairs = ((masks[:, None] & masks[None]) == 0)[np.triu_indices(n, 1)].astype(np.int8)
+        assert b.simple_partitions(pairs, n).tolist() == [b.simple_partition(masks[:, [s]]) for s in range(sites)]
+        forced, best = b.forced_weights(masks[:3]), b.spanning_tree(b.distances(masks, weights)) // 2
+        for turn in range(6):
+            total = 0
+            for part in b.random_parts(sites, 9 + turn):
+                times = int(weights[part].min())
+                total += times * b.best_two_way(masks[:, part]) + sum((int(weights[s]) - times) * b.simple_partition(masks[:, [s]]) for s in part)
+            best = max(best, total)
+        assert b.uninformative_bound(masks, weights, forced, 9) == max(0, best - int((forced * weights).sum()))
